@@ -7,7 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietkey.plans.scan import scan_change_set, scan_projects, scan_text
+from quietkey.functions import assignments as A
+from quietkey.functions.candidate import (
+    analyze_candidate,
+    analyze_client_exposure,
+    without_client_prefix,
+)
+from quietkey.functions.features import context_features, numeric_features
+from quietkey.functions.text import (
+    LINE_BREAK,
+    decode_utf8,
+    mask_secret,
+    shannon_entropy,
+    split_lines,
+)
+from quietkey.operators import ignore as I
+from quietkey.operators import limits as L
+from quietkey.operators import paths as P
+from quietkey.operators.changes import change_set
+from quietkey.operators.propagation import secret_inventory
+from quietkey.plans.scan import project_roles, scan_change_set, scan_projects, scan_text
 from workload import corpora as C
 from workload import oracles as O
 
@@ -51,3 +70,347 @@ def scan_findings(spark, sf):
 @query("scan_gate_summary", O.gate(C.FILES))
 def scan_gate_summary(spark, sf):
     return scan_projects(C.files(spark, sf)).summary().drop("ml_advisory_enabled")
+
+
+# --- paths, ignore rules, limits -------------------------------------------------------
+
+_ROLE_COLUMNS = "project_id, path, CAST(source AS INT) AS source, CAST(artifact AS INT) AS artifact, CAST(dotenv AS INT) AS dotenv"
+
+
+@query("file_roles", f"{O.ctes(('roles', O.roles(C.FILES)))} SELECT {_ROLE_COLUMNS} FROM roles")
+def file_roles(spark, sf):
+    roles = project_roles(C.files(spark, sf))
+    return roles.select(
+        "project_id", "path", *[F.col(c).cast("int").alias(c) for c in ("source", "artifact", "dotenv")]
+    )
+
+
+@query(
+    "file_predicates",
+    f"""SELECT path, {O.SUFFIX} AS suffix, CAST({O.SUPPORTED} AS INT) AS supported,
+      CAST({O.CODE_FILE} AS INT) AS code, CAST({O.DOTENV} AS INT) AS dotenv,
+      CAST({O.OWNED} AS INT) AS artifact_path, CAST({O.ARTIFACT_EXT} AS INT) AS artifact_file,
+      CAST({O.SKIPPED} AS INT) AS skipped FROM ({C.FILES}) f""",
+)
+def file_predicates(spark, sf):
+    path = F.col("path")
+    flags = {
+        "supported": P.is_supported_file(path), "code": P.is_code_file(path),
+        "dotenv": P.is_dotenv_file(path), "artifact_path": P.is_artifact_path(path),
+        "artifact_file": P.is_artifact_file(path), "skipped": P.in_skipped_directory(path),
+    }
+    return C.files(spark, sf).select(
+        "path", P.suffix(path).alias("suffix"), *[c.cast("int").alias(n) for n, c in flags.items()]
+    )
+
+
+_RAW_PATHS = """SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'a/./b/../c' || o_orderkey
+    WHEN 1 THEN '../x' || o_orderkey WHEN 2 THEN 'a//b/' || o_orderkey || '/' WHEN 3 THEN 'a/../../b'
+    WHEN 4 THEN './src/.env' WHEN 5 THEN 'plain/' || o_orderkey || '.py' ELSE 'a/b/../../..hidden/' || o_orderkey END AS path
+  FROM orders"""
+
+
+@query(
+    "relative_paths",
+    f"""SELECT k, coalesce(array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]),
+        list_transform(string_split(path, '/'), lambda s: [s])),
+        lambda acc, s: CASE WHEN acc IS NULL OR acc = ['<out>'] THEN ['<out>'] WHEN s[1] IN ('', '.') THEN acc
+          WHEN s[1] = '..' THEN CASE WHEN len(acc) = 0 THEN ['<out>'] ELSE acc[1:len(acc) - 1] END
+          ELSE list_concat(acc, s) END), '/'), '') AS inside FROM ({_RAW_PATHS}) r""",
+)
+def relative_paths(spark, sf):
+    return C.corpus(spark, sf, _RAW_PATHS).select(
+        "k", F.coalesce(P.relative_path(F.col("path")), F.lit("<out>")).alias("inside")
+    )
+
+
+# Every rule of the derived rule files, restated as a regex over the whole path or name.
+_IGNORED = r"""(r.c IS NOT NULL AND CASE r.c % 5
+    WHEN 0 THEN starts_with(path, 'src/') OR regexp_full_match(path, '.*\.yaml')
+    WHEN 1 THEN regexp_full_match(path, 'web/.*') OR starts_with(path, 'dist/')
+    WHEN 2 THEN regexp_full_match(path, 'svc.*/\.env') OR regexp_full_match(path, 'app.[0-4].*\.js')
+      OR regexp_full_match(regexp_extract(path, '[^/]*$'), 'app.[0-4].*\.js')
+    WHEN 3 THEN regexp_full_match(regexp_extract(path, '[^/]*$'), 'mod[^1-8].*\.py')
+      OR regexp_full_match(path, '\.next/static/.*[a-c.]js')
+    ELSE path = 'api' OR regexp_full_match(path, 'api/data.*') END)"""
+_RULED = f"""SELECT f.*, {_IGNORED} AS ignored FROM ({C.FILES}) f LEFT JOIN
+  (SELECT 'p' || c_custkey AS project_id, c_custkey AS c FROM customer WHERE c_custkey % 3 = 0) r
+  ON f.project_id = r.project_id"""
+
+
+def _rules(spark, sf):
+    rows = C.corpus(spark, sf, C.RULE_FILES)
+    rule_files = rows.select(
+        "project_id", F.lit(I.DEFAULT_IGNORE_FILE).alias("path"), F.lit(True).alias("readable"),
+        F.col("text").cast("binary").alias("content"),
+    )
+    return I.rules_from_files(rule_files)
+
+
+@query("ignore_rules", """SELECT 'p' || c_custkey AS project_id, CASE c_custkey % 5 WHEN 0 THEN 'src/|*.yaml'
+    WHEN 1 THEN 'web/*|dist/' WHEN 2 THEN '/svc*/.env|app?[0-4]*.js' WHEN 3 THEN 'mod[!1-8]*.py|.next/static/*[a-c.]js'
+    ELSE 'api|api/data*' END AS patterns FROM customer WHERE c_custkey % 3 = 0""")
+def ignore_rules(spark, sf):
+    return _rules(spark, sf).select("project_id", F.array_join("patterns", "|").alias("patterns"))
+
+
+@query("ignored_files", f"SELECT project_id, path, CAST(ignored AS INT) AS ignored FROM ({_RULED}) x")
+def ignored_files(spark, sf):
+    marked = I.mark_ignored(C.files(spark, sf), _rules(spark, sf))
+    return marked.select("project_id", "path", F.col("ignored").cast("int").alias("ignored"))
+
+
+@query("scan_with_ignore_rules", O.findings(_RULED, ignored="ignored"))
+def scan_with_ignore_rules(spark, sf):
+    return flat(scan_projects(C.files(spark, sf), _rules(spark, sf)).public())
+
+
+@query(
+    "coverage_limitations",
+    f"""SELECT path, coalesce(reason, '') AS reason FROM
+      (SELECT path, {O.SOURCE_REASON} AS reason FROM ({C.FILES}) f) r""",
+)
+def coverage_limitations(spark, sf):
+    reason = L.read_limitation(L.SOURCE_REASONS)
+    return C.files(spark, sf).select("path", F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+# --- text, lines, extraction -----------------------------------------------------------
+
+_BREAKS = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def _text_lines(table: str, key: str, text: str) -> str:
+    return f"""SELECT {key} AS id, CAST(len(p) AS BIGINT) AS lines, CAST(list_max(list_transform(p, lambda x: length(x))) AS BIGINT) AS longest
+      FROM (SELECT {key}, CASE WHEN q[len(q)] = '' THEN q[1:len(q) - 1] ELSE q END AS p
+        FROM (SELECT {key}, regexp_split_to_array({text}, '{_BREAKS}') AS q FROM {table}) a) b"""
+
+
+@query("source_lines", _text_lines("documents", "doc_id", "text"))
+def source_lines(spark, sf):
+    lines = C.table(spark, sf, "documents").select("doc_id", split_lines(F.col("text")).alias("p"))
+    return lines.select(
+        F.col("doc_id").alias("id"), F.size("p").cast("bigint").alias("lines"),
+        F.array_max(F.transform("p", F.length)).cast("bigint").alias("longest"),
+    )
+
+
+_LINE_SOURCE = f"SELECT * FROM ({C.FILES}) f WHERE text IS NOT NULL"
+_LINE_CTE = O.lines(f"({_LINE_SOURCE}) g")
+
+
+def _file_lines(spark, sf):
+    text = C.corpus(spark, sf, _LINE_SOURCE)
+    lines = text.select("project_id", "path", F.posexplode(F.split("text", LINE_BREAK)).alias("p", "t"))
+    return lines.withColumn("line", F.col("p") + 1)
+
+
+@query(
+    "assignments",
+    f"""{O.ctes(("lines", _LINE_CTE), ("parsed", O.PARSED))} SELECT path, CAST(line AS INT) AS line,
+      CASE WHEN name IS NOT NULL THEN 'literal' WHEN regexp_matches(t, '{O.EXPR}') THEN 'expression' ELSE '' END AS kind,
+      coalesce(name, regexp_extract(regexp_extract(t, '{O.EXPR}', 1), '[^.]*$')) AS variable_name,
+      coalesce(val, '') AS value FROM parsed""",
+)
+def assignments(spark, sf):
+    found = A.classify_assignment(F.col("t"))
+    rows = _file_lines(spark, sf).select("path", "line", found.alias("a"))
+    return rows.select("path", "line", *[F.coalesce(f"a.{c}", F.lit("")).alias(c) for c in ("kind", "variable_name", "value")])
+
+
+@query(
+    "dotenv_assignments",
+    f"""{O.ctes(("lines", _LINE_CTE))} SELECT path, CAST(line AS INT) AS line,
+      regexp_extract(t, '{O.ENV}', 1) AS variable_name,
+      CASE WHEN regexp_extract(t, '{O.ENV}', 1) = '' THEN '' ELSE {O.env_value("t")} END AS value FROM lines""",
+)
+def dotenv_assignments(spark, sf):
+    rows = _file_lines(spark, sf).select("path", "line", A.extract_dotenv(F.col("t")).alias("a"))
+    return rows.select("path", "line", *[F.coalesce(f"a.{c}", F.lit("")).alias(c) for c in ("variable_name", "value")])
+
+
+def _text_tables(spark, sf):
+    documents = C.table(spark, sf, "documents").selectExpr("'documents' AS project", "concat('d', doc_id, '.yaml') AS path", "text")
+    pages = C.table(spark, sf, "pages").selectExpr("'pages' AS project", "concat('w', page_id, '.html') AS path", "html AS text")
+    talks = C.table(spark, sf, "conversations").selectExpr(
+        "'conversations' AS project", "concat('c', conv_id, '_', turn, '.py') AS path", "text")
+    return documents.unionByName(pages).unionByName(talks)
+
+
+_TEXT_TABLES = """SELECT 'documents' AS project_id, 'd' || doc_id || '.yaml' AS path, text FROM documents
+  UNION ALL SELECT 'pages', 'w' || page_id || '.html', html FROM pages
+  UNION ALL SELECT 'conversations', 'c' || conv_id || '_' || turn || '.py', text FROM conversations"""
+_TEXT_FILES = f"""SELECT *, CAST(1 AS BIGINT) AS length, false AS is_symlink, true AS readable FROM ({_TEXT_TABLES}) t"""
+_ASCII_SCAN = O.ctes(*O.scan_ctes(_TEXT_FILES))
+
+
+@query(
+    "scan_text_tables",
+    f"{_ASCII_SCAN} SELECT s.project_id, coalesce(f.n, 0) AS findings, s.files FROM "
+    "(SELECT project_id, CAST(count(*) AS BIGINT) AS files FROM scanned GROUP BY 1) s LEFT JOIN "
+    "(SELECT project_id, CAST(count(*) AS BIGINT) AS n FROM findings GROUP BY 1) f ON s.project_id = f.project_id",
+)
+def scan_text_tables(spark, sf):
+    texts = _text_tables(spark, sf)
+    hits = scan_text(texts, F.col("path"), F.col("text"), F.col("project"))
+    counted = texts.select(F.col("project").alias("project_id"), F.lit(1).alias("files"), F.lit(0).alias("findings")).unionByName(
+        hits.select("project_id", F.lit(0).alias("files"), F.lit(1).alias("findings")))
+    return counted.groupBy("project_id").agg(F.sum("files").alias("files"), F.sum("findings").alias("findings"))
+
+
+# --- scalar functions over quoted HTML attributes and derived candidates ---------------
+
+_ATTRIBUTES = """SELECT page_id, unnest(regexp_extract_all(html, '([A-Za-z-]+)="([^"]*)"', 1)) AS variable_name,
+  unnest(regexp_extract_all(html, '([A-Za-z-]+)="([^"]*)"', 2)) AS value FROM pages"""
+
+
+def _attributes(spark, sf):
+    pattern = F.lit('([A-Za-z-]+)="([^"]*)"')
+    pairs = F.arrays_zip(
+        F.regexp_extract_all("html", pattern, F.lit(1)).alias("variable_name"),
+        F.regexp_extract_all("html", pattern, F.lit(2)).alias("value"),
+    )
+    return C.table(spark, sf, "pages").select("page_id", F.inline(pairs))
+
+
+@query(
+    "entropy_and_mask",
+    f"""SELECT page_id, value, round({O.entropy("value")}, 6) AS entropy, {O.mask("value")} AS masked FROM ({_ATTRIBUTES}) a""",
+)
+def entropy_and_mask(spark, sf):
+    value = F.col("value")
+    return _attributes(spark, sf).select(
+        "page_id", "value", F.round(shannon_entropy(value), 6).alias("entropy"), mask_secret(value).alias("masked"))
+
+
+_ANALYSIS = f"""SELECT *, {O.signals("variable_name", "value")} FROM ({C.CANDIDATES}) c"""
+
+
+@query(
+    "candidate_analysis",
+    f"""SELECT sample_id, CAST(length(value) AS INT) AS length, round({O.entropy("value")}, 3) AS entropy,
+      CAST({O.score()} AS INT) AS score, CAST({O.score()} >= 50 AS INT) AS suspicious, {O.reasons()} AS reasons FROM ({_ANALYSIS}) a""",
+)
+def candidate_analysis(spark, sf):
+    found = analyze_candidate(F.col("variable_name"), F.col("value"))
+    rows = C.corpus(spark, sf, C.CANDIDATES).select("sample_id", found.alias("a"))
+    return rows.select("sample_id", "a.length", "a.entropy", "a.score",
+        F.col("a.is_suspicious").cast("int").alias("suspicious"), F.array_join("a.reasons", "|").alias("reasons"))
+
+
+_EXPOSURE = f"""SELECT *, {O.signals("sem", "value")} FROM (SELECT *, {O.framework("variable_name")} AS fw,
+  {O.semantic("variable_name")} AS sem FROM ({C.CANDIDATES}) c) d"""
+
+
+@query(
+    "client_exposure",
+    f"""SELECT sample_id, coalesce(fw, '') AS framework, sem AS semantic_name,
+      CAST(fw IS NOT NULL AND (s1 = 1 OR {O.score()} >= 50) AS INT) AS risky,
+      CAST(CASE WHEN fw IS NULL THEN 0 ELSE {O.score()} END AS INT) AS score,
+      CASE WHEN fw IS NULL THEN '' ELSE concat_ws('|', 'Client-exposed environment variable',
+        CASE WHEN s1 = 1 THEN 'Sensitive credential name' END, nullif({O.reasons()}, '')) END AS reasons FROM ({_EXPOSURE}) e""",
+)
+def client_exposure(spark, sf):
+    name = F.col("variable_name")
+    rows = C.corpus(spark, sf, C.CANDIDATES).select(
+        "sample_id", without_client_prefix(name).alias("semantic_name"),
+        analyze_client_exposure(name, F.col("value")).alias("e"))
+    return rows.select("sample_id", F.coalesce("e.framework", F.lit("")).alias("framework"), "semantic_name",
+        F.col("e.is_risky").cast("int").alias("risky"), F.col("e.candidate_score").alias("score"),
+        F.array_join("e.reasons", "|").alias("reasons"))
+
+
+def _share(chars: str) -> str:
+    return f"CASE WHEN value = '' THEN 0.0 ELSE CAST(length(regexp_replace(value, '{chars}', '', 'g')) AS DOUBLE) / length(value) END"
+
+
+_NUMERIC = f"""CAST(length(value) AS INT) AS length, round({O.entropy("value")}, 6) AS entropy,
+  round({_share("[^0-9]")}, 6) AS digit_ratio, round({_share("[^A-Z]")}, 6) AS uppercase_ratio,
+  round({_share("[A-Za-z0-9]")}, 6) AS special_ratio, CAST({O.sensitive("variable_name")} AS INT) AS has_sensitive_name,
+  CAST({O.compact("value")} AS INT) AS is_compact, CAST({O.variety("value")} AS INT) AS has_character_variety"""
+_V = "trim(value)"
+_TOKENS = "list_filter(regexp_split_to_array(lower(variable_name), '[^a-z0-9]+'), lambda w: w <> '')"
+_WORDS = rf"list_filter(regexp_split_to_array({_V}, '[\s.-]+'), lambda w: w <> '')"
+_HASH = f"regexp_full_match({_V}, '[0-9a-fA-F]{{40}}|[0-9a-fA-F]{{64}}')"
+_CONTEXT = rf"""CAST(regexp_full_match({_V}, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}') AS INT) AS looks_like_uuid,
+  CAST({_HASH} AS INT) AS looks_like_fixed_hash,
+  CAST(length({_V}) >= 16 AND regexp_full_match({_V}, '[0-9a-fA-F]+') AS INT) AS is_hex_only,
+  CAST(regexp_matches(lower({_V}), '^(\$\{{|\$env:|process\.env\.|env\.|vault://|os\.getenv\()') OR
+    (length({_V}) > 2 AND left({_V}, 1) = '%' AND right({_V}, 1) = '%') AS INT) AS looks_like_reference,
+  CAST(regexp_matches(lower(value), 'example|placeholder|replace|redacted|not[-_]configured|fake|demo|sample|your[-_]|insert[-_]|do-not-use|do_not_use') AS INT) AS looks_like_placeholder,
+  CAST(regexp_matches(upper(trim(variable_name)), '^(VITE_|NEXT_PUBLIC_)') AS INT) AS has_public_frontend_prefix,
+  CAST(list_has_any({_TOKENS}, ['id','identifier','uuid','ref','reference','request','trace','build','commit','checksum','digest']) AS INT) AS has_identifier_name,
+  CAST(regexp_full_match({_V}, '[A-Za-z0-9_-]{{6,}}\.[A-Za-z0-9_-]{{6,}}\.[A-Za-z0-9_-]{{6,}}') AS INT) AS looks_like_jwt,
+  CAST(NOT contains({_V}, '://') AND len({_WORDS}) BETWEEN 4 AND 8 AND
+    len(list_filter({_WORDS}, lambda w: NOT regexp_full_match(w, '[A-Za-z]{{3,}}'))) = 0 AS INT) AS looks_like_passphrase,
+  CAST({_HASH} AND NOT {O.sensitive("variable_name")} AND
+    list_has_any({_TOKENS}, ['commit','revision','checksum','digest','sha','fingerprint','etag','repository','source']) AS INT) AS looks_like_safe_hash_metadata"""
+_FEATURED = f"SELECT *, {_NUMERIC}, {_CONTEXT} FROM ({C.CANDIDATES}) c"
+
+
+@query("ml_features", f"SELECT sample_id, {_NUMERIC} FROM ({C.CANDIDATES}) c")
+def ml_features(spark, sf):
+    return C.corpus(spark, sf, C.CANDIDATES).select("sample_id", *numeric_features(F.col("variable_name"), F.col("value")))
+
+
+@query("html_attribute_features", f"SELECT page_id, variable_name, value, {_NUMERIC}, {_CONTEXT} FROM ({_ATTRIBUTES}) a")
+def html_attribute_features(spark, sf):
+    return _attributes(spark, sf).select("page_id", "variable_name", "value", *context_features(F.col("variable_name"), F.col("value")))
+
+
+@query("context_features", f"SELECT sample_id, {_NUMERIC}, {_CONTEXT} FROM ({C.CANDIDATES}) c")
+def context_feature_table(spark, sf):
+    return C.corpus(spark, sf, C.CANDIDATES).select("sample_id", *context_features(F.col("variable_name"), F.col("value")))
+
+
+@query("candidate_text", f"SELECT sample_id, variable_name || ' = ' || value AS text FROM ({C.CANDIDATES}) c")
+def candidate_text_column(spark, sf):
+    return C.corpus(spark, sf, C.CANDIDATES).select("sample_id", A.candidate_text(F.col("variable_name"), F.col("value")).alias("text"))
+
+
+# --- inventory, propagation, change sets -----------------------------------------------
+
+@query(
+    "secret_inventory",
+    f"""{O.ctes(("roles", O.roles(C.FILES)), ("inv", O.inventory("roles")))} SELECT project_id, source_path,
+      CAST(source_line AS INT) AS source_line, variable_name, CAST(candidate_score AS INT) AS candidate_score, reasons,
+      {O.mask("raw")} AS masked_value FROM inv""",
+)
+def inventory(spark, sf):
+    roles = project_roles(C.files(spark, sf))
+    safe = roles.where(F.col("dotenv") & L.read_limitation(L.ARTIFACT_REASONS).isNull())
+    found = secret_inventory(safe.select("project_id", "path", decode_utf8(F.col("content")).alias("text")))
+    return found.select("project_id", "source_path", "source_line", "variable_name", "candidate_score",
+        F.array_join("reasons", "|").alias("reasons"), mask_secret(F.col("raw_value")).alias("masked_value"))
+
+
+_CHANGED = f"""SELECT n.* FROM ({C.NEW_INDEX}) n LEFT JOIN ({C.OLD_INDEX}) o ON n.project_id = o.project_id AND n.path = o.path
+  WHERE o.path IS NULL OR ((n.text IS DISTINCT FROM o.text OR n.mode <> o.mode)
+    AND (n.mode = '120000') = (o.mode = '120000'))"""
+
+
+def _index(spark, sf, sql):
+    return C.files(spark, sf, sql)
+
+
+@query("change_set", f"SELECT project_id, path, mode FROM ({_CHANGED}) c")
+def change_set_entries(spark, sf):
+    return change_set(_index(spark, sf, C.NEW_INDEX), _index(spark, sf, C.OLD_INDEX)).select("project_id", "path", "mode")
+
+
+@query("scan_change_set", O.findings(_CHANGED, staged=True))
+def scan_changes(spark, sf):
+    changed = change_set(_index(spark, sf, C.NEW_INDEX), _index(spark, sf, C.OLD_INDEX))
+    return flat(scan_change_set(changed).public())
+
+
+@query("change_set_gate", O.gate(_CHANGED, staged=True, mode="staged"))
+def change_set_gate(spark, sf):
+    changed = change_set(_index(spark, sf, C.NEW_INDEX), _index(spark, sf, C.OLD_INDEX))
+    return scan_change_set(changed).summary().drop("ml_advisory_enabled")
+
+
+@query("content_sha256", f"SELECT project_id, path, sha256(text) AS sha256 FROM ({C.FILES}) f WHERE text IS NOT NULL")
+def content_sha256(spark, sf):
+    files = C.files(spark, sf).where(F.col("content").isNotNull())
+    return files.select("project_id", "path", F.sha2("content", 256).alias("sha256"))
