@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietkey.operators.joins import slot_filter
+from quietkey.operators.joins import durable, slot_filter
 from quietkey.operators.limits import REGULAR_MODES
 
 _KEYS = ["project_id", "path"]
@@ -29,7 +29,8 @@ def change_set(new: DataFrame, old: DataFrame) -> DataFrame:
 
     Both tables are ``(project_id, path, mode, stage, length, content[, blob_id])``.
     Deletions and changes between file and link are no candidates. Identities are
-    compared on narrow rows; content is read for changed entries only.
+    compared on narrow rows; content is read for changed entries only. The entries are
+    checkpointed, because a scan reads them several times.
     """
     current = new.select(
         *_KEYS, _digest(new).alias("digest"), merged_mode(F.col("stage"), F.col("mode")).alias("m")
@@ -49,4 +50,4 @@ def change_set(new: DataFrame, old: DataFrame) -> DataFrame:
         .where(F.col("existed").isNull() | (differs & F.coalesce(regular, F.lit(True))))
         .select(*_KEYS)
     )
-    return slot_filter(new, changed, _KEYS).join(changed, _KEYS, "left_semi")
+    return durable(slot_filter(new, changed, _KEYS).join(changed, _KEYS, "left_semi"))

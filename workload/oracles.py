@@ -35,11 +35,13 @@ def sensitive(n: str) -> str:
 
 
 def compact(v: str) -> str:
-    return rf"NOT regexp_matches({v}, '\s')"
+    return rf"NOT regexp_matches({v}, '[\s\x{{85}}\p{{Z}}\x1C-\x1F]')"
 
 
 def variety(v: str) -> str:
-    kinds = " + ".join(f"CAST(regexp_matches({v}, '[{k}]') AS INT)" for k in ("a-z", "A-Z", "0-9"))
+    kinds = " + ".join(
+        f"CAST(regexp_matches({v}, '{k}') AS INT)" for k in (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}")
+    )
     return f"({kinds}) >= 2"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,12 @@ from quietkey.functions.candidate import (
     analyze_client_exposure,
     without_client_prefix,
 )
-from quietkey.functions.features import context_features, numeric_features
+from quietkey.functions.features import (
+    CONTEXT_FLAGS,
+    NUMERIC_FEATURES,
+    context_features,
+    numeric_features,
+)
 from quietkey.functions.text import (
     LINE_BREAK,
     decode_utf8,
@@ -21,11 +27,27 @@ from quietkey.functions.text import (
     shannon_entropy,
     split_lines,
 )
+from quietkey.lab import errors as R
+from quietkey.lab import fusion as U
+from quietkey.lab import models as M
+from quietkey.lab import profile as D
+from quietkey.lab.advisory import fit_advisory
+from quietkey.lab.frozen import dataset_identity, holdout_report, table_digest
+from quietkey.lab.metrics import calculate_metrics
+from quietkey.lab.separation import compare_separation, strictly_separate
+from quietkey.lab.split import stratified_split
+from quietkey.lab.synth import SPECS, synth_candidates
 from quietkey.operators import ignore as I
 from quietkey.operators import limits as L
 from quietkey.operators import paths as P
 from quietkey.operators.changes import change_set
 from quietkey.operators.propagation import secret_inventory
+from quietkey.plans.gatebench import (
+    case_results,
+    corpus_digest,
+    family_metrics,
+    gate_metrics,
+)
 from quietkey.plans.scan import project_roles, scan_change_set, scan_projects, scan_text
 from workload import corpora as C
 from workload import oracles as O
@@ -320,13 +342,16 @@ def client_exposure(spark, sf):
         F.array_join("e.reasons", "|").alias("reasons"))
 
 
+_NOT_DIGIT, _NOT_UPPER, _ALNUM = r"[^\p{Nd}]", r"[^\p{Lu}]", r"[\p{L}\p{N}]"
+
+
 def _share(chars: str) -> str:
     return f"CASE WHEN value = '' THEN 0.0 ELSE CAST(length(regexp_replace(value, '{chars}', '', 'g')) AS DOUBLE) / length(value) END"
 
 
-_NUMERIC = f"""CAST(length(value) AS INT) AS length, round({O.entropy("value")}, 6) AS entropy,
-  round({_share("[^0-9]")}, 6) AS digit_ratio, round({_share("[^A-Z]")}, 6) AS uppercase_ratio,
-  round({_share("[A-Za-z0-9]")}, 6) AS special_ratio, CAST({O.sensitive("variable_name")} AS INT) AS has_sensitive_name,
+_NUMERIC = rf"""CAST(length(value) AS INT) AS length, round({O.entropy("value")}, 6) AS entropy,
+  round({_share(_NOT_DIGIT)}, 6) AS digit_ratio, round({_share(_NOT_UPPER)}, 6) AS uppercase_ratio,
+  round({_share(_ALNUM)}, 6) AS special_ratio, CAST({O.sensitive("variable_name")} AS INT) AS has_sensitive_name,
   CAST({O.compact("value")} AS INT) AS is_compact, CAST({O.variety("value")} AS INT) AS has_character_variety"""
 _V = "trim(value)"
 _TOKENS = "list_filter(regexp_split_to_array(lower(variable_name), '[^a-z0-9]+'), lambda w: w <> '')"
@@ -342,7 +367,7 @@ _CONTEXT = rf"""CAST(regexp_full_match({_V}, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}
   CAST(list_has_any({_TOKENS}, ['id','identifier','uuid','ref','reference','request','trace','build','commit','checksum','digest']) AS INT) AS has_identifier_name,
   CAST(regexp_full_match({_V}, '[A-Za-z0-9_-]{{6,}}\.[A-Za-z0-9_-]{{6,}}\.[A-Za-z0-9_-]{{6,}}') AS INT) AS looks_like_jwt,
   CAST(NOT contains({_V}, '://') AND len({_WORDS}) BETWEEN 4 AND 8 AND
-    len(list_filter({_WORDS}, lambda w: NOT regexp_full_match(w, '[A-Za-z]{{3,}}'))) = 0 AS INT) AS looks_like_passphrase,
+    len(list_filter({_WORDS}, lambda w: NOT regexp_full_match(w, '\p{{L}}{{3,}}'))) = 0 AS INT) AS looks_like_passphrase,
   CAST({_HASH} AND NOT {O.sensitive("variable_name")} AND
     list_has_any({_TOKENS}, ['commit','revision','checksum','digest','sha','fingerprint','etag','repository','source']) AS INT) AS looks_like_safe_hash_metadata"""
 _FEATURED = f"SELECT *, {_NUMERIC}, {_CONTEXT} FROM ({C.CANDIDATES}) c"
@@ -414,3 +439,473 @@ def change_set_gate(spark, sf):
 def content_sha256(spark, sf):
     files = C.files(spark, sf).where(F.col("content").isNotNull())
     return files.select("project_id", "path", F.sha2("content", 256).alias("sha256"))
+
+
+# --- gate benchmark --------------------------------------------------------------------
+
+_PROJECT_CASES = f"SELECT f.* FROM ({C.CASE_FILES}) f JOIN ({C.CASES}) c ON f.project_id = c.project_id WHERE c.track <> 'staged'"
+_STAGED_CASES = f"SELECT f.*, '100644' AS mode FROM ({C.CASE_FILES}) f JOIN ({C.CASES}) c ON f.project_id = c.project_id WHERE c.track = 'staged'"
+
+
+def _case_results(spark, sf):
+    project = scan_projects(C.files(spark, sf, _PROJECT_CASES))
+    staged = scan_change_set(C.files(spark, sf, _STAGED_CASES))
+    findings = project.findings.select("project_id", "type").unionByName(staged.findings.select("project_id", "type"))
+    return case_results(C.corpus(spark, sf, C.CASES), findings)
+
+
+def _prefixed(prefix: str, parts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Rename CTEs so that two scans fit in one statement."""
+    names = [n for n, _ in parts]
+    out = []
+    for name, sql in parts:
+        for n in names:
+            sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {prefix}{n}", sql)
+        out.append((f"{prefix}{name}", sql))
+    return out
+
+
+_BOTH = (
+    _prefixed("a_", O.scan_ctes(_PROJECT_CASES)) + _prefixed("b_", O.scan_ctes(_STAGED_CASES, staged=True))
+    + [("hits", "SELECT project_id, type FROM a_findings UNION ALL SELECT project_id, type FROM b_findings"),
+       ("results", f"""SELECT c.*, CASE WHEN h.n IS NULL THEN 'passed' ELSE 'failed' END AS predicted_gate,
+          coalesce(h.n, 0) AS findings_count, coalesce(h.types, []) AS types FROM ({C.CASES}) c LEFT JOIN
+          (SELECT project_id, CAST(count(*) AS BIGINT) AS n, list_sort(list(DISTINCT type)) AS types FROM hits GROUP BY 1) h
+          ON c.project_id = h.project_id""")]
+)
+
+
+@query(
+    "gate_case_results",
+    f"""{O.ctes(*_BOTH)} SELECT project_id, family, track, expected_gate, predicted_gate, findings_count,
+      array_to_string(types, '|') AS finding_types, CAST(predicted_gate = expected_gate AS INT) AS correct_gate,
+      CASE WHEN expected_type IS NULL THEN -1 ELSE CAST(list_contains(types, expected_type) AS INT) END AS expected_type_found FROM results""",
+)
+def gate_case_results(spark, sf):
+    return _case_results(spark, sf).select(
+        "project_id", "family", "track", "expected_gate", "predicted_gate", "findings_count",
+        F.array_join("finding_types", "|").alias("finding_types"), F.col("correct_gate").cast("int").alias("correct_gate"),
+        F.coalesce(F.col("expected_type_found").cast("int"), F.lit(-1)).alias("expected_type_found"))
+
+
+_CELL_SQL = """CAST(count(*) FILTER (track <> 'coverage') AS BIGINT) AS cases,
+  CAST(count(*) FILTER (track <> 'coverage' AND expected_gate = 'failed' AND predicted_gate = 'failed') AS BIGINT) AS true_positive,
+  CAST(count(*) FILTER (track <> 'coverage' AND expected_gate = 'passed' AND predicted_gate = 'passed') AS BIGINT) AS true_negative,
+  CAST(count(*) FILTER (track <> 'coverage' AND expected_gate = 'passed' AND predicted_gate = 'failed') AS BIGINT) AS false_positive,
+  CAST(count(*) FILTER (track <> 'coverage' AND expected_gate = 'failed' AND predicted_gate = 'passed') AS BIGINT) AS false_negative,
+  CAST(count(*) AS BIGINT) AS gate_cases, CAST(count(*) FILTER (predicted_gate = expected_gate) AS BIGINT) AS gate_correct"""
+
+
+def _div(a: str, b: str) -> str:
+    return f"CASE WHEN {b} = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / ({b}) END"
+
+
+@query(
+    "gate_benchmark",
+    f"""{O.ctes(*_BOTH, ("cells", f"SELECT {_CELL_SQL} FROM results"))} SELECT *,
+      {_div("true_positive + true_negative", "cases")} AS accuracy, {_div("true_positive", "(true_positive + false_positive)")} AS precision,
+      {_div("true_positive", "(true_positive + false_negative)")} AS recall,
+      {_div("2 * true_positive", "(2 * true_positive + false_positive + false_negative)")} AS f1,
+      {_div("false_positive", "(false_positive + true_negative)")} AS false_positive_rate,
+      {_div("false_negative", "(false_negative + true_positive)")} AS false_negative_rate,
+      gate_cases - gate_correct AS gate_incorrect, {_div("gate_correct", "gate_cases")} AS gate_accuracy FROM cells""",
+)
+def gate_benchmark(spark, sf):
+    return gate_metrics(_case_results(spark, sf))
+
+
+@query(
+    "gate_benchmark_families",
+    f"""{O.ctes(*_BOTH)} SELECT family, CAST(count(*) AS BIGINT) AS total,
+      avg(CAST(predicted_gate = expected_gate AS DOUBLE)) AS gate_accuracy,
+      coalesce(avg(CASE WHEN expected_type IS NOT NULL THEN CAST(list_contains(types, expected_type) AS DOUBLE) END), -1.0) AS expected_type_recall,
+      CAST(count(*) FILTER (track <> 'coverage' AND expected_gate = 'passed' AND predicted_gate = 'failed') AS BIGINT) AS false_positive,
+      CAST(count(*) FILTER (track <> 'coverage' AND expected_gate = 'failed' AND predicted_gate = 'passed') AS BIGINT) AS false_negative
+      FROM results GROUP BY family""",
+)
+def gate_benchmark_families(spark, sf):
+    families = family_metrics(_case_results(spark, sf))
+    return families.withColumn("expected_type_recall", F.coalesce("expected_type_recall", F.lit(-1.0)))
+
+
+@query(
+    "gate_corpus_digest",
+    f"""WITH fh AS (SELECT project_id, path, sha256(coalesce(text, '')) AS h FROM ({C.CASE_FILES}) f),
+      pc AS (SELECT project_id, string_agg(path || chr(10) || h, chr(10) ORDER BY path, h) AS fs FROM fh GROUP BY 1),
+      ch AS (SELECT family, sha256(c.project_id || chr(10) || family || chr(10) || track || chr(10) || expected_gate || chr(10)
+        || coalesce(expected_type, '') || chr(10) || coalesce(fs, '')) AS h FROM ({C.CASES}) c LEFT JOIN pc ON c.project_id = pc.project_id),
+      parts AS (SELECT family, substr(h, 1, 2) AS part, sha256(string_agg(h, '' ORDER BY h)) AS d FROM ch GROUP BY 1, 2)
+      SELECT family, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM parts GROUP BY 1""",
+)
+def gate_corpus_digest(spark, sf):
+    return corpus_digest(C.corpus(spark, sf, C.CASES), C.files(spark, sf, C.CASE_FILES))
+
+
+# --- dataset profile -------------------------------------------------------------------
+
+def _candidates(spark, sf):
+    rows = C.corpus(spark, sf, C.CANDIDATES)
+    return rows.select("*", *context_features(F.col("variable_name"), F.col("value")))
+
+
+_LABELS = "CAST(count(*) FILTER (label = 1) AS BIGINT)"
+_SAFE = "CAST(count(*) FILTER (label = 0) AS BIGINT)"
+_ALL = "CAST(count(*) AS BIGINT)"
+
+
+@query(
+    "dataset_validation",
+    f"""SELECT '' AS missing_columns, CAST(bool_and(label IN (0, 1)) AND count(DISTINCT label) = 2 AS INT) AS valid_labels,
+      CAST(0 AS BIGINT) AS missing_values, CAST(count(*) - count(DISTINCT sample_id) AS BIGINT) AS duplicate_sample_ids,
+      CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({_FEATURED}) d)) AS BIGINT) AS duplicate_rows,
+      CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT variable_name, value FROM ({C.CANDIDATES}) e)) AS BIGINT) AS duplicate_candidates
+      FROM ({C.CANDIDATES}) c""",
+)
+def dataset_validation(spark, sf):
+    checked = D.validate_dataset(_candidates(spark, sf), D.V3_COLUMNS, strict_labels=True)
+    return checked.withColumn("missing_columns", F.array_join("missing_columns", "|")).withColumn(
+        "valid_labels", F.col("valid_labels").cast("int"))
+
+
+@query("dataset_summary", f"""SELECT {_ALL} AS total_samples, {_LABELS} AS secret_samples, {_SAFE} AS safe_samples,
+  {_div(_LABELS, _ALL)} AS secret_ratio FROM ({C.CANDIDATES}) c""")
+def dataset_summary(spark, sf):
+    return D.summarize(C.corpus(spark, sf, C.CANDIDATES))
+
+
+_MEANS = ", ".join(f"round(avg({c}), 4) AS {c}" for c in NUMERIC_FEATURES)
+
+
+@query("feature_summary", f"SELECT label, {_MEANS} FROM ({_FEATURED}) f GROUP BY label")
+def feature_summary(spark, sf):
+    return D.feature_summary(_candidates(spark, sf))
+
+
+@query("sample_type_distribution", f"SELECT label, sample_type, {_ALL} AS count FROM ({C.CANDIDATES}) c GROUP BY 1, 2")
+def sample_type_distribution(spark, sf):
+    return D.sample_type_distribution(C.corpus(spark, sf, C.CANDIDATES))
+
+
+@query("hard_examples", f"""SELECT CAST(count(*) FILTER (label = 1 AND has_sensitive_name = 0) AS BIGINT) AS positive_without_sensitive_name,
+  CAST(count(*) FILTER (label = 0 AND has_sensitive_name = 1) AS BIGINT) AS negative_with_sensitive_name FROM ({_FEATURED}) f""")
+def hard_examples(spark, sf):
+    return D.hard_example_counts(_candidates(spark, sf))
+
+
+@query("sensitive_name_rates", f"""SELECT CAST(count(*) FILTER (has_sensitive_name = 1) AS BIGINT) AS sensitive_name_samples,
+  round(avg(label) FILTER (has_sensitive_name = 1), 4) AS sensitive_name_secret_rate,
+  CAST(count(*) FILTER (has_sensitive_name = 0) AS BIGINT) AS non_sensitive_name_samples,
+  round(avg(label) FILTER (has_sensitive_name = 0), 4) AS non_sensitive_name_secret_rate FROM ({_FEATURED}) f""")
+def sensitive_name_rates(spark, sf):
+    return D.sensitive_name_rates(_candidates(spark, sf))
+
+
+@query("sensitive_name_table", f"""SELECT has_sensitive_name, {_ALL} AS samples, {_LABELS} AS secret_samples, {_SAFE} AS safe_samples,
+  {_div(_LABELS, _ALL)} AS secret_rate FROM ({_FEATURED}) f GROUP BY 1""")
+def sensitive_name_table(spark, sf):
+    return D.sensitive_name_table(_candidates(spark, sf))
+
+
+def _unpivot(flags, select: str) -> str:
+    return " UNION ALL ".join(select.replace("$", f) for f in flags)
+
+
+@query("context_activation", f"""WITH f AS ({_FEATURED}) """ + _unpivot(CONTEXT_FLAGS,
+    f"SELECT '$' AS feature, label, CAST(sum($) AS BIGINT) AS activated, {_ALL} AS total, avg($) AS activation_rate FROM f GROUP BY label"))
+def context_activation(spark, sf):
+    return D.context_activation_by_label(_candidates(spark, sf))
+
+
+@query("context_secret_rates", f"""WITH f AS ({_FEATURED}) """ + _unpivot(CONTEXT_FLAGS,
+    f"""SELECT '$' AS feature, CAST(sum($) AS BIGINT) AS activated, CAST(sum($ * label) AS BIGINT) AS secret_count,
+    CAST(sum($ * (1 - label)) AS BIGINT) AS safe_count, {_div("sum($ * label)", "sum($)")} AS secret_rate_when_active FROM f"""))
+def context_secret_rates(spark, sf):
+    return D.context_secret_rates(_candidates(spark, sf))
+
+
+@query("context_overlap", f"""WITH f AS ({_FEATURED}) """ + _unpivot(D.OVERLAP_FLAGS,
+    """SELECT '$' AS feature, CAST(sum($ * (1 - label)) AS BIGINT) AS safe_activations, CAST(sum($ * label) AS BIGINT) AS secret_activations,
+    CAST(sum($ * label) > 0 AND sum($ * (1 - label)) > 0 AS INT) AS appears_in_both_classes FROM f"""))
+def context_overlap(spark, sf):
+    return D.context_overlap(_candidates(spark, sf)).withColumn("appears_in_both_classes", F.col("appears_in_both_classes").cast("int"))
+
+
+def _activation(dataset: str, source: str) -> str:
+    return _unpivot(CONTEXT_FLAGS, f"SELECT '{dataset}' AS dataset, '$' AS feature, CAST(sum($) AS BIGINT) AS activated, {_ALL} AS total, avg($) AS activation_rate FROM f WHERE source = '{source}'")
+
+
+@query("activation_comparison", f"WITH f AS ({_FEATURED}) " + _activation("training_v2", "orders_0") + " UNION ALL " + _activation("challenge_v1_dev", "orders_1"))
+def activation_comparison(spark, sf):
+    rows = C.corpus(spark, sf, C.CANDIDATES)
+    return D.compare_activation(rows.where("source = 'orders_0'"), rows.where("source = 'orders_1'"))
+
+
+@query("hash_metadata_by_label", f"""SELECT label, CAST(sum(looks_like_safe_hash_metadata) AS BIGINT) AS activated, {_ALL} AS total,
+  avg(looks_like_safe_hash_metadata) AS rate FROM ({_FEATURED}) f GROUP BY label""")
+def hash_metadata_by_label(spark, sf):
+    return D.hash_metadata_by_label(_candidates(spark, sf))
+
+
+# --- separation and identities ---------------------------------------------------------
+
+def _shared(columns: str) -> str:
+    one = f"SELECT DISTINCT {columns} FROM ({C.CANDIDATES}) c WHERE source ="
+    return f"({one} 'orders_0' INTERSECT {one} 'orders_1')"
+
+
+@query(
+    "dataset_separation",
+    f"""SELECT (SELECT {_ALL} FROM ({C.CANDIDATES}) c WHERE source = 'orders_0') AS training_samples,
+      (SELECT {_ALL} FROM ({C.CANDIDATES}) c WHERE source = 'orders_1') AS development_samples,
+      (SELECT {_ALL} FROM {_shared("variable_name, value")} s) AS shared_candidate_pairs,
+      (SELECT {_ALL} FROM {_shared("value")} s) AS shared_exact_values,
+      (SELECT string_agg(sample_type, '|' ORDER BY sample_type) FROM {_shared("sample_type")} s) AS shared_sample_types,
+      '' AS shared_sources, 'orders_0' AS training_sources, 'orders_1' AS development_sources, 0 AS strictly_separate""",
+)
+def dataset_separation(spark, sf):
+    rows = C.corpus(spark, sf, C.CANDIDATES)
+    report = strictly_separate(compare_separation(rows.where("source = 'orders_0'"), rows.where("source = 'orders_1'")))
+    lists = ("shared_sample_types", "shared_sources", "training_sources", "development_sources")
+    report = report.withColumn("strictly_separate", F.col("strictly_separate").cast("int"))
+    return report.withColumns({c: F.array_join(c, "|") for c in lists})
+
+
+@query("dataset_identity", f"""SELECT {_ALL} AS samples, string_agg(DISTINCT source, '|' ORDER BY source) AS sources,
+  {_SAFE} AS safe_samples, {_LABELS} AS secret_samples FROM ({C.CANDIDATES}) c""")
+def identity(spark, sf):
+    found = dataset_identity(C.corpus(spark, sf, C.CANDIDATES))
+    return found.withColumn("sources", F.array_join("sources", "|"))
+
+
+@query("table_digest")
+def digest(spark, sf):
+    return table_digest(C.corpus(spark, sf, C.CANDIDATES))
+
+
+# --- predictions: metrics, errors, fusion ----------------------------------------------
+
+_CONFUSION = """CAST(count(*) FILTER (label = 0 AND p = 0) AS BIGINT) AS true_negatives, CAST(count(*) FILTER (label = 0 AND p = 1) AS BIGINT) AS false_positives,
+  CAST(count(*) FILTER (label = 1 AND p = 0) AS BIGINT) AS false_negatives, CAST(count(*) FILTER (label = 1 AND p = 1) AS BIGINT) AS true_positives"""
+_RATES = f"""{_div("true_positives + true_negatives", "(true_positives + true_negatives + false_positives + false_negatives)")} AS accuracy,
+  {_div("true_positives", "(true_positives + false_positives)")} AS precision, {_div("true_positives", "(true_positives + false_negatives)")} AS recall,
+  {_div("2 * true_positives", "(2 * true_positives + false_positives + false_negatives)")} AS f1"""
+
+
+def _auc(source: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"""SELECT {by + "," if by else ""} (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (CAST(sum(label) AS DOUBLE) * sum(1 - label)) AS roc_auc
+      FROM (SELECT *, rank() OVER ({part}ORDER BY s) + (count(*) OVER (PARTITION BY {by + ", " if by else ""}s) - 1) / 2.0 AS r FROM ({source}) x) y {"GROUP BY " + by if by else ""}"""
+
+
+@query(
+    "classification_metrics",
+    f"""WITH m AS (SELECT {_ALL} AS samples, {_CONFUSION} FROM (SELECT label, text_prediction AS p FROM ({C.PREDICTIONS}) v) w)
+      SELECT m.*, {_RATES}, (SELECT roc_auc FROM ({_auc(f"SELECT label, text_probability AS s FROM ({C.PREDICTIONS}) v")}) a) AS roc_auc FROM m""",
+)
+def classification_metrics(spark, sf):
+    return calculate_metrics(C.corpus(spark, sf, C.PREDICTIONS), "label", "text_prediction", "text_probability")
+
+
+def _grid(weights, thresholds, other: str) -> str:
+    def number(x: float) -> str:
+        return f"CAST('{x!r}' AS DOUBLE)"
+
+    ws = ", ".join(f"({number(w)}, {number(1.0 - w)})" for w in weights)
+    ts = ", ".join(f"({number(t)})" for t in thresholds)
+    return f"""WITH b AS (SELECT label, w, o, w * text_probability + o * {other} AS s FROM ({C.PREDICTIONS}) v, (VALUES {ws}) g(w, o)),
+      auc AS ({_auc("SELECT * FROM b", "w")}),
+      cells AS (SELECT w, o, t, {_CONFUSION} FROM (SELECT *, CAST(s >= t AS INT) AS p FROM b, (VALUES {ts}) h(t)) c GROUP BY 1, 2, 3),
+      grid AS (SELECT c.w AS text_weight, c.o AS other_weight, c.t AS threshold, true_negatives, false_positives, false_negatives,
+        true_positives, {_RATES}, roc_auc, false_positives + false_negatives AS total_errors FROM cells c JOIN auc ON c.w = auc.w)"""
+
+
+_V1_GRID = _grid(U.V1_WEIGHTS, U.V1_THRESHOLDS, "numerical_probability")
+_V2_GRID = _grid(U.V2_WEIGHTS, U.V2_THRESHOLDS, "context_probability")
+
+
+def _v1(spark, sf):
+    return U.search_fusion(C.corpus(spark, sf, C.PREDICTIONS), U.V1_WEIGHTS, U.V1_THRESHOLDS, other="numerical_probability")
+
+
+def _v2(spark, sf):
+    return U.search_fusion(C.corpus(spark, sf, C.PREDICTIONS))
+
+
+@query("fusion_grid_v1", f"{_V1_GRID} SELECT * FROM grid")
+def fusion_grid_v1(spark, sf):
+    return _v1(spark, sf)
+
+
+@query("fusion_grid_v2", f"{_V2_GRID} SELECT * FROM grid")
+def fusion_grid_v2(spark, sf):
+    return _v2(spark, sf)
+
+
+@query("rank_gate_configurations", f"""{_V1_GRID} SELECT * FROM grid WHERE recall >= 0.85 OR
+  (SELECT max(recall) FROM grid) < 0.85""")
+def rank_gate(spark, sf):
+    return U.rank_gate_configurations(_v1(spark, sf))
+
+
+@query("rank_configurations", f"{_V2_GRID} SELECT * FROM grid ORDER BY f1 DESC, recall DESC, precision DESC, accuracy DESC, text_weight, threshold")
+def rank_configurations(spark, sf):
+    return U.rank_configurations(_v2(spark, sf))
+
+
+@query("high_recall_configurations", f"{_V2_GRID} SELECT * FROM grid WHERE recall >= 0.95 ORDER BY precision DESC, f1 DESC, false_positives, text_weight, threshold LIMIT 10")
+def high_recall(spark, sf):
+    return U.high_recall_configurations(_v2(spark, sf))
+
+
+@query("locked_policy", f"{_V2_GRID} SELECT * FROM grid WHERE recall >= 0.98 ORDER BY precision DESC, f1 DESC, false_positives, text_weight, threshold LIMIT 1")
+def locked_policy(spark, sf):
+    return U.select_locked_configuration(_v2(spark, sf))
+
+
+@query("locked_fusion_metrics", f"{_grid([0.70], [0.50], 'context_probability')} SELECT * FROM grid")
+def locked_fusion(spark, sf):
+    return U.evaluate_fusion(C.corpus(spark, sf, C.PREDICTIONS))
+
+
+_FUSED = f"""SELECT *, CAST(fusion_probability >= 0.5 AS INT) AS fusion_prediction FROM (SELECT *,
+  CAST('0.7' AS DOUBLE) * text_probability + CAST('0.30000000000000004' AS DOUBLE) * context_probability AS fusion_probability FROM ({C.PREDICTIONS}) v) w"""
+
+
+@query("fusion_decisions", f"SELECT sample_id, fusion_probability, fusion_prediction FROM ({_FUSED}) f")
+def fusion_decisions(spark, sf):
+    decided = U.fusion_decisions(C.corpus(spark, sf, C.PREDICTIONS), 0.70, 0.50)
+    return decided.select("sample_id", "fusion_probability", "fusion_prediction")
+
+
+@query("fusion_errors", f"""SELECT sample_id, CASE WHEN label = 1 THEN 'FN' ELSE 'FP' END AS cell FROM ({_FUSED}) f WHERE label <> fusion_prediction""")
+def fusion_errors(spark, sf):
+    decided = U.fusion_decisions(C.corpus(spark, sf, C.PREDICTIONS), 0.70, 0.50)
+    sides = [R.model_errors(decided, "fusion_prediction", k) for k in ("false_negative", "false_positive")]
+    split = R.error_split(sides[0].unionByName(sides[1]), "fusion_prediction")
+    return split.select("sample_id", "cell")
+
+
+@query("error_split", f"""SELECT CASE WHEN label = text_prediction THEN 'T' ELSE 'F' END || CASE WHEN text_prediction = 1 THEN 'P' ELSE 'N' END AS cell,
+  {_ALL} AS count FROM ({C.PREDICTIONS}) v GROUP BY 1""")
+def error_cells(spark, sf):
+    return R.error_split(C.corpus(spark, sf, C.PREDICTIONS), "text_prediction").groupBy("cell").count()
+
+
+@query("model_disagreements", f"""SELECT sample_id, CASE WHEN label = 1 THEN 'text_fixed' ELSE 'numeric_fixed' END AS kind FROM ({C.PREDICTIONS}) v
+  WHERE numerical_prediction = 0 AND text_prediction = 1""")
+def model_disagreements(spark, sf):
+    rows = C.corpus(spark, sf, C.PREDICTIONS)
+    fixed = R.text_fixed_secrets(rows).select("sample_id", F.lit("text_fixed").alias("kind"))
+    return fixed.unionByName(R.numeric_fixed_safe(rows).select("sample_id", F.lit("numeric_fixed").alias("kind")))
+
+
+@query("error_type_distribution", f"""SELECT sample_type, {_ALL} AS count FROM ({C.PREDICTIONS}) v
+  WHERE label = 0 AND context_prediction = 1 GROUP BY 1""")
+def error_type_distribution(spark, sf):
+    return R.value_counts(R.model_errors(C.corpus(spark, sf, C.PREDICTIONS), "context_prediction", "false_positive"))
+
+
+@query("agreement_summary", f"""SELECT CAST(count(*) FILTER (a AND b) AS BIGINT) AS both_correct, CAST(count(*) FILTER (NOT a AND NOT b) AS BIGINT) AS both_wrong,
+  CAST(count(*) FILTER (a AND NOT b) AS BIGINT) AS numerical_only_correct, CAST(count(*) FILTER (NOT a AND b) AS BIGINT) AS text_only_correct
+  FROM (SELECT numerical_prediction = label AS a, text_prediction = label AS b FROM ({C.PREDICTIONS}) v) w""")
+def agreement_summary(spark, sf):
+    return R.agreement_summary(C.corpus(spark, sf, C.PREDICTIONS))
+
+
+@query("outcome_summary", f"""SELECT CASE WHEN a AND b THEN 'both_correct' WHEN a THEN 'context_only_correct' WHEN b THEN 'text_only_correct'
+  ELSE 'both_wrong' END AS outcome, {_ALL} AS count FROM (SELECT context_prediction = label AS a, text_prediction = label AS b FROM ({C.PREDICTIONS}) v) w GROUP BY 1""")
+def outcome_summary(spark, sf):
+    rows = C.corpus(spark, sf, C.PREDICTIONS)
+    context = rows.drop("text_prediction", "text_probability")
+    return R.value_counts(R.complementarity(context, rows), "outcome")
+
+
+@query("worst_errors", f"""SELECT sample_id, text_probability FROM ({C.PREDICTIONS}) v WHERE label = 0 AND text_prediction = 1
+  ORDER BY text_probability DESC, sample_id LIMIT 20""")
+def worst_errors(spark, sf):
+    return R.worst_errors(C.corpus(spark, sf, C.PREDICTIONS), "text_prediction", "text_probability", "false_positive", 20).select(
+        "sample_id", "text_probability")
+
+
+@query("stratified_split", f"""SELECT label, CAST(ceil(count(*) * 0.2) AS BIGINT) AS test_samples,
+  CAST(count(*) - ceil(count(*) * 0.2) AS BIGINT) AS train_samples FROM ({C.CANDIDATES}) c GROUP BY 1""")
+def split_sizes(spark, sf):
+    rows = stratified_split(C.corpus(spark, sf, C.CANDIDATES))
+    return rows.groupBy("label").agg(F.count_if("is_test").alias("test_samples"), F.count_if(~F.col("is_test")).alias("train_samples"))
+
+
+# --- synthesis: one pair of samples per order ------------------------------------------
+
+def _cycled(spec) -> str:
+    """Sample types cycle over a dense index, so their counts follow from the row count."""
+    def side(label: int, families, first: str, last: str) -> str:
+        m = len(families)
+        return " UNION ALL ".join(
+            f"SELECT {label} AS label, '{f.sample_type}' AS sample_type, greatest(0, ({last} - {first} - {i} + {m - 1}) // {m}) AS count FROM t"
+            for i, f in enumerate(families))
+
+    hard = f"CAST(floor(n * {spec.hard_share}) AS BIGINT)"
+    sides = side(1, spec.positive, "0", "n") + " UNION ALL " + side(0, spec.negative, hard if spec.hard else "0", "n")
+    if spec.hard:
+        sides += " UNION ALL " + side(0, spec.hard, "0", hard)
+    return f"""WITH t AS (SELECT count(*) AS n FROM orders) SELECT label, sample_type, CAST(sum(count) AS BIGINT) AS count FROM ({sides}) u
+      GROUP BY 1, 2 HAVING sum(count) > 0"""
+
+
+def _synth(spark, sf, spec):
+    orders = C.table(spark, sf, "orders")
+    # Order keys are dense from zero in the given table.
+    return synth_candidates(orders.select(F.col("o_orderkey").cast("bigint").alias("index")), spec, orders.count())
+
+
+def _register_synthesis(name: str, spec) -> None:
+    @query(f"synth_{name}", _cycled(spec))
+    def synthesis(spark, sf):
+        return D.sample_type_distribution(_synth(spark, sf, spec))
+
+
+for _name, _spec in SPECS.items():
+    _register_synthesis(_name, _spec)
+
+
+# --- trained models: rows only, no SQL can train them ----------------------------------
+
+def _labelled(spark, sf):
+    return _candidates(spark, sf).where("source = 'orders_0'"), _candidates(spark, sf).where("source = 'orders_1'")
+
+
+def _register_model(name: str, fit) -> None:
+    @query(f"model_{name}")
+    def model(spark, sf):
+        training, other = _labelled(spark, sf)
+        return M.evaluate(fit(training), other, name, name)
+
+
+for _name, _fit in (("numeric", M.fit_numeric), ("context", M.fit_context), ("text", M.fit_text), ("hybrid", M.fit_hybrid)):
+    _register_model(_name, _fit)
+
+
+@query("model_coefficients")
+def model_coefficients(spark, sf):
+    model = M.fit_context(_labelled(spark, sf)[0])
+    return R.ranked_coefficients(spark, model.features, model.coefficients)
+
+
+@query("model_predictions")
+def model_predictions(spark, sf):
+    training, other = _labelled(spark, sf)
+    return M.baseline_predictions(training, other).select(
+        "sample_id", "label", "numerical_prediction", "numerical_probability", "text_prediction", "text_probability")
+
+
+@query("advisory_findings")
+def advisory_findings(spark, sf):
+    advisory = fit_advisory(_labelled(spark, sf)[0])
+    public = scan_projects(C.files(spark, sf), advisory=advisory).public()
+    return public.select("project_id", "file", "line", "type", "ml_advisory.risk_score", "ml_advisory.prediction")
+
+
+@query("locked_holdout_report")
+def locked_holdout_report(spark, sf):
+    training, other = _labelled(spark, sf)
+    return holdout_report(training, other).drop("locked_configuration", "evaluation_policy")
