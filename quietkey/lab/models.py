@@ -33,7 +33,10 @@ NGRAM_SIZES = (3, 4, 5)
 MIN_DOCUMENTS = 2
 #: Largest vocabulary that is kept by name; beyond it use ``hash_buckets``.
 MAX_VOCABULARY = 1 << 22
-_MAX_ITER, _TOLERANCE = 2000, 1e-6
+# The few inputs of a tabular model converge at once; lexical ones stop where metrics do.
+_MAX_ITER, _TABULAR_TOLERANCE, _LEXICAL_TOLERANCE = 2000, 1e-8, 1e-5
+#: Smallest training partition: every partition sends one gradient per iteration.
+ROWS_PER_PARTITION = 20_000
 
 
 def validate_columns(frame: DataFrame, required: Sequence[str]) -> None:
@@ -67,7 +70,7 @@ def sublinear(counts: pd.DataFrame) -> pd.DataFrame:
     return counts
 
 
-def _regression(features: str, samples: int) -> LogisticRegression:
+def _regression(features: str, samples: int, tolerance: float) -> LogisticRegression:
     # Penalty strength one on summed losses is 1/n on Spark's averaged loss.
     return LogisticRegression(
         featuresCol=features,
@@ -78,14 +81,20 @@ def _regression(features: str, samples: int) -> LogisticRegression:
         regParam=1.0 / samples,
         standardization=False,
         maxIter=_MAX_ITER,
-        tol=_TOLERANCE,
+        tol=tolerance,
     )
 
 
-def _fit(stages: list, frame: DataFrame) -> PipelineModel:
-    """Fit stage by stage and keep the fitted stages."""
+def _fit(stages: list, frame: DataFrame, samples: int) -> PipelineModel:
+    """Fit stage by stage and keep the fitted stages; the last one iterates."""
     fitted = []
     for stage in stages:
+        if stage is stages[-1]:
+            parts = -(-samples // ROWS_PER_PARTITION)
+            narrow = frame.select(stage.getFeaturesCol(), stage.getLabelCol())
+            spread = narrow.rdd.getNumPartitions() <= parts
+            fitted.append(stage.fit(narrow if spread else narrow.repartition(max(parts, 1))))
+            break
         model = stage.fit(frame) if hasattr(stage, "fit") else stage
         frame = model.transform(frame)
         fitted.append(model)
@@ -152,8 +161,9 @@ def _with_context(frame: DataFrame) -> DataFrame:
 def _fit_tabular(frame: DataFrame, features: tuple[str, ...], derived: bool) -> TabularModel:
     ready = (_with_context(frame) if derived else frame).withColumn("_label", binary_label())
     samples = frame.count()
-    stages = [*_scaling(features, samples, "_features"), _regression("_features", samples)]
-    return TabularModel(features, _fit(stages, ready), derived)
+    stages = _scaling(features, samples, "_features")
+    stages.append(_regression("_features", samples, _TABULAR_TOLERANCE))
+    return TabularModel(features, _fit(stages, ready, samples), derived)
 
 
 def fit_numeric(frame: DataFrame) -> TabularModel:
@@ -210,8 +220,8 @@ def _fit_lexical(
         stages += _scaling(numerics, samples, "_numeric")
         stages.append(VectorAssembler(inputCols=["_text", "_numeric"], outputCol="_features"))
         features = "_features"
-    stages.append(_regression(features, samples))
-    return LexicalModel(counts, _fit(stages, weighted))
+    stages.append(_regression(features, samples, _LEXICAL_TOLERANCE))
+    return LexicalModel(counts, _fit(stages, weighted, samples))
 
 
 def fit_text(frame: DataFrame, hash_buckets: int | None = None) -> LexicalModel:

@@ -196,7 +196,7 @@ FROM (
   SELECT 'S' || o_orderkey AS sample_id, CAST(o_custkey % 2 AS INT) AS label,
     'type_' || (o_orderkey % 7) AS sample_type,
     CAST(((o_orderkey * 7919) % 701 + (o_custkey % 2) * 170) AS DOUBLE) / 1024 AS numerical_probability,
-    CAST(((o_orderkey * 104729) % 719 + (o_custkey % 2) * 283) AS DOUBLE) / 1024 AS text_probability,
+    CAST(((o_orderkey * 104729) % 719 + (o_custkey % 2) * 345) AS DOUBLE) / 1024 AS text_probability,
     CAST(((o_orderkey * 1299709) % 757 + (o_custkey % 2) * 239) AS DOUBLE) / 1024 AS context_probability
   FROM orders) scored
 """
