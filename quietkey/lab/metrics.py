@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 CONFUSION = ("true_negatives", "false_positives", "false_negatives", "true_positives")
 RATES = ("accuracy", "precision", "recall", "f1")
 
-_CUTS = 128
+_CUTS = 256
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

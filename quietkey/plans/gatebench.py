@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quietkey.lab.metrics import ratio
 
+_NODE_WIDTHS = (8, 6, 4, 2, 0)
+
 
 def case_results(cases: DataFrame, findings: DataFrame) -> DataFrame:
     """One row per case with the predicted gate and whether the expected type showed up.
@@ -88,18 +90,25 @@ def family_metrics(results: DataFrame) -> DataFrame:
     )
 
 
-def corpus_digest(cases: DataFrame, files: DataFrame) -> DataFrame:
-    """SHA-256 identity per family of all cases with their file paths and hashes.
+def merkle_digest(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Order-free SHA-256 per key of the hex hashes in a column, as ``digest``.
 
-    Cases are hashed on their own, from fixed-size file hashes. Case hashes are then
-    combined in ranges before the last step, so no step orders more than one range.
+    Hashes are combined level by level along their prefix. Above the first level a node
+    has at most 256 children, so no group grows with the data, however hot the key.
     """
-    hashed = files.select(
-        "project_id",
-        F.struct("path", F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("h")).alias("f"),
-    )
-    per_case = hashed.groupBy("project_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    listed = F.transform("fs", lambda f: F.concat_ws("\n", f["path"], f["h"]))
+    level = rows.select(*keys, F.col(column).alias("digest"), F.col(column).alias("node"))
+    for width in _NODE_WIDTHS:
+        node = F.substr(F.col("node"), F.lit(1), F.lit(width)).alias("node")
+        joined = F.array_join(F.array_sort(F.collect_list("digest")), "")
+        level = level.groupBy(*keys, node).agg(F.sha2(joined, 256).alias("digest"))
+    return level.select(*keys, "digest")
+
+
+def corpus_digest(cases: DataFrame, files: DataFrame) -> DataFrame:
+    """SHA-256 identity per family of all cases with their file paths and contents."""
+    content = F.sha2(F.coalesce("content", F.lit(b"")), 256)
+    hashed = files.select("project_id", F.sha2(F.concat_ws("\n", "path", content), 256).alias("h"))
+    per_case = merkle_digest(hashed, ["project_id"], "h")
     text = F.concat_ws(
         "\n",
         "project_id",
@@ -107,16 +116,7 @@ def corpus_digest(cases: DataFrame, files: DataFrame) -> DataFrame:
         "track",
         "expected_gate",
         F.coalesce("expected_type", F.lit("")),
-        F.array_join(F.coalesce(listed, F.array().cast("array<string>")), "\n"),
-    )
-    cased = cases.join(per_case, "project_id", "left").select(
-        "family", F.sha2(text, 256).alias("case_hash")
+        F.coalesce("digest", F.lit("")),
     )
-    part = F.substr(F.col("case_hash"), F.lit(1), F.lit(2)).alias("part")
-
-    def fold(rows: DataFrame, keys: list, column: str) -> DataFrame:
-        joined = F.array_join(F.array_sort(F.collect_list(column)), "")
-        return rows.groupBy(*keys).agg(F.sha2(joined, 256).alias("digest"))
-
-    parts = fold(cased, ["family", part], "case_hash")
-    return fold(parts, ["family"], "digest")
+    cased = cases.join(per_case, "project_id", "left").select("family", F.sha2(text, 256).alias("h"))
+    return merkle_digest(cased, ["family"], "h")

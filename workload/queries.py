@@ -528,14 +528,24 @@ def gate_benchmark_families(spark, sf):
     return families.withColumn("expected_type_recall", F.coalesce("expected_type_recall", F.lit(-1.0)))
 
 
+def _merkle(name: str, source: str, key: str) -> str:
+    """CTEs that fold hashes ``h`` along their prefix; the last one is ``<name>0``."""
+    steps, previous, node, digest = [], source, "h", "h"
+    for width in (8, 6, 4, 2, 0):
+        steps.append(
+            f"{name}{width} AS (SELECT {key}, substr({node}, 1, {width}) AS node, "
+            f"sha256(string_agg({digest}, '' ORDER BY {digest})) AS digest FROM {previous} GROUP BY 1, 2)")
+        previous, node, digest = f"{name}{width}", "node", "digest"
+    return ", ".join(steps)
+
+
 @query(
     "gate_corpus_digest",
-    f"""WITH fh AS (SELECT project_id, path, sha256(coalesce(text, '')) AS h FROM ({C.CASE_FILES}) f),
-      pc AS (SELECT project_id, string_agg(path || chr(10) || h, chr(10) ORDER BY path, h) AS fs FROM fh GROUP BY 1),
+    f"""WITH fh AS (SELECT project_id, sha256(path || chr(10) || sha256(coalesce(text, ''))) AS h FROM ({C.CASE_FILES}) f),
+      {_merkle("f", "fh", "project_id")},
       ch AS (SELECT family, sha256(c.project_id || chr(10) || family || chr(10) || track || chr(10) || expected_gate || chr(10)
-        || coalesce(expected_type, '') || chr(10) || coalesce(fs, '')) AS h FROM ({C.CASES}) c LEFT JOIN pc ON c.project_id = pc.project_id),
-      parts AS (SELECT family, substr(h, 1, 2) AS part, sha256(string_agg(h, '' ORDER BY h)) AS d FROM ch GROUP BY 1, 2)
-      SELECT family, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM parts GROUP BY 1""",
+        || coalesce(expected_type, '') || chr(10) || coalesce(digest, '')) AS h FROM ({C.CASES}) c LEFT JOIN f0 ON c.project_id = f0.project_id),
+      {_merkle("c", "ch", "family")} SELECT family, digest FROM c0""",
 )
 def gate_corpus_digest(spark, sf):
     return corpus_digest(C.corpus(spark, sf, C.CASES), C.files(spark, sf, C.CASE_FILES))
