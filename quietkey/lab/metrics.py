@@ -65,7 +65,12 @@ def auc_of_ties(tied: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     cuts = tied.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("score", steps, F.lit(10000))).alias("cuts")
     )
-    ranged = tied.join(F.broadcast(cuts), keys).select(
+    # Without groups the cuts are one value, not a table to join.
+    if by:
+        placed = tied.join(F.broadcast(cuts), keys)
+    else:
+        placed = tied.withColumn("cuts", cuts.select("cuts").scalar())
+    ranged = placed.select(
         *keys,
         "score",
         "pos",
