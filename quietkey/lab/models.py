@@ -34,7 +34,7 @@ MIN_DOCUMENTS = 2
 #: Largest vocabulary that is kept by name; beyond it use ``hash_buckets``.
 MAX_VOCABULARY = 1 << 22
 # The few inputs of a tabular model converge at once; lexical ones stop where metrics do.
-_MAX_ITER, _TABULAR_TOLERANCE, _LEXICAL_TOLERANCE = 2000, 1e-8, 1e-5
+_MAX_ITER, _TABULAR_TOLERANCE, _LEXICAL_TOLERANCE = 2000, 1e-7, 1e-5
 #: Smallest training partition: every partition sends one gradient per iteration.
 ROWS_PER_PARTITION = 20_000
 
