@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quietkey.llm import quality, secret_scan, token_counts, url_filters
+from quietkey.llm import mixing, pii, quality, secret_scan, simhash, token_counts, url_filters
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality": quality.op5_quality,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_mixing": mixing.op7_mixing,
+    "op9_pii": pii.op9_pii,
 }
 ORACLES = {
     "op3_url_filters": url_filters.SQL,
