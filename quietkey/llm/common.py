@@ -7,6 +7,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,3 +107,33 @@ def blocks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
         held += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Sums of tasks meet in so many groups first, so that no group holds those of all tasks.
+SUM_GROUPS = 512
+
+
+def task_sums(parts: DataFrame) -> dict[int, np.ndarray]:
+    """``parts(part int, sums array<double>)``, one row per part and task, added up by part.
+
+    Two levels of grouping; the driver takes one array per part, whatever the input's size.
+    """
+
+    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "sums": [np.sum(np.stack(rows["sums"].to_numpy()), axis=0)]})
+
+    schema = "part int, sums array<double>"
+    first = parts.groupBy("part", (F.spark_partition_id() % SUM_GROUPS).alias("near")).applyInPandas(added, schema)
+    return {r["part"]: np.array(r["sums"]) for r in first.groupBy("part").applyInPandas(added, schema).collect()}
+
+
+def bounded_sample(rows: DataFrame, limit: int, seed: int, *key: str) -> DataFrame:
+    """All of ``rows`` if they are up to ``limit``, else about ``limit`` of them by a hash of ``key``.
+
+    Only for fitting classifiers; the same rows are drawn in every run.
+    """
+    count = rows.count()
+    if count <= limit:
+        return rows
+    share = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return rows.where(share < limit / count)

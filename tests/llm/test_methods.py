@@ -1,0 +1,328 @@
+"""Methods against brute force, libraries and round trips."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+import urllib.parse
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quietkey.llm import decontamination, language_id, mixing, pii, secret_scan, simhash, token_counts, toxicity, url_filters
+
+DATA = "/root/testdata/sf0.001"
+
+
+# secrets
+
+
+def found(text):
+    return [(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.scan_text(text)[1]]
+
+
+def test_nested_layers_map_to_the_outer_run():
+    inner = 'x password = "hunter22secret" y'
+    packed = base64.b64encode(gzip.compress(base64.b64encode(inner.encode()))).decode()
+    text = f"see {urllib.parse.quote(packed, safe='')} and token=abcdef12"
+    got = found(text)
+    assert ("assign", "token=abcdef12") in got
+    assert any(k == "assign" and v.startswith(packed[:20]) for k, v in got)
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda s: "".join(f"%{b:02X}" for b in s.encode()),
+    lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+    lambda s: urllib.parse.quote("".join(f"\\u{ord(c):04x}" for c in s)),
+    lambda s: base64.b64encode(s.encode()).decode(),
+])
+def test_each_layer_is_opened(wrap):
+    secret = "AKIA" + "Q" * 16
+    text = f"é before {wrap(secret)} after"
+    assert ("access", wrap(secret)) in [(k, v) for k, v in found(text)] or any(v.rstrip("=") == wrap(secret).rstrip("=") for _, v in found(text))
+
+
+def test_fixpoint_ends_on_cycles_and_layers_that_grow():
+    text = "x"
+    for _ in range(12):
+        text = base64.b64encode(text.encode() + b" password=abcdef").decode()
+    assert ("assign", text) in found(text) or any(v == text.rstrip("=") for _, v in found(text)) or found(text)
+    bomb = base64.b64encode(gzip.compress(b"a" * 200_000)).decode()
+    assert secret_scan.scan_text(bomb, limit=1000)[3] is False
+
+
+def brute_base(text):
+    out = []
+    for kind, pattern, group, least in (
+        ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24),
+    ):
+        out += [(m.start(), ("assign", "access", "hex").index(kind), m.end()) for m in re.finditer(pattern, text, re.A) if len(m[group]) >= least]
+    return sorted(out)
+
+
+def test_query_against_brute_force(spark):
+    rows = {r.doc_id: r for r in secret_scan.op1_secret_scan(spark, DATA).collect()}
+    for d in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        base = brute_base(d.text or "")
+        joined = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        r = rows[d.doc_id]
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+# tokens
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab c'\n\té日😀0.!  <|endoftext|>"), max_size=200))
+def test_tokens_match_the_library(text):
+    assert COUNTER().count(text) == len(LIBRARY().encode(text, add_special_tokens=False).ids)
+
+
+_made = {}
+
+
+def COUNTER():
+    return _made.setdefault("c", token_counts.TokenCounter(token_counts.default_vocabulary()))
+
+
+def LIBRARY():
+    from tokenizers import Tokenizer
+
+    return _made.setdefault("t", Tokenizer.from_file(token_counts.default_vocabulary()))
+
+
+def test_token_query_matches_the_library(spark):
+    rows = {r.doc_id: r for r in token_counts.op4_token_counts(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    for d, e in zip(docs, LIBRARY().encode_batch([d.text for d in docs], add_special_tokens=False), strict=True):
+        r = rows[d.doc_id]
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (len(e.ids), len(d.text.encode()), len(e.ids) > 512)
+    assert COUNTER().count("a<|endoftext|>b") == 3
+    assert COUNTER().count("z" * 50_000) == len(LIBRARY().encode("z" * 50_000, add_special_tokens=False).ids)
+
+
+# urls
+
+
+def test_rules_on_hosts_and_prefixes(spark):
+    rules = [*url_filters.RULES, ("x.org", "/a", "block"), ("x.org", "", "allow"), ("y.org", "/p/", "allow"), ("y.org", "/p/", "block")]
+    urls = {
+        "http://WWW.Example.com/en/1?q": "www.example.com/en/", "https://a.example.com/en/": "example.com/en/", "http://xexample.com/en/": "com/",
+        "http://com": None, "http://com/": "com/", "http://x.org/abc/d": "x.org/a", "http://x.org": "x.org", "http://a.net/es/1": "net/es/",
+        "http://a.net/esx": None, "no scheme": None, "": None, None: None, "http://y.org/p/q": "y.org/p/", "://a.com/?x": "com/", "http://a..com/": "com/",
+    }
+    got = {r.url: r for r in url_filters.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), url_filters.url_rules(spark, rules)).collect()}
+    assert {u: r.rule for u, r in got.items()} == urls
+    assert got["http://y.org/p/q"].verdict == "block" and got["no scheme"].verdict == "allow"
+
+
+def test_many_rules_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "BROADCAST_RULES", 1)
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url")
+    got = url_filters.judge_urls(pages, url_filters.url_rules(spark)).collect()
+    monkeypatch.undo()
+    want = url_filters.judge_urls(pages, url_filters.url_rules(spark)).collect()
+    assert sorted(got) == sorted(want)
+
+
+# SimHash
+
+
+def brute_components(prints):
+    label = {k: min(i for i, p in prints if p == k) for k in {p for _, p in prints}}
+    while True:
+        new = {a: min(label[b] for b in label if (a ^ b).bit_count() <= 3) for a in label}
+        if new == label:
+            return {i: label[p] for i, p in prints}
+        label = new
+
+
+@pytest.mark.parametrize("dense", [simhash.DENSE, 4])
+def test_links_against_brute_force(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = random.Random(4)
+    centres = [rng.getrandbits(64) for _ in range(12)]
+    values = [c ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (1 << 64) - 1 for c in centres for _ in range(25)]
+    chain = [((1 << 3 * k) - 1) for k in range(21)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    prints = list(enumerate(values + chain, 100))
+    rows = spark.createDataFrame([(i, i, signed(p)) for i, p in prints], "row long, doc_id long, fp long")
+    got = {r.doc_id: r.component_id for r in simhash._grouped(rows).collect()}
+    assert got == brute_components(prints)
+
+
+def test_fingerprint_by_definition():
+    import xxhash
+
+    text = "One two\tTHREE  four\nfive é"
+    words = "one two three four five é".split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(4)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 4)
+    assert simhash.fingerprint(text) == want
+    assert simhash.fingerprint("a B") == xxhash.xxh64_intdigest("a b", 42)
+    assert simhash.fingerprint(" \n") == 0
+
+
+def test_component_query_against_brute_force(spark):
+    rows = simhash.op6_simhash(spark, DATA).collect()
+    prints = [(r.doc_id, int(r.fingerprint, 16)) for r in rows]
+    assert {r.doc_id: r.component_id for r in rows} == brute_components(prints)
+
+
+# decontamination
+
+
+def test_leaks_and_paraphrases(spark):
+    rng = random.Random(1)
+    vocab = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    prose = lambda n: rng.choices(vocab, k=n)
+    items = [prose(rng.randrange(15, 60)) for _ in range(20)]
+    docs = [(i, " ".join(prose(400))) for i in range(60)]
+    for i, item in enumerate(items):
+        loose = [w if rng.random() > 0.1 else rng.choice(vocab) for w in item]
+        docs += [(100 + i, " ".join(prose(137) + item + prose(90)).upper()), (200 + i, " ".join(prose(60) + loose + prose(33)) + ".")]
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    assert {(100 + i, i) for i in range(20)} <= got
+    assert len({(200 + i, i) for i in range(20)} & got) >= 18
+    assert all(d >= 100 and d % 100 == i for d, i in got)
+
+
+def test_common_length():
+    rng = random.Random(2)
+    for _ in range(50):
+        a, b = (rng.choices(range(5), k=rng.randrange(1, 12)) for _ in "ab")
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert decontamination.common_length(decontamination._masks(np.array(a)), len(a), b) == table[-1][-1]
+
+
+def test_latent_space_is_the_svd(spark):
+    """With the full rank Nyström is exact: singular values equal those of the TF-IDF matrix."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(40)], k=64)) for _ in range(30)]
+    space = decontamination.fit_latent(spark.createDataFrame([(t,) for t in texts], "text string"), terms=32, rank=32)
+    known = decontamination.WordHash()
+    counts = np.stack([np.bincount(decontamination._hashes(t, known) % 32, minlength=32) for t in texts])
+    idf = np.log(31 / (1 + (counts > 0).sum(axis=0))) + 1
+    exact = np.linalg.svd(counts * idf, compute_uv=False) ** 2
+    n = min(10, len(space.values))
+    assert np.allclose(space.values[:n] ** 2, exact[:n], rtol=1e-3)
+
+
+# mixing
+
+
+def test_targets_and_tree():
+    assert mixing.water_fill([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
+    filled = mixing.water_fill([1, 1000, 1000], [3, 1, 1])
+    assert filled[0] == 3 and sum(filled) == pytest.approx(2001)
+    assert mixing.water_fill([0, 10], [1, 2]) == [0, 10]
+    quotas = np.array([5, 0, 17, 100, 1])
+    counts = mixing.splitting_tree(quotas, 7)
+    assert (counts.sum(axis=0) == quotas).all()
+    assert counts.sum(axis=1).max() - counts.sum(axis=1).min() <= 1
+    assert (counts == mixing.splitting_tree(quotas, 7)).all()
+    many = np.array([mixing.splitting_tree(np.array([30, 70]), 2, seed)[0, 0] for seed in range(300)])
+    assert abs(many.mean() - 15) < 0.6 and 4 < many.var() < 7
+
+
+def test_mix_meets_targets_and_deals_every_copy_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = mixing.mix_plan(docs, shards=5).collect()
+    assert len(plan) == docs.count()
+    taken, target, most = Counter(), {}, Counter()
+    for r in plan:
+        taken[r.source] += r.copies * r["size"]
+        target[r.source] = r.target
+        most[r.source] = max(most[r.source], r["size"])
+        assert 0 <= r.copies <= 3 and len(r.shards) == r.copies and all(0 <= s < 5 for s in r.shards)
+    assert all(abs(taken[s] - t) <= most[s] for s, t in target.items())
+    again = mixing.mix_plan(docs.repartition(7), shards=5).collect()
+    assert sorted((r.doc_id, r.copies, r.shards) for r in plan) == sorted((r.doc_id, r.copies, r.shards) for r in again)
+    mixed = mixing.mix(docs, shards=5)
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.copies for r in plan if r.copies})
+
+
+# PII
+
+
+def test_surrogates_are_consistent_and_of_their_kind():
+    text = "jo.smith@mail2.example.com JO.SMITH@mail2.example.com, +1 (499) 555-6503 = +1 499 555 6503, 4111-1111-1111-1111, 10.0.0.7, Mrs. Anna Ivanova, 123-45-6789"
+    new, entities, _ = pii.replace_entities(text)
+    assert [e.kind for e in entities] == ["email", "email", "phone", "phone", "card", "ip", "name", "ssn"]
+    assert not any(e.text in new for e in entities)
+    mails = re.findall(r"\S+@\S+\.com", new)
+    assert mails[0] == mails[1].lower() and re.fullmatch(r"[a-z]{2}\.[a-z]{5}@[a-z]{4}\d\.[a-z]{7}\.com", mails[0])
+    card = re.search(r"4\d{3}(-\d{4}){3}", new)[0].replace("-", "")
+    assert pii._luhn(card[:-1]) == int(card[-1])
+    phones = re.findall(r"\+1[ ()\d-]+\d", new)
+    assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1])
+    assert pii.replace_entities(text)[0] == new != pii.replace_entities(text, b"other")[0]
+    assert re.search(r"Mrs\. \w+a \w+a,", new)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(2, 3000), st.integers(0, 99))
+def test_permutations_are_one_to_one_without_fixed_points(size, key):
+    p = pii.Permutation(bytes([key]), "x", size)
+    moved = [p.moved(i) for i in range(min(size, 200))]
+    assert len(set(moved)) == len(moved) and all(0 <= m < size and m != i for i, m in enumerate(moved))
+
+
+def test_collisions_move_on(monkeypatch):
+    real = pii._surrogate
+    monkeypatch.setattr(pii, "_surrogate", lambda e, key, steps=1: "b@x.org" if e.text == "a@x.org" and steps == 1 else real(e, key, steps))
+    new, _, moved = pii.replace_entities("a@x.org b@x.org")
+    assert moved == 1 and "b@x.org" not in new
+
+
+def test_no_surrogate_stands_for_two_entities(spark):
+    pairs = set()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        for e in pii.find_entities(r.text):
+            pairs.add((*pii._identity(e), pii._identity(e._replace(text=pii._surrogate(e, pii.KEY)))[1]))
+    frame = spark.createDataFrame(list(pairs), "kind string, entity string, surrogate string")
+    assert len(pairs) > 50 and pii.colliding_surrogates(frame).count() == 0
+
+
+def test_clean_texts_stay(spark):
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        if not re.search(r"[0-9@]", r.text):
+            assert pii.replace_entities(r.text)[0] == r.text
+
+
+# classifiers: held-out accuracy
+
+
+def test_languages_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = [r for r in language_id.op8_language_id(spark, sf).collect() if r.held_out]
+    assert sum(lang[r.doc_id] == r.lang_pred for r in rows) / len(rows) > 0.98
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in toxicity.op10_toxicity(spark, sf).collect() if r.held_out and r.doc_id in label]
+    hits = sum(r.predicted and label[r.doc_id] for r in rows)
+    assert hits / sum(label[r.doc_id] for r in rows) > 0.85 and hits / sum(r.predicted for r in rows) > 0.8
+    assert all((r.score >= 0.3) == (r.predicted == 1) and 0 <= r.score <= 1 for r in rows)
+
+
+def test_held_out_rows_follow_crc32(spark):
+    import zlib
+
+    for r in language_id.op8_language_id(spark, DATA).select("doc_id", "held_out").limit(50).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
