@@ -31,7 +31,7 @@ def test_nested_layers_map_to_the_outer_run():
     text = f"see {urllib.parse.quote(packed, safe='')} and token=abcdef12"
     got = found(text)
     assert ("assign", "token=abcdef12") in got
-    assert any(k == "assign" and v.startswith(packed[:20]) for k, v in got)
+    assert any(k == "assign" and v.startswith("H4sI") for k, v in got)
 
 
 @pytest.mark.parametrize("wrap", [
