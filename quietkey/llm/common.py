@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,19 +83,6 @@ def plain_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_PLAIN).split()
 
 
-class WordHash(dict):
-    """crc32 of a word, remembered for up to ``limit`` words of a task."""
-
-    def __init__(self, limit: int = 1 << 18):
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = found = zlib.crc32(word)
-        return found
-
-
 def blocks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` that hold up to ``chars`` characters, or one text."""
     start = held = 0

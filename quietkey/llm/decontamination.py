@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Fitting reads all documents once. Passages of fixed length are bags of hashed words T; every
+Fitting reads all documents once. Passages of fixed length are sets of hashed words T; every
 task adds up document frequencies and its part of TᵀT·Ω for a Gaussian test matrix Ω. That is
 a randomised SVD of the TF-IDF matrix by Nyström's method: with S = diag(idf), (S TᵀT S)(S⁻¹Ω)
 gives its leading right singular vectors and values, so idf may come from the same pass.
@@ -13,6 +13,7 @@ confirms them, and a looser paraphrase must hold the item's answer as well.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -22,13 +23,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietkey.llm.common import WordHash, blocks, free_name, plain_words, table, task_sums, text_or_empty
+from quietkey.llm.common import blocks, free_name, plain_words, table, task_sums, text_or_empty
 
 #: Hashed terms and latent dimensions.
-TERMS, RANK, SEED = 1 << 13, 48, 11
-PASSAGE = 64
-#: Least cosine of a candidate; windows move by this part of their length.
-COSINE, STEP = 0.5, 4
+TERMS, RANK, SEED = 1 << 11, 64, 11
+#: Words of a passage, and passages of a block of T.
+PASSAGE, ROWS = 128, 256
+#: Least cosine of a candidate; windows move by this part of their length; items whose lengths
+#: lie within such a factor share windows.
+COSINE, STEP, RATIO = 0.5, 4, 1.35
+#: Windows start at every so many words at most.
+GRID = 4
 #: Least part of an item's words in a common subsequence: alone, or with so much of its answer.
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.8
 #: Items with fewer words must be there whole.
@@ -38,7 +43,7 @@ ITEM_BLOCK = 4096
 #: Sums of a fit are split into so many parts by term.
 PARTS = 16
 #: Characters and windows held at once in a task.
-CHARS, WINDOWS = 1 << 20, 1 << 14
+CHARS, WINDOWS = 1 << 19, 1 << 13
 
 
 class LatentSpace(NamedTuple):
@@ -55,9 +60,9 @@ class Item(NamedTuple):
     masks: dict[int, int]
 
 
-def _hashes(text: str, known: WordHash) -> np.ndarray:
+def _hashes(text: str) -> np.ndarray:
     words = plain_words(text)
-    return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
 def fit_latent(docs: DataFrame, text: str = "text", terms: int = TERMS, rank: int = RANK) -> LatentSpace:
@@ -68,12 +73,12 @@ def fit_latent(docs: DataFrame, text: str = "text", terms: int = TERMS, rank: in
     """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        omega, known = _omega(terms, rank), WordHash()
+        omega = _omega(terms, rank)
         gram, seen, passages = np.zeros((terms, rank)), np.zeros(terms), 0
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in blocks(texts, CHARS):
-                found = [_hashes(t, known) % terms for t in texts[a:b]]
+                found = [_hashes(t) % terms for t in texts[a:b]]
                 passages += _add_passages(found, omega, gram, seen)
         both = np.column_stack([gram, seen]).reshape(PARTS, -1)
         yield pd.DataFrame({"part": [*range(PARTS), PARTS], "sums": [*both, np.array([float(passages)])]})
@@ -90,23 +95,22 @@ def _omega(terms: int, rank: int) -> np.ndarray:
 
 
 def _add_passages(docs: list[np.ndarray], omega: np.ndarray, gram: np.ndarray, seen: np.ndarray) -> int:
-    """Adds the passages of ``docs`` to TᵀTΩ and to document frequencies; returns how many."""
-    terms = np.concatenate(docs).astype(np.int64)
-    if not len(terms):
-        return 0
+    """Adds the passages of ``docs`` to TᵀTΩ and to document frequencies; returns how many.
+
+    A term counts once per passage: repeated words would else rule the leading directions.
+    """
+    terms = np.concatenate(docs)
     lengths = np.array([len(d) for d in docs])
     place = np.arange(len(terms)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    new = place % PASSAGE == 0
-    passage = np.cumsum(new) - 1
-    ours = np.add.reduceat(omega[terms], np.flatnonzero(new), axis=0)
-    order = np.argsort(terms, kind="stable")
-    grouped = terms[order]
-    starts = np.flatnonzero(np.r_[True, grouped[1:] != grouped[:-1]])
-    gram[grouped[starts]] += np.add.reduceat(ours[passage[order]], starts, axis=0)
-    # Passages ascend within a term, so a term's passages are its changes.
-    once = np.r_[True, (grouped[1:] != grouped[:-1]) | (passage[order][1:] != passage[order][:-1])]
-    seen += np.bincount(grouped[once], minlength=len(seen))
-    return int(passage[-1]) + 1
+    passage = np.cumsum(place % PASSAGE == 0) - 1
+    count = int(passage[-1]) + 1 if len(terms) else 0
+    ends = np.searchsorted(passage, np.arange(0, count + ROWS, ROWS))
+    for a, b in zip(ends, ends[1:], strict=False):
+        block = np.zeros((ROWS, len(seen)), np.float32)
+        block[passage[a:b] % ROWS, terms[a:b]] = 1
+        gram += block.T @ (block @ omega)
+        seen += block.sum(axis=0)
+    return count
 
 
 def _space(gram: np.ndarray, seen: np.ndarray, passages: int) -> LatentSpace:
@@ -124,13 +128,13 @@ def _space(gram: np.ndarray, seen: np.ndarray, passages: int) -> LatentSpace:
     return LatentSpace((white / (scale or 1.0)).astype(np.float32), s[kept], passages)
 
 
-def _item(text: str, known: WordHash) -> Item:
+def _item(text: str) -> Item:
     """The answer of an item is its last line if it has several, else its last sentence."""
     lines = [x for x in text.split("\n") if plain_words(x)]
     sentences = [x for x in re.split(r"(?<=[.!?])\s+", lines[-1] if lines else "") if plain_words(x)]
     last = lines[-1] if len(lines) > 1 else sentences[-1] if sentences else ""
-    words = _hashes(text, known)
-    return Item(words, _hashes(last, known), _masks(words))
+    words = _hashes(text)
+    return Item(words, _hashes(last), _masks(words))
 
 
 def _masks(words: np.ndarray) -> dict[int, int]:
@@ -155,27 +159,26 @@ class Search:
     """Looks for the items of one block in documents."""
 
     def __init__(self, space: LatentSpace, items: list[str]):
-        self.space, self.known = space, WordHash()
-        self.items = [_item(t, self.known) for t in items]
+        self.vectors = np.vstack([space.vectors, np.zeros((1, space.vectors.shape[1]), np.float32)])
+        self.items = [_item(t) for t in items]
         sizes: dict[int, list[int]] = defaultdict(list)
         for i, item in enumerate(self.items):
             if len(item.words):
-                sizes[round(np.log(len(item.words)) / np.log(1.15))].append(i)
-        #: (window length, items, their unit vectors)
+                sizes[round(np.log(len(item.words)) / np.log(RATIO))].append(i)
+        shortest = min((len(x.words) for x in self.items if len(x.words)), default=1)
+        self.grid = min(GRID, max(1, shortest // STEP))
+        #: (window length in steps of the grid, items, their unit vectors)
         self.bins = []
         for members in sizes.values():
-            length = int(np.median([len(self.items[i].words) for i in members]))
-            vectors = np.stack([self._vectors(self.items[i].words).sum(axis=0) for i in members])
-            self.bins.append((length, np.array(members), _unit(vectors)))
-
-    def _vectors(self, words: np.ndarray) -> np.ndarray:
-        return self.space.vectors[words % len(self.space.vectors)]
+            length = float(np.median([len(self.items[i].words) for i in members]))
+            vectors = np.stack([space.vectors[self.items[i].words % (len(self.vectors) - 1)].sum(axis=0) for i in members])
+            self.bins.append((max(1, round(length / self.grid)), np.array(members), _unit(vectors)))
 
     def documents(self, texts: list[str]) -> list[list[tuple[int, int, bool]]]:
         """For each text its leaks: (item, words in common, whether the answer is there)."""
         out: list[list[tuple[int, int, bool]]] = []
         for a, b in blocks(texts, CHARS):
-            words = [_hashes(t, self.known) for t in texts[a:b]]
+            words = [_hashes(t) for t in texts[a:b]]
             best: list[dict[int, tuple[int, bool]]] = [{} for _ in words]
             if self.items and sum(map(len, words)):
                 for doc, item, start, length in self._candidates(words):
@@ -184,31 +187,43 @@ class Search:
         return out
 
     def _candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first word, words) of windows that are near an item.
+
+        Documents are padded to whole steps of the grid; a window's vector is a difference of
+        running sums.
+        """
         lengths = np.array([len(d) for d in docs])
-        ends = np.cumsum(lengths)
-        vectors = self._vectors(np.concatenate(docs))
+        steps = -(-lengths // self.grid)
+        ends = np.cumsum(steps)
+        empty = len(self.vectors) - 1
+        terms = np.full(int(ends[-1]) * self.grid, empty)
+        place = np.arange(int(lengths.sum())) + np.repeat((ends - steps) * self.grid - (np.cumsum(lengths) - lengths), lengths)
+        terms[place] = np.concatenate(docs) % empty
+        vectors = self.vectors[terms[:: self.grid]]
+        for k in range(1, self.grid):
+            vectors += self.vectors[terms[k :: self.grid]]
         sums = np.zeros((len(vectors) + 1, vectors.shape[1]), np.float32)
         np.cumsum(vectors, axis=0, out=sums[1:])
         for size, members, units in self.bins:
             step = max(1, size // STEP)
-            # Windows of a document start every few words; the last one ends with it.
-            spans = np.maximum(lengths - size, 0)
-            count = np.where(lengths > 0, -(-spans // step) + 1, 0)
+            # The last window of a document ends with it.
+            spans = np.maximum(steps - size, 0)
+            count = np.where(steps > 0, -(-spans // step) + 1, 0)
             doc = np.repeat(np.arange(len(docs)), count)
-            place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-            start = np.minimum(place * step, spans[doc])
-            at = start + (ends - lengths)[doc]
+            turn = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = np.minimum(turn * step, spans[doc])
+            at = start + (ends - steps)[doc]
             to = np.minimum(at + size, ends[doc])
             for i in range(0, len(at), WINDOWS):
                 window = sums[to[i : i + WINDOWS]] - sums[at[i : i + WINDOWS]]
                 norms = np.sqrt(np.einsum("ij,ij->i", window, window))
                 near = window @ units.T >= COSINE * np.maximum(norms, 1e-12)[:, None]
-                for w, m in zip(*np.nonzero(near), strict=True):
-                    yield int(doc[i + w]), int(members[m]), int(start[i + w]), size
+                for w, m in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                    yield int(doc[i + w]), int(members[m]), int(start[i + w]) * self.grid, size * self.grid
 
     def _confirm(self, best: dict, item: int, words: np.ndarray, start: int, length: int) -> None:
         masks, size = self.items[item].masks, len(self.items[item].words)
-        margin = max(length, size) // STEP + 2
+        margin = max(length, size) // STEP + GRID
         window = words[max(0, start - margin) : start + max(length, size) + margin].tolist()
         least = size if size < SHORT else PARAPHRASED * size
         if sum(w in masks for w in window) < least:

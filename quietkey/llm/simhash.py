@@ -29,7 +29,7 @@ DENSE = 512
 #: Fixed reference fingerprints: pseudo-random words, the same in every task.
 PIVOTS = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) for i in range(16)], np.uint64)
 #: Pairs compared at once, in a task.
-PAIRS = 1 << 18
+PAIRS = 1 << 17
 
 
 def fingerprint(text: str) -> int:
@@ -121,30 +121,31 @@ def _star_rows(rows: pd.DataFrame) -> pd.DataFrame:
     last = np.repeat(ends, ends - starts)
     distances = np.stack([np.bitwise_count(prints ^ p) for p in PIVOTS], axis=1).astype(np.int8) if len(prints) else None
     label = np.arange(len(prints))
-    left, right = [], []
     for step in range(1, int(size.max(initial=1))):
         i = np.flatnonzero(np.arange(len(prints)) + step < last)
         for at in range(0, len(i), PAIRS):
             x = i[at : at + PAIRS]
+            x = x[label[x] != label[x + step]]  # pairs that are linked already need no check
             x = x[np.abs(distances[x] - distances[x + step]).max(axis=1, initial=0) <= LIMIT]
             x = x[np.bitwise_count(prints[x] ^ prints[x + step]) <= LIMIT]
-            left.append(x)
-            right.append(x + step)
-    if left:
-        a, b = np.concatenate(left), np.concatenate(right)
-        while True:
-            low = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-            if (label == before).all():
-                break
+            if len(x):
+                _merge(label, x, x + step)
     out = np.flatnonzero(label != np.arange(len(label)))
     values = prints.view(np.int64)
     return pd.DataFrame({"a": values[out], "b": values[label[out]]})
 
 
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups of all pairs; every label becomes its group's smallest place."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            return
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(fp, root)`` for every fingerprint that occurs in ``links``; root is the group's smallest.
 
