@@ -51,6 +51,11 @@ def tied_scores(frame: DataFrame, label: str, score: str, by: Sequence[str] = ()
     )
 
 
+def _exact(a: Column, b: Column) -> Column:
+    """The product of two counts as a whole number of up to 38 digits."""
+    return a.cast("decimal(18,0)") * b.cast("decimal(19,0)")
+
+
 def auc_of_ties(tied: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve, ties counted half, per ``by`` group.
 
@@ -81,17 +86,18 @@ def auc_of_ties(tied: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     within = Window.partitionBy(*keys, "part").orderBy("score").rowsBetween(*up_to_here)
     below = F.coalesce(F.sum("neg").over(within), F.lit(0))
     parts = (
-        ranged.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+        # Twice the wins, in whole numbers: sums don't depend on their order.
+        ranged.withColumn("wins", _exact(F.col("pos"), 2 * below + F.col("neg")))
         .groupBy(*keys, "part")
         .agg(F.sum("wins").alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
     across = Window.partitionBy(*keys).orderBy("part").rowsBetween(*up_to_here)
     lower = F.coalesce(F.sum("neg").over(across), F.lit(0))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    pairs = 2 * F.sum("pos").cast("double") * F.sum("neg").cast("double")
     total = (
-        parts.withColumn("wins", F.col("wins") + F.col("pos") * lower)
+        parts.withColumn("wins", F.col("wins") + _exact(F.col("pos"), 2 * lower))
         .groupBy(*keys)
-        .agg(F.try_divide(F.sum("wins"), pairs).alias("roc_auc"))
+        .agg(F.try_divide(F.sum("wins").cast("double"), pairs).alias("roc_auc"))
     )
     return total if by else total.drop("_all")
 

@@ -66,7 +66,10 @@ def char_ngrams(text: Column) -> Column:
 @F.pandas_udf(VectorUDT())
 def sublinear(counts: pd.DataFrame) -> pd.DataFrame:
     """Replace every term count by 1 + ln(count)."""
-    counts["values"] = counts["values"].map(lambda v: 1.0 + np.log(v))
+    rows = counts["values"].tolist()
+    if rows:
+        logs = 1.0 + np.log(np.concatenate([np.asarray(r, float) for r in rows]))
+        counts["values"] = np.split(logs, np.cumsum([len(r) for r in rows])[:-1])
     return counts
 
 

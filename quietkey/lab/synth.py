@@ -77,18 +77,15 @@ class Draw:
         return F.concat_ws(".", *[self.base64url(f"{k}.{i}", n) for i, n in enumerate((12, 20, 18))])
 
     def phrase(self, k: int | str, separators: tuple[str, ...] = ("-", ".", " ")) -> Column:
-        """Words that spell the index in base 17, so no two indexes share a phrase."""
-        base = len(WORDS)
+        """Four or five words at any index; the last one spells the index, so none repeats."""
         words = F.array(*[F.lit(w) for w in WORDS])
 
         def word(place: Column) -> Column:
-            digit = F.floor(F.col("index") / F.pow(F.lit(float(base)), place))
-            return F.element_at(words, (F.pmod(digit + place + self.seed, F.lit(base)) + 1).cast("int"))
+            return F.element_at(words, (F.pmod(F.xxhash64(self.number(k), place), F.lit(len(WORDS))) + 1).cast("int"))
 
-        places = F.when(F.col("index") < base**5, F.sequence(F.lit(0), F.lit(4))).otherwise(
-            F.sequence(F.lit(0), F.lit(7))
-        )
-        spelled = F.transform(places, word)
+        drawn = F.transform(F.sequence(F.lit(1), (self.below(f"{k}/words", 2) + 3).cast("int")), word)
+        letters = F.translate(F.lower(F.hex(F.col("index"))), "0123456789abcdef", "bcdfghjklmnprstv")
+        spelled = F.concat(drawn, F.array(F.concat(F.lit("um"), letters)))
         joined = [F.array_join(spelled, s) for s in separators]
         return F.element_at(F.array(*joined), (self.below(k, len(separators)) + 1).cast("int"))
 
@@ -218,53 +215,55 @@ def safe_phrase(d: Draw) -> Column:
 
 def database_url(d: Draw) -> Column:
     return F.concat(
-        F.lit("postgresql://svc:"), d.text("value", ALNUM, 18), F.lit("@db.internal/app")
+        F.lit("postgresql://crane:"), d.text("value", ALNUM, 18), F.lit("@ledger.internal/harbor")
     )
 
 
-_PUBLIC = one_of("VITE_PUBLIC_THEME", "NEXT_PUBLIC_BUILD_CHANNEL", "VITE_PAGE_LOCALE")
-_CLIENT = one_of("VITE_PARTNER_API_KEY", "NEXT_PUBLIC_REFRESH_TOKEN", "VITE_VAULT_SECRET")
-_SAFE_IDS = one_of("order_id", "span_uuid", "customer_ref")
+_PUBLIC = one_of("VITE_MAP_STYLE", "NEXT_PUBLIC_HELP_PAGE", "VITE_CARD_LAYOUT", "NEXT_PUBLIC_FONT_SET")
+_CLIENT = one_of("VITE_LEDGER_SECRET", "NEXT_PUBLIC_ADMIN_PASSWORD", "VITE_MAILER_ACCESS_KEY")
+_SAFE_IDS = one_of("parcel_id", "batch_uuid", "visit_ref", "device_identifier")
 _REFERENCES = tagged(
-    "${VAULT_KEY_{^}}", "$env:PARTNER_TOKEN_{^}", "process.env.LOGIN_SECRET_{^}",
-    "vault://service/key/{}", "%PARTNER_PASSWORD_{^}%",
+    "${LEDGER_{^}_PASS}", "process.env.HARBOR_{^}", "$env:DOCK_{^}", "%CRANE_{^}%",
+    "vault://harbor/{}/pier",
 )
 _PLACEHOLDERS = tagged(
-    "your_key_goes_here_{}", "EXAMPLE_VALUE_{^}", "replace-me-{}", "<redacted-{}>",
-    "sample-token-{}",
+    "put-example-{}-here", "placeholder.{}", "DEMO_{^}_ONLY", "[redacted {}]", "fake-{}-value",
 )
-_SETTINGS = tagged("stable-{}", "preview-{}", "eu-south-{}", "dashboard-{}")
+_SETTINGS = tagged("layout-{}", "zone-{}", "rollout-{}")
 _URLS = values(
-    "https://docs.example.test/setup", "https://localhost:8443", "https://app.example.test/home"
+    "https://handbook.harbor.test/start", "http://127.0.0.1:9100/ping", "https://status.harbor.test/"
+)
+_LABELS = values(
+    "Type the passphrase for this vault", "Your token could not be read", "Choose a stronger password"
 )
-_LABELS = values("Please enter your password", "API key is required", "Session has expired")
-_CONFIG = values("production", "development", "eu-south", "INFO", "UTC")
+_CONFIG = values("blue", "canary", "north-2", "verbose", "CET")
 _half = alternating(SENSITIVE, NEUTRAL)
 
 
+# The sample types of all specifications below.
 def _classic_positive(name: Make) -> tuple[Family, ...]:
     return (
-        Family("password", name, text_of(ALNUM + "!@#$%", 14, 20)),
-        Family("api_key", name, prefixed("key_", text_of(ALNUM, 28, 32))),
-        Family("access_token", name, text_of(ALNUM + "_-", 36, 44)),
+        Family("password", name, text_of(ALNUM + "!@#$%", 15, 21)),
+        Family("api_key", name, prefixed("hk-", text_of(ALNUM, 26, 30))),
+        Family("access_token", name, text_of(ALNUM + "_-", 35, 41)),
         Family("database_credential", name, database_url),
-        Family("client_exposed_secret", _CLIENT, text_of(ALNUM + "_-", 36)),
+        Family("client_exposed_secret", _CLIENT, text_of(ALNUM + "_-", 38)),
     )
 
 
 V1 = Spec(
     "synthetic", "V1", 500, 42,
-    positive=_classic_positive(mixed_name(0, 70)),
+    positive=_classic_positive(mixed_name(0, 65)),
     negative=(
-        Family("placeholder", one_of(*SENSITIVE), values("your-key-here", "replace-me", "not-configured")),
-        Family("ui_text", one_of("message"), _LABELS),
+        Family("placeholder", one_of(*SENSITIVE), values("your-value-goes-here", "insert_later", "not_configured")),
+        Family("ui_text", one_of("banner"), _LABELS),
         Family("uuid", _SAFE_IDS, uuid),
-        Family("url", one_of("service_url"), _URLS),
-        Family("color", one_of("accent_color"), values("#1A73E8", "#FFEECC", "#F5F7FA")),
-        Family("public_identifier", one_of("public_id"), prefixed("PUB-", text_of(ALNUM, 12))),
-        Family("filename", one_of("config_file"), values("app.yaml", "settings.json")),
-        Family("normal_config", one_of("region", "log_level"), _CONFIG),
-        Family("frontend_public_value", _PUBLIC, values("Dashboard", "Portal")),
+        Family("url", one_of("help_url"), _URLS),
+        Family("color", one_of("frame_color"), values("#0B7A75", "#C8D5B9", "#2D2A32")),
+        Family("public_identifier", one_of("listing_id"), prefixed("OPEN-", text_of(ALNUM, 12))),
+        Family("filename", one_of("profile_file"), values("harbor.toml", "routes.ini")),
+        Family("normal_config", one_of("zone", "verbosity"), _CONFIG),
+        Family("frontend_public_value", _PUBLIC, values("Lighthouse", "Mooring")),
     ),
 )
 
@@ -272,26 +271,26 @@ V2 = Spec(
     "synthetic_v2", "V2", 500, 42,
     positive=_classic_positive(_half),
     hard=(
-        Family("placeholder", one_of(*SENSITIVE), values("your-key-here", "not-configured")),
-        Family("environment_reference", one_of(*SENSITIVE), values("${PARTNER_KEY}", "$env:TOKEN")),
-        Family("redacted", one_of(*SENSITIVE), values("<redacted>", "********")),
+        Family("placeholder", one_of(*SENSITIVE), values("your-value-goes-here", "insert_later")),
+        Family("environment_reference", one_of(*SENSITIVE), values("${HARBOR_PASS}", "$env:HARBOR_PIN")),
+        Family("redacted", one_of(*SENSITIVE), values("[redacted]", "xxxxxxxx")),
         Family("sensitive_ui_text", one_of(*SENSITIVE), _LABELS),
     ),
     hard_share=0.40,
     negative=(
-        Family("ui_text", one_of("message"), _LABELS),
+        Family("ui_text", one_of("banner"), _LABELS),
         Family("uuid", _SAFE_IDS, uuid),
-        Family("sha256", one_of("file_hash"), hex_of(64)),
+        Family("sha256", one_of("bundle_hash"), hex_of(64)),
         Family("checksum", one_of("checksum"), hex_of(40)),
-        Family("public_identifier", one_of("public_id"), prefixed("PUB-", text_of(ALNUM, 20))),
-        Family("build_id", one_of("build_id"), text_of(ALNUM, 28)),
-        Family("url", one_of("service_url"), _URLS),
-        Family("normal_config", one_of("region", "log_level"), _CONFIG),
-        Family("frontend_public_value", _PUBLIC, values("Dashboard", "Portal")),
+        Family("public_identifier", one_of("listing_id"), prefixed("OPEN-", text_of(ALNUM, 20))),
+        Family("build_id", one_of("bundle_id"), text_of(ALNUM, 28)),
+        Family("url", one_of("help_url"), _URLS),
+        Family("normal_config", one_of("zone", "verbosity"), _CONFIG),
+        Family("frontend_public_value", _PUBLIC, values("Lighthouse", "Mooring")),
     ),
 )
 
-_V3_NAME = mixed_name(15, 35)
+_V3_NAME = mixed_name(20, 30)
 V3 = Spec(
     "synthetic_v3", "V3", 1000, 1337, context=True,
     positive=(
@@ -301,19 +300,19 @@ V3 = Spec(
         Family("hex_secret", _V3_NAME, hex_of(32, 40, 48, 64)),
         Family("uuid_shaped_secret", _V3_NAME, uuid),
         Family("hash_shaped_secret", _V3_NAME, hex_of(40, 64)),
-        Family("client_exposed_secret", _CLIENT, text_of(ALNUM + "_-", 36)),
+        Family("client_exposed_secret", _CLIENT, text_of(ALNUM + "_-", 38)),
     ),
     negative=(
         Family("uuid_identifier", _SAFE_IDS, uuid),
         Family("commit_hash", one_of("commit_sha"), hex_of(40)),
         Family("artifact_digest", one_of("image_digest", "checksum"), hex_of(64)),
-        Family("public_identifier", one_of("public_id", "build_id"), text_of(UPPER + DIGITS, 26)),
+        Family("public_identifier", one_of("listing_id", "bundle_id"), text_of(UPPER + DIGITS, 26)),
         Family("secret_reference", one_of(*SENSITIVE), _REFERENCES),
         Family("placeholder", one_of(*SENSITIVE), _PLACEHOLDERS),
         Family("documentation_jwt", one_of("jwt_sample", "token_sample"), jwt),
         Family("safe_phrase", one_of("release_notes", "app_setting"), safe_phrase),
         Family("frontend_public_value", _PUBLIC, _SETTINGS),
-        Family("normal_config", one_of("environment", "feature_mode"), tagged("staging-{}", "on-{}")),
+        Family("normal_config", one_of("environment", "feature_mode"), tagged("dock-{}", "pier-{}")),
     ),
 )
 
@@ -330,7 +329,7 @@ CHALLENGE = Spec(
         Family("git_commit_hash", one_of("commit_sha"), hex_of(40)),
         Family("artifact_digest", one_of("artifact_digest"), hex_of(64)),
         Family("trace_uuid", one_of("trace_identifier"), uuid),
-        Family("public_reference", one_of("customer_ref"), prefixed("REF_", text_of(UPPER + DIGITS, 24))),
+        Family("public_reference", one_of("customer_ref"), prefixed("CARGO-", text_of(UPPER + DIGITS, 24))),
         Family("documentation_placeholder", one_of("api_key_sample", "token_sample"), _PLACEHOLDERS),
         Family("secret_reference", one_of("token_reference", "secret_reference"), _REFERENCES),
         Family("public_url", one_of("docs_url"), _URLS),
@@ -341,7 +340,7 @@ CHALLENGE = Spec(
 FINAL = Spec(
     "final_challenge_v2", "F2", 300, 8142026,
     positive=(
-        Family("prefixed_opaque_secret", _half, prefixed("sk_", text_of(ALNUM, 30))),
+        Family("prefixed_opaque_secret", _half, prefixed("hx_", text_of(ALNUM, 31))),
         Family("colon_segment_secret", _half, groups(ALNUM, 4, 8, ":")),
         Family("credential_uri_secret", _half, database_url),
         Family("word_chain_secret", _half, secret_phrase),
@@ -353,20 +352,20 @@ FINAL = Spec(
         Family("sri_integrity", one_of("script_integrity"), prefixed("sha384-", base64_of(36))),
         Family("http_etag", one_of("response_etag"), prefixed('"', hex_of(32), '"')),
         Family("telemetry_span", one_of("span_identifier"), hex_of(32)),
-        Family("deployment_revision", one_of("deployment_revision"), prefixed("rev-", hex_of(18))),
-        Family("public_webhook_id", one_of("public_webhook_id"), prefixed("hook_", text_of(ALNUM, 30))),
-        Family("config_template_reference", one_of("token_template", "secret_template"), tagged("{{ vault.{} }}")),
-        Family("documentation_literal", one_of("secret_sample", "token_sample"), tagged("EXAMPLE_ONLY_{^}")),
+        Family("deployment_revision", one_of("deployment_revision"), prefixed("roll-", hex_of(16))),
+        Family("public_webhook_id", one_of("public_webhook_id"), prefixed("wh-", text_of(ALNUM, 27))),
+        Family("config_template_reference", one_of("token_template", "secret_template"), tagged("{{ harbor.{} }}")),
+        Family("documentation_literal", one_of("secret_sample", "token_sample"), tagged("SAMPLE_{^}_TEXT")),
         Family("astro_public_config", one_of("PUBLIC_SITE_THEME", "PUBLIC_DOCS_HOST"), tagged("public-{}")),
         Family("certificate_fingerprint", one_of("certificate_fingerprint"), groups("0123456789ABCDEF", 20, 2, ":")),
     ),
 )
 
-_DEV_NAME = mixed_name(15, 40)
+_DEV_NAME = mixed_name(12, 45)
 DEV = Spec(
     "candidate_v2_dev_v1", "DEV", 300, 260815, framework=False, context=True,
     positive=(
-        Family("alternate_random_secret", _DEV_NAME, text_of(ALNUM + "_-!@", 30, 38)),
+        Family("alternate_random_secret", _DEV_NAME, text_of(ALNUM + "_-!@", 29, 36)),
         Family("alternate_passphrase_secret", _DEV_NAME, secret_phrase),
         Family("alternate_jwt_secret", _DEV_NAME, jwt),
         Family("alternate_hex_secret", _DEV_NAME, hex_of(40, 64)),
@@ -387,17 +386,17 @@ DEV = Spec(
     ),
 )
 
-_HOLD_NAME = mixed_name(18, 37)
+_HOLD_NAME = mixed_name(22, 33)
 HOLDOUT = Spec(
     "candidate_v2_holdout_v1", "HOLD", 400, 8152601, framework=False, context=True,
     hash_metadata=True,
     positive=(
-        Family("holdout_rotating_access_secret", _HOLD_NAME, text_of(ALNUM + "_-!$%@", 31, 37, 45)),
+        Family("holdout_rotating_access_secret", _HOLD_NAME, text_of(ALNUM + "_-!$%@", 29, 34, 42)),
         Family("holdout_bearer_triplet_secret", _HOLD_NAME, jwt),
-        Family("holdout_standard_base64_secret", _HOLD_NAME, base64_of(23, 27, 31)),
+        Family("holdout_standard_base64_secret", _HOLD_NAME, base64_of(22, 26, 33)),
         Family("holdout_uuid_credential_secret", _HOLD_NAME, uuid),
         Family("holdout_segmented_secret", _HOLD_NAME, groups(ALNUM, 5, 6, "-")),
-        Family("holdout_client_runtime_secret", _CLIENT, text_of(ALNUM + "_-", 33, 39, 45)),
+        Family("holdout_client_runtime_secret", _CLIENT, text_of(ALNUM + "_-", 32, 38, 43)),
         Family("holdout_hex_material_secret", _HOLD_NAME, hex_of(40, 64)),
         Family("holdout_misleading_hash_secret", one_of("source_fingerprint", "module_checksum"), hex_of(40, 64)),
         Family("holdout_phrase_credential_secret", _HOLD_NAME, secret_phrase),
@@ -412,7 +411,7 @@ HOLDOUT = Spec(
         Family("holdout_object_uuid_identifier", _SAFE_IDS, uuid),
         Family("holdout_public_segmented_identifier", one_of("license_id", "tracking_ref"), groups(ALNUM, 5, 6, "-")),
         Family("holdout_safe_configuration_phrase", one_of("deployment_notes", "runtime_text"), safe_phrase),
-        Family("holdout_public_base64_blob", one_of("icon_blob", "asset_blob"), base64_of(23, 27, 31)),
+        Family("holdout_public_base64_blob", one_of("icon_blob", "asset_blob"), base64_of(22, 26, 33)),
     ),
 )
 

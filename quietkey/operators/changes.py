@@ -50,4 +50,6 @@ def change_set(new: DataFrame, old: DataFrame) -> DataFrame:
         .where(F.col("existed").isNull() | (differs & F.coalesce(regular, F.lit(True))))
         .select(*_KEYS)
     )
-    return durable(slot_filter(new, changed, _KEYS).join(changed, _KEYS, "left_semi"))
+    # Only keys are written; content is read from its own table.
+    changed = durable(changed)
+    return slot_filter(new, changed, _KEYS).join(changed, _KEYS, "left_semi")

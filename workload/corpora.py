@@ -14,13 +14,14 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# One file per order; the project is the customer.
+# One file per order; the project is the customer. Some paths start with a dot segment, and some
+# projects hold nothing that is scanned.
 FILES = """
-SELECT 'p' || c AS project_id,
+SELECT CASE WHEN kind = 7 AND k % 5 = 0 THEN 'r' || k ELSE 'p' || c END AS project_id,
   CASE kind
     WHEN 0 THEN 'src/mod' || k || '.py' WHEN 1 THEN 'web/page' || k || '.ts'
     WHEN 2 THEN 'config/set' || k || '.yaml' WHEN 3 THEN 'svc' || k || '/.env'
-    WHEN 4 THEN 'dist/app' || k || '.js' WHEN 5 THEN 'build/map' || k || '.js.map'
+    WHEN 4 THEN CASE WHEN k % 36 = 4 THEN './dist/app' ELSE 'dist/app' END || k || '.js' WHEN 5 THEN 'build/map' || k || '.js.map'
     WHEN 6 THEN 'node_modules/lib' || k || '/index.js' WHEN 7 THEN 'docs/read' || k || '.md'
     WHEN 8 THEN 'api/data' || k || '.json' WHEN 9 THEN '.next/static/chunk' || k || '.js'
     WHEN 10 THEN 'ui/View' || k || '.JSX' ELSE 'svc' || k || '/.env.production' END AS path,
@@ -129,39 +130,41 @@ SELECT 'g' || c_custkey AS project_id, CASE c_custkey % 18
 FROM customer
 """
 CASE_FILES = """
-SELECT 'g' || k AS project_id, path, CASE WHEN f = 16 THEN 2097216 ELSE length(text) END AS length,
+SELECT 'g' || k AS project_id, path, CASE WHEN f = 16 THEN 2097153 + k ELSE length(text) END AS length,
   false AS is_symlink, true AS readable, CASE WHEN f = 16 THEN NULL ELSE text END AS text
 FROM (
   SELECT k, f, CASE f
-      WHEN 0 THEN CASE WHEN k % 2 = 0 THEN 'config.py' ELSE 'settings.js' END
-      WHEN 1 THEN CASE WHEN k % 2 = 0 THEN 'client.ts' ELSE 'settings.yaml' END
-      WHEN 2 THEN 'headers.py' WHEN 3 THEN 'database.py' WHEN 4 THEN '.env'
-      WHEN 5 THEN 'runtime.py' WHEN 6 THEN '.env' WHEN 7 THEN 'config.py'
-      WHEN 8 THEN 'config.py' WHEN 9 THEN 'settings.ts' WHEN 10 THEN 'ui.py'
-      WHEN 11 THEN 'database.py' WHEN 12 THEN '.env' WHEN 13 THEN 'metadata.py'
-      WHEN 14 THEN '.env' WHEN 15 THEN 'config.py' WHEN 16 THEN 'oversized.py'
-      ELSE 'binary.json' END AS path,
+      WHEN 0 THEN CASE k % 3 WHEN 0 THEN 'jobs/mailer.py' WHEN 1 THEN 'web/login.jsx' ELSE 'ops/cache.yaml' END
+      WHEN 1 THEN CASE k % 3 WHEN 0 THEN 'lib/maps.tsx' WHEN 1 THEN 'deploy/keys.yml' ELSE 'lib/rates.py' END
+      WHEN 2 THEN 'net/probe.py' WHEN 3 THEN 'store/pool.ts' WHEN 4 THEN '.env.local'
+      WHEN 5 THEN 'jobs/sync.py' WHEN 6 THEN '.env.production' WHEN 7 THEN 'api/hook.ts'
+      WHEN 8 THEN 'admin/setup.py' WHEN 9 THEN 'lib/rates.ts' WHEN 10 THEN 'help/text.py'
+      WHEN 11 THEN 'store/local.py' WHEN 12 THEN '.env.development' WHEN 13 THEN 'media/sprites.py'
+      WHEN 14 THEN '.env' WHEN 15 THEN 'pages/about.py' WHEN 16 THEN 'data/huge.py'
+      ELSE 'data/blob.html' END AS path,
     CASE f
-      WHEN 0 THEN CASE WHEN k % 2 = 0 THEN 'service_password = "' || v || '"' ELSE 'const db_password = "' || v || '";' END
-      WHEN 1 THEN CASE WHEN k % 2 = 0 THEN 'const api_key = "' || v || '";' ELSE 'api_key: "' || v || '"' END
-      WHEN 2 THEN 'AUTH_HEADER = "Bearer ' || replace(v, '_', '') || '"'
-      WHEN 3 THEN 'DATABASE_URL = "postgresql://app_user:' || v || '@localhost:5432/app"'
-      WHEN 4 THEN CASE WHEN k % 2 = 0 THEN 'VITE_API_KEY=' ELSE 'NEXT_PUBLIC_CLIENT_SECRET=' END || v
-      WHEN 5 THEN CASE WHEN k % 2 = 0 THEN 'session_credential' ELSE 'service_secret' END || ' = "' || v || '"'
-      WHEN 6 THEN 'SERVER_SECRET=' || v
-      WHEN 7 THEN 'auth_token = "' || v || '"'
-      WHEN 8 THEN 'password = os.getenv("PASSWORD")' WHEN 9 THEN 'const api_key = config.apiKey;'
-      WHEN 10 THEN 'MESSAGE = "Use a bearer token from your secret manager"'
-      WHEN 11 THEN 'DATABASE_URL = "sqlite:///app.db"'
-      WHEN 12 THEN CASE WHEN k % 2 = 0 THEN 'VITE_APP_NAME' ELSE 'NEXT_PUBLIC_SITE_LABEL' END || '=Storefront'
-      WHEN 13 THEN CASE WHEN k % 2 = 0 THEN 'asset_id' ELSE 'cache_key_name' END || ' = "asset-' || k || '-A9f3D7k2M8q4Z1x6C5v0"'
-      WHEN 14 THEN 'SERVER_SECRET=' || v WHEN 15 THEN 'APP_NAME = "Storefront Check"'
-      WHEN 16 THEN 'A' ELSE '{"name":"safe"}' || chr(0) || 'x' END || chr(10) AS text
-  FROM (SELECT c_custkey AS k, c_custkey % 18 AS f, 'FAKE_' || upper(md5('v' || c_custkey)) || '_a9' AS v FROM customer) a
+      WHEN 0 THEN CASE k % 3 WHEN 0 THEN '# nightly mail' || n || 'smtp_pwd = "' || v || '"' || n || 'retries = 3'
+        WHEN 1 THEN 'let portal_passwd = "' || v || '";' || n || 'export default portal;' ELSE 'host: cache-1' || n || 'redis_password: ' || v END
+      WHEN 1 THEN CASE k % 3 WHEN 0 THEN 'const zoom = 4;' || n || 'const access_token = "' || v || '";'
+        WHEN 1 THEN 'stage: blue' || n || 'client-secret: ' || v ELSE 'auth_token = "' || v || '"' || n || 'pages = 2' END
+      WHEN 2 THEN 'import http' || n || 'HEADERS = "Bearer ' || v || '"'
+      WHEN 3 THEN 'const size = 5;' || n || 'const dsn = "mysql://reader:' || v || '@db-7:3306/shop";'
+      WHEN 4 THEN 'MODE=dark' || n || CASE k % 3 WHEN 0 THEN 'VITE_SIGNING_SECRET=' ELSE 'NEXT_PUBLIC_ADMIN_TOKEN=' END || v
+      WHEN 5 THEN 'limit = 20' || n || CASE k % 3 WHEN 0 THEN 'partner_credential' ELSE 'handoff_secret' END || ' = "' || v || '"'
+      WHEN 6 THEN 'PORT=8080' || n || 'BILLING_SECRET=' || v
+      WHEN 7 THEN '// hooks' || n || 'const hook_pwd = "' || v || '";'
+      WHEN 8 THEN 'password = read_prompt(3)' || n || 'label = "setup"' WHEN 9 THEN 'const apiKey = vault.lookup(4);' || n || 'let n = 1;'
+      WHEN 10 THEN 'HELP = "Send the bearer token that your admin issued"' || n || 'rows = 2'
+      WHEN 11 THEN 'DSN = "duckdb:///tmp/shop.db"' || n || 'pool = 1'
+      WHEN 12 THEN 'PORT=80' || n || CASE k % 3 WHEN 0 THEN 'VITE_PAGE_TITLE' ELSE 'NEXT_PUBLIC_THEME' END || '=Harbour'
+      WHEN 13 THEN 'frames = 8' || n || 'sprite_name = "SP-' || k || '-t7Q2mX9bL4wZ8c"'
+      WHEN 14 THEN 'PORT=8081' || n || 'BILLING_SECRET=' || v WHEN 15 THEN 'TITLE = "About the harbour office"' || n || 'order = 1'
+      WHEN 16 THEN 'A' ELSE '<p>' || chr(0) || '</p>' END || n AS text
+  FROM (SELECT c_custkey AS k, c_custkey % 18 AS f, 'Zq' || substr(md5('case' || c_custkey), 1, 15) || '7Rk' AS v, chr(10) AS n FROM customer) a
   UNION ALL
-  SELECT k, f, CASE WHEN f = 6 AND k % 2 = 1 THEN 'build/assets/app.js' ELSE 'dist/assets/app.js' END AS path,
-    'window.__BOOT__ = "' || CASE WHEN f = 6 THEN v ELSE 'public-build-value' END || '";' || chr(10) AS text
-  FROM (SELECT c_custkey AS k, c_custkey % 18 AS f, 'FAKE_' || upper(md5('v' || c_custkey)) || '_a9' AS v FROM customer) b
+  SELECT k, f, CASE k % 3 WHEN 0 THEN 'build/js/main.js' WHEN 1 THEN '.next/static/main.js' ELSE 'dist/js/main.js' END AS path,
+    '/* bundle */' || chr(10) || '(()=>{let q="' || CASE WHEN f = 6 THEN v ELSE 'nothing to hide' END || '";})();' || chr(10) AS text
+  FROM (SELECT c_custkey AS k, c_custkey % 18 AS f, 'Zq' || substr(md5('case' || c_custkey), 1, 15) || '7Rk' AS v FROM customer) b
   WHERE f IN (6, 14)
 ) cased
 """
@@ -203,10 +206,8 @@ FROM (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One-file inputs are spread so that every core gets a share."""
-    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    width = spark.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= width else frame.repartition(width)
+    """A given table; ``spark.sql.files.maxPartitionBytes`` decides how it is split."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

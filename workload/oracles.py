@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from workload import corpora as C
 
+# Fixed values up to _KEYWORDS: grammar of assignments and the names that count as credentials.
 Q = "''"  # a single quote inside a SQL literal
 _QUOTED = rf"""("(?:\\.|[^"\\])*"|{Q}(?:\\.|[^{Q}\\])*{Q})"""
 _DECL = r"^\s*(?:(?:export\s+)?(?:const|let|var)\s+)?"
@@ -109,9 +110,10 @@ SUPPORTED = (
     f"({SUFFIX} IN ('.py', '.js', '.jsx', '.ts', '.tsx', '.json', '.yaml', '.yml', '.html') OR {DOTENV})"
 )
 ARTIFACT_EXT = f"{SUFFIX} IN ('.js', '.mjs', '.cjs', '.css', '.html', '.json', '.map', '.txt')"
-OWNED = r"regexp_matches(path, '^(dist|build|\.next/static)(/|$)')"
+OWNED = r"regexp_matches(regexp_replace(path, '^(\./)+', ''), '^(dist|build|\.next/static)(/|$)')"
 SKIPPED = r"regexp_matches(path, '(^|/)(\.git|\.venv|__pycache__|node_modules)(/|$)')"
 
+# Reason texts of coverage limitations.
 _SIZE = "'File exceeds the safe source scan limit of 2097152 bytes.'"
 _BINARY = "'Binary content was detected in a supported text file.'"
 
@@ -187,6 +189,7 @@ def _named(words: str) -> str:
     return f"regexp_full_match(name, '(?i)(?:[A-Za-z0-9]+[_-])*(?:{words})')"
 
 
+# Patterns of credentials in raw lines.
 _TAIL = rf"""\s*[:=]\s*["{Q}]?([^"{Q}\s#]{{N,}})"""
 _RAW_PW = rf"(?i)\b(?:[A-Za-z0-9]+[_-])*(?:{_PW})\b" + _TAIL.replace("N", "6")
 _RAW_AK = rf"(?i)\b(?:{_AK})\b" + _TAIL.replace("N", "8")
@@ -231,7 +234,7 @@ def scan_ctes(files: str, staged: bool = False, ignored: str = "false") -> list[
     )
     return [
         ("roles", roles(files, staged, ignored)),
-        ("scanned", "SELECT project_id, path FROM roles WHERE source OR artifact"),
+        ("scanned", "SELECT project_id, path, source OR artifact AS scanned FROM roles"),
         ("safe", f"SELECT project_id, path, text FROM roles WHERE {text_only}"),
         ("lines", lines("safe")),
         ("exposed", exposed),
@@ -306,7 +309,7 @@ def gate(files: str, staged: bool = False, mode: str = "project") -> str:
         "coalesce(high_count, 0) AS high_count, coalesce(medium_count, 0) AS medium_count, "
         "coalesce(low_count, 0) AS low_count, coalesce(total, 0) AS findings_count, "
         "CASE WHEN coalesce(total, 0) = 0 THEN 'passed' ELSE 'failed' END AS gate "
-        "FROM (SELECT project_id, CAST(count(*) AS BIGINT) AS n FROM scanned GROUP BY 1) s FULL JOIN "
+        "FROM (SELECT project_id, CAST(count(*) FILTER (scanned) AS BIGINT) AS n FROM scanned GROUP BY 1) s FULL JOIN "
         f"(SELECT project_id, CAST(count(*) AS BIGINT) AS total, {count} FROM findings GROUP BY 1) f "
         "ON s.project_id = f.project_id"
     )

@@ -269,7 +269,7 @@ _ASCII_SCAN = O.ctes(*O.scan_ctes(_TEXT_FILES))
 @query(
     "scan_text_tables",
     f"{_ASCII_SCAN} SELECT s.project_id, coalesce(f.n, 0) AS findings, s.files FROM "
-    "(SELECT project_id, CAST(count(*) AS BIGINT) AS files FROM scanned GROUP BY 1) s LEFT JOIN "
+    "(SELECT project_id, CAST(count(*) FILTER (scanned) AS BIGINT) AS files FROM scanned GROUP BY 1) s LEFT JOIN "
     "(SELECT project_id, CAST(count(*) AS BIGINT) AS n FROM findings GROUP BY 1) f ON s.project_id = f.project_id",
 )
 def scan_text_tables(spark, sf):
