@@ -176,6 +176,17 @@ def test_advisory_never_changes_findings_and_survives_storage(spark, tmp_path):
         load_advisory(spark, path, expected)
 
 
+def test_hashed_advisory_survives_storage(spark, tmp_path):
+    training = generate(spark, V3, 60)
+    advisory = fit_advisory(training, hash_buckets=1 << 12)
+    path = str(tmp_path / "model")
+    expected = save_advisory(spark, advisory, path, V3.source, "0" * 64, 120)
+    loaded = load_advisory(spark, path, expected)
+    rows = training.limit(20)
+    pick = lambda a: {r.sample_id: r.ml_advisory.risk_score for r in a.score(rows).collect()}
+    assert pick(loaded) == pytest.approx(pick(advisory))
+
+
 def test_reports_are_written_once(spark, tmp_path):
     report = metrics.calculate_metrics(spark.createDataFrame([(1, 1), (0, 1)], "label int, prediction int"))
     frozen.save_report(report, str(tmp_path / "r"))
