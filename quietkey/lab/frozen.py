@@ -18,6 +18,7 @@ from quietkey.lab.fusion import (
 )
 from quietkey.lab.metrics import calculate_metrics
 from quietkey.lab.models import baseline_predictions
+from quietkey.plans.gatebench import merkle_digest
 from quietkey.lab.profile import BASE_COLUMNS
 from quietkey.lab.separation import compare_separation, strictly_separate
 
@@ -62,25 +63,25 @@ def write_candidates(frame: DataFrame, path: str) -> None:
 
 
 def file_sha256(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a dataset file, or of the ordered part hashes of a directory."""
-    parts = spark.read.format("binaryFile").load(path).select(
-        "path", F.sha2("content", 256).alias("h")
-    )
-    hashes = [r["h"] for r in parts.orderBy("path").collect()]
-    if not hashes:
-        raise FileNotFoundError(f"Dataset does not exist: {path}")
-    if len(hashes) == 1:
-        return hashes[0]
-    joined = spark.range(1).select(F.sha2(F.lit("".join(hashes)), 256).alias("h"))
-    return joined.first()["h"]
+    """SHA-256 of a dataset file, or of a tree over the part hashes of a directory."""
+    parts = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h"))
+    first = [r["h"] for r in parts.take(2)]
+    if not first:
+        raise FileNotFoundError(f"No dataset at {path}")
+    return first[0] if len(first) == 1 else merkle_digest(parts, [], "h").first()["digest"]
 
 
 def table_digest(frame: DataFrame) -> DataFrame:
-    """Order-free content identity of a table: row count and a sum of row hashes."""
-    return frame.select(F.xxhash64(*sorted(frame.columns)).alias("h")).agg(
-        F.count("*").alias("samples"),
-        F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("digest"),
-    )
+    """Order-free content identity of a table: row count and a SHA-256 tree over its rows.
+
+    A row is hashed as its values in the order of column names, each with its length, so
+    that values can't run into each other; an empty table has the hash of no bytes.
+    """
+    texts = [F.col(c).cast("string") for c in sorted(frame.columns)]
+    marked = [F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in texts]
+    rows = frame.select(F.sha2(F.concat_ws(",", *marked), 256).alias("h"))
+    digest = F.coalesce(merkle_digest(rows, [], "h").scalar(), F.sha2(F.lit(""), 256))
+    return rows.agg(F.count("*").alias("samples")).withColumn("digest", digest)
 
 
 def dataset_identity(frame: DataFrame) -> DataFrame:

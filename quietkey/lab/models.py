@@ -23,10 +23,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from quietkey.functions.assignments import candidate_text
 from quietkey.functions.features import CONTEXT_FEATURES, NUMERIC_FEATURES, context_features
+from quietkey.lab.errors import error_split
 from quietkey.lab.metrics import calculate_metrics
+from quietkey.lab.split import stratified_split
 
 # N-gram sizes and document floor of the lexical models.
 NGRAM_SIZES = (3, 4, 5)
@@ -63,6 +66,15 @@ def char_ngrams(text: Column) -> Column:
     )
 
 
+@F.pandas_udf(ArrayType(StructType().add("term", "integer").add("weight", "double")))
+def _pairs(vectors: pd.DataFrame) -> pd.Series:
+    """The filled places of sparse vectors."""
+    return pd.Series([
+        [{"term": int(t), "weight": float(w)} for t, w in zip(i, v, strict=True)]
+        for i, v in zip(vectors["indices"], vectors["values"], strict=True)
+    ])
+
+
 @F.pandas_udf(VectorUDT())
 def sublinear(counts: pd.DataFrame) -> pd.DataFrame:
     """Replace every term count by 1 + ln(count)."""
@@ -191,33 +203,58 @@ def _term_weights(counts, frame: DataFrame) -> DataFrame:
     return counted.withColumn("_weights", sublinear("_counts"))
 
 
+def _unit_weights(weighted: DataFrame) -> list:
+    """Stages from term counts to weights: smooth IDF plus one, then unit length."""
+    idf = IDF(inputCol="_counts", outputCol="_idf").fit(weighted)
+    return [
+        ElementwiseProduct(
+            scalingVec=Vectors.dense(np.asarray(idf.idf) + 1.0),
+            inputCol="_weights",
+            outputCol="_scaled",
+        ),
+        Normalizer(p=2.0, inputCol="_scaled", outputCol="_text"),
+    ]
+
+
+def _vocabulary(frame: DataFrame):
+    counts = CountVectorizer(
+        inputCol="_ngrams",
+        outputCol="_counts",
+        minDF=float(MIN_DOCUMENTS),
+        vocabSize=MAX_VOCABULARY,
+    ).fit(_with_ngrams(frame))
+    if len(counts.vocabulary) >= MAX_VOCABULARY:
+        raise ValueError("The vocabulary is too large to keep by name; set hash_buckets.")
+    return counts
+
+
+def text_weights(frame: DataFrame) -> DataFrame:
+    """``frame`` with ``weights``: an array (term, weight) of the lexical models' inputs."""
+    counts = _vocabulary(frame)
+    weighted = _term_weights(counts, frame)
+    scaled = PipelineModel(_unit_weights(weighted)).transform(weighted)
+    return scaled.select(*frame.columns, _pairs("_text").alias("weights"))
+
+
+def scaled_features(frame: DataFrame, features: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
+    """``frame`` with ``scaled``: the tabular models' inputs, by mean and population deviation."""
+    ready = frame
+    for stage in _scaling(features, frame.count(), "_features"):
+        ready = (stage.fit(ready) if hasattr(stage, "fit") else stage).transform(ready)
+    return ready.select(*frame.columns, vector_to_array("_features").alias("scaled"))
+
+
 def _fit_lexical(
     frame: DataFrame, numerics: tuple[str, ...], hash_buckets: int | None
 ) -> LexicalModel:
     samples = frame.count()
     labelled = frame.withColumn("_label", binary_label())
     if hash_buckets is None:
-        counts = CountVectorizer(
-            inputCol="_ngrams",
-            outputCol="_counts",
-            minDF=float(MIN_DOCUMENTS),
-            vocabSize=MAX_VOCABULARY,
-        ).fit(_with_ngrams(labelled))
-        if len(counts.vocabulary) >= MAX_VOCABULARY:
-            raise ValueError("The vocabulary is too large to keep by name; set hash_buckets.")
+        counts = _vocabulary(labelled)
     else:
         counts = HashingTF(inputCol="_ngrams", outputCol="_counts", numFeatures=hash_buckets)
     weighted = _term_weights(counts, labelled)
-    idf = IDF(inputCol="_counts", outputCol="_idf").fit(weighted)
-    # Smooth IDF plus one, then unit length.
-    stages = [
-        ElementwiseProduct(
-            scalingVec=Vectors.dense(np.asarray(idf.idf) + 1.0),
-            inputCol="_weights",
-            outputCol="_scaled",
-        ),
-        Normalizer(p=2.0, inputCol="_scaled", outputCol="_text"),
-    ]
+    stages = _unit_weights(weighted)
     features = "_text"
     if numerics:
         stages += _scaling(numerics, samples, "_numeric")
@@ -245,6 +282,19 @@ def evaluate(model, frame: DataFrame, prefix: str, model_name: str | None = None
     )
 
 
+def split_evaluation(
+    frame: DataFrame, fit, prefix: str, test_size: float = 0.20, seed: int = 42
+) -> DataFrame:
+    """Predictions on the held-out share of a stratified split by a model of the rest.
+
+    ``cell`` is TP, FP, TN or FN, so the four error frames are filters of the result.
+    """
+    parts = stratified_split(frame, test_size, seed)
+    model = fit(parts.where(~F.col("is_test")).drop("is_test"))
+    tested = model.predict(parts.where("is_test").drop("is_test"), prefix)
+    return error_split(tested, f"{prefix}_prediction")
+
+
 def baseline_predictions(training: DataFrame, frame: DataFrame) -> DataFrame:
     """Numeric and text predictions side by side, with their correctness."""
     both = fit_text(training).predict(fit_numeric(training).predict(frame, "numerical"), "text")

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET_BITS = 12
+#: Hash digits that name a bucket; 16 to their power buckets per label are accumulated in one place.
+BUCKET_DIGITS = 3
 
 
 def stratified_split(
     frame: DataFrame, test_size: float = 0.20, seed: int = 42, key: str = "sample_id"
 ) -> DataFrame:
-    """Add ``is_test``: the same share of every label, chosen by a seeded hash.
+    """Add ``is_test``: the same share of every label, the first by MD5 of key and seed.
 
     Labels are few, so ranking inside a label would be one task. Rows are ranked inside
     hash buckets instead, and only the bucket sizes are accumulated per label.
     """
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be between 0 and 1.")
-    drawn = frame.withColumn("_hash", F.xxhash64(F.lit(seed), key)).withColumn(
-        "_bucket", F.shiftrightunsigned("_hash", 64 - _BUCKET_BITS)
+    seeded = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"|{seed}"))
+    drawn = frame.withColumn("_hash", F.md5(seeded)).withColumn(
+        "_bucket", F.left("_hash", F.lit(BUCKET_DIGITS))
     )
     sizes = drawn.groupBy("label", "_bucket").agg(F.count("*").alias("_rows"))
     label = Window.partitionBy("label")
@@ -31,7 +33,7 @@ def stratified_split(
         F.ceil(F.sum("_rows").over(label) * test_size).alias("_wanted"),
     )
     rank = F.row_number().over(Window.partitionBy("label", "_bucket").orderBy("_hash", key))
-    # At most 2**12 rows per label.
+    # At most 16**BUCKET_DIGITS rows per label.
     return (
         drawn.withColumn("_rank", rank)
         .join(F.broadcast(offsets), ["label", "_bucket"])

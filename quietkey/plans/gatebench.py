@@ -93,10 +93,12 @@ def family_metrics(results: DataFrame) -> DataFrame:
 def merkle_digest(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Order-free SHA-256 per key of the hex hashes in a column, as ``digest``.
 
-    Hashes are combined level by level along their prefix. Above the first level a node
-    has at most 256 children, so no group grows with the data, however hot the key.
+    Equal hashes are counted first. Then hashes are combined level by level along their
+    prefix: a node has at most 256 children above the first level, and there those hashes
+    that share 32 bits. No group grows with the data, however hot the key.
     """
-    level = rows.select(*keys, F.col(column).alias("digest"), F.col(column).alias("node"))
+    copies = rows.groupBy(*keys, F.col(column).alias("node")).agg(F.count("*").alias("copies"))
+    level = copies.select(*keys, "node", F.concat_ws(":", "node", "copies").alias("digest"))
     for width in _NODE_WIDTHS:
         node = F.substr(F.col("node"), F.lit(1), F.lit(width)).alias("node")
         joined = F.array_join(F.array_sort(F.collect_list("digest")), "")

@@ -17,7 +17,8 @@ from quietkey.functions.candidate import (
 )
 from quietkey.functions.features import context_features, digit_ratio, special_ratio, uppercase_ratio
 from quietkey.functions.text import decode_utf8, drop_bom, mask_secret, shannon_entropy, split_lines, strip
-from quietkey.operators.ignore import glob_regex
+from quietkey.operators.ignore import glob_regex, mark_ignored
+from quietkey.operators.joins import slot_filter
 from quietkey.operators.paths import is_supported_file, relative_path, suffix
 
 VALUES = [
@@ -161,3 +162,25 @@ def test_paths(spark):
     frame = spark.createDataFrame([(p,) for p in names], "p string")
     assert {r.p: r.s for r in frame.select("p", suffix(F.col("p")).alias("s")).collect()} == names
     assert frame.where(is_supported_file(F.col("p"))).count() == 3
+
+
+@pytest.mark.parametrize("rule, hits, misses", [
+    ("a.py", ["a.py", "x/a.py"], ["aa.py", "a.py/b"]),
+    ("*.py", ["a.py", "x/y.py", ".py"], ["a.pyc"]),
+    ("*", ["a", "x/y"], []),
+    ("src/", ["src", "src/a", "src/b/c"], ["srcs/a", "x/src/a"]),
+    ("/src/*.js", ["src/a.js", "src/b/c.js"], ["x/src/a.js"]),
+    ("t[a-c]?.md", ["tb1.md", "x/ta2.md"], ["td1.md", "tb.md"]),
+    ("a[b", ["a[b"], ["ab"]),
+])
+def test_ignore_rules_by_kind(spark, rule, hits, misses):
+    files = spark.createDataFrame([("p", x) for x in hits + misses], "project_id string, path string")
+    rules = spark.createDataFrame([("p", [rule])], "project_id string, patterns array<string>")
+    assert {r.path for r in mark_ignored(files, rules).where("ignored").collect()} == set(hits)
+
+
+def test_slot_filter_keeps_every_key(spark):
+    big = spark.range(20_000).withColumn("k", F.col("id") * 7919)
+    keys = big.where("id % 100 = 3").select("k")
+    kept = {r.id for r in slot_filter(big, keys, ["k"]).collect()}
+    assert {i for i in range(20_000) if i % 100 == 3} <= kept and len(kept) < 300

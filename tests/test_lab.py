@@ -194,3 +194,23 @@ def test_reports_are_written_once(spark, tmp_path):
         frozen.save_report(report, str(tmp_path / "r"))
     row = spark.read.json(str(tmp_path / "r")).first()
     assert (row.true_positives, row.false_positives, row.precision) == (1, 1, 0.5)
+
+
+def test_model_inputs_and_split_evaluation(spark):
+    rows = generate(spark, V3, 60)
+    scaled = models.scaled_features(rows).select(*(f(F.col("scaled")[i]) for i in range(2) for f in (F.avg, F.stddev_pop))).first()
+    assert list(scaled) == pytest.approx([0, 1, 0, 1], abs=1e-9)
+    weights = models.text_weights(rows).select(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]).alias("w"))
+    assert all(r.w == pytest.approx(1.0) for r in weights.collect())
+    tested = models.split_evaluation(rows, models.fit_numeric, "numerical")
+    assert tested.count() == 24
+    assert all(r.cell[0] == "FT"[r.numerical_prediction == r.label] and r.cell[1] == "NP"[r.numerical_prediction] for r in tested.collect())
+
+
+def test_table_digest_sees_values_nulls_and_copies(spark):
+    def digest(*rows):
+        return frozen.table_digest(spark.createDataFrame(list(rows), "a string, b string")).first().digest
+
+    assert digest(("x", "y"), ("1", None)) == digest(("1", None), ("x", "y"))
+    different = [digest(), digest(("ab", "c")), digest(("a", "bc")), digest(("a", None)), digest(("a", "")), digest(("ab", "c"), ("ab", "c"))]
+    assert len(set(different)) == len(different)

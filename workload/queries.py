@@ -115,14 +115,14 @@ def file_roles(spark, sf):
       CAST({O.SKIPPED} AS INT) AS skipped FROM ({C.FILES}) f""",
 )
 def file_predicates(spark, sf):
-    path = F.col("path")
+    path = P.relative_path(F.col("path"))
     flags = {
         "supported": P.is_supported_file(path), "code": P.is_code_file(path),
         "dotenv": P.is_dotenv_file(path), "artifact_path": P.is_artifact_path(path),
         "artifact_file": P.is_artifact_file(path), "skipped": P.in_skipped_directory(path),
     }
     return C.files(spark, sf).select(
-        "path", P.suffix(path).alias("suffix"), *[c.cast("int").alias(n) for n, c in flags.items()]
+        F.col("path"), P.suffix(path).alias("suffix"), *[c.cast("int").alias(n) for n, c in flags.items()]
     )
 
 
@@ -155,6 +155,8 @@ _IGNORED = r"""(r.c IS NOT NULL AND CASE r.c % 5
     WHEN 3 THEN regexp_full_match(regexp_extract(path, '[^/]*$'), 'mod[^1-8].*\.py')
       OR regexp_full_match(path, '\.next/static/.*[a-c.]js')
     ELSE path = 'api' OR regexp_full_match(path, 'api/data.*') END)"""
+# Rules see the path inside the project, without leading "./".
+_IGNORED = re.sub(r"\bpath\b", r"regexp_replace(path, '^(\\./)+', '')", _IGNORED)
 _RULED = f"""SELECT f.*, {_IGNORED} AS ignored FROM ({C.FILES}) f LEFT JOIN
   (SELECT 'p' || c_custkey AS project_id, c_custkey AS c FROM customer WHERE c_custkey % 3 = 0) r
   ON f.project_id = r.project_id"""
@@ -530,12 +532,13 @@ def gate_benchmark_families(spark, sf):
 
 def _merkle(name: str, source: str, key: str) -> str:
     """CTEs that fold hashes ``h`` along their prefix; the last one is ``<name>0``."""
-    steps, previous, node, digest = [], source, "h", "h"
+    steps = [f"{name}s AS (SELECT {key}, h AS node, h || ':' || count(*) AS digest FROM {source} GROUP BY 1, 2)"]
+    previous, node, digest = f"{name}s", "node", "digest"
     for width in (8, 6, 4, 2, 0):
         steps.append(
             f"{name}{width} AS (SELECT {key}, substr({node}, 1, {width}) AS node, "
             f"sha256(string_agg({digest}, '' ORDER BY {digest})) AS digest FROM {previous} GROUP BY 1, 2)")
-        previous, node, digest = f"{name}{width}", "node", "digest"
+        previous = f"{name}{width}"
     return ", ".join(steps)
 
 
@@ -663,6 +666,10 @@ def _shared(columns: str) -> str:
     return f"({one} 'orders_0' INTERSECT {one} 'orders_1')"
 
 
+def _all_of(source: str) -> str:
+    return f"(SELECT {_ALL} FROM ({C.CANDIDATES}) c WHERE source = '{source}')"
+
+
 @query(
     "dataset_separation",
     f"""SELECT (SELECT {_ALL} FROM ({C.CANDIDATES}) c WHERE source = 'orders_0') AS training_samples,
@@ -680,6 +687,18 @@ def dataset_separation(spark, sf):
     return report.withColumns({c: F.array_join(c, "|") for c in lists})
 
 
+@query("dataset_separation_disjoint", f"""SELECT {_all_of("orders_0")} AS training_samples, {_all_of("orders_1")} AS development_samples,
+  CAST(0 AS BIGINT) AS shared_candidate_pairs, CAST(0 AS BIGINT) AS shared_exact_values, CAST(0 AS BIGINT) AS shared_sample_types,
+  CAST(0 AS BIGINT) AS shared_sources, 1 AS strictly_separate""")
+def dataset_separation_disjoint(spark, sf):
+    own = {c: F.concat_ws("/", "source", c) for c in ("value", "sample_type")}
+    rows = C.corpus(spark, sf, C.CANDIDATES).withColumns(own)
+    report = strictly_separate(compare_separation(rows.where("source = 'orders_0'"), rows.where("source = 'orders_1'")))
+    return report.select("training_samples", "development_samples", "shared_candidate_pairs", "shared_exact_values",
+        *(F.size(c).cast("bigint").alias(c) for c in ("shared_sample_types", "shared_sources")),
+        F.col("strictly_separate").cast("int").alias("strictly_separate"))
+
+
 @query("dataset_identity", f"""SELECT {_ALL} AS samples, string_agg(DISTINCT source, '|' ORDER BY source) AS sources,
   {_SAFE} AS safe_samples, {_LABELS} AS secret_samples FROM ({C.CANDIDATES}) c""")
 def identity(spark, sf):
@@ -687,7 +706,13 @@ def identity(spark, sf):
     return found.withColumn("sources", F.array_join("sources", "|"))
 
 
-@query("table_digest")
+_ROW = " || ',' || ".join(
+    f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    for c in ("framework", "label", "sample_id", "sample_type", "source", "value", "variable_name"))
+
+
+@query("table_digest", f"""WITH rh AS (SELECT 0 AS one, sha256({_ROW}) AS h FROM ({C.CANDIDATES}) c), {_merkle("r", "rh", "one")}
+  SELECT (SELECT {_ALL} FROM rh) AS samples, digest FROM r0""")
 def digest(spark, sf):
     return table_digest(C.corpus(spark, sf, C.CANDIDATES))
 
@@ -844,6 +869,52 @@ def split_sizes(spark, sf):
     return rows.groupBy("label").agg(F.count_if("is_test").alias("test_samples"), F.count_if(~F.col("is_test")).alias("train_samples"))
 
 
+_TEST_IDS = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(sample_id || '|42'), sample_id) AS k,
+  count(*) OVER (PARTITION BY label) AS n FROM ({C.CANDIDATES}) c) d WHERE k <= ceil(n * 0.2)"""
+
+
+@query("stratified_test_ids", f"SELECT sample_id, label FROM ({_TEST_IDS}) t")
+def split_ids(spark, sf):
+    return stratified_split(C.corpus(spark, sf, C.CANDIDATES)).where("is_test").select("sample_id", "label")
+
+
+# --- model inputs and split evaluation -------------------------------------------------
+
+def _scaled(c: str) -> str:
+    return f"round(CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END, 6) + 0.0 AS {c}"
+
+
+@query("scaled_features", f"SELECT sample_id, {', '.join(map(_scaled, NUMERIC_FEATURES))} FROM ({_FEATURED}) f")
+def scaled_features(spark, sf):
+    rows = M.scaled_features(_candidates(spark, sf))
+    return rows.select("sample_id", *((F.round(F.col("scaled")[i], 6) + F.lit(0.0)).alias(c) for i, c in enumerate(NUMERIC_FEATURES)))
+
+
+_GRAMS = " UNION ALL ".join(f"SELECT sample_id, unnest(list_transform(range(1, length(t) - {n - 2}), lambda i: substr(t, i, {n}))) AS g FROM texts" for n in M.NGRAM_SIZES)
+
+
+@query("text_term_weights", rf"""WITH texts AS (SELECT sample_id, regexp_replace(lower(variable_name || ' = ' || value), '\s\s+', ' ', 'g') AS t FROM ({C.CANDIDATES}) c),
+  tf AS (SELECT sample_id, g, count(*) AS n FROM ({_GRAMS}) u GROUP BY 1, 2),
+  df AS (SELECT g, count(*) AS d FROM tf GROUP BY 1 HAVING count(*) >= {M.MIN_DOCUMENTS}),
+  raw AS (SELECT sample_id, (1 + ln(n)) * (ln((1.0 + (SELECT count(*) FROM texts)) / (1 + d)) + 1) AS w FROM tf JOIN df USING (g)),
+  unit AS (SELECT sample_id, w / sqrt(sum(w * w) OVER (PARTITION BY sample_id)) AS w FROM raw)
+  SELECT sample_id, {_ALL} AS terms, round(sum(w), 6) AS weight_sum, round(max(w), 6) AS weight_max FROM unit GROUP BY 1""")
+def text_term_weights(spark, sf):
+    rows = M.text_weights(C.corpus(spark, sf, C.CANDIDATES)).where(F.size("weights") > 0)
+    weight = F.transform("weights", lambda x: x["weight"])
+    total = F.aggregate(weight, F.lit(0.0), lambda a, w: a + w)
+    return rows.select("sample_id", F.size("weights").cast("bigint").alias("terms"), F.round(total, 6).alias("weight_sum"),
+        F.round(F.array_max(weight), 6).alias("weight_max"))
+
+
+# Every held-out row lies in one cell that fits its label, whatever the model says.
+@query("split_evaluation", f"SELECT sample_id, label, 1 AS in_own_cell FROM ({_TEST_IDS}) t")
+def split_evaluation(spark, sf):
+    rows = M.split_evaluation(_candidates(spark, sf), M.fit_numeric, "numerical")
+    own = F.when(F.col("label") == 1, F.col("cell").isin("TP", "FN")).otherwise(F.col("cell").isin("TN", "FP"))
+    return rows.select("sample_id", "label", own.cast("int").alias("in_own_cell"))
+
+
 # --- synthesis: one pair of samples per order ------------------------------------------
 
 def _cycled(spec) -> str:
