@@ -120,9 +120,13 @@ def require_separation(first: DataFrame, second: DataFrame, what: str) -> None:
 def load_holdout_bundle(
     spark: SparkSession, sets: dict[str, tuple[str, Identity]], columns=BASE_COLUMNS
 ) -> dict[str, DataFrame]:
-    """Training, development and holdout, verified and strictly separate."""
+    """Training, development and holdout, verified and strictly separate.
+
+    ``columns`` holds for all sets, or names those of each set.
+    """
+    of = columns if isinstance(columns, dict) else dict.fromkeys(sets, columns)
     frames = {
-        name: validate_frozen(spark, path, identity, columns)
+        name: validate_frozen(spark, path, identity, of[name])
         for name, (path, identity) in sets.items()
     }
     require_separation(frames["training"], frames["holdout"], "training")

@@ -8,7 +8,7 @@ from quietkey.functions.features import NUMERIC_FEATURES
 from quietkey.lab import errors, frozen, fusion, metrics, models, profile, separation
 from quietkey.lab.advisory import ArtifactError, fit_advisory, load_advisory, save_advisory
 from quietkey.lab.split import stratified_split
-from quietkey.lab.synth import DEV, HOLDOUT, SPECS, V2, V3, generate
+from quietkey.lab.synth import DEV, FINAL, HOLDOUT, SPECS, V2, V3, generate
 from quietkey.operators.detectors import GENERIC
 from quietkey.plans.scan import scan_projects
 
@@ -138,6 +138,8 @@ def test_frozen_sets_and_holdout_bundle(spark, tmp_path):
     wrong = frozen.Identity("0" * 64, 60, V3.source, {0: 30, 1: 30})
     with pytest.raises(ValueError, match="SHA-256"):
         frozen.validate_frozen(spark, sets["training"][1], wrong)
+    bundle = frozen.load_holdout_bundle(spark, {n: (p, i) for n, (_, p, i) in sets.items()}, {n: tuple(f.columns) for n, (f, _, _) in sets.items()})
+    assert {n: f.count() for n, f in bundle.items()} == dict.fromkeys(sets, 60)
     frozen.require_separation(sets["training"][0], sets["holdout"][0], "training")
     with pytest.raises(ValueError, match="separation"):
         frozen.require_separation(sets["training"][0], sets["training"][0], "training")
@@ -214,3 +216,15 @@ def test_table_digest_sees_values_nulls_and_copies(spark):
     assert digest(("x", "y"), ("1", None)) == digest(("1", None), ("x", "y"))
     different = [digest(), digest(("ab", "c")), digest(("a", "bc")), digest(("a", None)), digest(("a", "")), digest(("ab", "c"), ("ab", "c"))]
     assert len(set(different)) == len(different)
+
+
+def test_final_set_is_validated_and_reported(spark):
+    final = generate(spark, FINAL, 30)
+    frozen.validate_final(final, 60)
+    with pytest.raises(ValueError, match="size or label"):
+        frozen.validate_final(final, 80)
+    with pytest.raises(ValueError, match="source"):
+        frozen.validate_final(final, 60, "elsewhere")
+    report = frozen.final_report(generate(spark, V3, 60), final, "0" * 64).first()
+    assert report.status == "FINAL_EVALUATION" and report.policy.used_for_training is False
+    assert sum(report[c] for c in metrics.CONFUSION) == 60
