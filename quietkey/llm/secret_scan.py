@@ -1,9 +1,11 @@
 """Secret scans: decode nested layers until nothing new appears and rescan each of them.
 
 A text is the first layer of a worklist. Every layer is searched, then unwrapped: percent
-escapes, ``\\u``/``\\x``/``&#`` escapes, base64 (plain and url-safe) and, inside base64, gzip, zlib or
-bz2. A layer knows where each of its characters lies in the text it came from, so findings
-carry spans of the original text. Layers already seen are not opened again.
+escapes, ``\\u``/``\\x``/``&#`` escapes, base64 (plain and url-safe). Bytes that base64 or percent
+escapes give are layers too: gzip, zlib and bz2 are opened, all members of them, until what
+comes out is not compressed. A layer knows where each of its characters lies in the text it
+came from, so findings carry spans of the original text. Layers already seen are not opened
+again.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import contextlib
 import hashlib
 import re
+import urllib.parse
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -41,6 +43,16 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")  # no finding is shorter tha
 _URL_SAFE = str.maketrans("-_", "+/")
 _PRINTABLE = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f]*")
 
+_SAFE = r"A-Za-z0-9_.~!*'()/@:$,;+-"
+#: Percent escapes that begin as gzip, zlib or bz2 do; other bytes may stand for themselves.
+_PERCENT_PACKED = re.compile(
+    r"(?:%1[Ff]%8[Bb]%08|(?:x|%78)%(?:01|5[Ee]|9[Cc]|[Dd][Aa])|(?:B|%42)(?:Z|%5[Aa])(?:h|%68)(?:[1-9]|%3[1-9])(?:[1A]|%31|%41){2}(?:Y|%59)(?:&|%26))"
+    rf"(?:%[0-9A-Fa-f]{{2}}|[{_SAFE}])*+"
+)
+_GZIP, _BZIP = b"\x1f\x8b\x08", re.compile(rb"BZh[1-9](?:1AY&SY|\x17rE8P\x90)")
+#: Compressed bytes are fed in pieces of this size.
+_PIECE = 1 << 14
+
 #: A compressed layer is opened up to so many bytes; a longer one is reported as incomplete.
 MAX_LAYER_BYTES = 1 << 26
 
@@ -65,6 +77,21 @@ class Layer(NamedTuple):
         return low, high
 
 
+class Packed(NamedTuple):
+    """Bytes from ``start`` to ``end`` of the original; ``opened`` if a compressed stream held them."""
+
+    data: bytes
+    start: int
+    end: int
+    opened: bool = False
+
+
+def _key(layer: Layer | Packed) -> tuple:
+    if isinstance(layer, Packed):
+        return (hashlib.sha256(layer.data).digest(), layer.opened, layer.start, layer.end)
+    return (hashlib.sha256(layer.text.encode("utf-8", "replace")).digest(), layer.spans[0][0], layer.spans[-1][1])
+
+
 def base_matches(text: str) -> Iterator[tuple[int, int, int]]:
     """(start, index of the kind, end) of the three base patterns."""
     low = text.lower()
@@ -124,70 +151,169 @@ def _from_escape(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _unpacked(data: bytes, limit: int) -> tuple[bytes, bool]:
-    """``data``, decompressed if its first bytes say so; whether all of it was opened."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-        opened = zlib.decompressobj(47)
-        out = opened.decompress(data, limit)
-        return out, not opened.unconsumed_tail
-    if data[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-        out = opened.decompress(data, limit)
-        return out, opened.eof or opened.needs_input
-    return data, True
+def _format(data: bytes, at: int) -> str:
+    """What the bytes from ``at`` on look like: gzip, bz2, zlib or nothing known."""
+    if data.startswith(_GZIP, at):
+        return "gzip"
+    if _BZIP.match(data, at):
+        return "bz2"
+    head = data[at : at + 2]
+    # Method 8, a window of up to 32 KB, no preset dictionary, and the header's own check.
+    return "zlib" if len(head) == 2 and head[0] & 0x8F == 8 and not head[1] & 32 and (head[0] << 8 | head[1]) % 31 == 0 else ""
+
+
+def _stream(data: bytes, at: int, limit: int) -> tuple[bytes, int]:
+    """What the one stream at ``at`` holds and where it ends.
+
+    The end is -1 if the stream is cut off or holds more than ``limit`` bytes, -2 if it is damaged.
+    """
+    zipped = _format(data, at) == "bz2"
+    opened = bz2.BZ2Decompressor() if zipped else zlib.decompressobj(47)
+    parts, room = [], limit
+    while at < len(data) and not opened.eof:
+        piece = data[at : at + _PIECE]
+        at += len(piece)
+        before = None if zipped else opened.copy()
+        try:
+            new = opened.decompress(piece, room + 1)
+        except (zlib.error, OSError):
+            if before:
+                parts.append(_up_to_damage(before, piece, room))
+            return b"".join(parts), -2
+        parts.append(new[:room])
+        if len(new) > room:
+            return b"".join(parts), -1
+        room -= len(new)
+    return b"".join(parts), at - len(opened.unused_data) if opened.eof else -1
+
+
+def _up_to_damage(opened, piece: bytes, room: int) -> bytes:
+    out = bytearray()
+    for i in range(len(piece)):
+        try:
+            out += opened.decompress(piece[i : i + 1], room + 1 - len(out))
+        except zlib.error:
+            break
+        if len(out) > room:
+            break
+    return bytes(out[:room])
+
+
+def _unpacked(data: bytes, at: int, limit: int) -> tuple[bytes, int, bool] | None:
+    """All members from ``at`` on as one, where they end, and whether they were opened whole.
+
+    None if the bytes only look compressed. Members of one format that follow each other
+    belong together, as pigz and pbzip2 write them; ``limit`` holds for all of them.
+    """
+    kind, parts, room = _format(data, at), [], limit
+    while kind:
+        out, end = _stream(data, at, room)
+        if end == -2 and kind == "zlib" and not out:
+            break  # two bytes by chance
+        parts.append(out)
+        room -= len(out)
+        if end < 0:
+            return b"".join(parts), len(data), False
+        at = end
+        while kind == "gzip" and data.startswith(b"\0", at):  # padding between members
+            at += 1
+        if _format(data, at) != kind:
+            break
+    return (b"".join(parts), at, True) if parts else None
+
+
+def _text(layer: Packed) -> str | None:
+    try:
+        text = layer.data.decode("utf-8", "replace" if layer.opened else "strict")
+    except UnicodeDecodeError:
+        return None
+    return text if text and _PRINTABLE.fullmatch(text) else None
+
+
+def _from_packed(layer: Packed, limit: int) -> Iterator[tuple[Layer | Packed, bool]]:
+    """The bytes of a compressed layer, else its text; bytes behind the last member are kept."""
+    at, text = (layer.start, layer.end), _text(layer)
+    got = _unpacked(layer.data, 0, limit)
+    if got and (got[2] or layer.opened or text is None):
+        out, end, whole = got
+        yield Packed(out, *at, True), whole
+        if end < len(layer.data):
+            yield Packed(layer.data[end:], *at, layer.opened), True
+    elif text:
+        yield Layer(text, [0], [(*at, False)]), True
 
 
-def _from_base64(run: str, limit: int) -> tuple[str, bool] | None:
+def _bytes_of(run: str) -> bytes | None:
     body = run.rstrip("=").translate(_URL_SAFE)
     if len(body) % 4 == 1:
         return None
     try:
-        data, whole = base64.b64decode(body + "=" * (-len(body) % 4)), True
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
         return None
-    with contextlib.suppress(zlib.error, OSError, EOFError):  # else it only looks compressed
-        data, whole = _unpacked(data, limit)
-    try:
-        text = data.decode("utf-8") if whole else data.decode("utf-8", "ignore")
-    except UnicodeDecodeError:
-        return None
-    return (text, whole) if text and _PRINTABLE.fullmatch(text) else None
 
 
-def _children(layer: Layer, limit: int) -> Iterator[tuple[Layer, bool]]:
-    if "%" in layer.text and (new := _replaced(layer, _PERCENT, _from_percent)):
-        yield new, True
+def _percent_packed(text: str, limit: int) -> Iterator[tuple[tuple[int, int], tuple[bytes, bool]]]:
+    """Runs of percent escapes that hold a compressed stream: place, bytes and whether it is whole."""
+    for m in _PERCENT_PACKED.finditer(text):
+        best = None
+        for run in dict.fromkeys((m[0], m[0].replace("+", "%20"))):  # a form writes blanks as +
+            data = urllib.parse.unquote_to_bytes(run)
+            if (got := _unpacked(data, 0, limit)) and (best is None or got[2]):
+                best = data, got[2]
+                if got[2]:
+                    break
+        if best:
+            yield m.span(), best
+
+
+def _inside(m: re.Match, places: list[tuple[int, int]]) -> bool:
+    i = bisect_right(places, (m.start(), len(m.string) + 1)) - 1
+    return i >= 0 and m.end() <= places[i][1]
+
+
+def _children(layer: Layer | Packed, limit: int) -> Iterator[tuple[Layer | Packed, bool]]:
+    if isinstance(layer, Packed):
+        yield from _from_packed(layer, limit)
+        return
+    if "%" in layer.text:
+        packed = dict(_percent_packed(layer.text, limit))
+        for (start, end), (data, _) in packed.items():
+            yield Packed(data, *layer.place(start, end)), True
+        # What was opened whole isn't text: its escapes stay, else its parts look like cut streams.
+        done = [at for at, (_, whole) in packed.items() if whole]
+        new = _replaced(layer, _PERCENT, lambda m: None if _inside(m, done) else _from_percent(m))
+        if new:
+            yield new, True
     if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _ESCAPE, _from_escape)):
         yield new, True
     for m in _BASE64.finditer(layer.text):
-        if found := _from_base64(m[0], limit):
-            yield Layer(found[0], [0], [(*layer.place(m.start(), m.end()), False)]), found[1]
+        if data := _bytes_of(m[0]):
+            yield Packed(data, *layer.place(m.start(), m.end())), True
 
 
 def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, bool]:
-    """(base findings, all findings, layers opened, complete); findings are (start, kind, end)."""
+    """(base findings, all findings, texts opened, complete); findings are (start, kind, end)."""
     base = sorted(base_matches(text))
     found, complete, opened = set(base), True, 0
-    work = [Layer(text, [0], [(0, len(text), True)])]
-    seen = {(hashlib.sha256(text.encode("utf-8", "replace")).digest(), 0, len(text))}
+    work: list[Layer | Packed] = [Layer(text, [0], [(0, len(text), True)])]
+    seen = {_key(work[0])}
     while work:
         layer = work.pop()
-        if opened:
-            for start, kind, end in base_matches(layer.text):
-                low, high = layer.place(start, end)
-                found.add((low, kind, high))
-        opened += 1
+        if isinstance(layer, Layer):
+            if opened:
+                for start, kind, end in base_matches(layer.text):
+                    low, high = layer.place(start, end)
+                    found.add((low, kind, high))
+            opened += 1
         for child, whole in _children(layer, limit):
             complete &= whole
-            at = child.spans[0][0], child.spans[-1][1]
-            key = (hashlib.sha256(child.text.encode("utf-8", "replace")).digest(), *at)
-            if key not in seen:
+            if (key := _key(child)) not in seen:
                 seen.add(key)
                 work.append(child)
     return base, sorted(found), opened - 1, complete
 
 
-
 _SCANNED = "base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>, layers int, complete boolean"
 
 
@@ -195,8 +321,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", limi
     """``docs`` with one struct ``out``: ``base`` and ``spans`` (kind, start, end), layers, complete.
 
     Spans are code points of the text, end exclusive, ordered by start, kind and end. A null
-    text counts as empty and has no findings. ``complete`` is false only where a compressed
-    layer exceeds ``limit`` bytes. Rows are judged one by one: repeated rows and ties don't
+    text counts as empty and has no findings. ``layers`` counts the texts that were decoded.
+    ``complete`` is false where a compressed stream is cut off, damaged or exceeds ``limit``
+    bytes; what it holds up to there is searched. Rows are judged one by one: repeated rows and ties don't
     matter, an empty table gives an empty result, other columns stay; a column named like
     ``out`` is replaced. No shuffle.
     """
