@@ -6,12 +6,15 @@ escapes give are layers too: gzip, zlib and bz2 are opened, all members of them,
 comes out is not compressed. A layer knows where each of its characters lies in the text it
 came from, so findings carry spans of the original text. Layers already seen are not opened
 again.
+
+A base64 run is read by itself and, if only line ends part it from others, joined with them.
+A run that isn't base64 from end to end is read at all four offsets: what is text there, or
+begins as a compressed stream, is a layer, whatever stands before and behind it.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
@@ -19,6 +22,7 @@ import urllib.parse
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -41,6 +45,13 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")  # no finding is shorter than 12 bytes
 _URL_SAFE = str.maketrans("-_", "+/")
+#: Lines of base64; the breaks may be escapes, as in JSON, and lines indented.
+_BREAK = re.compile(r"[ \t]*+(?:\r\n?|\n|\\r\\n|\\n)[ \t]*+")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
+_SEPARATORS = "/_+-"
+#: Text of UTF-8 among other bytes; no finding is shorter.
+_STRETCH = re.compile(rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}+")
+_STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|x[\x01\x5e\x9c\xda]")
 _PRINTABLE = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f]*")
 
 _SAFE = r"A-Za-z0-9_.~!*'()/@:$,;+-"
@@ -208,7 +219,7 @@ def _unpacked(data: bytes, at: int, limit: int) -> tuple[bytes, int, bool] | Non
     kind, parts, room = _format(data, at), [], limit
     while kind:
         out, end = _stream(data, at, room)
-        if end == -2 and kind == "zlib" and not out:
+        if end < 0 and kind == "zlib" and not out and (end == -2 or data[at] != 0x78):
             break  # two bytes by chance
         parts.append(out)
         room -= len(out)
@@ -223,8 +234,11 @@ def _unpacked(data: bytes, at: int, limit: int) -> tuple[bytes, int, bool] | Non
 
 
 def _text(layer: Packed) -> str | None:
+    """The layer as text: control characters and bytes that aren't UTF-8 pass if a stream held them."""
+    if layer.opened:
+        return layer.data.decode("utf-8", "replace") or None
     try:
-        text = layer.data.decode("utf-8", "replace" if layer.opened else "strict")
+        text = layer.data.decode("utf-8")
     except UnicodeDecodeError:
         return None
     return text if text and _PRINTABLE.fullmatch(text) else None
@@ -243,14 +257,106 @@ def _from_packed(layer: Packed, limit: int) -> Iterator[tuple[Layer | Packed, bo
         yield Layer(text, [0], [(*at, False)]), True
 
 
-def _bytes_of(run: str) -> bytes | None:
+def _bytes_of(body: str) -> bytes:
+    """Base64 without its padding; one character too many is left out."""
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _from_run(run: str, limit: int, lines: tuple[int, ...] = ()) -> Iterator[tuple[bytes | str, list[tuple[int, int, int]], bool]]:
+    """Readings of a base64 run: bytes or text, (from which character on, start, end in the run), whole.
+
+    ``lines`` says where lines begin in a joined run.
+    """
+    starts = {0, *lines}
     body = run.rstrip("=").translate(_URL_SAFE)
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
+    if len(body) % 4 != 1:
+        data = _bytes_of(body)
+        got = _unpacked(data, 0, limit)
+        if got and got[1:] == (len(data), True) or _text(Packed(data, 0, 0)):
+            yield data, [(0, 0, len(run))], True
+            return
+    for shift in range(4):
+        data, done = _bytes_of(body[shift:]), 0
+        texts = []
+        for at in ([0] if not shift and _format(data, 0) else []) + [m.start() for m in _STREAM.finditer(data)]:
+            if at < done or not (got := _unpacked(data, at, limit)):
+                continue
+            out, end, whole = got
+            place = (0, *_ends(run, shift, at, end, len(data)))
+            # Two bytes at a guessed place that lead into damage may be no stream: only their text is read.
+            if whole or at == shift == 0 or data[at] != 0x78 or _STRETCH.match(out) and _stream(data, at, limit)[1] == -1:
+                yield data[at:end], [place], whole
+                texts.append((done, at))
+                done = end
+            else:
+                for m in _STRETCH.finditer(out):
+                    yield m[0].decode("utf-8", "replace"), [place], True
+        for low, high in [*texts, (done, len(data))]:
+            for m in _STRETCH.finditer(data, low, high):
+                start, end = _ends(run, shift, m.start(), m.end(), len(data))
+                places = [(0, start, end)]
+                # Bytes before a separator or line can be text by chance: what is behind has its own place.
+                if m.start() % 3 or start not in starts and run[start - 1] not in _SEPARATORS:
+                    first = shift + (m.start() // 3 + 1) * 4
+                    for p in range(first, min(first + 16, end), 4):
+                        if p in starts or run[p - 1] in _SEPARATORS:
+                            head = data[m.start() : (p - shift) // 4 * 3]
+                            places = [(0, start, end), (len(head.decode("utf-8", "ignore")), p, end)]
+                            break
+                yield m[0].decode("utf-8", "replace"), places, True
+
+
+def _ends(run: str, shift: int, low: int, high: int, size: int) -> tuple[int, int]:
+    """Where the bytes ``low:high`` of ``size``, decoded from ``shift`` on, lie in the run."""
+    if high == size:
+        return shift + low * 4 // 3, len(run)
+    end = shift - (-high * 4 // 3)
+    while run[end - 1] in _SEPARATORS:
+        end -= 1
+    return shift + low * 4 // 3, end
+
+
+def _from_base64(layer: Layer, limit: int) -> Iterator[Layer | Packed]:
+    opened: list[tuple[int, int]] = []  # by joined lines
+    if re.search(r"[\r\n]|\\[rn]", layer.text):
+        for m in _WRAPPED.finditer(layer.text):
+            if m.end() - m.start() < 16:
+                continue
+            lines, at = [], m.start()
+            for gap in _BREAK.finditer(m[0]):
+                lines.append((at, m.start() + gap.start()))
+                at = m.start() + gap.end()
+            lines.append((at, m.end()))
+            firsts = [0, *accumulate(b - a for a, b in lines)]
+            line = lambda i: bisect_right(firsts, i) - 1  # noqa: B023, E731
+            place = lambda i: lines[line(i)][0] + i - firsts[line(i)]  # noqa: B023, E731
+            for what, places, whole in _from_run("".join(layer.text[a:b] for a, b in lines), limit, tuple(firsts)):
+                if line(places[0][1]) == line(places[0][2] - 1):
+                    continue  # read below
+                places = [(c, place(a), place(b - 1) + 1) for c, a, b in places]
+                if whole and isinstance(what, bytes):
+                    opened.append(places[0][1:])
+                yield _child(layer, what, places)
+    opened.sort()
+    for m in _BASE64.finditer(layer.text):
+        for what, places, whole in _from_run(m[0], limit):
+            places = [(c, m.start() + a, m.start() + b) for c, a, b in places]
+            # A line of a stream that was opened is not a cut stream.
+            if whole or not _within(places[0][1], places[0][2], opened):
+                yield _child(layer, what, places)
+
+
+def _child(layer: Layer, what: bytes | str, places: list[tuple[int, int, int]]) -> Layer | Packed:
+    if isinstance(what, bytes):
+        return Packed(what, *layer.place(*places[0][1:]))
+    return Layer(what, [c for c, _, _ in places], [(*layer.place(a, b), False) for _, a, b in places])
+
+
+def _within(start: int, end: int, places: list[tuple[int, int]]) -> bool:
+    """Whether one of the sorted, disjoint ``places`` holds ``start:end``."""
+    i = bisect_right(places, start, key=lambda x: x[0]) - 1
+    return i >= 0 and end <= places[i][1]
 
 
 def _percent_packed(text: str, limit: int) -> Iterator[tuple[tuple[int, int], tuple[bytes, bool]]]:
@@ -267,11 +373,6 @@ def _percent_packed(text: str, limit: int) -> Iterator[tuple[tuple[int, int], tu
             yield m.span(), best
 
 
-def _inside(m: re.Match, places: list[tuple[int, int]]) -> bool:
-    i = bisect_right(places, (m.start(), len(m.string) + 1)) - 1
-    return i >= 0 and m.end() <= places[i][1]
-
-
 def _children(layer: Layer | Packed, limit: int) -> Iterator[tuple[Layer | Packed, bool]]:
     if isinstance(layer, Packed):
         yield from _from_packed(layer, limit)
@@ -282,14 +383,13 @@ def _children(layer: Layer | Packed, limit: int) -> Iterator[tuple[Layer | Packe
             yield Packed(data, *layer.place(start, end)), True
         # What was opened whole isn't text: its escapes stay, else its parts look like cut streams.
         done = [at for at, (_, whole) in packed.items() if whole]
-        new = _replaced(layer, _PERCENT, lambda m: None if _inside(m, done) else _from_percent(m))
+        new = _replaced(layer, _PERCENT, lambda m: None if _within(*m.span(), done) else _from_percent(m))
         if new:
             yield new, True
     if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _ESCAPE, _from_escape)):
         yield new, True
-    for m in _BASE64.finditer(layer.text):
-        if data := _bytes_of(m[0]):
-            yield Packed(data, *layer.place(m.start(), m.end())), True
+    for child in _from_base64(layer, limit):
+        yield child, True
 
 
 def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, bool]:

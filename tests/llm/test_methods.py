@@ -90,6 +90,49 @@ def test_cut_and_damaged_streams_are_incomplete(pack):
     assert secret_scan.scan_text(base64.b64encode(b"x^2 + y^2 is plain, token=abcdef12").decode())[1:] == ([(0, 0, 48)], 1, True)
 
 
+def wrapped(data, width, end):
+    run = base64.b64encode(data).decode()
+    return end.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n"])
+@pytest.mark.parametrize("width", [64, 76, 20])
+@pytest.mark.parametrize("frame", ["{}", "Hello\n{}\nRegards\n", "-----BEGIN KEY-----\n{}\n-----END KEY-----", "a: {}"])
+def test_wrapped_base64_is_joined(end, width, frame):
+    text = "é日".encode() * 20 + SECRET + "ü😀".encode() * 30
+    for data in (text, gzip.compress(text + random.Random(7).randbytes(300)), bz2.compress(text), zlib.compress(text + b"z" * 99)):
+        run = wrapped(data, width, end)
+        whole = frame.format(run)
+        at = whole.index(run)
+        _, all_, _, complete = secret_scan.scan_text(whole)
+        assert complete
+        assert {0, 1} <= {k for a, k, b in all_ if at <= a < at + 30 < b <= at + len(run) + 9 and "\n" in whole[a:b].replace("\\n", "\n")}
+
+
+@pytest.mark.parametrize("head", ["https://host.com/cb/", "x_", "a-b-c+", "https://host.com/abcde/longer/path/", "abc"])
+@pytest.mark.parametrize("tail", ["", "/next/page", "?a=b", "_x", "-yz"])
+def test_runs_joined_to_their_neighbours(head, tail):
+    for pad in range(3):
+        for data in (SECRET + b"!" * pad, zlib.compress(SECRET + b"!" * pad), gzip.compress(SECRET)):
+            run = base64.urlsafe_b64encode(data).decode().rstrip("=")
+            text = f"see {head}{run}{tail} end"
+            at, (_, all_, _, complete) = text.index(run), secret_scan.scan_text(text)
+            near = {k for a, k, b in all_ if at - 1 <= a <= at + 40 and at + 40 < b <= at + len(run) + len(tail) and a < b}
+            assert complete and {0, 1} <= near, (text, all_)
+
+
+def test_control_characters_do_not_hide_a_layer():
+    data = b"\x1b[31m\0\xff " + SECRET + b"\x07\0"
+    for packed in (data, gzip.compress(data)):
+        assert {0, 1} <= {k for _, k, _ in secret_scan.scan_text(base64.b64encode(packed).decode())[1]}
+
+
+def test_random_bytes_are_no_cut_streams():
+    for seed in range(6):
+        run = base64.b64encode(random.Random(seed).randbytes(200_000)).decode()
+        assert secret_scan.scan_text(run)[3] and secret_scan.scan_text(wrapped(random.Random(seed).randbytes(50_000), 76, "\n"))[3]
+
+
 def brute_base(text):
     out = []
     for kind, pattern, group, least in (
