@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,9 +34,12 @@ _NUMBER = re.compile(
     rf"(?<![\w.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\w]|\.\d)"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?<![\w+])(?P<phone>(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}))(?!\w)"
+    # National numbers: a trunk zero, or ten digits in blanks that belong to no row of numbers.
+    r"|(?<![\w+.,:/-])(?<!\d )(?P<national>0[1-9](?P<gap>[ .-])\d{2}(?:(?P=gap)\d{2}){3}|0[1-9]\d{1,4}[ /-]\d{2,8}(?: \d{2,8}){0,3}|[2-9]\d{2} \d{3} \d{4})(?![\w:/%]|[ .,-]\d)"
     r"|(?<!\w)(?P<card>\d(?:[ -]?\d){12,18})(?!\w)",
     re.A,
 )
+_IP6 = re.compile(rf"(?<![\w:.])(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}(?:{_OCTET}(?:\.{_OCTET}){{3}}|[0-9A-Fa-f]{{0,4}})(?![\w:]|\.\d)", re.A)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 #: Titles and the gender of the name after them.
 _TITLES = {
@@ -201,7 +205,11 @@ def _surrogate(e: Entity, key: bytes, steps: int = 1) -> str:
         return _shape_moved(head, 0, key, "email:" + tail.lower(), steps) + dot + tail
     if e.kind == "phone":
         country = re.match(r"\+(\d{1,3}?)(?=[ .(-]|\d{7})", e.text)
-        return _digits_moved(e.text, len(country[1]) if country else 0, key, "phone+" if country else "phone", steps)
+        # National numbers keep their first digit, so a trunk zero stays one.
+        return _digits_moved(e.text, len(country[1]) if country else int(e.text[0] != "+"), key, "phone+" if country else "phone", steps)
+    if e.kind == "ip" and ":" in e.text:
+        first, rest = divmod(int(ipaddress.IPv6Address(e.text)), 1 << 112)
+        return str(ipaddress.IPv6Address(first << 112 | Permutation(key, f"ip6:{first}", 1 << 112).moved(rest, steps)))
     if e.kind == "ip":
         parts = [int(x) for x in e.text.split(".")]
         moved = Permutation(key, "ip", 256**4).moved(_mixed(parts, [256] * 4), steps)
@@ -215,6 +223,16 @@ def _surrogate(e: Entity, key: bytes, steps: int = 1) -> str:
     return re.sub(r"[^\W\d_]+", lambda m: _name_moved(m[0], e.gender, key, steps), e.text)
 
 
+def _is_ip6(text: str) -> bool:
+    """An IPv6 address, and no slice, scope or time: a short form has two groups and five digits at least."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    groups = [g for g in text.split(":") if g]
+    return any(c in _DIGITS for c in text) and len(groups) > 1 and len("".join(groups)) > 4
+
+
 def find_entities(text: str) -> list[Entity]:
     """Entities by place; where two overlap, the first and then the longer one counts."""
     found = []
@@ -227,7 +245,13 @@ def find_entities(text: str) -> list[Entity]:
             if sum(c in _DIGITS for c in m[0]) >= 8 and 15 <= len(m[0].replace(" ", "")) <= 34:
                 found.append(Entity("iban", m.start(), bank := m.end(), m[0]))
         if at >= done and (m := _NUMBER.match(text, at)):
+            if m["national"]:
+                if 9 <= sum(c in _DIGITS for c in m[0]) <= 12:
+                    found.append(Entity("phone", at, done := m.end(), m[0]))
+                continue
             found.append(Entity(m.lastgroup, at, done := m.end(), m[0]))
+    if text.count(":") > 1:
+        found += [Entity("ip", m.start(), m.end(), m[0]) for m in _IP6.finditer(text) if _is_ip6(m[0])]
     if any(title in text for title in _TITLES):
         found += [Entity("name", m.start(3), m.end(3), m[3], _TITLES[m[1]]) for m in _NAME.finditer(text)]
     found.sort(key=lambda e: (e.start, -e.end))
@@ -240,7 +264,9 @@ def find_entities(text: str) -> list[Entity]:
 
 def _identity(e: Entity) -> tuple[str, str]:
     """What makes two mentions the same entity: case and grouping don't count."""
-    return e.kind, re.sub(r"[\s().-]", "", e.text).lower() if e.kind in ("phone", "card", "iban", "ssn") else e.text.lower()
+    if e.kind == "ip" and ":" in e.text:
+        return e.kind, str(ipaddress.IPv6Address(e.text))
+    return e.kind, re.sub(r"[\s()./-]", "", e.text).lower() if e.kind in ("phone", "card", "iban", "ssn") else e.text.lower()
 
 
 def replace_entities(text: str, key: bytes = KEY) -> tuple[str, list[Entity], int]:

@@ -348,6 +348,29 @@ def test_surrogates_are_consistent_and_of_their_kind():
     assert re.search(r"Mrs\. \w+a \w+a,", new)
 
 
+@pytest.mark.parametrize("number", ["555 123 4567", "06 12 34 56 78", "06.12.34.56.78", "0171 1234567", "0171/1234567", "020 7946 0958", "030 12345678"])
+def test_national_phone_numbers_are_replaced(number):
+    new, entities, _ = pii.replace_entities(f"call {number}, or {number}.")
+    assert [(e.kind, e.text) for e in entities] == [("phone", number)] * 2 and number not in new
+    assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"call {number}, or {number}.") and new[5] == number[0]
+
+
+@pytest.mark.parametrize("address", ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "::ffff:10.20.30.40"])
+def test_ipv6_addresses_are_replaced(address):
+    new, entities, _ = pii.replace_entities(f"from {address}, to {address.upper()}.")
+    assert [e.kind for e in entities] == ["ip", "ip"] and address not in new.lower()
+    a, b = re.fullmatch(r"from (\S+), to (\S+)\.", new).groups()
+    assert a == b and pii._is_ip6(a)
+
+
+@pytest.mark.parametrize("text", [
+    "1 234 567 people", "300 400 5000 6", "10 200 300 4000", "2 500 1000", "12:30:45", "01.02.2003 12:30", "01/02/2003", "x[1::2] y[::2]", "std::abc a::b", "0 1 2 3 4 5 6 7 8 9",
+    "aa:bb:cc:dd:ee:ff", "007 12 34", "01-02-2003", "0.171 1234567",
+])
+def test_plain_numbers_stay(text):
+    assert pii.find_entities(text) == []
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(2, 3000), st.integers(0, 99))
 def test_permutations_are_one_to_one_without_fixed_points(size, key):
