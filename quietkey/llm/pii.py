@@ -5,12 +5,14 @@ entities never share one and an entity gets the same one in every document, with
 of entities. Permutations are conjugated one-step cycles: none maps an entity to itself.
 Cards keep a valid check digit, addresses their octet range, names their script, gender (by
 title) and case. A document whose surrogate would equal another of its entities moves that
-entity one step further, and counts it.
+entity further along the cycle until a free one comes, and counts it. If the entities of a
+document leave none free, all of them take the first step: surrogates stay distinct, but some
+are those of other entities of it. A moved entity has another surrogate there than elsewhere,
+which can be that of another entity in another document.
 """
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import ipaddress
 import re
@@ -184,17 +186,19 @@ def _name_moved(word: str, gender: str, key: bytes, steps: int) -> str:
     script, low = _script(word), word.lower()
     consonants, vowels, endings = _SCRIPTS[script]
     width = -(-len(low) // 4) * 4
-    base = 1 << 11  # code points of the scripts served; others fold in by their hash
-    codes = [ord(c) + 1 if ord(c) + 1 < base else 1 + int.from_bytes(hashlib.sha256(c.encode()).digest()[:2], "big") % (base - 1) for c in low]
+    codes = [ord(c) + 1 for c in low]
+    wide = max(codes) >= 1 << 11  # beyond the code points of the scripts served
+    base = 1 << 21 if wide else 1 << 11
     number = _mixed(codes + [0] * (width - len(low)), [base] * width)
     size = base**width
-    number = Permutation(key, f"name:{script}:{gender}:{width}", size).moved(number, steps)
+    number = Permutation(key, f"name:{script}:{gender}:{width}" + ":wide" * wide, size).moved(number, steps)
     syllables = len(consonants) * len(vowels)
     count = 1
     while syllables**count < size:
         count += 1
     spelt = "".join(consonants[v // len(vowels)] + vowels[v % len(vowels)] for v in _unmixed(number, [syllables] * count))
-    spelt += endings[gender or "n"]
+    # A wide name has an even number of letters, others an odd one: the two never meet.
+    spelt += vowels[0] * wide + endings[gender or "n"]
     return spelt.upper() if word.isupper() and len(word) > 1 else spelt.capitalize()
 
 
@@ -269,11 +273,8 @@ def _identity(e: Entity) -> tuple[str, str]:
     return e.kind, re.sub(r"[\s()./-]", "", e.text).lower() if e.kind in ("phone", "card", "iban", "ssn") else e.text.lower()
 
 
-def replace_entities(text: str, key: bytes = KEY) -> tuple[str, list[Entity], int]:
-    """(text with surrogates, entities, entities moved further because of a collision)."""
-    found = find_entities(text)
-    if not found:
-        return text, found, 0
+def _steps(found: list[Entity], key: bytes) -> dict[tuple[str, str], int]:
+    """How far each entity moves, so that no two surrogates are equal and, if possible, none is an original."""
     originals = {_identity(e) for e in found}
     steps: dict[tuple[str, str], int] = {}
     given: set[tuple[str, str]] = set()
@@ -283,11 +284,20 @@ def replace_entities(text: str, key: bytes = KEY) -> tuple[str, list[Entity], in
             continue
         n = 1
         while (new := _identity(e._replace(text=_surrogate(e, key, n)))) in given or new in originals:
+            if new == me:  # once round the cycle
+                return dict.fromkeys(originals, 1)
             n += 1
-            if n > 64:
-                break
         steps[me] = n
         given.add(new)
+    return steps
+
+
+def replace_entities(text: str, key: bytes = KEY) -> tuple[str, list[Entity], int]:
+    """(text with surrogates, entities, entities moved further because of a collision)."""
+    found = find_entities(text)
+    if not found:
+        return text, found, 0
+    steps = _steps(found, key)
     parts, at = [], 0
     for e in found:
         parts += [text[at : e.start], _surrogate(e, key, steps[_identity(e)])]
@@ -330,8 +340,27 @@ def without_pii(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFr
     return changed.select(*docs.columns)
 
 
+def given_surrogates(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
+    """``(kind, entity, surrogate)`` per entity and document, as ``replace_pii`` writes them there."""
+
+    @F.pandas_udf("array<struct<kind:string,entity:string,surrogate:string>>")
+    def given(texts: pd.Series) -> pd.Series:
+        rows = []
+        for t in texts:
+            found = find_entities(t) if t else []
+            steps = _steps(found, key) if found else {}
+            by = {_identity(e): e for e in found}
+            rows.append([{"kind": m[0], "entity": m[1], "surrogate": _identity(e._replace(text=_surrogate(e, key, steps[m])))[1]} for m, e in by.items()])
+        return pd.Series(rows)
+
+    return docs.select(F.explode(given(F.col(text).cast("string"))).alias("given")).select("given.*")
+
+
 def colliding_surrogates(pairs: DataFrame) -> DataFrame:
-    """Surrogates of ``pairs(kind, entity, surrogate)`` that stand for several entities; none expected."""
+    """Surrogates of ``pairs(kind, entity, surrogate)`` that stand for several entities.
+
+    Of ``given_surrogates`` only those of moved entities can be among them.
+    """
     each = pairs.groupBy("kind", "surrogate", "entity").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") > 1)
 

@@ -395,6 +395,32 @@ def test_no_surrogate_stands_for_two_entities(spark):
     assert len(pairs) > 50 and pii.colliding_surrogates(frame).count() == 0
 
 
+@pytest.mark.parametrize("count", [150, 337, 400, 676])
+def test_many_entities_of_one_small_shape_stay_distinct(count):
+    mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    mails = random.Random(8).sample(mails, count)
+    new, entities, _ = pii.replace_entities(" ".join(mails))
+    assert len(entities) == count and len(set(new.split())) == count
+    assert all(a != b for a, b in zip(mails, new.split(), strict=True))
+    assert count > 338 or not set(mails) & set(new.split())
+
+
+def test_names_of_all_scripts_stay_apart():
+    words = [2 * chr(c) for c in range(0x4E00, 0x6E00)] + [f"{a}{b}o" for a in "ABCDE" for b in "abcdefgh"]
+    spelt = {pii._name_moved(w, "m", pii.KEY, 1) for w in words}
+    assert len(spelt) == len(words)
+
+
+def test_surrogates_really_written_do_not_collide(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pairs = pii.given_surrogates(docs)
+    assert pairs.count() > 50 and pii.colliding_surrogates(pairs).count() == 0
+    text = docs.where("text LIKE '%@%'").first().text
+    new = pii.replace_entities(text)[0].lower()
+    mails = pii.given_surrogates(spark.createDataFrame([(text,)], "text string")).where("kind = 'email'").collect()
+    assert mails and all(r.surrogate in new for r in mails)
+
+
 def test_clean_texts_stay(spark):
     for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
         if not re.search(r"[0-9@]", r.text):
