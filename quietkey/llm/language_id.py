@@ -19,8 +19,8 @@ from quietkey.llm.common import blocks, bounded_sample, fold_remainder, table, t
 
 #: Hashed features, a power of two; lengths of n-grams.
 FEATURES, ORDERS = 1 << 16, (1, 2, 3)
-#: Labelled rows that a fit may use, and how many languages.
-TRAIN_ROWS, MAX_LANGUAGES = 8_000, 256
+#: Labelled rows that a fit may use, characters from the start of each, and how many languages.
+TRAIN_ROWS, TRAIN_CHARS, MAX_LANGUAGES = 8_000, 20_000, 256
 HELD_OUT = 2
 #: FTRL: learning rate, its offset, L1 and L2; passes; feature values are multiplied by SCALE.
 ALPHA, BETA, L1, L2, PASSES, SCALE = 0.5, 1.0, 0.02, 0.1, 3, 8.0
@@ -140,11 +140,25 @@ def _temperature(logits: np.ndarray, label: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit_languages(rows: DataFrame, limit: int = TRAIN_ROWS) -> LanguageModel | None:
-    """A model of ``rows(text, lang)``, all of them training rows; None if there are none.
+def _drawn(rows: DataFrame, limit: int, chars: int) -> DataFrame:
+    """At most ``limit`` of ``rows(id, text, lang)``, their texts cut to ``chars`` characters, with a hash ``h``.
 
-    idf covers all rows. Weights and temperature come from up to about ``limit`` rows, chosen
-    by a hash of text and label, in one task whose input is bounded by that parameter.
+    Rows are drawn one by one, also those that share a text; a row that is there several times
+    with its id counts once if rows are drawn at all.
+    """
+    sample = bounded_sample(rows, limit, SEED, "id", "text", "lang")
+    if sample is not rows:
+        sample = sample.withColumn("draw", F.xxhash64(F.lit(SEED + 1), "id", "text", "lang"))
+        sample = sample.dropDuplicates(["draw"]).orderBy("draw").limit(limit)
+    return sample.select(F.substring("text", 1, chars).alias("text"), "lang", F.xxhash64("text").alias("h"))
+
+
+def fit_languages(rows: DataFrame, limit: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> LanguageModel | None:
+    """A model of ``rows(id, text, lang)``, all of them training rows; None if there are none.
+
+    idf covers all rows. Weights and temperature come from up to ``limit`` rows, chosen by a
+    hash of id, text and label, and up to ``chars`` characters of each, in one task whose input
+    these parameters bound. More than ``MAX_LANGUAGES`` languages are refused.
     """
     languages = [r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(languages) > MAX_LANGUAGES:
@@ -153,7 +167,7 @@ def fit_languages(rows: DataFrame, limit: int = TRAIN_ROWS) -> LanguageModel | N
         return None
     languages.sort()
     idf = _idf(rows)
-    sample = bounded_sample(rows, limit, SEED, "text", "lang").select("text", "lang", F.xxhash64("text").alias("h"))
+    sample = _drawn(rows, limit, chars)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
@@ -202,7 +216,7 @@ def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang",
     one; columns named like the results are replaced.
     """
     learn = docs.where((fold_remainder(F.col(doc_id)) != HELD_OUT) & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    model = fit_languages(learn.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")))
+    model = fit_languages(learn.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")))
     named = docs.withColumns({"held_out": fold_remainder(F.col(doc_id)) == HELD_OUT, "lang_pred": predict(text_or_empty(text), model)})
     return named.withColumn("score", F.col("lang_pred.score")).withColumn("lang_pred", F.col("lang_pred.lang"))
 

@@ -438,6 +438,18 @@ def test_languages_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_sample_is_bounded(spark):
+    """A text that holds half of all rows is drawn by its share; rows and characters are bounded."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 2000, "same text " * 99).otherwise(F.concat(F.lit("text "), "id")).alias("text"), F.lit("en").alias("lang"))
+    got = language_id._drawn(rows.unionByName(rows.limit(1).crossJoin(spark.range(500).select()).select("id", "text", "lang")), 400, 50).collect()
+    assert 300 < len(got) <= 400 and max(len(r.text) for r in got) <= 50
+    assert 100 < sum(r.text.startswith("same") for r in got) < 300
+    again = language_id._drawn(rows.repartition(7), 400, 50).collect()
+    assert sorted(again) == sorted(language_id._drawn(rows.coalesce(1), 400, 50).collect())
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
