@@ -161,7 +161,8 @@ def mix_plan(docs: DataFrame, shards: int | None = None, text: str = "text", sou
     A null text has size 0; a null source is a source of its own, the last; rows without words
     are placed but add nothing. A source without words has target 0. Repeated rows share their
     hash and so their block, and are cut apart only in a last block. An empty table gives an
-    empty result; other columns are not read. Every rerun gives the same rows.
+    empty result; other columns are not read. Every rerun gives the same rows. More than
+    ``MAX_SOURCES`` distinct sources are refused with a ValueError.
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *(c.alias(n) for n, c in _marked(docs, "mark", source, text, doc_id).items()))
     return plan_mix(written(sized, "sizes"), shards).drop("mark")
@@ -170,7 +171,8 @@ def mix_plan(docs: DataFrame, shards: int | None = None, text: str = "text", sou
 def mix(docs: DataFrame, shards: int | None = None, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with ``shard`` and ``place``.
 
-    ``place`` orders a shard. Columns with these names are replaced.
+    ``place`` orders a shard. Columns with these names are replaced. More than ``MAX_SOURCES``
+    distinct sources are refused with a ValueError.
     """
     docs = docs.drop("shard", "place")
     key, size, homes = free_name(docs, "mix_key"), free_name(docs, "mix_size"), free_name(docs, "mix_homes")
