@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quietkey.llm import decontamination, language_id, mixing, pii, quality, secret_scan, simhash, token_counts, toxicity, url_filters
+from quietkey.llm import alignment, decontamination, language_id, mixing, pieces, pii, prefix_trie, quality, secret_scan, simhash, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_pii": pii.op9_pii,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_pieces": pieces.op12_pieces,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {
     "op3_url_filters": url_filters.SQL,

@@ -2,9 +2,9 @@
 
 import pytest
 
-from quietkey.llm import decontamination, language_id, mixing, pii, quality, secret_scan, simhash, token_counts, toxicity, url_filters
+from quietkey.llm import alignment, decontamination, language_id, mixing, pieces, pii, quality, secret_scan, simhash, token_counts, toxicity, url_filters
 
-NAMES = "row fp quality secrets pii leaks shard place mix_key mix_size host path rule verdict digest n_tokens score held_out component_id hash found"
+NAMES = "row fp quality secrets pii leaks shard place mix_key mix_size host path rule verdict digest n_tokens score held_out component_id hash found ids decoded groups links block"
 LONG = "many different words follow here " * 4000
 ROWS = [
     (1, "some plain text about nothing in particular", "en", "a", 43),
@@ -37,6 +37,8 @@ def labels(spark):
 PER_ROW = {
     "secrets": lambda s, d: secret_scan.scan_secrets(d),
     "tokens": lambda s, d: token_counts.count_tokens(d),
+    "pieces": lambda s, d: pieces.decode_pieces(pieces.encode_pieces(d)),
+    "alignment": lambda s, d: alignment.align_documents(d),
     "quality": lambda s, d: quality.judge_quality(d),
     "simhash": lambda s, d: simhash.link_documents(d),
     "mixing": lambda s, d: mixing.mix_plan(d),
