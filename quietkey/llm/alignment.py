@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +31,17 @@ from quietkey.llm.common import table, text_or_empty, written
 
 #: Characters of a block of documents, about; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 20
-#: Stretches, and links in them, that a worker remembers.
-REMEMBERED, LINKS_REMEMBERED = 1 << 18, 1 << 23
+#: Stretches, links in them, and words with their ids that a worker remembers.
+REMEMBERED, LINKS_REMEMBERED, WORDS_REMEMBERED = 1 << 19, 1 << 23, 1 << 18
 #: Texts are cut into stretches in parts of about so many characters.
 PART = 1 << 18
 #: A pair of ids in one number: the first id times this, plus the second.
 SECOND = 1 << 31
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WIDE = re.compile(r"\s\s")
+#: Behind a letter neither tokenizer joins a mark of ASCII to it.
+_MARK = regex.compile(r"(?<=\p{L})(?=[!-/:-@\[-`{-~])")
+
 
 def common_cuts(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[list[int], list[int]]:
     """Where the groups of two token lists of equal bytes end, as indexes behind their last tokens."""
@@ -93,7 +97,10 @@ class Aligner:
         ids = range(self.tokenizer.get_vocab_size())
         self.bytes_a = [b"" if symbol(i) in special else bytes(byte[c] for c in symbol(i)) for i in ids]
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_b = pieces.piece_table(path_b).token_bytes
+        self.coder = pieces.coder(path_b)
+        self.bytes_b = self.coder.table.token_bytes
+        self.marks_apart = not any(_MARK.search(p) for p in self.coder.table.scores)
+        self.ids: dict[str, tuple[list[int], list[int]]] = {}
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.forget()
 
@@ -105,9 +112,23 @@ class Aligner:
         self.links = array("q")
 
     def _ids(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.tokenizer.encode_batch(stretches, add_special_tokens=False)]
-        b = self.pieces.encode([x[1:] for x in stretches], num_threads=1)  # which adds the blank itself
-        return a, [x or self.pieces.piece_to_id([pieces.BLANK]) for x in b]
+        """The ids of stretches, put together from those of their words and marks."""
+        parts = [_MARK.split(x) if self.marks_apart else [x] for x in stretches]
+        if new := sorted(set(chain.from_iterable(parts)).difference(self.ids)):
+            if len(self.ids) > WORDS_REMEMBERED:
+                self.ids, new = {}, sorted(set(chain.from_iterable(parts)))
+            a = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            # The library adds a blank to what it reads; the rest is read as it stands.
+            words = [x for x in new if x[0] == " " and len(x) > 1]
+            b = dict(zip(words, self.pieces.encode([x[1:] for x in words], num_threads=1), strict=True))
+            self.ids.update((x, (of_a, b[x] if x in b else self._marked(x))) for x, of_a in zip(new, a, strict=True))
+        known = self.ids
+        both = [known[x[0]] if len(x) == 1 else tuple(list(chain.from_iterable(known[y][k] for y in x)) for k in (0, 1)) for x in parts]
+        return [x for x, _ in both], [x for _, x in both]
+
+    def _marked(self, text: str) -> list[int]:
+        chunks = self.coder.table.chunk.findall(text.replace(" ", pieces.BLANK))
+        return list(chain.from_iterable(self.coder.of_chunks(chunks)))
 
     def _learn(self, stretches: list[str]) -> None:
         """Aligns ``stretches``, one behind the other, in one go."""
