@@ -11,22 +11,23 @@ The vocabulary file is a parameter.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietkey.llm.common import table, text_or_empty
+from quietkey.llm.common import free_name, table, text_or_empty
 
 VOCABULARY = "piece_bpe_32k.model"
 #: How the format writes a blank.
 BLANK = "▁"
 #: Chunks and pairs that a worker remembers, and the longest chunk that it does.
-REMEMBERED, LONGEST = 1 << 18, 256
+REMEMBERED, LONGEST = 1 << 17, 256
 #: A text is read in stretches of about so many characters.
 STRETCH = 1 << 18
 
@@ -64,11 +65,8 @@ class PieceTable:
         self.automaton.make_automaton()
         self.singles = {p for p in plain if len(p) == 1}
         self.tests: dict[int, bool] = {}
-        # No merge crosses the edge of a character that no longer piece holds.
-        joined = set(chain.from_iterable(p for p in plain if len(p) > 1))
-        alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in joined)
         inner = any(BLANK in p.lstrip(BLANK) for p in plain)
-        self.chunk = re.compile(".+" if inner else f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+|[{alone}]", re.DOTALL)
+        self.chunk = re.compile(".+" if inner else _chunk_pattern(plain), re.DOTALL)
         self.edge = None if inner else re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
 
     def _apart(self, left: str, right: str) -> bool:
@@ -124,6 +122,33 @@ class PieceTable:
         return ids + self._known(chunk[start:])
 
 
+def _chunk_pattern(vocabulary: Iterable[str]) -> str:
+    """Cuts marked text where no merge can cross: at blanks, and between characters that no chain
+    of neighbours within pieces connects, such as letters and punctuation."""
+    leader: dict[str, str] = {}
+
+    def lead(c: str) -> str:
+        while leader.setdefault(c, c) != c:
+            c = leader[c]
+        return c
+
+    for piece in vocabulary:
+        text = piece.lstrip(BLANK)
+        for x, y in zip(text, text[1:], strict=False):
+            leader[lead(x)] = lead(y)
+    groups: dict[str, set[str]] = {}
+    for c in leader:
+        groups.setdefault(lead(c), set()).add(c)
+    ascii_ = set(map(chr, range(128))) - {BLANK}
+    alone = sorted(ascii_.difference(leader))
+    *others, _ = sorted((sorted(g) for g in groups.values() if g & ascii_), key=len)
+    sets = ["".join(map(re.escape, g)) for g in others]
+    rest = f"[^{BLANK}{''.join(map(re.escape, alone))}{''.join(sets)}]+"
+    runs = "|".join([rest, *(f"[{g}]+" for g in sets)])
+    single = f"|[{''.join(map(re.escape, alone))}]" if alone else ""
+    return f"{BLANK}*(?:{runs})|{BLANK}+{single}"
+
+
 @lru_cache(maxsize=4)
 def piece_table(path: str) -> PieceTable:
     return PieceTable(path)
@@ -143,12 +168,12 @@ class PieceCoder:
             self.known[chunk] = ids
         return ids
 
-    def of_chunks(self, chunks: Iterable[str]) -> Iterator[tuple[int, ...]]:
+    def of_chunks(self, chunks: Iterable[str]) -> list[tuple[int, ...]]:
         """The ids of every chunk; those not met for a while are forgotten."""
         if len(self.known) >= REMEMBERED:
             self.older, self.known = self.known, {}
-        known, learn = self.known, self._learn
-        return (known.get(c) or learn(c) for c in chunks)
+        known, learn = self.known.get, self._learn
+        return [known(c) or learn(c) for c in chunks]
 
     def _stretches(self, marked: str) -> Iterator[str]:
         start = 0
@@ -158,13 +183,15 @@ class PieceCoder:
             yield marked[start:end]
             start = end
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> array:
         """Ids of ``text`` with the end id; an empty text has that one only."""
-        marked = BLANK + text.replace(" ", BLANK) if text else ""
-        parts = [np.fromiter(chain.from_iterable(self.of_chunks(self.table.chunk.findall(s))), np.int32) for s in self._stretches(marked)]
-        return np.concatenate([*parts, np.array([self.table.end], np.int32)])
+        marked, ids = BLANK + text.replace(" ", BLANK) if text else "", array("i")
+        for stretch in self._stretches(marked):
+            ids.extend(chain.from_iterable(self.of_chunks(self.table.chunk.findall(stretch))))
+        ids.append(self.table.end)
+        return ids
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ``ids``: pieces and bytes in a row, without the blank of a first piece.
 
         Control ids part runs of bytes; bytes that are no UTF-8 give U+FFFD each.
@@ -208,25 +235,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def piece_ids(text: Column, path: str) -> Column:
-    """Ids of ``text`` with the end id, as the vocabulary file's library gives them."""
-
-    @F.pandas_udf("array<int>")
-    def encoded(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(map(coder(path).encode, texts)), dtype=object)
-
-    return encoded(text)
+def _encoded(texts: Iterable[pa.Scalar], path: str) -> Iterator[array]:
+    return (coder(path).encode(t.as_py() or "") for t in texts)
 
 
-def piece_text(ids: Column, path: str) -> Column:
-    """The text that ``ids`` stand for."""
-
-    @F.pandas_udf("string")
-    def decoded(rows: pd.Series) -> pd.Series:
-        decode = coder(path).decode
-        return pd.Series([decode(x.tolist()) for x in rows], dtype=object)
-
-    return decoded(ids)
+def _lists(rows: Iterable[array]) -> pa.ListArray:
+    """One Arrow array of all ids, a list per row."""
+    ids, ends = array("i"), array("i", [0])
+    for row in rows:
+        ids.extend(row)
+        ends.append(len(ids))
+    return pa.ListArray.from_arrays(np.asarray(ends, np.int32), np.asarray(ids, np.int32))
 
 
 def encode_pieces(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -237,18 +256,48 @@ def encode_pieces(docs: DataFrame, path: str | None = None, text: str = "text")
     and ties don't matter, an empty table gives an empty result, other columns stay, a column
     ``ids`` is replaced. No shuffle.
     """
-    return docs.withColumn("ids", piece_ids(text_or_empty(text), path or default_vocabulary()))
+    path = path or default_vocabulary()
+
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        return _lists(_encoded(texts, path))
+
+    return docs.withColumn("ids", ids(text_or_empty(text)))
 
 
 def decode_pieces(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the text of its ids; null ids count as none."""
-    held = F.coalesce(F.col(ids), F.array().cast("array<int>"))
-    return encoded.withColumn("decoded", piece_text(held, path or default_vocabulary()))
+    path = path or default_vocabulary()
+
+    @F.arrow_udf("string")
+    def decoded(rows: pa.Array) -> pa.Array:
+        return pa.array((coder(path).decode(x.as_py()) for x in rows), pa.string())
+
+    return encoded.withColumn("decoded", decoded(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+
+
+def code_pieces(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """``encode_pieces`` and ``decode_pieces`` in one pass: ``docs`` with ``ids`` and ``decoded``."""
+    path = path or default_vocabulary()
+
+    @F.arrow_udf("struct<ids array<int>, decoded string>")
+    def coded(texts: pa.Array) -> pa.Array:
+        decoded = []
+
+        def both() -> Iterator[array]:
+            for row in _encoded(texts, path):
+                decoded.append(coder(path).decode(row))
+                yield row
+
+        return pa.StructArray.from_arrays([_lists(both()), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    pair = free_name(docs, "coded")
+    return docs.withColumn(pair, coded(text_or_empty(text))).withColumns({n: F.col(f"{pair}.{n}") for n in ("ids", "decoded")}).drop(pair)
 
 
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return decode_pieces(encoded.select("doc_id", "ids")).select(
+    coded = code_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),

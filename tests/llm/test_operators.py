@@ -38,6 +38,7 @@ PER_ROW = {
     "secrets": lambda s, d: secret_scan.scan_secrets(d),
     "tokens": lambda s, d: token_counts.count_tokens(d),
     "pieces": lambda s, d: pieces.decode_pieces(pieces.encode_pieces(d)),
+    "pieces_both": lambda s, d: pieces.code_pieces(d),
     "alignment": lambda s, d: alignment.align_documents(d),
     "quality": lambda s, d: quality.judge_quality(d),
     "simhash": lambda s, d: simhash.link_documents(d),
