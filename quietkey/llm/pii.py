@@ -23,9 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietkey.llm.common import free_name, table
+from quietkey.llm.common import free_name, table, written
 
-KEY = b"replace this key in production"
+#: Where a session names its key; the queries use the key for trials if it has none.
+KEY_SETTING, TRIAL_KEY = "spark.quietkey.surrogate.key", b"for trials on synthetic tables only"
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "name")
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
@@ -51,6 +52,8 @@ _TITLES = {
 }
 _NAME = re.compile(rf"(?<!\w)({'|'.join(_TITLES)})(\.?[  ])([^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})")
 
+_WORD = re.compile(r"[^\W\d_]+")
+
 _DIGITS, _LATIN = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Consonants, vowels and endings by gender of generated names, by script.
 _SCRIPTS = {
@@ -224,7 +227,7 @@ def _surrogate(e: Entity, key: bytes, steps: int = 1) -> str:
         return _digits_moved(e.text, 0, key, "ssn", steps)
     if e.kind == "iban":
         return _shape_moved(e.text, 2, key, "iban", steps)
-    return re.sub(r"[^\W\d_]+", lambda m: _name_moved(m[0], e.gender, key, steps), e.text)
+    return _WORD.sub(lambda m: _name_moved(m[0], e.gender, key, steps), e.text)
 
 
 def _is_ip6(text: str) -> bool:
@@ -266,72 +269,104 @@ def find_entities(text: str) -> list[Entity]:
     return out
 
 
+def _units(found: list[Entity]) -> list[Entity]:
+    """What is replaced as one: names word by word, anything else whole."""
+    return [
+        Entity("name", e.start + m.start(), e.start + m.end(), m[0], e.gender) if e.kind == "name" else e
+        for e in found
+        for m in (_WORD.finditer(e.text) if e.kind == "name" else (None,))
+    ]
+
+
+def _with_mentions(text: str, found: list[Entity]) -> list[Entity]:
+    """``found`` with all other mentions of the words of its names, in a row.
+
+    A title without gender takes that of the name's other titles, and a word without any title
+    that of the first name which has it.
+    """
+    gender: dict[str, str] = {}
+    for e in sorted((e for e in found if e.kind == "name"), key=lambda e: e.gender == "n"):
+        for word in _WORD.findall(e.text):
+            gender.setdefault(word.lower(), e.gender)
+    if not gender:
+        return found
+    named = [e._replace(gender=gender[_WORD.findall(e.text)[-1].lower()]) if e.kind == "name" and e.gender == "n" else e for e in found]
+    words = {w for e in found if e.kind == "name" for w in _WORD.findall(e.text)}
+    words |= {w.upper() for w in words}
+    out, at = [], 0
+    for m in _WORD.finditer(text):
+        if m[0] in words:
+            while at < len(named) and named[at].end <= m.start():
+                at += 1
+            if at == len(named) or m.end() <= named[at].start:
+                out.append(Entity("name", m.start(), m.end(), m[0], gender[m[0].lower()]))
+    return sorted([*named, *out], key=lambda e: e.start)
+
+
 def _identity(e: Entity) -> tuple[str, str]:
-    """What makes two mentions the same entity: case and grouping don't count."""
+    """What the surrogate depends on: case and grouping don't count, the gender of a name does."""
+    if e.kind == "name":
+        return e.kind, f"{e.gender or 'n'}:{e.text.lower()}"
     if e.kind == "ip" and ":" in e.text:
         return e.kind, str(ipaddress.IPv6Address(e.text))
     return e.kind, re.sub(r"[\s()./-]", "", e.text).lower() if e.kind in ("phone", "card", "iban", "ssn") else e.text.lower()
 
 
-def _steps(found: list[Entity], key: bytes) -> dict[tuple[str, str], int]:
-    """How far each entity moves, so that no two surrogates are equal and, if possible, none is an original."""
-    originals = {_identity(e) for e in found}
-    steps: dict[tuple[str, str], int] = {}
-    given: set[tuple[str, str]] = set()
-    for e in found:
-        me = _identity(e)
-        if me in steps:
-            continue
-        n = 1
-        while (new := _identity(e._replace(text=_surrogate(e, key, n)))) in given or new in originals:
-            if new == me:  # once round the cycle
-                return dict.fromkeys(originals, 1)
-            n += 1
-        steps[me] = n
-        given.add(new)
-    return steps
-
-
-def replace_entities(text: str, key: bytes = KEY) -> tuple[str, list[Entity], int]:
-    """(text with surrogates, entities, entities moved further because of a collision)."""
+def replace_entities(text: str, key: bytes) -> tuple[str, list[Entity], list[tuple[str, str, str]]]:
+    """(text with surrogates, entities by place, (kind, entity, surrogate) of each entity once).
+
+    A surrogate depends on its entity alone and never equals it; two entities have two
+    surrogates, within a text and across texts.
+    """
     found = find_entities(text)
     if not found:
-        return text, found, 0
-    steps = _steps(found, key)
-    parts, at = [], 0
-    for e in found:
-        parts += [text[at : e.start], _surrogate(e, key, steps[_identity(e)])]
+        return text, found, []
+    found = _with_mentions(text, found)
+    parts, at, given = [], 0, {}
+    for e in _units(found):
+        me = _identity(e)
+        new = _surrogate(e, key)
+        given.setdefault(me, _identity(e._replace(text=new))[1])
+        parts += [text[at : e.start], new]
         at = e.end
-    return "".join(parts) + text[at:], found, sum(n > 1 for n in steps.values())
+    return "".join(parts) + text[at:], found, [(*me, new) for me, new in given.items()]
+
 
+_OUT = f"text string, {', '.join(f'n_{k} long' for k in KINDS)}, given array<struct<kind:string,entity:string,surrogate:string>>"
 
-_OUT = f"text string, {', '.join(f'n_{k} long' for k in KINDS)}, n_moved long"
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names in ``spark.quietkey.surrogate.key``, else the one for trials."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else TRIAL_KEY
 
-def replace_pii(docs: DataFrame, key: bytes = KEY, text: str = "text", out: str = "pii") -> DataFrame:
-    """``docs`` with one struct ``out``: the new text, counts by kind, entities moved further.
 
-    A null text stays null and an empty one empty, both without entities. Equal texts get equal
+def replace_pii(docs: DataFrame, key: bytes, text: str = "text", out: str = "pii") -> DataFrame:
+    """``docs`` with one struct ``out``: the new text, mentions by kind, surrogates ``given``.
+
+    A name is found after a title; its words are then replaced wherever they stand in the text. A
+    null text stays null and an empty one empty, both without entities. Equal texts get equal
     results and rows are changed one by one: repeated rows and ties don't matter, an empty
     table gives an empty result, other columns stay; a column named like ``out`` is replaced.
-    ``key`` decides all replacements; whoever has it can undo them. No shuffle.
+    ``given`` has kind, entity and surrogate of each entity once. ``key`` decides all
+    replacements; whoever has it can undo them. No shuffle.
     """
 
     @F.pandas_udf(_OUT)
     def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = ["text", *(f"n_{k}" for k in KINDS), "n_moved"]
+        names = ["text", *(f"n_{k}" for k in KINDS), "given"]
         for texts in batches:
             rows = []
             for t in texts:
-                new, found, moved = replace_entities(t, key) if t is not None else (None, [], 0)
+                new, found, given = replace_entities(t, key) if t is not None else (None, [], [])
                 kinds = [e.kind for e in found]
-                rows.append((new, *(kinds.count(k) for k in KINDS), moved))
+                rows.append((new, *(kinds.count(k) for k in KINDS), [dict(zip(("kind", "entity", "surrogate"), g, strict=True)) for g in given]))
             yield pd.DataFrame(rows, columns=names)
 
     return docs.withColumn(out, replaced(F.col(text).cast("string")))
 
 
-def without_pii(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
+def without_pii(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in their texts and the same columns; ``n_chars`` follows the text."""
     out = free_name(docs, "pii")
     changed = replace_pii(docs, key, text, out).withColumn(text, F.col(f"{out}.text"))
@@ -340,31 +375,21 @@ def without_pii(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFr
     return changed.select(*docs.columns)
 
 
-def given_surrogates(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
-    """``(kind, entity, surrogate)`` per entity and document, as ``replace_pii`` writes them there."""
-
-    @F.pandas_udf("array<struct<kind:string,entity:string,surrogate:string>>")
-    def given(texts: pd.Series) -> pd.Series:
-        rows = []
-        for t in texts:
-            found = find_entities(t) if t else []
-            steps = _steps(found, key) if found else {}
-            by = {_identity(e): e for e in found}
-            rows.append([{"kind": m[0], "entity": m[1], "surrogate": _identity(e._replace(text=_surrogate(e, key, steps[m])))[1]} for m, e in by.items()])
-        return pd.Series(rows)
-
-    return docs.select(F.explode(given(F.col(text).cast("string"))).alias("given")).select("given.*")
-
-
-def colliding_surrogates(pairs: DataFrame) -> DataFrame:
-    """Surrogates of ``pairs(kind, entity, surrogate)`` that stand for several entities.
-
-    Of ``given_surrogates`` only those of moved entities can be among them.
-    """
-    each = pairs.groupBy("kind", "surrogate", "entity").agg(F.count(F.lit(1)).alias("n"))
+def colliding_surrogates(given: DataFrame) -> DataFrame:
+    """``(kind, surrogate, entities)``: surrogates of ``given(kind, entity, surrogate)`` that stand for several entities."""
+    each = given.groupBy("kind", "surrogate", "entity").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") > 1)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = replace_pii(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw")), text="raw")
-    return replaced.select("doc_id", "pii.*")
+    """The changed documents; ``n_colliding`` of a document's surrogates stand for other entities
+    too, ``n_original`` are themselves entities somewhere in the table."""
+    replaced = replace_pii(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw")), session_key(spark), text="raw")
+    stored = written(replaced.select("doc_id", "pii.*").withColumn("row", F.monotonically_increasing_id()), "surrogates")
+    given = stored.select("row", F.inline("given"))
+    shared = colliding_surrogates(given).select("kind", "surrogate", F.lit(1).alias("n_colliding"), F.lit(0).alias("n_original"))
+    original = given.select("kind", F.col("entity").alias("surrogate")).distinct().select("*", F.lit(0).alias("n_colliding"), F.lit(1).alias("n_original"))
+    counts = [F.sum(c).alias(c) for c in ("n_colliding", "n_original")]
+    met = given.join(shared.unionByName(original), ["kind", "surrogate"]).groupBy("row").agg(*counts)
+    counted = stored.join(met, "row", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_colliding", "n_original")})
+    return counted.drop("row", "given")

@@ -1,7 +1,7 @@
 """Secret scans: decode nested layers until nothing new appears and rescan each of them.
 
 A text is the first layer of a worklist. Every layer is searched, then unwrapped: percent
-escapes, ``\\u``/``\\x``/``&#`` escapes, base64 (plain and url-safe). Bytes that base64 or percent
+escapes, ``\\u``, ``\\U``, ``\\x``, octal, ``%u`` and HTML escapes, base64 (plain and url-safe). Bytes that base64 or percent
 escapes give are layers too: gzip, zlib and bz2 are opened, all members of them, until what
 comes out is not compressed. A layer knows where each of its characters lies in the text it
 came from, so findings carry spans of the original text. Layers already seen are not opened
@@ -17,11 +17,12 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import html.entities
 import re
 import urllib.parse
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -42,7 +43,14 @@ _BASE = (
 #: A text without one of these has no match of the kind.
 _NEEDS = (("password", "passwd", "secret", "token", "apikey", "api_key"), ("AKIA",), ("",))
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(
+    r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|%u([0-9A-Fa-f]{4})|&#x([0-9A-Fa-f]{1,6});"
+    r"|&#([0-9]{1,7});|\\([0-3][0-7]{2})|&([A-Za-z][A-Za-z0-9]{1,31};)"
+)
+#: A text without one of these has no such escape.
+_ESCAPED = re.compile(r"\\[uxU0-3]|%u|&[#A-Za-z]")
+#: Characters of UTF-16 up to U+00FF among other bytes, in both byte orders.
+_WIDE = re.compile(rb"(?:[\t-\r\x20-\x7e\xa0-\xff]\x00){12,}+|(?:\x00[\t-\r\x20-\x7e\xa0-\xff]){12,}+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")  # no finding is shorter than 12 bytes
 _URL_SAFE = str.maketrans("-_", "+/")
 #: Lines of base64; the breaks may be escapes, as in JSON, and lines indented.
@@ -62,10 +70,10 @@ _PERCENT_PACKED = re.compile(
 )
 _GZIP, _BZIP = b"\x1f\x8b\x08", re.compile(rb"BZh[1-9](?:1AY&SY|\x17rE8P\x90)")
 #: Compressed bytes are fed in pieces of this size.
-_PIECE = 1 << 14
+_PIECE, _CHUNK = 1 << 14, 1 << 20
 
-#: A compressed layer is opened up to so many bytes; a longer one is reported as incomplete.
-MAX_LAYER_BYTES = 1 << 26
+#: A compressed layer is searched in windows of so many bytes, which share their last so many.
+WINDOW_BYTES, SHARED_BYTES = 1 << 25, 1 << 20
 
 
 class Layer(NamedTuple):
@@ -149,16 +157,16 @@ def _copy(layer: Layer, start: int, end: int, size: int, parts: list, marks: lis
         i += 1
 
 
-def _from_percent(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _from_percent(m: re.Match) -> str:
+    """A run of escapes as text; bytes that aren't UTF-8 give U+FFFD each and part nothing else."""
+    return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
 
 
 def _from_escape(m: re.Match) -> str | None:
-    digits = m[1] or m[2] or m[3] or m[4]
-    code = int(digits, 16) if digits else int(m[5])
+    if m[9]:
+        return html.entities.html5.get(m[9])
+    digits = next((m[i] for i in range(1, 7) if m[i]), None)
+    code = int(digits, 16) if digits else int(m[7]) if m[7] else int(m[8], 8)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
@@ -173,29 +181,38 @@ def _format(data: bytes, at: int) -> str:
     return "zlib" if len(head) == 2 and head[0] & 0x8F == 8 and not head[1] & 32 and (head[0] << 8 | head[1]) % 31 == 0 else ""
 
 
-def _stream(data: bytes, at: int, limit: int) -> tuple[bytes, int]:
-    """What the one stream at ``at`` holds and where it ends.
+def _chunks(data: bytes, at: int) -> Generator[bytes, None, int]:
+    """What the one stream at ``at`` holds, in bounded pieces; returns where it ends.
 
-    The end is -1 if the stream is cut off or holds more than ``limit`` bytes, -2 if it is damaged.
+    The end is -1 if the stream is cut off, -2 if it is damaged.
     """
     zipped = _format(data, at) == "bz2"
     opened = bz2.BZ2Decompressor() if zipped else zlib.decompressobj(47)
-    parts, room = [], limit
     while at < len(data) and not opened.eof:
         piece = data[at : at + _PIECE]
         at += len(piece)
-        before = None if zipped else opened.copy()
+        while True:
+            before = None if zipped else opened.copy()
+            try:
+                new = opened.decompress(piece, _CHUNK)
+            except (zlib.error, OSError):
+                if before:
+                    yield _up_to_damage(before, piece, _CHUNK)
+                return -2
+            yield new
+            piece = b"" if zipped else opened.unconsumed_tail
+            if opened.eof or (opened.needs_input if zipped else not piece and len(new) < _CHUNK):
+                break
+    return at - len(opened.unused_data) if opened.eof else -1
+
+
+def _cut_off(data: bytes, at: int) -> bool:
+    chunks = _chunks(data, at)
+    while True:
         try:
-            new = opened.decompress(piece, room + 1)
-        except (zlib.error, OSError):
-            if before:
-                parts.append(_up_to_damage(before, piece, room))
-            return b"".join(parts), -2
-        parts.append(new[:room])
-        if len(new) > room:
-            return b"".join(parts), -1
-        room -= len(new)
-    return b"".join(parts), at - len(opened.unused_data) if opened.eof else -1
+            next(chunks)
+        except StopIteration as done:
+            return done.value == -1
 
 
 def _up_to_damage(opened, piece: bytes, room: int) -> bytes:
@@ -210,31 +227,89 @@ def _up_to_damage(opened, piece: bytes, room: int) -> bytes:
     return bytes(out[:room])
 
 
-def _unpacked(data: bytes, at: int, limit: int) -> tuple[bytes, int, bool] | None:
-    """All members from ``at`` on as one, where they end, and whether they were opened whole.
+def _members(data: bytes, at: int) -> Generator[bytes, None, tuple[int, bool] | None]:
+    """All members from ``at`` on in bounded pieces; returns where they end and if they are whole.
 
-    None if the bytes only look compressed. Members of one format that follow each other
-    belong together, as pigz and pbzip2 write them; ``limit`` holds for all of them.
+    Returns None if the bytes only look compressed. Members of one format that follow each other
+    belong together, as pigz and pbzip2 write them.
     """
-    kind, parts, room = _format(data, at), [], limit
+    kind, known = _format(data, at), False
     while kind:
-        out, end = _stream(data, at, room)
-        if end < 0 and kind == "zlib" and not out and (end == -2 or data[at] != 0x78):
+        held, chunks = 0, _chunks(data, at)
+        while True:
+            try:
+                new = next(chunks)
+            except StopIteration as done:
+                end = done.value
+                break
+            held += len(new)
+            yield new
+        if end < 0 and kind == "zlib" and not held and (end == -2 or data[at] != 0x78):
             break  # two bytes by chance
-        parts.append(out)
-        room -= len(out)
+        known = True
         if end < 0:
-            return b"".join(parts), len(data), False
+            return len(data), False
         at = end
         while kind == "gzip" and data.startswith(b"\0", at):  # padding between members
             at += 1
         if _format(data, at) != kind:
             break
-    return (b"".join(parts), at, True) if parts else None
+    return (at, True) if known else None
+
+
+class Opened(NamedTuple):
+    """The first bytes of a compressed layer, where it ends, if it is whole, and if it holds more."""
+
+    head: bytes
+    end: int
+    whole: bool
+    more: bool
+
+
+def _unpacked(data: bytes, at: int, window: int) -> Opened | None:
+    """All members from ``at`` on, of which up to ``window`` bytes are kept; None without any."""
+    if not _format(data, at):
+        return None
+    parts, room, size, members = [], window, 0, _members(data, at)
+    while True:
+        try:
+            new = next(members)
+        except StopIteration as done:
+            return Opened(b"".join(parts), *done.value, size > window) if done.value else None
+        size += len(new)
+        if room:
+            parts.append(new[:room])
+            room -= len(parts[-1])
+
+
+def _windows(data: bytes, window: int) -> Iterator[bytes]:
+    """What the members at the start hold, in windows that share their ends."""
+    shared, held, fresh = min(SHARED_BYTES, window // 2), bytearray(), 0
+    for new in _members(data, 0):
+        held += new
+        fresh += len(new)
+        while len(held) >= window:
+            yield bytes(held[:window])
+            del held[: window - shared]
+            fresh = len(held) - shared
+    if fresh > 0:
+        yield bytes(held)
+
+
+def _wide_text(data: bytes) -> str | None:
+    """``data`` as UTF-16 if it begins with its mark or nearly every second byte is zero."""
+    if len(data) < 4:
+        return None
+    for order, mark, zeros in (("utf-16-le", b"\xff\xfe", data[1::2]), ("utf-16-be", b"\xfe\xff", data[::2])):
+        if data.startswith(mark) or zeros.count(0) * 10 >= len(zeros) * 9 and data.count(0) <= len(zeros) + 1:
+            return data[: len(data) // 2 * 2].decode(order, "replace").removeprefix("\ufeff")
+    return None
 
 
 def _text(layer: Packed) -> str | None:
     """The layer as text: control characters and bytes that aren't UTF-8 pass if a stream held them."""
+    if wide := _wide_text(layer.data):
+        return wide
     if layer.opened:
         return layer.data.decode("utf-8", "replace") or None
     try:
@@ -244,15 +319,15 @@ def _text(layer: Packed) -> str | None:
     return text if text and _PRINTABLE.fullmatch(text) else None
 
 
-def _from_packed(layer: Packed, limit: int) -> Iterator[tuple[Layer | Packed, bool]]:
+def _from_packed(layer: Packed, window: int) -> Iterator[tuple[Layer | Packed, bool]]:
     """The bytes of a compressed layer, else its text; bytes behind the last member are kept."""
     at, text = (layer.start, layer.end), _text(layer)
-    got = _unpacked(layer.data, 0, limit)
-    if got and (got[2] or layer.opened or text is None):
-        out, end, whole = got
-        yield Packed(out, *at, True), whole
-        if end < len(layer.data):
-            yield Packed(layer.data[end:], *at, layer.opened), True
+    got = _unpacked(layer.data, 0, window)
+    if got and (got.whole or layer.opened or text is None):
+        for part in _windows(layer.data, window) if got.more else [got.head]:
+            yield Packed(part, *at, True), got.whole
+        if got.end < len(layer.data):
+            yield Packed(layer.data[got.end :], *at, layer.opened), True
     elif text:
         yield Layer(text, [0], [(*at, False)]), True
 
@@ -263,7 +338,7 @@ def _bytes_of(body: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _from_run(run: str, limit: int, lines: tuple[int, ...] = ()) -> Iterator[tuple[bytes | str, list[tuple[int, int, int]], bool]]:
+def _from_run(run: str, window: int, lines: tuple[int, ...] = ()) -> Iterator[tuple[bytes | str, list[tuple[int, int, int]], bool]]:
     """Readings of a base64 run: bytes or text, (from which character on, start, end in the run), whole.
 
     ``lines`` says where lines begin in a joined run.
@@ -272,26 +347,29 @@ def _from_run(run: str, limit: int, lines: tuple[int, ...] = ()) -> Iterator[tup
     body = run.rstrip("=").translate(_URL_SAFE)
     if len(body) % 4 != 1:
         data = _bytes_of(body)
-        got = _unpacked(data, 0, limit)
-        if got and got[1:] == (len(data), True) or _text(Packed(data, 0, 0)):
+        got = _unpacked(data, 0, window)
+        if got and (got.end, got.whole) == (len(data), True) or _text(Packed(data, 0, 0)):
             yield data, [(0, 0, len(run))], True
             return
     for shift in range(4):
         data, done = _bytes_of(body[shift:]), 0
         texts = []
         for at in ([0] if not shift and _format(data, 0) else []) + [m.start() for m in _STREAM.finditer(data)]:
-            if at < done or not (got := _unpacked(data, at, limit)):
+            if at < done or not (got := _unpacked(data, at, window)):
                 continue
-            out, end, whole = got
+            out, end, whole, _ = got
             place = (0, *_ends(run, shift, at, end, len(data)))
             # Two bytes at a guessed place that lead into damage may be no stream: only their text is read.
-            if whole or at == shift == 0 or data[at] != 0x78 or _STRETCH.match(out) and _stream(data, at, limit)[1] == -1:
+            if whole or at == shift == 0 or data[at] != 0x78 or _STRETCH.match(out) and _cut_off(data, at):
                 yield data[at:end], [place], whole
                 texts.append((done, at))
                 done = end
             else:
                 for m in _STRETCH.finditer(out):
                     yield m[0].decode("utf-8", "replace"), [place], True
+        for m in _WIDE.finditer(data) if b"\0\x20" in data or data.count(0) * 4 > len(data) else ():
+            order = "utf-16-be" if data[m.start()] == 0 else "utf-16-le"
+            yield m[0].decode(order), [(0, *_ends(run, shift, m.start(), m.end(), len(data)))], True
         for low, high in [*texts, (done, len(data))]:
             for m in _STRETCH.finditer(data, low, high):
                 start, end = _ends(run, shift, m.start(), m.end(), len(data))
@@ -317,7 +395,7 @@ def _ends(run: str, shift: int, low: int, high: int, size: int) -> tuple[int, in
     return shift + low * 4 // 3, end
 
 
-def _from_base64(layer: Layer, limit: int) -> Iterator[Layer | Packed]:
+def _from_base64(layer: Layer, window: int) -> Iterator[Layer | Packed]:
     opened: list[tuple[int, int]] = []  # by joined lines
     if re.search(r"[\r\n]|\\[rn]", layer.text):
         for m in _WRAPPED.finditer(layer.text):
@@ -331,7 +409,7 @@ def _from_base64(layer: Layer, limit: int) -> Iterator[Layer | Packed]:
             firsts = [0, *accumulate(b - a for a, b in lines)]
             line = lambda i: bisect_right(firsts, i) - 1  # noqa: B023, E731
             place = lambda i: lines[line(i)][0] + i - firsts[line(i)]  # noqa: B023, E731
-            for what, places, whole in _from_run("".join(layer.text[a:b] for a, b in lines), limit, tuple(firsts)):
+            for what, places, whole in _from_run("".join(layer.text[a:b] for a, b in lines), window, tuple(firsts)):
                 if line(places[0][1]) == line(places[0][2] - 1):
                     continue  # read below
                 places = [(c, place(a), place(b - 1) + 1) for c, a, b in places]
@@ -340,7 +418,7 @@ def _from_base64(layer: Layer, limit: int) -> Iterator[Layer | Packed]:
                 yield _child(layer, what, places)
     opened.sort()
     for m in _BASE64.finditer(layer.text):
-        for what, places, whole in _from_run(m[0], limit):
+        for what, places, whole in _from_run(m[0], window):
             places = [(c, m.start() + a, m.start() + b) for c, a, b in places]
             # A line of a stream that was opened is not a cut stream.
             if whole or not _within(places[0][1], places[0][2], opened):
@@ -359,26 +437,26 @@ def _within(start: int, end: int, places: list[tuple[int, int]]) -> bool:
     return i >= 0 and end <= places[i][1]
 
 
-def _percent_packed(text: str, limit: int) -> Iterator[tuple[tuple[int, int], tuple[bytes, bool]]]:
+def _percent_packed(text: str, window: int) -> Iterator[tuple[tuple[int, int], tuple[bytes, bool]]]:
     """Runs of percent escapes that hold a compressed stream: place, bytes and whether it is whole."""
     for m in _PERCENT_PACKED.finditer(text):
         best = None
         for run in dict.fromkeys((m[0], m[0].replace("+", "%20"))):  # a form writes blanks as +
             data = urllib.parse.unquote_to_bytes(run)
-            if (got := _unpacked(data, 0, limit)) and (best is None or got[2]):
-                best = data, got[2]
-                if got[2]:
+            if (got := _unpacked(data, 0, window)) and (best is None or got.whole):
+                best = data, got.whole
+                if got.whole:
                     break
         if best:
             yield m.span(), best
 
 
-def _children(layer: Layer | Packed, limit: int) -> Iterator[tuple[Layer | Packed, bool]]:
+def _children(layer: Layer | Packed, window: int) -> Iterator[tuple[Layer | Packed, bool]]:
     if isinstance(layer, Packed):
-        yield from _from_packed(layer, limit)
+        yield from _from_packed(layer, window)
         return
     if "%" in layer.text:
-        packed = dict(_percent_packed(layer.text, limit))
+        packed = dict(_percent_packed(layer.text, window))
         for (start, end), (data, _) in packed.items():
             yield Packed(data, *layer.place(start, end)), True
         # What was opened whole isn't text: its escapes stay, else its parts look like cut streams.
@@ -386,44 +464,51 @@ def _children(layer: Layer | Packed, limit: int) -> Iterator[tuple[Layer | Packe
         new = _replaced(layer, _PERCENT, lambda m: None if _within(*m.span(), done) else _from_percent(m))
         if new:
             yield new, True
-    if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _ESCAPE, _from_escape)):
+    if _ESCAPED.search(layer.text) and (new := _replaced(layer, _ESCAPE, _from_escape)):
         yield new, True
-    for child in _from_base64(layer, limit):
+    for child in _from_base64(layer, window):
         yield child, True
 
 
-def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, bool]:
-    """(base findings, all findings, texts opened, complete); findings are (start, kind, end)."""
+def scan_text(text: str, window: int = WINDOW_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, bool]:
+    """(base findings, all findings, texts opened, complete); findings are (start, kind, end).
+
+    Layers are opened depth first, so of a long one a window at a time is held.
+    """
     base = sorted(base_matches(text))
-    found, complete, opened = set(base), True, 0
-    work: list[Layer | Packed] = [Layer(text, [0], [(0, len(text), True)])]
-    seen = {_key(work[0])}
+    found, complete, opened = set(base), True, -1
+    seen: set[tuple] = set()
+    work: list[Iterator[tuple[Layer | Packed, bool]]] = [iter([(Layer(text, [0], [(0, len(text), True)]), True)])]
     while work:
-        layer = work.pop()
+        layer, whole = next(work[-1], (None, True))
+        if layer is None:
+            work.pop()
+            continue
+        complete &= whole
+        if (key := _key(layer)) in seen:
+            continue
+        seen.add(key)
         if isinstance(layer, Layer):
+            opened += 1
             if opened:
                 for start, kind, end in base_matches(layer.text):
                     low, high = layer.place(start, end)
                     found.add((low, kind, high))
-            opened += 1
-        for child, whole in _children(layer, limit):
-            complete &= whole
-            if (key := _key(child)) not in seen:
-                seen.add(key)
-                work.append(child)
-    return base, sorted(found), opened - 1, complete
+        work.append(_children(layer, window))
+    return base, sorted(found), opened, complete
 
 
 _SCANNED = "base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>, layers int, complete boolean"
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", limit: int = MAX_LAYER_BYTES) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", window: int = WINDOW_BYTES) -> DataFrame:
     """``docs`` with one struct ``out``: ``base`` and ``spans`` (kind, start, end), layers, complete.
 
     Spans are code points of the text, end exclusive, ordered by start, kind and end. A null
     text counts as empty and has no findings. ``layers`` counts the texts that were decoded.
-    ``complete`` is false where a compressed stream is cut off, damaged or exceeds ``limit``
-    bytes; what it holds up to there is searched. Rows are judged one by one: repeated rows and ties don't
+    ``complete`` is false where a compressed stream is cut off or damaged; what it holds up to
+    there is searched. A layer of more than ``window`` bytes is searched in windows that share
+    ``SHARED_BYTES``. Rows are judged one by one: repeated rows and ties don't
     matter, an empty table gives an empty result, other columns stay; a column named like
     ``out`` is replaced. No shuffle.
     """
@@ -432,7 +517,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", limi
     def scanned(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            base, found, layers, complete = scan_text(t, limit)
+            base, found, layers, complete = scan_text(t, window)
             named = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in (base, found)]
             rows.append((*named, layers, complete))
         return pd.DataFrame(rows, columns=["base", "spans", "layers", "complete"])

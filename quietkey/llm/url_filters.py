@@ -69,34 +69,34 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     with a null part are left out. Columns of ``pages`` named like an added one are replaced;
     repeated rows stay, an empty table gives an empty result.
     """
-    host, path, rule, verdict = "host", "path", "rule", "verdict"
     lists = _deepest(rules)
     known = _digests(rules)
     small = known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
 
-    base = pages.drop(host, path, rule, verdict)
-    row, key, found = (free_name(base, x) for x in ("row_id", "digest", "found"))
-    base = base.select("*", host_of(F.col(url)).alias(host), path_of(F.col(url)).alias(path), F.monotonically_increasing_id().alias(row))
-    if not small:
-        base = base.checkpoint()  # numbered rows must not change when a task runs again
-    digests = base.withColumn(key, F.explode(_expressions(F.col(host), F.col(path), lists)))
-    known = known.select(F.col("digest").alias("rule_digest"), "rank", "rule", "verdict")
-    fits = _prefix(F.col(key)) == _prefix(F.col("rule_digest"))
+    # Each distinct url is judged once, without the other columns.
+    urls = pages.select(F.col(url).cast("string").alias("url")).distinct()
+    split = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    digests = split.withColumn("digest", F.explode(_expressions(F.col("host"), F.col("path"), lists)))
+    known = known.withColumnRenamed("digest", "rule_digest")
+    fits = _prefix(F.col("digest")) == _prefix(F.col("rule_digest"))
     if small:
         known = F.broadcast(known)
     else:
-        salt = free_name(base, "salt")
-        digests = digests.withColumn(salt, F.pmod(F.xxhash64(row), F.lit(SALTS)))
+        digests = digests.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
         known = known.withColumn("rule_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        fits &= F.col(salt) == F.col("rule_salt")
-    fits &= F.col(key) == F.col("rule_digest")  # the whole digest confirms what the prefix found
-    joined = digests.join(known, fits, "left")
+        fits &= F.col("salt") == F.col("rule_salt")
+    fits &= F.col("digest") == F.col("rule_digest")  # the whole digest confirms what the prefix found
     best = F.max(F.when(F.col("rule_digest").isNotNull(), F.struct("rank", "rule", "verdict")))
-    kept = [c for c in base.columns if c != row]
-    return (
-        joined.groupBy(row).agg(*(F.first(c).alias(c) for c in kept), best.alias(found))
-        .select(*kept, F.col(f"{found}.rule").alias(rule), F.coalesce(F.col(f"{found}.verdict"), F.lit(default)).alias(verdict))
+    joined = digests.join(known, fits, "left").groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
+    base = pages.drop(*(c for c in ("host", "path", "rule", "verdict") if c != url))
+    held = {n: free_name(base, f"judged_{n}") for n in ("url", "host", "path", "rule", "verdict")}
+    judged = joined.select(
+        F.col("url").alias(held["url"]), F.col("host").alias(held["host"]), F.col("path").alias(held["path"]),
+        F.col("best.rule").alias(held["rule"]), F.coalesce("best.verdict", F.lit(default)).alias(held["verdict"]),
     )
+    met = base.join(judged, F.col(url).cast("string").eqNullSafe(F.col(held["url"])), "left")
+    kept = [c for c in base.columns if c not in ("host", "path", "rule", "verdict")]
+    return met.select(*kept, *(F.col(held[n]).alias(n) for n in ("host", "path", "rule", "verdict")))
 
 
 def _digests(rules: DataFrame) -> DataFrame:

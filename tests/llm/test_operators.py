@@ -4,7 +4,7 @@ import pytest
 
 from quietkey.llm import alignment, decontamination, language_id, mixing, pieces, pii, quality, secret_scan, simhash, token_counts, toxicity, url_filters
 
-NAMES = "row fp quality secrets pii leaks shard place mix_key mix_size host path rule verdict digest n_tokens score held_out component_id hash found ids decoded groups links block"
+NAMES = "row fp quality secrets pii leaks shard place mix_key mix_size host path rule verdict digest n_tokens score held_out component_id hash found ids decoded groups links block rank rule_digest rule_salt turn_ mix_turn mix_mark best url salt given judged_url coded"
 LONG = "many different words follow here " * 4000
 ROWS = [
     (1, "some plain text about nothing in particular", "en", "a", 43),
@@ -44,8 +44,8 @@ PER_ROW = {
     "simhash": lambda s, d: simhash.link_documents(d),
     "mixing": lambda s, d: mixing.mix_plan(d),
     "language": lambda s, d: language_id.identify_languages(d),
-    "pii": lambda s, d: pii.replace_pii(d),
-    "pii_stage": lambda s, d: pii.without_pii(d),
+    "pii": lambda s, d: pii.replace_pii(d, pii.TRIAL_KEY),
+    "pii_stage": lambda s, d: pii.without_pii(d, pii.TRIAL_KEY),
     "toxicity": lambda s, d: toxicity.score_toxicity(d, labels(s)),
     "urls": lambda s, d: url_filters.judge_urls(d, url_filters.url_rules(s), url="text"),
 }
@@ -71,7 +71,7 @@ def test_stages_keep_columns(spark):
     docs = odd(spark)
     for name in ("leaks_stage", "quality_stage", "dedup_stage"):
         assert FILTERS[name](spark, docs).columns == docs.columns
-    assert pii.without_pii(docs).columns == docs.columns
+    assert pii.without_pii(docs, pii.TRIAL_KEY).columns == docs.columns
 
 
 def test_awkward_results(spark):
@@ -83,6 +83,6 @@ def test_awkward_results(spark):
     lang = {(r.doc_id, r.text): r for r in language_id.identify_languages(odd(spark)).collect()}
     assert lang[2, None].lang_pred == lang[3, ""].lang_pred == "und"
     assert lang[2, None].score == 0.0
-    texts = {r.doc_id: r.pii for r in pii.replace_pii(odd(spark)).collect()}
+    texts = {r.doc_id: r.pii for r in pii.replace_pii(odd(spark), pii.TRIAL_KEY).collect()}
     assert texts[2].text is None and texts[3].text == "" and texts[None].n_email == 1
     assert "x.y@example.com" not in texts[None].text
