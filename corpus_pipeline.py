@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quietkey.llm.common import table, written
 from quietkey.llm.decontamination import without_leaks
 from quietkey.llm.mixing import mix
-from quietkey.llm.pii import without_pii
+from quietkey.llm.pii import session_key, without_pii
 from quietkey.llm.quality import keep_quality
 from quietkey.llm.simhash import keep_one
 
@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced."""
-    return without_pii(docs)
+    return without_pii(docs, session_key(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
