@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 CONFUSION = ("true_negatives", "false_positives", "false_negatives", "true_positives")
 RATES = ("accuracy", "precision", "recall", "f1")
 
-_CUTS = 256
-
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Quotient that is 0 when there is nothing to divide by."""
@@ -59,29 +57,14 @@ def _exact(a: Column, b: Column) -> Column:
 def auc_of_ties(tied: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve, ties counted half, per ``by`` group.
 
-    The distinct scores are cut into ranges of similar size; every range is ranked on
-    its own and only the range totals are accumulated in one place, so no task ever
-    sees the whole ranking. ``by`` must name few groups, such as the weights of a grid.
+    The distinct scores are dealt to sorted ranges, as many as the session shuffles to; every
+    range is ranked on its own, and only the totals of ranges are accumulated in one place.
+    ``by`` must name few groups, such as the weights of a grid.
     """
     keys = list(by) or ["_all"]
     if not by:
         tied = tied.withColumn("_all", F.lit(1))
-    steps = F.array(*[F.lit(i / _CUTS) for i in range(1, _CUTS)])
-    cuts = tied.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("score", steps, F.lit(10000))).alias("cuts")
-    )
-    # Without groups the cuts are one value, not a table to join.
-    if by:
-        placed = tied.join(F.broadcast(cuts), keys)
-    else:
-        placed = tied.withColumn("cuts", cuts.select("cuts").scalar())
-    ranged = placed.select(
-        *keys,
-        "score",
-        "pos",
-        "neg",
-        F.size(F.filter("cuts", lambda c: c < F.col("score"))).alias("part"),
-    )
+    ranged = tied.repartitionByRange(*by, "score").withColumn("part", F.spark_partition_id())
     up_to_here = (Window.unboundedPreceding, -1)
     within = Window.partitionBy(*keys, "part").orderBy("score").rowsBetween(*up_to_here)
     below = F.coalesce(F.sum("neg").over(within), F.lit(0))

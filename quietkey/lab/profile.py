@@ -25,41 +25,66 @@ OVERLAP_FLAGS = (
 )
 
 
-def _duplicates(*columns: str) -> Column:
-    """Rows that repeat an earlier value of the columns; nulls count as values.
-
-    128-bit hashes are compared, so that no whole row is expanded per distinct count.
-    """
+def _identity(*columns: str) -> list[Column]:
+    """128 bits of a hash of the columns; nulls count as values."""
     marked = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
-    return F.count("*") - F.count_distinct(*(F.xxhash64(F.lit(half), *marked) for half in (1, 2)))
+    return [F.xxhash64(F.lit(half), *marked).alias(f"h{half}") for half in (1, 2)]
 
 
 def validate_dataset(
     frame: DataFrame, required: Sequence[str] = BASE_COLUMNS, strict_labels: bool = False
 ) -> DataFrame:
-    """One row of structural checks. ``strict_labels`` wants both labels present."""
+    """One row of structural checks. ``strict_labels`` wants both labels present.
+
+    Every row becomes up to three narrow rows (kind, hash), which combine before the one
+    shuffle; what else is counted rides on the first kind.
+    """
     columns = frame.columns
     missing = sorted(set(required) - set(columns))
-    nulls = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
+    label = F.col("label") if "label" in columns else F.lit(0)
+    measures = {
+        "nulls": sum((F.col(c).isNull().cast("bigint") for c in columns), F.lit(0).cast("bigint")),
+        "bad": (label.isNull() | ~label.isin(0, 1)).cast("int"),
+        "zero": label.eqNullSafe(F.lit(0)).cast("int"),
+        "one": label.eqNullSafe(F.lit(1)).cast("int"),
+    }
+    kinds = {"rows": columns}
+    if "sample_id" in columns:
+        kinds["sample_ids"] = ["sample_id"]
+    if {"variable_name", "value"} <= set(columns):
+        kinds["candidates"] = ["variable_name", "value"]
+
+    def narrow(kind: str, of: Sequence[str]) -> Column:
+        counted = [
+            (c if kind == "rows" else F.lit(0).cast("bigint" if n == "nulls" else "int")).alias(n)
+            for n, c in measures.items()
+        ]
+        return F.struct(F.lit(kind).alias("kind"), *_identity(*of), *counted)
+
+    rows = frame.select(F.inline(F.array(*(narrow(k, of) for k, of in kinds.items()))))
+    met = rows.groupBy("kind", "h1", "h2").agg(
+        F.count("*").alias("n"), F.sum("nulls").alias("nulls"), *(F.max(c).alias(c) for c in ("bad", "zero", "one"))
+    )
+
+    def repeated(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n") - 1)), F.lit(0)).cast("bigint")
+
+    def present(flag: str) -> Column:
+        return F.coalesce(F.max(flag), F.lit(0)) == 1
+
     if "label" in columns:
-        valid = F.count_if(~F.col("label").isin(0, 1) | F.col("label").isNull()) == 0
+        valid = ~present("bad")
         if strict_labels:
-            valid = valid & (F.count_if(F.col("label") == 0) > 0)
-            valid = valid & (F.count_if(F.col("label") == 1) > 0)
+            valid = valid & present("zero") & present("one")
     else:
         valid = F.lit(not strict_labels)
-    pair = {"variable_name", "value"} <= set(columns)
-    return frame.agg(
+    return met.agg(
         F.array(*[F.lit(c) for c in missing]).cast("array<string>").alias("missing_columns"),
         valid.alias("valid_labels"),
-        nulls.cast("bigint").alias("missing_values"),
-        (_duplicates("sample_id") if "sample_id" in columns else F.lit(0).cast("bigint")).alias(
-            "duplicate_sample_ids"
-        ),
-        _duplicates(*columns).alias("duplicate_rows"),
-        (_duplicates("variable_name", "value") if pair else F.lit(0).cast("bigint")).alias(
-            "duplicate_candidates"
-        ),
+        F.coalesce(F.sum("nulls"), F.lit(0)).cast("bigint").alias("missing_values"),
+        repeated("sample_ids").alias("duplicate_sample_ids"),
+        repeated("rows").alias("duplicate_rows"),
+        repeated("candidates").alias("duplicate_candidates"),
     )
 
 

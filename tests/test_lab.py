@@ -228,3 +228,31 @@ def test_final_set_is_validated_and_reported(spark):
     report = frozen.final_report(generate(spark, V3, 60), final, "0" * 64).first()
     assert report.status == "FINAL_EVALUATION" and report.policy.used_for_training is False
     assert sum(report[c] for c in metrics.CONFUSION) == 60
+
+
+def test_auc_of_ten_million_distinct_scores(spark):
+    n = 10_000_000
+    score = F.pmod(F.col("id") * 2_654_435_761, F.lit(n * 8 + 3))
+    frame = spark.range(n).select(score.alias("score"), (F.pmod(F.xxhash64("id"), F.lit(100)) < F.lit(20) + score / (n * 0.16)).cast("int").alias("label"))
+    tied = metrics.tied_scores(frame, "label", "score")
+    plan = metrics.auc_of_ties(tied)
+    rows = frame.toPandas()
+    order = np.argsort(rows["score"].to_numpy(), kind="stable")
+    label = rows["label"].to_numpy()[order].astype(np.int64)
+    assert len(np.unique(rows["score"])) == n
+    wins = int((np.cumsum(1 - label) * label).sum())
+    assert plan.first().roc_auc == pytest.approx(wins / (label.sum() * (1 - label).sum()), abs=1e-12)
+
+
+def test_structural_checks_shuffle_narrow_rows_once(spark):
+    v2 = synth.generate(spark, synth.V2, 40)
+    doubled = v2.unionByName(v2.limit(7)).unionByName(v2.limit(4).withColumn("sample_id", F.concat("sample_id", F.lit("x"))))
+    seen = profile.validate_dataset(doubled)
+    assert (seen.first().duplicate_rows, seen.first().duplicate_sample_ids) == (7, 7)
+    pairs = [(r.variable_name, r.value) for r in doubled.collect()]
+    assert seen.first().duplicate_candidates == len(pairs) - len(set(pairs))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    nothing = profile.validate_dataset(v2.limit(0)).first()
+    assert (nothing.duplicate_rows, nothing.missing_values, nothing.valid_labels) == (0, 0, True)
+    assert not profile.validate_dataset(v2.limit(0), strict_labels=True).first().valid_labels

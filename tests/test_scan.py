@@ -2,13 +2,14 @@
 
 import os
 import random
+import uuid
 
 import pytest
 from conftest import FILES, file_row
 from pyspark.sql import functions as F
 
-from quietkey.operators import joins
-from quietkey.operators.changes import change_set
+from quietkey.operators import joins, propagation
+from quietkey.operators.changes import change_set, write_index
 from quietkey.operators.findings import checked_advisory
 from quietkey.operators.ignore import rules_from_files
 from quietkey.operators.propagation import propagation_findings, secret_inventory
@@ -100,7 +101,7 @@ def test_ignore_rules(scan):
 
 
 def test_large_rule_tables_use_the_salted_join(spark, monkeypatch):
-    monkeypatch.setattr(joins.lookup_join, "__defaults__", (0,))
+    monkeypatch.setattr(joins.is_small, "__defaults__", (0,))
     rows = [file_row("src/a.py", f'password = "{VALUE}"'), file_row("b.py", f'password = "{VALUE}"')]
     rules = spark.createDataFrame([("p", ["src/"])], "project_id string, patterns array<string>")
     assert [r.file for r in scan_projects(spark.createDataFrame(rows, FILES), rules).public().collect()] == ["b.py"]
@@ -178,6 +179,59 @@ def test_change_set(spark):
     assert "Artifact Secret Exposure" not in kinds(alone)
 
 
+def test_bucketed_snapshots_meet_without_an_exchange(spark, tmp_path):
+    rows = lambda new: [("p%d" % (i % 3), f"a{i}.py", "100644", 0, 1, b"x" if i % 5 or not new else b"y") for i in range(200) if new or i % 7]
+    names = []
+    for new in (False, True):
+        names.append(f"snapshot_{uuid.uuid4().hex}")
+        write_index(spark.createDataFrame(rows(new), INDEX), names[-1], 4, str(tmp_path / names[-1]))
+    try:
+        old, new = map(spark.table, names)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        changed = change_set(new, old)
+        plan = changed._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert {r.path for r in changed.collect()} == {f"a{i}.py" for i in range(200) if i % 5 == 0 or i % 7 == 0}
+        plain = change_set(spark.createDataFrame(rows(True), INDEX), spark.createDataFrame(rows(False), INDEX))
+        assert {r.path for r in plain.collect()} == {r.path for r in changed.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _hot_project(rng):
+    """Inventory and artifacts with most rows in one project."""
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    inventory = sorted({("hot" if rng.random() < 0.8 else f"p{rng.randrange(4)}", "https://host.example/" * rng.randrange(2) + hexed(12)) for _ in range(3000)})
+    artifacts = [(p, f"dist/{i}.js", "".join(rng.choice(["\n", hexed(4), rng.choice(inventory)[1]]) for _ in range(12))) for i, p in enumerate(rng.choice(["hot", "p0", "p9"]) for _ in range(80))]
+    return inventory, artifacts
+
+
+def test_lists_of_every_level_hold_each_value_once(spark, monkeypatch):
+    inventory, artifacts = _hot_project(random.Random(3))
+    table = spark.createDataFrame([(p, v, ".env", 1, "N", 40, []) for p, v in inventory], "project_id string, raw_value string, source_path string, source_line int, variable_name string, candidate_score int, reasons array<string>")
+    texts = spark.createDataFrame(artifacts, "project_id string, path string, text string")
+    for least, lists in ((10_000, 1), (30, 64), (1, 2000)):
+        monkeypatch.setattr(propagation, "LIST_VALUES", least)
+        packed = propagation.packed_inventory(table).collect()
+        assert sorted((r.project_id, v.raw_value) for r in packed for v in r["values"]) == inventory
+        count = sum(r.project_id == "hot" for r in packed)
+        assert count == 1 if lists == 1 else lists / 2 < count <= 4096
+        found = propagation_findings(table, texts).collect()
+        got = [(r.project_id, r.file, r.raw_value, r.line) for r in found]
+        assert len(got) == len(set(got)) and set(got) == _brute(inventory, artifacts)
+
+
+def test_a_scan_reads_its_files_three_times_and_shuffles_no_window(spark, tmp_path):
+    stored = str(tmp_path / "files")
+    spark.createDataFrame([file_row(".env", f"A_TOKEN={VALUE}"), file_row("dist/a.js", VALUE)], FILES).write.parquet(stored)
+    found = scan_projects(spark.read.parquet(stored)).public()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3
+    assert "Artifact Secret Exposure" in kinds(found.collect())
+
+
 def test_unmerged_and_unknown_entries_stop_the_scan(spark):
     with pytest.raises(Exception, match="Unmerged"):
         change_set(_index(spark, ("a.py", "100644", 2, "a")), _index(spark, ("a.py", "100644", 0, "b"))).collect()

@@ -206,15 +206,20 @@ FROM (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; ``spark.sql.files.maxPartitionBytes`` decides how it is split."""
+    """A given table as it is stored: a task per split, and a row group lies in one split."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A derived corpus as a DataFrame."""
+    """A derived corpus as a DataFrame.
+
+    A corpus is far wider than the keys it is made of, and a table of one row group would leave
+    it to one task, so the keys are dealt to as many tasks as the session runs at once.
+    """
     for name in ("orders", "customer"):
         if f"FROM {name}" in sql:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
+            keys = table(spark, sf_dir, name).repartition(max(spark.sparkContext.defaultParallelism, 2))
+            keys.createOrReplaceTempView(name)
     return spark.sql(sql)
 
 
