@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,10 +15,9 @@ from pyspark.ml.feature import (
     ElementwiseProduct,
     HashingTF,
     Normalizer,
-    StandardScaler,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,54 +114,95 @@ def _fit(stages: list, frame: DataFrame, samples: int) -> PipelineModel:
     return PipelineModel(fitted)
 
 
-def _scaling(columns: Sequence[str], samples: int, output: str) -> list:
-    # StandardScaler divides by the sample deviation; the reference by the population's.
-    correction = math.sqrt(samples / (samples - 1)) if samples > 1 else 1.0
+def moments(frame: DataFrame, columns: Sequence[str]) -> tuple[int, list[float], list[float]]:
+    """Rows of a table, and mean and population deviation of each column."""
+    means = [F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]
+    deviations = [F.stddev_pop(c).alias(f"d{i}") for i, c in enumerate(columns)]
+    row = frame.agg(F.count("*").alias("n"), *means, *deviations).first()
+    numbers = lambda k: [row[f"{k}{i}"] or 0.0 for i in range(len(columns))]
+    return row["n"], numbers("m"), numbers("d")
+
+
+def _scaled(columns: Sequence[str], means: Sequence[float], deviations: Sequence[float]) -> list[Column]:
+    """Columns less their mean by their deviation; 0 where a column never changes."""
     return [
-        VectorAssembler(inputCols=list(columns), outputCol="_assembled"),
-        StandardScaler(inputCol="_assembled", outputCol="_centred", withMean=True, withStd=True),
-        ElementwiseProduct(
-            scalingVec=Vectors.dense([correction] * len(columns)),
-            inputCol="_centred",
-            outputCol=output,
-        ),
+        (F.col(c).cast("double") - F.lit(m)) / F.lit(d) if d else F.lit(0.0)
+        for c, m, d in zip(columns, means, deviations, strict=True)
     ]
 
 
-def _named(frame: DataFrame, columns: list[str], prefix: str) -> DataFrame:
-    return frame.select(
-        *columns,
-        F.col("_prediction").cast("int").alias(f"{prefix}_prediction"),
-        vector_to_array("_probability")[1].alias(f"{prefix}_probability"),
-    )
+def sigmoid(margin: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
 @dataclass(frozen=True)
 class TabularModel:
-    """Scaled features into one regression. ``derived`` recomputes them from the text."""
+    """Scaled features and a weight for each: plain numbers, scored as one expression.
+
+    ``derived`` features are recomputed from the text.
+    """
 
     features: tuple[str, ...]
-    pipeline: PipelineModel
+    means: tuple[float, ...]
+    deviations: tuple[float, ...]
+    coefficients: tuple[float, ...]
+    intercept: float
     derived: bool
 
-    @property
-    def coefficients(self) -> list[float]:
-        return list(self.pipeline.stages[-1].coefficients)
+    def margin(self) -> Column:
+        scaled = _scaled(self.features, self.means, self.deviations)
+        total = F.lit(self.intercept)
+        for weight, value in zip(self.coefficients, scaled, strict=True):
+            total = total + F.lit(weight) * value
+        return total
 
     def predict(self, frame: DataFrame, prefix: str) -> DataFrame:
         ready = _with_context(frame) if self.derived else frame
-        return _named(self.pipeline.transform(ready), frame.columns, prefix)
+        probability = f"{prefix}_probability"
+        return ready.select(*frame.columns, sigmoid(self.margin()).alias(probability)).select(
+            *frame.columns,
+            (F.col(probability) > 0.5).cast("int").alias(f"{prefix}_prediction"),
+            probability,
+        )
 
 
 @dataclass(frozen=True)
 class LexicalModel:
-    """Character TF-IDF, optionally joined by scaled numerics, into one regression."""
+    """Character TF-IDF, optionally joined by scaled numerics, and a weight for each input.
+
+    ``counts`` names the terms, ``idf`` and ``weights`` follow their places.
+    """
 
     counts: object
-    head: PipelineModel
+    idf: np.ndarray
+    weights: np.ndarray
+    intercept: float
+    numeric: TabularModel | None = None
 
     def predict(self, frame: DataFrame, prefix: str) -> DataFrame:
-        return _named(self.head.transform(_term_weights(self.counts, frame)), frame.columns, prefix)
+        idf, weights = self.idf, self.weights
+
+        @F.pandas_udf("double")
+        def margin(counts: pd.DataFrame) -> pd.Series:
+            lengths = np.array([len(x) for x in counts["indices"]], np.int64)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            if not len(row):
+                return pd.Series(np.zeros(len(lengths)))
+            term = np.concatenate(counts["indices"].tolist()).astype(np.int64)
+            value = (1.0 + np.log(np.concatenate(counts["values"].tolist()))) * idf[term]
+            norm = np.sqrt(np.bincount(row, value * value, len(lengths)))
+            return pd.Series(np.bincount(row, value * weights[term], len(lengths)) / np.where(norm == 0, 1.0, norm))
+
+        total = F.lit(self.intercept) + margin("_counts")
+        if self.numeric:
+            total = total + self.numeric.margin()
+        probability = f"{prefix}_probability"
+        counted = self.counts.transform(_with_ngrams(frame))
+        return counted.select(*frame.columns, sigmoid(total).alias(probability)).select(
+            *frame.columns,
+            (F.col(probability) > 0.5).cast("int").alias(f"{prefix}_prediction"),
+            probability,
+        )
 
 
 def _with_context(frame: DataFrame) -> DataFrame:
@@ -175,10 +214,12 @@ def _with_context(frame: DataFrame) -> DataFrame:
 
 def _fit_tabular(frame: DataFrame, features: tuple[str, ...], derived: bool) -> TabularModel:
     ready = (_with_context(frame) if derived else frame).withColumn("_label", binary_label())
-    samples = frame.count()
-    stages = _scaling(features, samples, "_features")
-    stages.append(_regression("_features", samples, _TABULAR_TOLERANCE))
-    return TabularModel(features, _fit(stages, ready, samples), derived)
+    samples, means, deviations = moments(ready, features)
+    vector = array_to_vector(F.array(*_scaled(features, means, deviations)))
+    stage = _regression("_features", samples, _TABULAR_TOLERANCE)
+    fitted = _fit([stage], ready.select(vector.alias("_features"), "_label"), samples).stages[0]
+    weights = tuple(float(x) for x in fitted.coefficients)
+    return TabularModel(features, tuple(means), tuple(deviations), weights, float(fitted.intercept), derived)
 
 
 def fit_numeric(frame: DataFrame) -> TabularModel:
@@ -238,17 +279,15 @@ def text_weights(frame: DataFrame) -> DataFrame:
 
 def scaled_features(frame: DataFrame, features: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
     """``frame`` with ``scaled``: the tabular models' inputs, by mean and population deviation."""
-    ready = frame
-    for stage in _scaling(features, frame.count(), "_features"):
-        ready = (stage.fit(ready) if hasattr(stage, "fit") else stage).transform(ready)
-    return ready.select(*frame.columns, vector_to_array("_features").alias("scaled"))
+    _, means, deviations = moments(frame, features)
+    return frame.select(*frame.columns, F.array(*_scaled(features, means, deviations)).alias("scaled"))
 
 
 def _fit_lexical(
     frame: DataFrame, numerics: tuple[str, ...], hash_buckets: int | None
 ) -> LexicalModel:
-    samples = frame.count()
     labelled = frame.withColumn("_label", binary_label())
+    samples, means, deviations = moments(labelled, numerics)
     if hash_buckets is None:
         counts = _vocabulary(labelled)
     else:
@@ -257,11 +296,18 @@ def _fit_lexical(
     stages = _unit_weights(weighted)
     features = "_text"
     if numerics:
-        stages += _scaling(numerics, samples, "_numeric")
+        vector = array_to_vector(F.array(*_scaled(numerics, means, deviations)))
+        weighted = weighted.withColumn("_numeric", vector)
         stages.append(VectorAssembler(inputCols=["_text", "_numeric"], outputCol="_features"))
         features = "_features"
+    idf = np.asarray(stages[0].getScalingVec().toArray())
     stages.append(_regression(features, samples, _LEXICAL_TOLERANCE))
-    return LexicalModel(counts, _fit(stages, weighted, samples))
+    fitted = _fit(stages, weighted, samples).stages[-1]
+    weights, own = np.split(np.asarray(fitted.coefficients.toArray()), [len(idf)])
+    numeric = None
+    if numerics:
+        numeric = TabularModel(numerics, tuple(means), tuple(deviations), tuple(map(float, own)), 0.0, False)
+    return LexicalModel(counts, idf, weights, float(fitted.intercept), numeric)
 
 
 def fit_text(frame: DataFrame, hash_buckets: int | None = None) -> LexicalModel:

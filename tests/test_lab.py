@@ -1,5 +1,7 @@
 """Generators, models, fusion, metrics, splits and frozen gates."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,16 +64,16 @@ def test_numeric_model_solves_the_reference_objective(spark):
 
 def test_term_weights_follow_smooth_sublinear_tfidf(spark):
     rows = spark.createDataFrame([("ab", "abab  ABAB", 1), ("ab", "zz", 0), ("q", "abab", 0)], "variable_name string, value string, label int")
-    model = models.fit_text(rows)
-    weighted = model.head.stages[1].transform(model.head.stages[0].transform(models._term_weights(model.counts, rows)))
-    vector = weighted.select("_text").first()[0].toArray()
+    row = models.text_weights(rows).where("value LIKE 'abab %'").first()
     texts = ["ab = abab abab", "ab = zz", "q = abab"]
     grams = [[t[i:i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)] for t in texts]
     df = {g: sum(g in d for d in grams) for d in grams for g in d}
     raw = {g: (1 + np.log(grams[0].count(g))) * (np.log(4 / (1 + df[g])) + 1) for g in set(grams[0]) if df[g] >= 2}
     norm = np.sqrt(sum(v * v for v in raw.values()))
-    got = {g: vector[i] for i, g in enumerate(model.counts.vocabulary) if vector[i]}
-    assert got == pytest.approx({g: v / norm for g, v in raw.items()})
+    assert sorted(x.weight for x in row.weights) == pytest.approx(sorted(v / norm for v in raw.values()))
+    model = models.fit_text(rows)
+    idf = dict(zip(model.counts.vocabulary, model.idf, strict=True))
+    assert idf == pytest.approx({g: np.log(4 / (1 + n)) + 1 for g, n in df.items() if n >= 2})
 
 
 def test_metrics_and_grid_match_numpy(spark):
@@ -170,7 +172,7 @@ def test_advisory_never_changes_findings_and_survives_storage(spark, tmp_path):
     assert pick(loaded) == pytest.approx(pick(advisory))
     with pytest.raises(ArtifactError):
         load_advisory(spark, path, "0" * 64)
-    target = next((tmp_path / "model" / "models" / "context" / "metadata").glob("part-*"))
+    target = next((tmp_path / "model" / "models" / "context").glob("part-*"))
     target.write_bytes(target.read_bytes() + b" ")
     for crc in target.parent.glob(".*.crc"):
         crc.unlink()
@@ -245,7 +247,7 @@ def test_auc_of_ten_million_distinct_scores(spark):
 
 
 def test_structural_checks_shuffle_narrow_rows_once(spark):
-    v2 = synth.generate(spark, synth.V2, 40)
+    v2 = generate(spark, V2, 40)
     doubled = v2.unionByName(v2.limit(7)).unionByName(v2.limit(4).withColumn("sample_id", F.concat("sample_id", F.lit("x"))))
     seen = profile.validate_dataset(doubled)
     assert (seen.first().duplicate_rows, seen.first().duplicate_sample_ids) == (7, 7)
@@ -256,3 +258,21 @@ def test_structural_checks_shuffle_narrow_rows_once(spark):
     nothing = profile.validate_dataset(v2.limit(0)).first()
     assert (nothing.duplicate_rows, nothing.missing_values, nothing.valid_labels) == (0, 0, True)
     assert not profile.validate_dataset(v2.limit(0), strict_labels=True).first().valid_labels
+
+
+def test_text_scores_are_the_sigmoid_of_weighted_terms(spark):
+    rows = generate(spark, V3, 60)
+    for fit in (models.fit_text, models.fit_hybrid):
+        model = fit(rows)
+        place = {g: i for i, g in enumerate(model.counts.vocabulary)}
+        for r in model.predict(rows, "p").collect():
+            text = f"{r.variable_name} = {r.value}".lower()
+            tf = Counter(text[i : i + n] for n in models.NGRAM_SIZES for i in range(len(text) - n + 1))
+            held = {place[g]: (1 + np.log(n)) * model.idf[place[g]] for g, n in tf.items() if g in place}
+            margin = model.intercept + sum(v * model.weights[t] for t, v in held.items()) / np.sqrt(sum(v * v for v in held.values()))
+            if model.numeric:
+                n = model.numeric
+                margin += sum(c * (r[f] - m) / d if d else 0 for f, m, d, c in zip(n.features, n.means, n.deviations, n.coefficients))
+            assert r.p_probability == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+            assert r.p_prediction == (r.p_probability > 0.5)
+        assert metrics.calculate_metrics(model.predict(rows, "p"), "label", "p_prediction").first().accuracy > 0.8

@@ -216,6 +216,9 @@ def corpus(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     A corpus is far wider than the keys it is made of, and a table of one row group would leave
     it to one task, so the keys are dealt to as many tasks as the session runs at once.
     """
+    for name in ("documents", "pages", "conversations"):
+        if f"FROM {name}" in sql:
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
     for name in ("orders", "customer"):
         if f"FROM {name}" in sql:
             keys = table(spark, sf_dir, name).repartition(max(spark.sparkContext.defaultParallelism, 2))

@@ -181,7 +181,7 @@ def _known(kind: str, severity: str, values: str, where: str, distinct: bool = F
     found = f"list_distinct({values})" if distinct else values
     return (
         f"SELECT project_id, path, line, '{kind}' AS type, '{severity}' AS severity, "
-        f"unnest({found}) AS raw FROM layer2 WHERE {where}"
+        f"unnest({found}) AS raw, t FROM layer2 WHERE {where}"
     )
 
 
@@ -203,15 +203,15 @@ def scan_ctes(files: str, staged: bool = False, ignored: str = "false") -> list[
     limits = (
         f"SELECT project_id, path AS file, 1 AS line, 'Scan Coverage Limitation' AS type, "
         "'MEDIUM' AS severity, '-' AS masked_value, -1 AS candidate_score, '' AS framework, "
-        "{reason} AS reasons FROM roles WHERE {role} AND {reason} IS NOT NULL"
+        "{reason} AS reasons, {keys} FROM roles WHERE {role} AND {reason} IS NOT NULL"
     )
-    limit_union = [limits.format(reason="source_reason", role="source")]
+    limit_union = [limits.format(reason="source_reason", role="source", keys=_keys(0, line="1"))]
     if staged:
-        limit_union.append(limits.format(reason="other_reason", role="artifact"))
+        limit_union.append(limits.format(reason="other_reason", role="artifact", keys=_keys(0, line="1")))
     else:
         limit_union += [
-            limits.format(reason="other_reason", role="dotenv"),
-            limits.format(reason="other_reason", role="artifact"),
+            limits.format(reason="other_reason", role="dotenv", keys=_keys(1, line="1")),
+            limits.format(reason="other_reason", role="artifact", keys=_keys(2, line="1")),
         ]
     known = " UNION ALL ".join(
         [
@@ -258,18 +258,35 @@ def scan_ctes(files: str, staged: bool = False, ignored: str = "false") -> list[
             " UNION ALL ".join(limit_union)
             + f" UNION ALL SELECT project_id, path, line, 'Client-Side Secret Exposure', 'CRITICAL', {mask('ev')}, "
             f"{score('e')}, fw, concat_ws('|', 'Client-exposed environment variable', "
-            f"CASE WHEN esens THEN 'Sensitive credential name' END, nullif({reasons('e')}, '')) FROM exposed"
-            f" UNION ALL SELECT project_id, path, line, type, severity, {mask('raw')}, -1, '', '' FROM known"
+            f"CASE WHEN esens THEN 'Sensitive credential name' END, nullif({reasons('e')}, '')), {_keys(0)} FROM exposed"
+            f" UNION ALL SELECT project_id, path, line, type, severity, {mask('raw')}, -1, '', '', {_keys(0, detector=_DETECTORS)} FROM known"
             f" UNION ALL SELECT project_id, path, line, 'Unknown Secret Candidate', 'MEDIUM', {mask('val')}, "
-            f"{score()}, '', {reasons()} FROM generic WHERE {score()} >= 50"
+            f"{score()}, '', {reasons()}, {_keys(0)} FROM generic WHERE {score()} >= 50"
             " UNION ALL SELECT project_id, path, length(before) - length(replace(before, chr(10), '')) + 1, "
             f"'Artifact Secret Exposure', 'CRITICAL', {mask('raw')}, candidate_score, 'Artifact', "
             "'Secret-like environment value was propagated into a shipped build artifact.|Source variable: ' "
-            "|| variable_name || '|Source file: ' || regexp_extract(source_path, '[^/]*$') FROM spread",
+            f"|| variable_name || '|Source file: ' || regexp_extract(source_path, '[^/]*$'), {_keys(2, 'source_path', 'source_line')} FROM spread",
         ),
     ]
 
 
+#: Where a known finding stands among those of its line: detector, first place, longer values first.
+_DETECTORS = "list_position(['Hardcoded Password', 'API Key', 'Bearer Token', 'Database Credential'], type) * 100000000 + strpos(t, raw) * 10000 - length(raw)"
+
+
+def _keys(phase: int, path: str = "''", line: str = "line", detector: str = "0") -> str:
+    """What orders a report after the project: phase, then (after the file) path, line, detector."""
+    return f"{phase} AS phase, {path} AS order_path, {line} AS order_line, {detector} AS ordinal"
+
+
+def report(files: str) -> str:
+    """Findings with their place in report order."""
+    order = "project_id, phase, file, order_path, order_line, ordinal, type, masked_value, reasons"
+    return (
+        f"{ctes(*scan_ctes(files))} SELECT {FINDING_COLUMNS}, row_number() OVER (ORDER BY {order}) AS position FROM findings"
+    )
+
+
 def inventory(role_table: str) -> str:
     """First occurrence of every secret-like dotenv value."""
     return f"""

@@ -15,6 +15,7 @@ from quietkey.functions.candidate import (
     without_client_prefix,
 )
 from quietkey.functions.features import (
+    CONTEXT_FEATURES,
     CONTEXT_FLAGS,
     NUMERIC_FEATURES,
     context_features,
@@ -41,6 +42,7 @@ from quietkey.operators import ignore as I
 from quietkey.operators import limits as L
 from quietkey.operators import paths as P
 from quietkey.operators.changes import change_set
+from quietkey.operators.findings import public_findings
 from quietkey.operators.propagation import secret_inventory
 from quietkey.plans.gatebench import (
     case_results,
@@ -69,9 +71,10 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def flat(findings: DataFrame) -> DataFrame:
+def flat(findings: DataFrame, *more: str) -> DataFrame:
     """Public findings with plain columns, for value comparison."""
     return findings.select(
+        *more,
         "project_id",
         "file",
         "line",
@@ -89,6 +92,12 @@ def scan_findings(spark, sf):
     return flat(scan_projects(C.files(spark, sf)).public())
 
 
+@query("scan_report", O.report(C.FILES))
+def scan_report(spark, sf):
+    report = scan_projects(C.files(spark, sf)).report()
+    return flat(report, "position")
+
+
 @query("scan_gate_summary", O.gate(C.FILES))
 def scan_gate_summary(spark, sf):
     return scan_projects(C.files(spark, sf)).summary().drop("ml_advisory_enabled")
@@ -253,35 +262,41 @@ def dotenv_assignments(spark, sf):
     return rows.select("path", "line", *[F.coalesce(f"a.{c}", F.lit("")).alias(c) for c in ("variable_name", "value")])
 
 
-def _text_tables(spark, sf):
-    documents = C.table(spark, sf, "documents").selectExpr("'documents' AS project", "concat('d', doc_id, '.yaml') AS path", "text")
-    pages = C.table(spark, sf, "pages").selectExpr("'pages' AS project", "concat('w', page_id, '.html') AS path", "html AS text")
-    talks = C.table(spark, sf, "conversations").selectExpr(
-        "'conversations' AS project", "concat('c', conv_id, '_', turn, '.py') AS path", "text")
-    return documents.unionByName(pages).unionByName(talks)
+# The given texts hold next to no credentials, so some get a line with a fake one.
+_TEXT_TABLES = """SELECT 'documents' AS project_id, 'd' || doc_id || '.yaml' AS path, text || CASE doc_id % 6
+    WHEN 0 THEN chr(10) || 'db_password: ' || substr(md5('d' || doc_id), 1, 11) WHEN 1 THEN chr(10) || 'auth: Bearer ' || md5('d' || doc_id)
+    WHEN 2 THEN chr(10) || 'url: mysql://app:' || substr(md5('d' || doc_id), 1, 9) || '@host/db' ELSE '' END AS text FROM documents
+  UNION ALL SELECT 'pages', 'w' || page_id || '.html', html || CASE page_id % 4
+    WHEN 0 THEN chr(10) || 'client-secret: ' || md5('w' || page_id) WHEN 1 THEN chr(10) || 'token: "' || upper(md5('w' || page_id)) || 'x"' ELSE '' END FROM pages
+  UNION ALL SELECT 'conversations', 'c' || conv_id || '_' || turn || '.py', text || CASE (conv_id + turn) % 5
+    WHEN 0 THEN chr(10) || 'api_key = "' || md5('c' || conv_id) || '"' WHEN 1 THEN chr(10) || 'password = load()' ELSE '' END FROM conversations"""
+_TEXT_FILES = f"""SELECT *, CAST(1 AS BIGINT) AS length, false AS is_symlink, true AS readable FROM ({_TEXT_TABLES}) t"""
 
 
-_TEXT_TABLES = """SELECT 'documents' AS project_id, 'd' || doc_id || '.yaml' AS path, text FROM documents
-  UNION ALL SELECT 'pages', 'w' || page_id || '.html', html FROM pages
-  UNION ALL SELECT 'conversations', 'c' || conv_id || '_' || turn || '.py', text FROM conversations"""
-_TEXT_FILES = f"""SELECT *, CAST(1 AS BIGINT) AS length, false AS is_symlink, true AS readable FROM ({_TEXT_TABLES}) t"""
-_ASCII_SCAN = O.ctes(*O.scan_ctes(_TEXT_FILES))
+def _text_findings(spark, sf):
+    texts = C.corpus(spark, sf, _TEXT_TABLES)
+    return scan_text(texts, F.col("path"), F.col("text"), F.col("project_id")), texts
 
 
 @query(
     "scan_text_tables",
-    f"{_ASCII_SCAN} SELECT s.project_id, coalesce(f.n, 0) AS findings, s.files FROM "
+    f"{O.ctes(*O.scan_ctes(_TEXT_FILES))} SELECT s.project_id, coalesce(f.n, 0) AS findings, s.files FROM "
     "(SELECT project_id, CAST(count(*) FILTER (scanned) AS BIGINT) AS files FROM scanned GROUP BY 1) s LEFT JOIN "
     "(SELECT project_id, CAST(count(*) AS BIGINT) AS n FROM findings GROUP BY 1) f ON s.project_id = f.project_id",
 )
 def scan_text_tables(spark, sf):
-    texts = _text_tables(spark, sf)
-    hits = scan_text(texts, F.col("path"), F.col("text"), F.col("project"))
-    counted = texts.select(F.col("project").alias("project_id"), F.lit(1).alias("files"), F.lit(0).alias("findings")).unionByName(
+    hits, texts = _text_findings(spark, sf)
+    counted = texts.select("project_id", F.lit(1).alias("files"), F.lit(0).alias("findings")).unionByName(
         hits.select("project_id", F.lit(0).alias("files"), F.lit(1).alias("findings")))
     return counted.groupBy("project_id").agg(F.sum("files").alias("files"), F.sum("findings").alias("findings"))
 
 
+@query("text_findings", f"{O.ctes(*O.scan_ctes(_TEXT_FILES))} SELECT project_id, file, type, severity, masked_value, "
+       "CAST(candidate_score AS INT) AS candidate_score, reasons FROM findings")
+def text_findings(spark, sf):
+    return flat(public_findings(_text_findings(spark, sf)[0])).drop("line", "framework")
+
+
 # --- scalar functions over quoted HTML attributes and derived candidates ---------------
 
 _ATTRIBUTES = """SELECT page_id, unnest(regexp_extract_all(html, '([A-Za-z-]+)="([^"]*)"', 1)) AS variable_name,
@@ -907,12 +922,46 @@ def text_term_weights(spark, sf):
         F.round(F.array_max(weight), 6).alias("weight_max"))
 
 
-# Every held-out row lies in one cell that fits its label, whatever the model says.
-@query("split_evaluation", f"SELECT sample_id, label, 1 AS in_own_cell FROM ({_TEST_IDS}) t")
+# A given model: fixed numbers for every feature, so that SQL can score what the engine scores.
+def _given(features, derived: bool) -> M.TabularModel:
+    n = len(features)
+    return M.TabularModel(
+        tuple(features), tuple(i % 4 * 0.5 for i in range(n)), tuple((2.0, 0.5, 4.0)[i % 3] for i in range(n)),
+        tuple((0.75, -0.5, 0.25, 1.5, -1.25)[i % 5] for i in range(n)), -0.375, derived,
+    )
+
+
+def _margin(model: M.TabularModel) -> str:
+    terms = zip(model.features, model.means, model.deviations, model.coefficients, strict=True)
+    return " + ".join([f"CAST({model.intercept} AS DOUBLE)", *(f"CAST({w} AS DOUBLE) * ((CAST({f} AS DOUBLE) - {m}) / {d})" for f, m, d, w in terms)])
+
+
+_GIVEN_NUMERIC, _GIVEN_CONTEXT = _given(NUMERIC_FEATURES, False), _given(CONTEXT_FEATURES, True)
+
+
+def _sigmoid(model: M.TabularModel) -> str:
+    return f"1.0 / (1.0 + exp(-({_margin(model)})))"
+
+
+@query("scored_numeric", f"""SELECT sample_id, label, round(p, 9) AS probability, CAST(p > 0.5 AS INT) AS prediction FROM
+  (SELECT sample_id, label, {_sigmoid(_GIVEN_NUMERIC)} AS p FROM ({_FEATURED}) f) s""")
+def scored_numeric(spark, sf):
+    rows = _GIVEN_NUMERIC.predict(_candidates(spark, sf), "numeric")
+    return rows.select("sample_id", "label", F.round("numeric_probability", 9).alias("probability"), F.col("numeric_prediction").alias("prediction"))
+
+
+@query("scored_context", f"""SELECT sample_id, label, round(p, 9) AS probability, CAST(p > 0.5 AS INT) AS prediction FROM
+  (SELECT sample_id, label, {_sigmoid(_GIVEN_CONTEXT)} AS p FROM ({_FEATURED}) f) s""")
+def scored_context(spark, sf):
+    rows = _GIVEN_CONTEXT.predict(C.corpus(spark, sf, C.CANDIDATES), "context")
+    return rows.select("sample_id", "label", F.round("context_probability", 9).alias("probability"), F.col("context_prediction").alias("prediction"))
+
+
+@query("split_evaluation", f"""SELECT sample_id, label, CASE WHEN label = 1 THEN CASE WHEN p > 0.5 THEN 'TP' ELSE 'FN' END
+    ELSE CASE WHEN p > 0.5 THEN 'FP' ELSE 'TN' END END AS cell FROM
+  (SELECT f.sample_id, f.label, {_sigmoid(_GIVEN_NUMERIC)} AS p FROM ({_FEATURED}) f JOIN ({_TEST_IDS}) t ON f.sample_id = t.sample_id) s""")
 def split_evaluation(spark, sf):
-    rows = M.split_evaluation(_candidates(spark, sf), M.fit_numeric, "numerical")
-    own = F.when(F.col("label") == 1, F.col("cell").isin("TP", "FN")).otherwise(F.col("cell").isin("TN", "FP"))
-    return rows.select("sample_id", "label", own.cast("int").alias("in_own_cell"))
+    return M.split_evaluation(_candidates(spark, sf), lambda training: _GIVEN_NUMERIC, "numerical").select("sample_id", "label", "cell")
 
 
 # --- synthesis: one pair of samples per order ------------------------------------------
