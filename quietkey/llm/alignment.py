@@ -12,10 +12,10 @@ back to the block, not to every document. The vocabulary files are parameters.
 
 from __future__ import annotations
 
-import os
+import gc
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -32,7 +32,7 @@ from quietkey.llm.common import table, text_or_empty, written
 #: Characters of a block of documents, about; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 20
 #: Stretches, links in them, and words with their ids that a worker remembers.
-REMEMBERED, LINKS_REMEMBERED, WORDS_REMEMBERED = 1 << 19, 1 << 23, 1 << 18
+REMEMBERED, LINKS_REMEMBERED, WORDS_REMEMBERED = 1 << 18, 1 << 22, 1 << 17
 #: Texts are cut into stretches in parts of about so many characters.
 PART = 1 << 18
 #: A pair of ids in one number: the first id times this, plus the second.
@@ -83,24 +83,29 @@ class Aligner:
     """Aligns stretches with two vocabularies and remembers what it has aligned, up to a bound."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path_a)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        symbol = self.tokenizer.id_to_token
-        byte = {symbol(i): b for b, i in enumerate(token_counts.MergeTable(path_a).first.tolist())}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ids = range(self.tokenizer.get_vocab_size())
+        known = Tokenizer.from_file(path_a)
+        symbol = known.id_to_token
+        merges = token_counts.MergeTable(path_a)
+        byte = {symbol(i): b for b, i in enumerate(merges.first.tolist())}
+        special = {t.content for t in known.get_added_tokens_decoder().values()}
+        ids = range(known.get_vocab_size())
         self.bytes_a = [b"" if symbol(i) in special else bytes(byte[c] for c in symbol(i)) for i in ids]
+        ranks = {of: i for i, of in enumerate(self.bytes_a) if of}
+        if len(ranks) != 256 + len(merges.merged) or (np.diff(merges.merged) <= 0).any():
+            raise ValueError("only byte-level vocabularies whose ids follow their merges are read")
+        # The same vocabulary, read by the faster of its two libraries; special strings are plain text.
+        self.encode_a = tiktoken.Encoding("a", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.coder = pieces.coder(path_b)
         self.bytes_b = self.coder.table.token_bytes
         self.marks_apart = not any(_MARK.search(p) for p in self.coder.table.scores)
-        self.ids: dict[str, tuple[list[int], list[int]]] = {}
+        self.ids: dict[str, tuple[array, array]] = {}
+        self.older: dict[str, tuple[array, array]] = {}
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.forget()
 
@@ -111,18 +116,20 @@ class Aligner:
         self.facts = array("q")
         self.links = array("q")
 
-    def _ids(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def _ids(self, stretches: list[str]) -> tuple[list, list]:
         """The ids of stretches, put together from those of their words and marks."""
         parts = [_MARK.split(x) if self.marks_apart else [x] for x in stretches]
-        if new := sorted(set(chain.from_iterable(parts)).difference(self.ids)):
-            if len(self.ids) > WORDS_REMEMBERED:
-                self.ids, new = {}, sorted(set(chain.from_iterable(parts)))
-            a = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        if len(self.ids) > WORDS_REMEMBERED:
+            self.older, self.ids = self.ids, {}
+        known, words = self.ids, set(chain.from_iterable(parts)).difference(self.ids)
+        known.update((x, self.older[x]) for x in words.intersection(self.older))
+        if new := sorted(words.difference(self.older)):
+            of_a = list(map(self.encode_a, new))
             # The library adds a blank to what it reads; the rest is read as it stands.
-            words = [x for x in new if x[0] == " " and len(x) > 1]
-            b = dict(zip(words, self.pieces.encode([x[1:] for x in words], num_threads=1), strict=True))
-            self.ids.update((x, (of_a, b[x] if x in b else self._marked(x))) for x, of_a in zip(new, a, strict=True))
-        known = self.ids
+            begun = [x for x in new if x[0] == " " and len(x) > 1]
+            of_b = dict(zip(begun, self.pieces.encode([x[1:] for x in begun], num_threads=1), strict=True))
+            # Arrays hold ids in a fifth of the room of lists.
+            known.update((x, (array("i", a), array("i", of_b[x] if x in of_b else self._marked(x)))) for x, a in zip(new, of_a, strict=True))
         both = [known[x[0]] if len(x) == 1 else tuple(list(chain.from_iterable(known[y][k] for y in x)) for k in (0, 1)) for x in parts]
         return [x for x, _ in both], [x for _, x in both]
 
@@ -130,18 +137,33 @@ class Aligner:
         chunks = self.coder.table.chunk.findall(text.replace(" ", pieces.BLANK))
         return list(chain.from_iterable(self.coder.of_chunks(chunks)))
 
+    def _give_back(self, stretches: list[str], a: list, b: list, flat_a: Sequence[int], flat_b: Sequence[int]) -> bool:
+        """Whether both lists of ids give back each of the stretches."""
+        texts = [t.encode("utf-8") for t in stretches]
+        all_ = b"".join(texts)
+        if b"".join(map(self.bytes_a.__getitem__, flat_a)) != all_ or b"".join(map(self.bytes_b.__getitem__, flat_b)) != all_:
+            return False
+        ends = np.cumsum(list(map(len, texts)))
+        for ids, flat, sizes in ((a, flat_a, self.sizes_a), (b, flat_b, self.sizes_b)):
+            reached = np.cumsum(sizes[np.array(flat, np.int64)])
+            if (reached[np.cumsum(list(map(len, ids))) - 1] != ends).any():
+                return False
+        return True
+
     def _learn(self, stretches: list[str]) -> None:
         """Aligns ``stretches``, one behind the other, in one go."""
         a, b = self._ids(stretches)
-        joined = [[b"".join(map(of.__getitem__, x)) for x in ids] for of, ids in ((self.bytes_a, a), (self.bytes_b, b))]
-        whole = [x == y == t.encode("utf-8") for x, y, t in zip(*joined, stretches, strict=True)]
-        a, b = ([x if w else [] for x, w in zip(ids, whole, strict=True)] for ids in (a, b))
+        whole = [True] * len(stretches)
         flat_a, flat_b = (list(chain.from_iterable(x)) for x in (a, b))
+        if not self._give_back(stretches, a, b, flat_a, flat_b):
+            whole = [self._give_back([t], [x], [y], x, y) for t, x, y in zip(stretches, a, b, strict=True)]
+            a, b = ([x if w else [] for x, w in zip(ids, whole, strict=True)] for ids in (a, b))
+            flat_a, flat_b = (list(chain.from_iterable(x)) for x in (a, b))
         ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
         sizes_a, sizes_b = self.sizes_a[ids_a], self.sizes_b[ids_b]
         cuts_a, cuts_b = common_cuts(sizes_a, sizes_b)
         part, i, j = slice_links(sizes_a, sizes_b, cuts_a, cuts_b)
-        names_a, names_b = list(map(str, flat_a)), list(map(str, flat_b))
+        names_a, names_b = list(map(self.names.__getitem__, flat_a)), list(map(self.names.__getitem__, flat_b))
         sides = zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b, strict=False)
         texts = [f"{','.join(names_a[p:q])}|{','.join(names_b[r:s])}" for p, q, r, s in sides]
         n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
@@ -249,6 +271,7 @@ def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | No
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, number = aligner(path_a, path_b), TaskContext.get().partitionId() << 32
+        gc.disable()  # what is remembered has no cycles, and looking for them costs a tenth of the time
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for start, end in _blocks(texts):

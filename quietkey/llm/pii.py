@@ -27,6 +27,8 @@ from quietkey.llm.common import free_name, table, written
 
 #: Where a session names its key; the queries use the key for trials if it has none.
 KEY_SETTING, TRIAL_KEY = "spark.quietkey.surrogate.key", b"for trials on synthetic tables only"
+#: Documents with a remarkable surrogate that go to every executor (some 20 MB); more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "name")
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
@@ -391,5 +393,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     original = given.select("kind", F.col("entity").alias("surrogate")).distinct().select("*", F.lit(0).alias("n_colliding"), F.lit(1).alias("n_original"))
     counts = [F.sum(c).alias(c) for c in ("n_colliding", "n_original")]
     met = given.join(shared.unionByName(original), ["kind", "surrogate"]).groupBy("row").agg(*counts)
-    counted = stored.join(met, "row", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_colliding", "n_original")})
+    # Next to no document has one; texts are shuffled only if many do.
+    few = met.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    counted = stored.join(F.broadcast(met) if few else met, "row", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_colliding", "n_original")})
     return counted.drop("row", "given")
