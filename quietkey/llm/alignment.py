@@ -32,7 +32,7 @@ from quietkey.llm.common import table, text_or_empty, written
 #: Characters of a block of documents, about; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 20
 #: Stretches, links in them, and words with their ids that a worker remembers.
-REMEMBERED, LINKS_REMEMBERED, WORDS_REMEMBERED = 1 << 18, 1 << 22, 1 << 17
+REMEMBERED, LINKS_REMEMBERED, WORDS_REMEMBERED = 3 << 16, 1 << 22, 1 << 17
 #: Texts are cut into stretches in parts of about so many characters.
 PART = 1 << 18
 #: A pair of ids in one number: the first id times this, plus the second.
@@ -107,14 +107,32 @@ class Aligner:
         self.older: dict[str, tuple[array, array]] = {}
         self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
         #: Of each stretch: tokens of a and b, groups, links, whether both lists give it back, its first link.
         self.facts = array("q")
         self.links = array("q")
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts anew; what was known until now can be recalled until the next time."""
+        self.old_known, self.old_groups = self.known, self.groups
+        self.old_facts, self.old_links = np.array(self.facts, np.int64).reshape(-1, 6), np.array(self.links, np.int64)
+        self.known, self.groups, self.facts, self.links = {}, [], array("q"), array("q")
+
+    def _keep(self, stretches: list[str], groups: list[str], facts: np.ndarray, links: np.ndarray) -> None:
+        """Notes the alignment of ``stretches``; the last column of ``facts`` is filled in here."""
+        ends = np.cumsum(facts[:, 3])
+        facts[:, 5] = len(self.links) + ends - facts[:, 3]
+        self.known.update(zip(stretches, range(len(self.groups), len(self.groups) + len(stretches)), strict=True))
+        self.groups += groups
+        self.facts.frombytes(facts.tobytes())
+        self.links.frombytes(links.tobytes())
+
+    def _recall(self, stretches: list[str]) -> None:
+        at = np.fromiter(map(self.old_known.__getitem__, stretches), np.int64, len(stretches))
+        facts = self.old_facts[at]
+        self._keep(stretches, list(map(self.old_groups.__getitem__, at.tolist())), facts, self.old_links[_ranges(facts[:, 5], facts[:, 3])])
 
     def _ids(self, stretches: list[str]) -> tuple[list, list]:
         """The ids of stretches, put together from those of their words and marks."""
@@ -165,24 +183,29 @@ class Aligner:
         part, i, j = slice_links(sizes_a, sizes_b, cuts_a, cuts_b)
         names_a, names_b = list(map(self.names.__getitem__, flat_a)), list(map(self.names.__getitem__, flat_b))
         sides = zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b, strict=False)
-        texts = [f"{','.join(names_a[p:q])}|{','.join(names_b[r:s])}" for p, q, r, s in sides]
+        join = ",".join
+        texts = [
+            f"{names_a[p] if q - p == 1 else join(names_a[p:q])}|{names_b[r] if s - r == 1 else join(names_b[r:s])}"
+            for p, q, r, s in sides
+        ]
         n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
         # A stretch ends where its tokens do, so its slices and links are counted from those ends.
         ends = np.searchsorted(np.array(cuts_a, np.int64), np.cumsum(n_a), side="right")
         stops = np.searchsorted(part, ends)
         n_groups, n_links = np.diff(ends, prepend=0), np.diff(stops, prepend=0)
-        first = len(self.links) + stops - n_links
-        self.known.update(zip(stretches, range(len(self.groups), len(self.groups) + len(stretches)), strict=True))
-        self.groups += [";".join(texts[e - n : e]) for e, n in zip(ends.tolist(), n_groups.tolist(), strict=True)]
-        self.facts.frombytes(np.column_stack([n_a, n_b, n_groups, n_links, whole, first]).astype(np.int64).tobytes())
-        self.links.frombytes((ids_a[i] * SECOND + ids_b[j]).tobytes())
+        groups = [";".join(texts[e - n : e]) for e, n in zip(ends.tolist(), n_groups.tolist(), strict=True)]
+        facts = np.column_stack([n_a, n_b, n_groups, n_links, whole, np.zeros(len(whole))]).astype(np.int64)
+        self._keep(stretches, groups, facts, ids_a[i] * SECOND + ids_b[j])
 
     def _fold(self, waiting: list[tuple[int, list[str]]], out: dict[str, list]) -> None:
         """Adds to ``out`` what the stretches ``waiting`` give to their texts."""
         if len(self.known) > REMEMBERED or len(self.links) > LINKS_REMEMBERED:
             self.forget()
-        if new := set(chain.from_iterable(x for _, x in waiting)).difference(self.known):
-            self._learn(sorted(new))
+        new = set(chain.from_iterable(x for _, x in waiting)).difference(self.known)
+        if old := sorted(new.intersection(self.old_known)):
+            self._recall(old)
+        if new := sorted(new.difference(old)):
+            self._learn(new)
         facts = np.array(self.facts, np.int64).reshape(-1, 6)
         links = np.array(self.links, np.int64)
         owners, numbers = [], []
@@ -200,8 +223,7 @@ class Aligner:
         cells, times = np.unique(np.concatenate(owners) * len(self.groups) + np.concatenate(numbers), return_counts=True)
         text, stretch = cells // len(self.groups), cells % len(self.groups)
         counts = facts[stretch, 3]
-        at = np.repeat(facts[stretch, 5] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        out["links"].append(_summed(np.repeat(text, counts), links[at], np.repeat(times, counts)))
+        out["links"].append(_summed(np.repeat(text, counts), links[_ranges(facts[stretch, 5], counts)], np.repeat(times, counts)))
 
     def block(self, texts: list[str]) -> dict[str, list | np.ndarray]:
         """The alignment of every text; ``text``, ``pair`` and ``times`` are its links, sorted."""
@@ -226,6 +248,11 @@ class Aligner:
         return {"totals": out["totals"], "groups": groups, "text": text, "pair": pair, "times": times}
 
 
+def _ranges(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places ``first, first + 1, ...`` of every range, one after the other."""
+    return np.repeat(firsts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
 def _summed(text: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``times`` added up by text and pair, in that order."""
     names, local = np.unique(pair, return_inverse=True)
