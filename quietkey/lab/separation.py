@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 REQUIRED = ("variable_name", "value", "sample_type", "source")
 
 
-def _keys(frame: DataFrame, side: int) -> DataFrame:
+def separation_keys(frame: DataFrame, side: int) -> DataFrame:
+    """Rows ``(what, first, second, side)``: the pair, value, type and source of every sample."""
     missing = sorted(set(REQUIRED) - set(frame.columns))
     if missing:
         raise ValueError("Missing required columns: " + ", ".join(missing))
@@ -33,7 +34,7 @@ def compare_separation(training: DataFrame, development: DataFrame) -> DataFrame
     All four overlaps come from one aggregation on the key. It combines before the
     shuffle, so a value or source that fills the table arrives as a few rows.
     """
-    keys = _keys(training, 1).unionByName(_keys(development, 2))
+    keys = separation_keys(training, 1).unionByName(separation_keys(development, 2))
     seen = keys.groupBy("what", "first", "second").agg(
         F.count_if(F.col("side") == 1).alias("in_training"),
         F.count_if(F.col("side") == 2).alias("in_development"),

@@ -1,5 +1,7 @@
 """Generators, models, fusion, metrics, splits and frozen gates."""
 
+import dataclasses
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -191,6 +193,61 @@ def test_hashed_advisory_survives_storage(spark, tmp_path):
     assert pick(loaded) == pytest.approx(pick(advisory))
 
 
+def test_a_bundle_reads_every_set_once_and_stops_at_a_mismatch(spark, tmp_path):
+    sets, columns = {}, {}
+    for name, spec in (("training", V3), ("development", DEV), ("holdout", HOLDOUT)):
+        rows, path = generate(spark, spec, 20), str(tmp_path / name)
+        frozen.write_candidates(rows, path)
+        columns[name] = tuple(rows.columns)
+        sets[name] = (path, frozen.Identity(frozen.file_sha256(spark, path), 40, spec.source, {0: 20, 1: 20}))
+    held = {n: frozen.observed(n, frozen.read_candidates(spark, p, columns[n])) for n, (p, _) in sets.items()}
+    checks = frozen.bundle_checks(held)
+    assert checks._jdf.queryExecution().executedPlan().toString().count("FileScan") == 3
+    assert {r.what: (r.training, r.development) for r in checks.collect()} == dict.fromkeys(("pair", "value", "type", "source"), (0, 0))
+    assert held["training"].verify(sets["training"][1])["samples"] == 40
+    assert set(frozen.load_holdout_bundle(spark, sets, columns)) == set(sets)
+    for wrong in ({"samples": 39}, {"source": "x"}, {"labels": {0: 40}}):
+        path, right = sets["holdout"]
+        broken = {**sets, "holdout": (path, dataclasses.replace(right, **wrong))}
+        with pytest.raises(ValueError, match="holdout"):
+            frozen.load_holdout_bundle(spark, broken, columns)
+    again = {**sets, "development": sets["holdout"]}
+    with pytest.raises(ValueError, match="separation from development"):
+        frozen.load_holdout_bundle(spark, again, {**columns, "development": columns["holdout"]})
+
+
+def _tree(path, length, known):
+    """The hash tree of a sparse file from its few filled blocks."""
+    size = frozen.BLOCK_BYTES
+    zero = hashlib.sha256(bytes(size)).hexdigest()
+    n = max(1, -(-length // size))
+    level = [zero] * n
+    with open(path, "rb") as source:
+        for i in {*known, n - 1}:
+            source.seek(i * size)
+            level[i] = hashlib.sha256(source.read(size)).hexdigest()
+    while len(level) > 1:
+        parts = [level[i : i + frozen.TREE_FAN] for i in range(0, len(level), frozen.TREE_FAN)]
+        level = [hashlib.sha256("".join(p).encode()).hexdigest() if len(p) > 1 else p[0] for p in parts]
+    return level[0]
+
+
+@pytest.mark.parametrize("length", [5, 1 << 20, (1 << 20) + 1, 3 * (1 << 30) + 12_345])
+def test_large_files_hash_in_ranges(spark, tmp_path, length):
+    path = tmp_path / "big.bin"
+    with open(path, "wb") as out:
+        out.truncate(length)
+        for at in (0, length // 2):
+            out.seek(at)
+            out.write(b"mark"[: max(0, min(4, length - at))])
+    want = _tree(path, length, {0, length // 2 // frozen.BLOCK_BYTES})
+    for blocks in (64, 1000) if length > 1 << 30 else (1, 64):
+        row = frozen.tree_sha256(spark, str(path), blocks).first()
+        assert (row.length, row.digest) == (length, want)
+    if length <= 1 << 20:
+        assert want == hashlib.sha256(path.read_bytes()).hexdigest() == frozen.file_sha256(spark, str(path))
+
+
 def test_reports_are_written_once(spark, tmp_path):
     report = metrics.calculate_metrics(spark.createDataFrame([(1, 1), (0, 1)], "label int, prediction int"))
     frozen.save_report(report, str(tmp_path / "r"))
