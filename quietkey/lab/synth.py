@@ -1,7 +1,9 @@
 """Synthetic labelled candidates: one generator, seven specifications.
 
-Every value is a pure function of (seed, index, label, draw), so the same seed gives the
-same rows on any partitioning, and rows are built in parallel without shared state.
+Every value is a pure function of (seed, index, label, draw), by MD5 of a counter, so the same
+seed gives the same rows on any partitioning, and rows are built in parallel without shared
+state. Values are built as SQL text, so that any engine with the few functions of a ``Dialect``
+makes the same rows.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietkey.functions.features import (
@@ -35,66 +37,92 @@ WORDS = (
 )
 
 
+@dataclass(frozen=True)
+class Dialect:
+    """Where SQL dialects differ: a number from hex digits, and a text of characters made one by one."""
+
+    number: str
+    spelled: str
+
+
+SPARK = Dialect("CAST(conv({0}, 16, 10) AS BIGINT)", "array_join(transform(sequence(1, {0}), i -> {1}), '')")
+
+
+def literal(text: str) -> str:
+    """Text in quotes; Spark would take ``${`` within one literal for a setting."""
+    quoted = "'" + text.replace("'", "''").replace("${", "$' || '{") + "'"
+    return f"({quoted})" if "${" in text else quoted
+
+
+def choose(place: str, options: tuple[str, ...]) -> str:
+    """The option at ``place``, from 0 on."""
+    return f"split_part({literal('|'.join(options))}, '|', CAST({place} + 1 AS INT))"
+
+
 @dataclass(frozen=True)
 class Draw:
-    """Seeded pseudo-random choices for one row."""
+    """Seeded pseudo-random choices for the row at ``index``, as SQL."""
 
     seed: int
     salt: str
+    dialect: Dialect = SPARK
 
-    def number(self, k: int | str) -> Column:
-        return F.xxhash64(F.lit(self.seed), F.lit(self.salt), F.col("index"), F.lit(str(k)))
-
-    def below(self, k: int | str, n: int) -> Column:
-        return F.pmod(self.number(k), F.lit(n))
+    def hash(self, k: int | str, then: str = "") -> str:
+        """MD5 in hex of the row and what is drawn; ``then`` is more SQL text to hash."""
+        return f"md5('{self.seed}|{self.salt}|{k}|' || index{f' || {then}' if then else ''})"
 
-    def pick(self, k: int | str, options: tuple[str, ...]) -> Column:
-        chosen = F.array(*[F.lit(o) for o in options])
-        return F.element_at(chosen, (self.below(k, len(options)) + 1).cast("int"))
+    def below(self, k: int | str, n: int) -> str:
+        return f"({self.dialect.number.format(f'substr({self.hash(k)}, 1, 8)')} % {n})"
 
-    def hex(self, k: int | str, length: int) -> Column:
-        blocks = [F.sha2(self.number(f"{k}/{i}").cast("string"), 256) for i in range(-(-length // 64))]
-        return F.substr(F.concat(*blocks), F.lit(1), F.lit(length))
+    def pick(self, k: int | str, options: tuple[str, ...]) -> str:
+        return choose(self.below(k, len(options)), options)
 
-    def text(self, k: int | str, alphabet: str, length: int) -> Column:
-        def letter(i: Column) -> Column:
-            h = F.xxhash64(self.number(k), i)
-            return F.substr(F.lit(alphabet), F.pmod(h, F.lit(len(alphabet))) + 1, F.lit(1))
+    def hex(self, k: int | str, length: int) -> str:
+        blocks = " || ".join(self.hash(f"{k}/{i}") for i in range(-(-length // 32)))
+        return f"substr({blocks}, 1, {length})"
 
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), letter), "")
+    def text(self, k: int | str, alphabet: str, length: int) -> str:
+        digits = f"substr({self.hash(f'{k}/', 'i')}, 1, 6)"
+        letter = f"substr({literal(alphabet)}, CAST({self.dialect.number.format(digits)} % {len(alphabet)} + 1 AS INT), 1)"
+        return self.dialect.spelled.format(length, letter)
 
-    def uuid(self, k: int | str) -> Column:
-        h, cuts = self.hex(k, 32), ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
-        return F.concat_ws("-", *[F.substr(h, F.lit(a), F.lit(n)) for a, n in cuts])
+    def uuid(self, k: int | str) -> str:
+        h = self.hash(k)
+        return " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
 
-    def base64(self, k: int | str, size: int) -> Column:
-        return F.base64(F.unhex(self.hex(k, 2 * size)))
+    def base64(self, k: int | str, size: int) -> str:
+        return f"base64(unhex({self.hex(k, 2 * size)}))"
 
-    def base64url(self, k: int | str, size: int) -> Column:
-        return F.rtrim(F.translate(self.base64(k, size), "+/", "-_"), F.lit("="))
+    def base64url(self, k: int | str, size: int) -> str:
+        return f"replace(translate({self.base64(k, size)}, '+/', '-_'), '=', '')"
 
-    def jwt(self, k: int | str) -> Column:
-        return F.concat_ws(".", *[self.base64url(f"{k}.{i}", n) for i, n in enumerate((12, 20, 18))])
+    def jwt(self, k: int | str) -> str:
+        return " || '.' || ".join(self.base64url(f"{k}.{i}", n) for i, n in enumerate((12, 20, 18)))
 
-    def phrase(self, k: int | str, separators: tuple[str, ...] = ("-", ".", " ")) -> Column:
+    def phrase(self, k: int | str, separators: tuple[str, ...] = ("-", ".", " ")) -> str:
         """Four or five words at any index; the last one spells the index, so none repeats."""
-        words = F.array(*[F.lit(w) for w in WORDS])
-
-        def word(place: Column) -> Column:
-            return F.element_at(words, (F.pmod(F.xxhash64(self.number(k), place), F.lit(len(WORDS))) + 1).cast("int"))
+        drawn = [self.pick(f"{k}/{i}", WORDS) for i in range(4)]
+        spelled = "'um' || translate(lower(hex(index)), '0123456789abcdef', 'bcdfghjklmnprstv')"
+        joined = []
+        for separator in separators:
+            s = literal(separator)
+            more = f"CASE WHEN {self.below(f'{k}/words', 2)} = 1 THEN {s} || {drawn[3]} ELSE '' END"
+            joined.append(f"{f' || {s} || '.join(drawn[:3])} || {more} || {s} || {spelled}")
+        roll = self.below(k, len(separators))
+        return cases([(f"{roll} = {i}", j) for i, j in enumerate(joined[:-1])], joined[-1])
+
+    def tag(self) -> str:
+        """Short lower-case tag that is unique per index."""
+        return f"({self.text('tag', LOWER, 4)} || lower(hex(index)))"
 
-        drawn = F.transform(F.sequence(F.lit(1), (self.below(f"{k}/words", 2) + 3).cast("int")), word)
-        letters = F.translate(F.lower(F.hex(F.col("index"))), "0123456789abcdef", "bcdfghjklmnprstv")
-        spelled = F.concat(drawn, F.array(F.concat(F.lit("um"), letters)))
-        joined = [F.array_join(spelled, s) for s in separators]
-        return F.element_at(F.array(*joined), (self.below(k, len(separators)) + 1).cast("int"))
 
-    def tag(self) -> Column:
-        """Short lower-case tag that is unique per index."""
-        return F.concat(self.text("tag", LOWER, 4), F.lower(F.hex(F.col("index"))))
+def cases(branches: list[tuple[str, str]], otherwise: str) -> str:
+    if not branches:
+        return f"({otherwise})"
+    return f"CASE {' '.join(f'WHEN {c} THEN {v}' for c, v in branches)} ELSE {otherwise} END"
 
 
-Make = Callable[[Draw], Column]
+Make = Callable[[Draw], str]
 
 
 @dataclass(frozen=True)
@@ -117,7 +145,8 @@ class Spec:
     positive: tuple[Family, ...]
     negative: tuple[Family, ...]
     hard: tuple[Family, ...] = ()
-    hard_share: float = 0.0
+    #: Of so many safe rows, so many are hard.
+    hard_share: tuple[int, int] = (0, 1)
     framework: bool = True
     context: bool = False
     hash_metadata: bool = False
@@ -130,22 +159,17 @@ def one_of(*options: str) -> Make:
 def mixed_name(identifier: int, sensitive: int) -> Make:
     """Identifier-like, sensitive and neutral names in percent shares."""
 
-    def make(d: Draw) -> Column:
+    def make(d: Draw) -> str:
         roll = d.below("roll", 100)
-        return (
-            F.when(roll < identifier, d.pick("name", SECRET_IDENTIFIERS))
-            .when(roll < identifier + sensitive, d.pick("name", SENSITIVE))
-            .otherwise(d.pick("name", NEUTRAL))
-        )
+        shares = [(identifier, SECRET_IDENTIFIERS), (identifier + sensitive, SENSITIVE)]
+        return cases([(f"{roll} < {n}", d.pick("name", names)) for n, names in shares], d.pick("name", NEUTRAL))
 
     return make
 
 
 def alternating(names: tuple[str, ...], plain: tuple[str, ...]) -> Make:
     """Sensitive and neutral names by turns."""
-    return lambda d: F.when(d.below("roll", 2) == 0, d.pick("name", names)).otherwise(
-        d.pick("name", plain)
-    )
+    return lambda d: cases([(f"{d.below('roll', 2)} = 0", d.pick("name", names))], d.pick("name", plain))
 
 
 def values(*options: str) -> Make:
@@ -155,22 +179,19 @@ def values(*options: str) -> Make:
 def tagged(*patterns: str) -> Make:
     """Templates around the row's tag: ``{}`` lower case, ``{^}`` upper case."""
 
-    def make(d: Draw) -> Column:
-        tag = d.tag()
-        chosen = F.replace(d.pick("value", patterns), F.lit("{^}"), F.upper(tag))
-        return F.replace(chosen, F.lit("{}"), tag)
+    def make(d: Draw) -> str:
+        chosen = d.pick("value", patterns)
+        return f"replace(replace({chosen}, '{{^}}', upper({d.tag()})), '{{}}', {d.tag()})"
 
     return make
 
 
-def lengths(*options: int, make: Callable[[Draw, int], Column]) -> Make:
+def lengths(*options: int, make: Callable[[Draw, int], str]) -> Make:
     """One of several lengths."""
 
-    def build(d: Draw) -> Column:
-        roll, result = d.below("length", len(options)), make(d, options[0])
-        for i, n in enumerate(options[1:], 1):
-            result = F.when(roll == i, make(d, n)).otherwise(result)
-        return result
+    def build(d: Draw) -> str:
+        roll = d.below("length", len(options))
+        return cases([(f"{roll} = {i}", make(d, n)) for i, n in enumerate(options[:-1])], make(d, options[-1]))
 
     return build
 
@@ -188,35 +209,31 @@ def base64_of(*options: int) -> Make:
 
 
 def prefixed(prefix: str, make: Make, end: str = "") -> Make:
-    return lambda d: F.concat(F.lit(prefix), make(d), F.lit(end))
+    return lambda d: f"({literal(prefix)} || {make(d)} || {literal(end)})"
 
 
 def groups(alphabet: str, count: int, size: int, separator: str) -> Make:
-    return lambda d: F.concat_ws(
-        separator, *[d.text(f"value/{i}", alphabet, size) for i in range(count)]
-    )
+    return lambda d: f" || {literal(separator)} || ".join(d.text(f"value/{i}", alphabet, size) for i in range(count))
 
 
-def uuid(d: Draw) -> Column:
+def uuid(d: Draw) -> str:
     return d.uuid("value")
 
 
-def jwt(d: Draw) -> Column:
+def jwt(d: Draw) -> str:
     return d.jwt("value")
 
 
-def secret_phrase(d: Draw) -> Column:
+def secret_phrase(d: Draw) -> str:
     return d.phrase("value")
 
 
-def safe_phrase(d: Draw) -> Column:
-    return F.concat(F.lit("default "), d.phrase("value", (" ",)))
+def safe_phrase(d: Draw) -> str:
+    return f"('default ' || {d.phrase('value', (' ',))})"
 
 
-def database_url(d: Draw) -> Column:
-    return F.concat(
-        F.lit("postgresql://crane:"), d.text("value", ALNUM, 18), F.lit("@ledger.internal/harbor")
-    )
+def database_url(d: Draw) -> str:
+    return f"('postgresql://crane:' || {d.text('value', ALNUM, 18)} || '@ledger.internal/harbor')"
 
 
 _PUBLIC = one_of("VITE_MAP_STYLE", "NEXT_PUBLIC_HELP_PAGE", "VITE_CARD_LAYOUT", "NEXT_PUBLIC_FONT_SET")
@@ -276,7 +293,7 @@ V2 = Spec(
         Family("redacted", one_of(*SENSITIVE), values("[redacted]", "xxxxxxxx")),
         Family("sensitive_ui_text", one_of(*SENSITIVE), _LABELS),
     ),
-    hard_share=0.40,
+    hard_share=(2, 5),
     negative=(
         Family("ui_text", one_of("banner"), _LABELS),
         Family("uuid", _SAFE_IDS, uuid),
@@ -304,7 +321,7 @@ V3 = Spec(
     ),
     negative=(
         Family("uuid_identifier", _SAFE_IDS, uuid),
-        Family("commit_hash", one_of("commit_sha"), hex_of(40)),
+        Family("commit_hash", one_of("keel_commit_sha"), hex_of(40)),
         Family("artifact_digest", one_of("image_digest", "checksum"), hex_of(64)),
         Family("public_identifier", one_of("listing_id", "bundle_id"), text_of(UPPER + DIGITS, 26)),
         Family("secret_reference", one_of(*SENSITIVE), _REFERENCES),
@@ -326,13 +343,13 @@ CHALLENGE = Spec(
         Family("opaque_secret", _half, text_of(ALNUM + "_-", 34)),
     ),
     negative=(
-        Family("git_commit_hash", one_of("commit_sha"), hex_of(40)),
-        Family("artifact_digest", one_of("artifact_digest"), hex_of(64)),
-        Family("trace_uuid", one_of("trace_identifier"), uuid),
-        Family("public_reference", one_of("customer_ref"), prefixed("CARGO-", text_of(UPPER + DIGITS, 24))),
-        Family("documentation_placeholder", one_of("api_key_sample", "token_sample"), _PLACEHOLDERS),
-        Family("secret_reference", one_of("token_reference", "secret_reference"), _REFERENCES),
-        Family("public_url", one_of("docs_url"), _URLS),
+        Family("git_commit_hash", one_of("keel_commit_sha"), hex_of(40)),
+        Family("artifact_digest", one_of("bundle_digest"), hex_of(64)),
+        Family("trace_uuid", one_of("wake_trace_id"), uuid),
+        Family("public_reference", one_of("shipper_ref"), prefixed("CARGO-", text_of(UPPER + DIGITS, 24))),
+        Family("documentation_placeholder", one_of("crane_key_demo", "crane_token_demo"), _PLACEHOLDERS),
+        Family("secret_reference", one_of("dock_token_source", "dock_secret_source"), _REFERENCES),
+        Family("public_url", one_of("chart_url"), _URLS),
         Family("frontend_public_config", _PUBLIC, _SETTINGS),
     ),
 )
@@ -348,16 +365,16 @@ FINAL = Spec(
         Family("compact_mixed_secret", _half, text_of(ALNUM + "+/", 22)),
     ),
     negative=(
-        Family("ulid_identifier", one_of("event_ulid"), text_of("0123456789ABCDEFGHJKMNPQRSTVWXYZ", 26)),
-        Family("sri_integrity", one_of("script_integrity"), prefixed("sha384-", base64_of(36))),
-        Family("http_etag", one_of("response_etag"), prefixed('"', hex_of(32), '"')),
-        Family("telemetry_span", one_of("span_identifier"), hex_of(32)),
-        Family("deployment_revision", one_of("deployment_revision"), prefixed("roll-", hex_of(16))),
-        Family("public_webhook_id", one_of("public_webhook_id"), prefixed("wh-", text_of(ALNUM, 27))),
-        Family("config_template_reference", one_of("token_template", "secret_template"), tagged("{{ harbor.{} }}")),
-        Family("documentation_literal", one_of("secret_sample", "token_sample"), tagged("SAMPLE_{^}_TEXT")),
+        Family("ulid_identifier", one_of("mooring_ulid"), text_of("0123456789ABCDEFGHJKMNPQRSTVWXYZ", 26)),
+        Family("sri_integrity", one_of("sail_integrity"), prefixed("sha384-", base64_of(36))),
+        Family("http_etag", one_of("cargo_etag"), prefixed('"', hex_of(32), '"')),
+        Family("telemetry_span", one_of("voyage_span"), hex_of(32)),
+        Family("deployment_revision", one_of("rollout_revision"), prefixed("roll-", hex_of(16))),
+        Family("public_webhook_id", one_of("pier_hook_id"), prefixed("wh-", text_of(ALNUM, 27))),
+        Family("config_template_reference", one_of("berth_token_form", "berth_secret_form"), tagged("{{ harbor.{} }}")),
+        Family("documentation_literal", one_of("anchor_secret_demo", "anchor_token_demo"), tagged("SAMPLE_{^}_TEXT")),
         Family("astro_public_config", one_of("PUBLIC_SITE_THEME", "PUBLIC_DOCS_HOST"), tagged("public-{}")),
-        Family("certificate_fingerprint", one_of("certificate_fingerprint"), groups("0123456789ABCDEF", 20, 2, ":")),
+        Family("certificate_fingerprint", one_of("hull_fingerprint"), groups("0123456789ABCDEF", 20, 2, ":")),
     ),
 )
 
@@ -375,13 +392,13 @@ DEV = Spec(
     ),
     negative=(
         Family("alternate_uuid_identifier", _SAFE_IDS, uuid),
-        Family("alternate_source_hash", one_of("source_revision", "repository_hash"), hex_of(40)),
-        Family("alternate_checksum", one_of("package_checksum", "archive_digest"), hex_of(64)),
+        Family("alternate_source_hash", one_of("ledger_revision", "quay_repository_sha"), hex_of(40)),
+        Family("alternate_checksum", one_of("crate_checksum", "bale_digest"), hex_of(64)),
         Family("alternate_secret_reference", one_of(*SENSITIVE), _REFERENCES),
         Family("alternate_placeholder", one_of(*SENSITIVE), _PLACEHOLDERS),
-        Family("alternate_documentation_jwt", one_of("bearer_sample", "jwt_docs"), jwt),
-        Family("alternate_safe_phrase", one_of("runtime_policy", "feature_notes"), safe_phrase),
-        Family("alternate_public_identifier", one_of("resource_ref", "operation_id"), text_of(UPPER + DIGITS, 24)),
+        Family("alternate_documentation_jwt", one_of("bearer_demo", "jwt_primer"), jwt),
+        Family("alternate_safe_phrase", one_of("harbour_policy", "tide_notes"), safe_phrase),
+        Family("alternate_public_identifier", one_of("berth_ref", "lift_id"), text_of(UPPER + DIGITS, 24)),
         Family("alternate_frontend_public_config", _PUBLIC, _SETTINGS),
     ),
 )
@@ -398,20 +415,20 @@ HOLDOUT = Spec(
         Family("holdout_segmented_secret", _HOLD_NAME, groups(ALNUM, 5, 6, "-")),
         Family("holdout_client_runtime_secret", _CLIENT, text_of(ALNUM + "_-", 32, 38, 43)),
         Family("holdout_hex_material_secret", _HOLD_NAME, hex_of(40, 64)),
-        Family("holdout_misleading_hash_secret", one_of("source_fingerprint", "module_checksum"), hex_of(40, 64)),
+        Family("holdout_misleading_hash_secret", one_of("manifest_fingerprint", "winch_checksum"), hex_of(40, 64)),
         Family("holdout_phrase_credential_secret", _HOLD_NAME, secret_phrase),
     ),
     negative=(
-        Family("holdout_release_commit_hash", one_of("release_commit", "repository_revision"), hex_of(40)),
-        Family("holdout_module_checksum_hash", one_of("module_checksum", "package_digest"), hex_of(64)),
-        Family("holdout_documentation_bearer", one_of("bearer_docs", "access_sample"), jwt),
+        Family("holdout_release_commit_hash", one_of("launch_commit", "yard_revision"), hex_of(40)),
+        Family("holdout_module_checksum_hash", one_of("winch_checksum", "pallet_digest"), hex_of(64)),
+        Family("holdout_documentation_bearer", one_of("bearer_primer", "access_demo"), jwt),
         Family("holdout_secret_store_reference", one_of(*SENSITIVE), _REFERENCES),
         Family("holdout_redacted_configuration", one_of(*SENSITIVE), _PLACEHOLDERS),
         Family("holdout_frontend_public_setting", _PUBLIC, _SETTINGS),
         Family("holdout_object_uuid_identifier", _SAFE_IDS, uuid),
-        Family("holdout_public_segmented_identifier", one_of("license_id", "tracking_ref"), groups(ALNUM, 5, 6, "-")),
-        Family("holdout_safe_configuration_phrase", one_of("deployment_notes", "runtime_text"), safe_phrase),
-        Family("holdout_public_base64_blob", one_of("icon_blob", "asset_blob"), base64_of(22, 26, 33)),
+        Family("holdout_public_segmented_identifier", one_of("permit_id", "freight_ref"), groups(ALNUM, 5, 6, "-")),
+        Family("holdout_safe_configuration_phrase", one_of("launch_notes", "harbour_text"), safe_phrase),
+        Family("holdout_public_base64_blob", one_of("flag_blob", "emblem_blob"), base64_of(22, 26, 33)),
     ),
 )
 
@@ -421,46 +438,49 @@ SPECS = {
 }
 
 
-def _build(families: tuple[Family, ...], index: Column, draw: Draw) -> Column:
-    """Name, value and type of the family whose turn it is."""
-    turn, result = F.pmod(index, F.lit(len(families))), F.lit(None)
-    chain = None
-    for i, family in enumerate(families):
-        sample = F.struct(
-            F.lit(family.sample_type).alias("sample_type"),
-            family.name(draw).alias("variable_name"),
-            family.value(draw).alias("value"),
-        )
-        chain = F.when(turn == i, sample) if chain is None else chain.when(turn == i, sample)
-    return result if chain is None else chain
+def _build(families: tuple[Family, ...], turn: str, draw: Draw, field: str) -> str:
+    """Name, value or type of the family whose turn it is."""
+    made = [
+        f"CAST({literal(f.sample_type)} AS STRING)" if field == "sample_type" else (f.name if field == "variable_name" else f.value)(draw)
+        for f in families
+    ]
+    return cases([(f"{turn} % {len(families)} = {i}", x) for i, x in enumerate(made[:-1])], made[-1])
 
 
-def synth_candidates(indexes: DataFrame, spec: Spec, samples: int, seed: int | None = None) -> DataFrame:
-    """Balanced labelled candidates: one secret and one safe row per ``index``.
+def sample_sql(spec: Spec, label: int, field: str, seed: int | None = None, dialect: Dialect = SPARK) -> str:
+    """``variable_name``, ``value`` or ``sample_type`` of the row at ``index``, as SQL.
 
-    ``indexes`` holds a bigint ``index`` from 0 to ``samples - 1``.
+    Of the first n safe rows, n times the hard share (rounded down) are hard, for every n.
     """
-    seed = spec.seed if seed is None else seed
-    index = F.col("index")
-    positive = _build(spec.positive, index, Draw(seed, f"{spec.source}/1"))
-    draw = Draw(seed, f"{spec.source}/0")
-    negative = _build(spec.negative, index, draw)
-    if spec.hard:
-        hard_rows = int(samples * spec.hard_share)
-        eased = _build(spec.negative, index - hard_rows, draw)
-        negative = F.when(index < hard_rows, _build(spec.hard, index, draw)).otherwise(eased)
+    draw = Draw(spec.seed if seed is None else seed, f"{spec.source}/{label}", dialect)
+    if label:
+        return _build(spec.positive, "index", draw, field)
+    if not spec.hard:
+        return _build(spec.negative, "index", draw, field)
+    some, all_ = spec.hard_share
+
+    def hard_before(index: str) -> str:
+        return f"CAST((({index}) * {some} - (({index}) * {some}) % {all_}) / {all_} AS BIGINT)"
+
+    eased = _build(spec.negative, f"(index - {hard_before('index')})", draw, field)
+    hard = _build(spec.hard, hard_before("index"), draw, field)
+    return cases([(f"{hard_before('index + 1')} > {hard_before('index')}", hard)], eased)
+
+
+def synth_candidates(indexes: DataFrame, spec: Spec, seed: int | None = None) -> DataFrame:
+    """Balanced labelled candidates: one secret and one safe row per bigint ``index`` from 0 on."""
+    fields = ("variable_name", "value", "sample_type")
     sides = F.array(
-        F.struct(F.lit(1).alias("label"), positive.alias("sample")),
-        F.struct(F.lit(0).alias("label"), negative.alias("sample")),
+        *(F.struct(F.lit(label).alias("label"), *(F.expr(sample_sql(spec, label, f, seed)).alias(f) for f in fields)) for label in (1, 0))
     )
     rows = indexes.select("index", F.explode(sides).alias("side")).select(
         F.format_string(
-            f"{spec.prefix}-%06d", index * 2 + F.lit(2) - F.col("side.label")
+            f"{spec.prefix}-%06d", F.col("index") * 2 + F.lit(2) - F.col("side.label")
         ).alias("sample_id"),
-        "side.sample.variable_name",
-        "side.sample.value",
+        "side.variable_name",
+        "side.value",
         "side.label",
-        "side.sample.sample_type",
+        "side.sample_type",
         F.lit(spec.source).alias("source"),
     )
     name, value = F.col("variable_name"), F.col("value")
@@ -487,4 +507,4 @@ def generate(spark: SparkSession, spec: Spec, samples: int | None = None, seed:
     if samples <= 0:
         raise ValueError("samples must be greater than zero.")
     indexes = spark.range(samples).select(F.col("id").alias("index"))
-    return synth_candidates(indexes, spec, samples, seed)
+    return synth_candidates(indexes, spec, seed)

@@ -37,7 +37,7 @@ from quietkey.lab.frozen import dataset_identity, holdout_report, table_digest
 from quietkey.lab.metrics import calculate_metrics
 from quietkey.lab.separation import compare_separation, strictly_separate
 from quietkey.lab.split import stratified_split
-from quietkey.lab.synth import SPECS, synth_candidates
+from quietkey.lab.synth import SPARK, SPECS, Dialect, sample_sql, synth_candidates
 from quietkey.operators import ignore as I
 from quietkey.operators import limits as L
 from quietkey.operators import paths as P
@@ -966,32 +966,46 @@ def split_evaluation(spark, sf):
 
 # --- synthesis: one pair of samples per order ------------------------------------------
 
-def _cycled(spec) -> str:
-    """Sample types cycle over a dense index, so their counts follow from the row count."""
-    def side(label: int, families, first: str, last: str) -> str:
-        m = len(families)
-        return " UNION ALL ".join(
-            f"SELECT {label} AS label, '{f.sample_type}' AS sample_type, greatest(0, ({last} - {first} - {i} + {m - 1}) // {m}) AS count FROM t"
-            for i, f in enumerate(families))
+_DUCKDB = Dialect("CAST('0x' || {0} AS BIGINT)", "array_to_string(list_transform(range(1, {0} + 1), lambda i: {1}), '')")
 
-    hard = f"CAST(floor(n * {spec.hard_share}) AS BIGINT)"
-    sides = side(1, spec.positive, "0", "n") + " UNION ALL " + side(0, spec.negative, hard if spec.hard else "0", "n")
-    if spec.hard:
-        sides += " UNION ALL " + side(0, spec.hard, "0", hard)
-    return f"""WITH t AS (SELECT count(*) AS n FROM orders) SELECT label, sample_type, CAST(sum(count) AS BIGINT) AS count FROM ({sides}) u
-      GROUP BY 1, 2 HAVING sum(count) > 0"""
+
+def _digits(text: str, number: str) -> str:
+    """A row as a number that sums exactly: 12 hex digits of its MD5."""
+    return number.format(f"substr(md5({text}), 1, 12)")
+
+
+_ROW = "sample_id || '|' || variable_name || '|' || value || '|' || label || '|' || sample_type"
+
+
+def _made(spec) -> str:
+    """The rows of a specification by DuckDB, added up per sample type with their features."""
+    fields = ("variable_name", "value", "sample_type")
+    sides = " UNION ALL ".join(
+        f"SELECT printf('{spec.prefix}-%06d', index * 2 + {2 - label}) AS sample_id, {label} AS label, "
+        + ", ".join(f"{sample_sql(spec, label, f, dialect=_DUCKDB)} AS {f}" for f in fields) + " FROM t"
+        for label in (1, 0))
+    return f"""WITH t AS (SELECT CAST(o_orderkey AS BIGINT) AS index FROM orders), made AS ({sides}), featured AS (SELECT *, {_NUMERIC} FROM made)
+      SELECT label, sample_type, {_ALL} AS count, CAST(sum({_digits(_ROW, _DUCKDB.number)}) AS DECIMAL(38, 0)) AS digest,
+        CAST(sum(has_sensitive_name) AS BIGINT) AS sensitive_names, CAST(sum(length(value)) AS BIGINT) AS characters,
+        CAST(count(DISTINCT variable_name || '=' || value) AS BIGINT) AS pairs FROM featured GROUP BY 1, 2"""
 
 
 def _synth(spark, sf, spec):
-    orders = C.table(spark, sf, "orders")
     # Order keys are dense from zero in the given table.
-    return synth_candidates(orders.select(F.col("o_orderkey").cast("bigint").alias("index")), spec, orders.count())
+    keys = C.corpus(spark, sf, "SELECT CAST(o_orderkey AS BIGINT) AS index FROM orders")
+    return synth_candidates(keys, spec)
 
 
 def _register_synthesis(name: str, spec) -> None:
-    @query(f"synth_{name}", _cycled(spec))
+    @query(f"synth_{name}", _made(spec))
     def synthesis(spark, sf):
-        return D.sample_type_distribution(_synth(spark, sf, spec))
+        return _synth(spark, sf, spec).groupBy("label", "sample_type").agg(
+            F.count("*").alias("count"),
+            F.sum(F.expr(_digits(_ROW, SPARK.number))).cast("decimal(38,0)").alias("digest"),
+            F.sum("has_sensitive_name").cast("bigint").alias("sensitive_names"),
+            F.sum(F.length("value")).cast("bigint").alias("characters"),
+            F.count_distinct(F.concat_ws("=", "variable_name", "value")).alias("pairs"),
+        )
 
 
 for _name, _spec in SPECS.items():
