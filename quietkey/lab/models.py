@@ -43,7 +43,7 @@ ROWS_PER_PARTITION = 20_000
 def validate_columns(frame: DataFrame, required: Sequence[str]) -> None:
     missing = sorted(set(required) - set(frame.columns))
     if missing:
-        raise ValueError(f"Dataset is missing required columns: {missing}")
+        raise ValueError(f"No columns {missing} to learn from")
 
 
 def binary_label() -> Column:

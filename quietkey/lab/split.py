@@ -18,7 +18,7 @@ def stratified_split(
     hash buckets instead, and only the bucket sizes are accumulated per label.
     """
     if not 0.0 < test_size < 1.0:
-        raise ValueError("test_size must be between 0 and 1.")
+        raise ValueError(f"The held-out share lies outside 0 to 1: {test_size}")
     seeded = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"|{seed}"))
     drawn = frame.withColumn("_hash", F.md5(seeded)).withColumn(
         "_bucket", F.left("_hash", F.lit(BUCKET_DIGITS))

@@ -241,8 +241,8 @@ def _file_lines(spark, sf):
 @query(
     "assignments",
     f"""{O.ctes(("lines", _LINE_CTE), ("parsed", O.PARSED))} SELECT path, CAST(line AS INT) AS line,
-      CASE WHEN name IS NOT NULL THEN 'literal' WHEN regexp_matches(t, '{O.EXPR}') THEN 'expression' ELSE '' END AS kind,
-      coalesce(name, regexp_extract(regexp_extract(t, '{O.EXPR}', 1), '[^.]*$')) AS variable_name,
+      CASE WHEN name IS NOT NULL THEN 'literal' WHEN is_expression THEN 'expression' ELSE '' END AS kind,
+      coalesce(name, CASE WHEN is_expression THEN target_name ELSE '' END) AS variable_name,
       coalesce(val, '') AS value FROM parsed""",
 )
 def assignments(spark, sf):
@@ -373,13 +373,18 @@ _NUMERIC = rf"""CAST(length(value) AS INT) AS length, round({O.entropy("value")}
 _V = "trim(value)"
 _TOKENS = "list_filter(regexp_split_to_array(lower(variable_name), '[^a-z0-9]+'), lambda w: w <> '')"
 _WORDS = rf"list_filter(regexp_split_to_array({_V}, '[\s.-]+'), lambda w: w <> '')"
+# Hints of a placeholder; below, prefixes of references and words of identifier and hash names.
+_HINTS = (
+    "example", "placeholder", "replace", "redacted", "not-configured", "not_configured", "fake", "demo", "sample",
+    "your-", "your_", "insert-", "insert_", "do-not-use", "do_not_use",
+)
 _HASH = f"regexp_full_match({_V}, '[0-9a-fA-F]{{40}}|[0-9a-fA-F]{{64}}')"
 _CONTEXT = rf"""CAST(regexp_full_match({_V}, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}') AS INT) AS looks_like_uuid,
   CAST({_HASH} AS INT) AS looks_like_fixed_hash,
   CAST(length({_V}) >= 16 AND regexp_full_match({_V}, '[0-9a-fA-F]+') AS INT) AS is_hex_only,
   CAST(regexp_matches(lower({_V}), '^(\$\{{|\$env:|process\.env\.|env\.|vault://|os\.getenv\()') OR
     (length({_V}) > 2 AND left({_V}, 1) = '%' AND right({_V}, 1) = '%') AS INT) AS looks_like_reference,
-  CAST(regexp_matches(lower(value), 'example|placeholder|replace|redacted|not[-_]configured|fake|demo|sample|your[-_]|insert[-_]|do-not-use|do_not_use') AS INT) AS looks_like_placeholder,
+  CAST(regexp_matches(lower(value), '{'|'.join(_HINTS)}') AS INT) AS looks_like_placeholder,
   CAST(regexp_matches(upper(trim(variable_name)), '^(VITE_|NEXT_PUBLIC_)') AS INT) AS has_public_frontend_prefix,
   CAST(list_has_any({_TOKENS}, ['id','identifier','uuid','ref','reference','request','trace','build','commit','checksum','digest']) AS INT) AS has_identifier_name,
   CAST(regexp_full_match({_V}, '[A-Za-z0-9_-]{{6,}}\.[A-Za-z0-9_-]{{6,}}\.[A-Za-z0-9_-]{{6,}}') AS INT) AS looks_like_jwt,
