@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import pathlib
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -30,6 +31,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quietkey-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

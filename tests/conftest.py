@@ -1,5 +1,6 @@
 import pathlib
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -17,6 +18,8 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quietkey-tests-"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="quietkey-warehouse-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
