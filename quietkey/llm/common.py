@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,15 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    A local session without one gets a temporary folder; a cluster without one is an error,
-    because a folder of one machine would lose rows there.
+    A session without one uses a folder in the warehouse, which all workers share as well.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if not named:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("name a shared folder in spark.checkpoint.dir")
-        named = tempfile.mkdtemp(prefix="shared-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         context.setCheckpointDir(named)
     return named
 
