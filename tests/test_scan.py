@@ -14,7 +14,8 @@ from quietkey.operators.findings import checked_advisory
 from quietkey.operators.ignore import rules_from_files
 from quietkey.operators.propagation import propagation_findings, secret_inventory
 from quietkey.plans.scan import scan_change_set, scan_projects, scan_text
-from quietkey.sources.projects import list_projects, read_files, write_files
+from quietkey.sources import projects
+from quietkey.sources.projects import files_table, list_projects, read_files, write_files, write_manifest
 from quietkey.streaming.scan import stream_findings
 
 VALUE = "Zx81QpLm77RtYw"
@@ -262,6 +263,39 @@ def test_directory_source(spark, tmp_path):
     assert "PartitionFilters" in plan and "dotenv" in plan
 
 
+def test_a_deep_tree_is_listed_folder_by_folder_and_read_by_kind(spark, tmp_path):
+    root = tmp_path / "tree"
+    deep = root.joinpath(*[f"d{i}" for i in range(25)])
+    deep.mkdir(parents=True)
+    (deep / ".env").write_text(f"A_TOKEN={VALUE}")
+    for i in range(40):
+        folder = root / f"wide{i}" / "x"
+        folder.mkdir(parents=True)
+        (folder / f"f{i}.py").write_text(f'password = "{VALUE}"')
+    (root / "dist").mkdir()
+    (root / "dist" / "a.js").write_text(VALUE)
+    (root / "empty").mkdir()
+    roots = spark.createDataFrame([("p", str(root)), ("q", f"file://{root}"), ("none", str(tmp_path / "gone"))], "project_id string, root string")
+    manifest = list_projects(roots, spread=4)
+    want = sorted(str(f.relative_to(root)) for f in root.rglob("*") if f.is_file())
+    for project in ("p", "q"):
+        assert sorted(r.path for r in manifest.where(F.col("project_id") == project).collect()) == want
+    listed = list(projects._children("p", str(root), ""))
+    assert all("/" not in e[2] for e in listed) and sum(e[6] for e in listed) == 43
+    stored = str(tmp_path / "manifest")
+    write_manifest(manifest, stored, parts=3)
+    # Only what is asked for is opened: other files are gone by then.
+    for f in root.rglob("*.py"):
+        f.unlink()
+    dotenvs = files_table(spark, stored, ["dotenv"]).collect()
+    assert {(r.project_id, bytes(r.content).decode()) for r in dotenvs} == {("p", f"A_TOKEN={VALUE}"), ("q", f"A_TOKEN={VALUE}")}
+    assert files_table(spark, stored, ["dotenv", "artifact"], 14).count() == 2
+    sources = files_table(spark, stored, ["source"])
+    assert sources.count() == 80 and sources.where("readable").count() == 0
+    found = scan_projects(files_table(spark, stored)).public().where("project_id = 'p'").collect()
+    assert sorted(kinds(found)) == ["Artifact Secret Exposure", *["Scan Coverage Limitation"] * 40]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("a.py", f'password = "{VALUE}"'), ("b.yaml", f"token: \"{VALUE}{VALUE}\"")]
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
