@@ -15,7 +15,7 @@ from __future__ import annotations
 import gc
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -32,7 +32,7 @@ from quietkey.llm.common import table, text_or_empty, written
 #: Characters of a block of documents, about; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 20
 #: Stretches, links in them, and words with their ids that a worker remembers.
-REMEMBERED, LINKS_REMEMBERED, WORDS_REMEMBERED = 3 << 16, 1 << 22, 1 << 17
+REMEMBERED, LINKS_REMEMBERED, WORDS_REMEMBERED = 1 << 17, 1 << 22, 3 << 15
 #: Texts are cut into stretches in parts of about so many characters.
 PART = 1 << 18
 #: A pair of ids in one number: the first id times this, plus the second.
@@ -103,8 +103,8 @@ class Aligner:
         self.coder = pieces.coder(path_b)
         self.bytes_b = self.coder.table.token_bytes
         self.marks_apart = not any(_MARK.search(p) for p in self.coder.table.scores)
-        self.ids: dict[str, tuple[array, array]] = {}
-        self.older: dict[str, tuple[array, array]] = {}
+        self.ids: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.older: dict[str, tuple[bytes, bytes, bool]] = {}
         self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.known: dict[str, int] = {}
@@ -134,61 +134,48 @@ class Aligner:
         facts = self.old_facts[at]
         self._keep(stretches, list(map(self.old_groups.__getitem__, at.tolist())), facts, self.old_links[_ranges(facts[:, 5], facts[:, 3])])
 
-    def _ids(self, stretches: list[str]) -> tuple[list, list]:
-        """The ids of stretches, put together from those of their words and marks."""
-        parts = [_MARK.split(x) if self.marks_apart else [x] for x in stretches]
+    def _read(self, words: set[str]) -> None:
+        """Notes the ids of words and marks by both vocabularies, and whether they give the word back."""
         if len(self.ids) > WORDS_REMEMBERED:
             self.older, self.ids = self.ids, {}
-        known, words = self.ids, set(chain.from_iterable(parts)).difference(self.ids)
+        known, words = self.ids, words.difference(self.ids)
         known.update((x, self.older[x]) for x in words.intersection(self.older))
-        if new := sorted(words.difference(self.older)):
-            of_a = list(map(self.encode_a, new))
-            # The library adds a blank to what it reads; the rest is read as it stands.
-            begun = [x for x in new if x[0] == " " and len(x) > 1]
-            of_b = dict(zip(begun, self.pieces.encode([x[1:] for x in begun], num_threads=1), strict=True))
-            # Arrays hold ids in a fifth of the room of lists.
-            known.update((x, (array("i", a), array("i", of_b[x] if x in of_b else self._marked(x)))) for x, a in zip(new, of_a, strict=True))
-        both = [known[x[0]] if len(x) == 1 else tuple(list(chain.from_iterable(known[y][k] for y in x)) for k in (0, 1)) for x in parts]
-        return [x for x, _ in both], [x for _, x in both]
+        new = list(words.difference(self.older))
+        # The library adds a blank to what it reads; the rest is read as it stands.
+        begun = [x for x in new if x[0] == " " and len(x) > 1]
+        of_b = dict(zip(begun, self.pieces.encode([x[1:] for x in begun], num_threads=1), strict=True)) if begun else {}
+        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        for x in new:
+            a, b, text = self.encode_a(x), of_b.get(x) or self._marked(x), x.encode("utf-8")
+            whole = b"".join(map(bytes_a, a)) == text == b"".join(map(bytes_b, b))
+            known[x] = (array("i", a).tobytes(), array("i", b).tobytes(), whole)
 
     def _marked(self, text: str) -> list[int]:
         chunks = self.coder.table.chunk.findall(text.replace(" ", pieces.BLANK))
         return list(chain.from_iterable(self.coder.of_chunks(chunks)))
 
-    def _give_back(self, stretches: list[str], a: list, b: list, flat_a: Sequence[int], flat_b: Sequence[int]) -> bool:
-        """Whether both lists of ids give back each of the stretches."""
-        texts = [t.encode("utf-8") for t in stretches]
-        all_ = b"".join(texts)
-        if b"".join(map(self.bytes_a.__getitem__, flat_a)) != all_ or b"".join(map(self.bytes_b.__getitem__, flat_b)) != all_:
-            return False
-        ends = np.cumsum(list(map(len, texts)))
-        for ids, flat, sizes in ((a, flat_a, self.sizes_a), (b, flat_b, self.sizes_b)):
-            reached = np.cumsum(sizes[np.array(flat, np.int64)])
-            if (reached[np.cumsum(list(map(len, ids))) - 1] != ends).any():
-                return False
-        return True
-
     def _learn(self, stretches: list[str]) -> None:
-        """Aligns ``stretches``, one behind the other, in one go."""
-        a, b = self._ids(stretches)
-        whole = [True] * len(stretches)
-        flat_a, flat_b = (list(chain.from_iterable(x)) for x in (a, b))
-        if not self._give_back(stretches, a, b, flat_a, flat_b):
-            whole = [self._give_back([t], [x], [y], x, y) for t, x, y in zip(stretches, a, b, strict=True)]
-            a, b = ([x if w else [] for x, w in zip(ids, whole, strict=True)] for ids in (a, b))
-            flat_a, flat_b = (list(chain.from_iterable(x)) for x in (a, b))
-        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        """Aligns ``stretches``, put together from their words and marks, in one go."""
+        parts = [_MARK.split(x) for x in stretches] if self.marks_apart else [[x] for x in stretches]
+        words, sizes = list(chain.from_iterable(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
+        self._read(set(words))
+        read, starts = list(map(self.ids.__getitem__, words)), np.cumsum(sizes) - sizes
+        whole = np.logical_and.reduceat(np.fromiter((r[2] for r in read), bool, len(read)), starts)
+        if not whole.all():  # ids of other stretches are left out
+            read = [r if w else (b"", b"", False) for r, w in zip(read, np.repeat(whole, sizes).tolist(), strict=True)]
+        held_a, held_b = [r[0] for r in read], [r[1] for r in read]
+        ids_a, ids_b = (np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in (held_a, held_b))
+        n_a, n_b = (np.add.reduceat(np.fromiter(map(len, x), np.int64, len(x)), starts) // 4 for x in (held_a, held_b))
         sizes_a, sizes_b = self.sizes_a[ids_a], self.sizes_b[ids_b]
         cuts_a, cuts_b = common_cuts(sizes_a, sizes_b)
         part, i, j = slice_links(sizes_a, sizes_b, cuts_a, cuts_b)
-        names_a, names_b = list(map(self.names.__getitem__, flat_a)), list(map(self.names.__getitem__, flat_b))
+        names_a, names_b = list(map(self.names.__getitem__, ids_a.tolist())), list(map(self.names.__getitem__, ids_b.tolist()))
         sides = zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b, strict=False)
         join = ",".join
         texts = [
             f"{names_a[p] if q - p == 1 else join(names_a[p:q])}|{names_b[r] if s - r == 1 else join(names_b[r:s])}"
             for p, q, r, s in sides
         ]
-        n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
         # A stretch ends where its tokens do, so its slices and links are counted from those ends.
         ends = np.searchsorted(np.array(cuts_a, np.int64), np.cumsum(n_a), side="right")
         stops = np.searchsorted(part, ends)
@@ -202,9 +189,9 @@ class Aligner:
         if len(self.known) > REMEMBERED or len(self.links) > LINKS_REMEMBERED:
             self.forget()
         new = set(chain.from_iterable(x for _, x in waiting)).difference(self.known)
-        if old := sorted(new.intersection(self.old_known)):
+        if old := list(new.intersection(self.old_known)):
             self._recall(old)
-        if new := sorted(new.difference(old)):
+        if new := list(new.difference(old)):
             self._learn(new)
         facts = np.array(self.facts, np.int64).reshape(-1, 6)
         links = np.array(self.links, np.int64)

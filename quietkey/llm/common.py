@@ -74,6 +74,12 @@ def fold_remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def text_window(text: Column, chars: int, seed: int) -> Column:
+    """``text`` if it has up to ``chars`` characters, else so many from a place drawn by its hash."""
+    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return F.substr(text, (F.pmod(F.xxhash64(F.lit(seed), text), room) + 1).cast("int"), F.lit(chars))
+
+
 def plain_words(text: str) -> list[bytes]:
     """Lower-case words without ASCII punctuation, as UTF-8."""
     return text.lower().encode("utf-8", "replace").translate(_PLAIN).split()

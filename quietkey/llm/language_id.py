@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietkey.llm.common import blocks, bounded_sample, fold_remainder, table, task_sums, text_or_empty
+from quietkey.llm.common import blocks, bounded_sample, fold_remainder, table, task_sums, text_or_empty, text_window
 
 #: Hashed features, a power of two; lengths of n-grams.
 FEATURES, ORDERS = 1 << 16, (1, 2, 3)
-#: Labelled rows that a fit may use, characters from the start of each, and how many languages.
+#: Labelled rows that a fit may use, characters of a window of each, and how many languages.
 TRAIN_ROWS, TRAIN_CHARS, MAX_LANGUAGES = 8_000, 20_000, 256
 HELD_OUT = 2
 #: FTRL: learning rate, its offset, L1 and L2; passes; feature values are multiplied by SCALE.
@@ -141,7 +141,7 @@ def _temperature(logits: np.ndarray, label: np.ndarray) -> float:
 
 
 def _drawn(rows: DataFrame, limit: int, chars: int) -> DataFrame:
-    """At most ``limit`` of ``rows(id, text, lang)``, their texts cut to ``chars`` characters, with a hash ``h``.
+    """At most ``limit`` of ``rows(id, text, lang)``, a window of up to ``chars`` characters of each, with a hash ``h``.
 
     Rows are drawn one by one, also those that share a text; a row that is there several times
     with its id counts once if rows are drawn at all.
@@ -150,14 +150,14 @@ def _drawn(rows: DataFrame, limit: int, chars: int) -> DataFrame:
     if sample is not rows:
         sample = sample.withColumn("draw", F.xxhash64(F.lit(SEED + 1), "id", "text", "lang"))
         sample = sample.dropDuplicates(["draw"]).orderBy("draw").limit(limit)
-    return sample.select(F.substring("text", 1, chars).alias("text"), "lang", F.xxhash64("text").alias("h"))
+    return sample.select(text_window(F.col("text"), chars, SEED).alias("text"), "lang", F.xxhash64("text").alias("h"))
 
 
 def fit_languages(rows: DataFrame, limit: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> LanguageModel | None:
     """A model of ``rows(id, text, lang)``, all of them training rows; None if there are none.
 
     idf covers all rows. Weights and temperature come from up to ``limit`` rows, chosen by a
-    hash of id, text and label, and up to ``chars`` characters of each, in one task whose input
+    hash of id, text and label, and a window of up to ``chars`` characters of each, drawn by hash, in one task whose input
     these parameters bound. More than ``MAX_LANGUAGES`` languages are refused.
     """
     languages = [r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]

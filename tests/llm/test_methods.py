@@ -324,6 +324,28 @@ def test_leaks_and_paraphrases(spark):
     assert all(d >= 100 and d % 100 == i for d, i in got)
 
 
+def test_recall_of_paraphrases_in_long_documents(spark):
+    """Items of several lines, loosened by replaced and by dropped words, in documents of up to 6,000 words."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefghijkl", k=rng.randrange(2, 9))) for _ in range(4000)]
+    prose = lambda n: rng.choices(vocab, k=n)
+    items = [(prose(rng.randrange(30, 110)), prose(rng.randrange(6, 12))) for _ in range(60)]
+    table = spark.createDataFrame([(i, " ".join(q[: len(q) // 2]) + "\n" + " ".join(q[len(q) // 2 :]) + "\n" + " ".join(a)) for i, (q, a) in enumerate(items)], "item_id long, text string")
+    shares, docs = (1.0, 0.9, 0.82, 0.72, 0.65), []
+    for k, share in enumerate(shares):
+        for i, (q, a) in enumerate(items):
+            drop = round((1 - share) * (len(q) + len(a)))
+            gone = set(rng.sample(range(len(q)), min(drop, len(q))))
+            loose = [w for j, w in enumerate(q) if j not in gone] if i % 2 else [rng.choice(vocab) if j in gone else w for j, w in enumerate(q)]
+            docs.append((1000 * (k + 1) + i, " ".join(prose(rng.randrange(20, 3000)) + loose + a + prose(rng.randrange(20, 3000)))))
+    # Half of the words and another answer is no copy.
+    docs += [(i, " ".join(prose(200) + [w if j % 2 else rng.choice(vocab) for j, w in enumerate(q)] + prose(200 + len(a)))) for i, (q, a) in enumerate(items)]
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    recall = [sum((1000 * (k + 1) + i, i) in got for i in range(60)) / 60 for k in range(len(shares))]
+    assert min(recall[:3]) >= 0.98 and min(recall[3:]) >= 0.9 and np.mean(recall) >= 0.95, recall
+    assert all(d >= 1000 and d % 1000 == i for d, i in got)
+
+
 def test_common_length():
     rng = random.Random(2)
     for _ in range(50):
@@ -605,7 +627,11 @@ def test_language_sample_is_bounded(spark):
     rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 2000, "same text " * 99).otherwise(F.concat(F.lit("text "), "id")).alias("text"), F.lit("en").alias("lang"))
     got = language_id._drawn(rows.unionByName(rows.limit(1).crossJoin(spark.range(500).select()).select("id", "text", "lang")), 400, 50).collect()
     assert 300 < len(got) <= 400 and max(len(r.text) for r in got) <= 50
-    assert 100 < sum(r.text.startswith("same") for r in got) < 300
+    assert 100 < sum("same" in r.text for r in got) < 300
+    # A long text gives a window from anywhere in it, not its start.
+    long_ = spark.range(60).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("a" * 500), "id", F.lit("b" * 500)).alias("text"), F.lit("en").alias("lang"))
+    windows = [r.text for r in language_id._drawn(long_, 400, 50).collect()]
+    assert {len(w) for w in windows} == {50} and 10 < sum("a" in w for w in windows) < 50
     again = language_id._drawn(rows.repartition(7), 400, 50).collect()
     assert sorted(again) == sorted(language_id._drawn(rows.coalesce(1), 400, 50).collect())
 
