@@ -28,41 +28,45 @@ def separation_keys(frame: DataFrame, side: int) -> DataFrame:
     return frame.select(F.explode(keys).alias("k")).select("k.*", F.lit(side).alias("side"))
 
 
-def compare_separation(training: DataFrame, development: DataFrame) -> DataFrame:
-    """One row: sizes, shared pairs and values, shared and own metadata values.
+def _seen(training: DataFrame, development: DataFrame) -> DataFrame:
+    """How often every key occurs in either set.
 
-    All four overlaps come from one aggregation on the key. It combines before the
-    shuffle, so a value or source that fills the table arrives as a few rows.
+    One aggregation on the key. It combines before the shuffle, so a value or source that
+    fills the table arrives as a few rows.
     """
     keys = separation_keys(training, 1).unionByName(separation_keys(development, 2))
-    seen = keys.groupBy("what", "first", "second").agg(
+    return keys.groupBy("what", "first", "second").agg(
         F.count_if(F.col("side") == 1).alias("in_training"),
         F.count_if(F.col("side") == 2).alias("in_development"),
     )
-    left, right = F.col("in_training") > 0, F.col("in_development") > 0
-    what = F.col("what")
 
-    def names(kind: str, present: Column) -> Column:
-        return F.sort_array(F.collect_set(F.when((what == kind) & present, F.col("first"))))
 
-    return seen.agg(
+def compare_separation(training: DataFrame, development: DataFrame) -> DataFrame:
+    """One row: sizes, and how many pairs, values, sample types and sources both sets have."""
+    what = F.col("what")
+    both = (F.col("in_training") > 0) & (F.col("in_development") > 0)
+    return _seen(training, development).agg(
         F.sum(F.when(what == "source", F.col("in_training"))).alias("training_samples"),
         F.sum(F.when(what == "source", F.col("in_development"))).alias("development_samples"),
-        F.count_if((what == "pair") & left & right).alias("shared_candidate_pairs"),
-        F.count_if((what == "value") & left & right).alias("shared_exact_values"),
-        names("type", left & right).alias("shared_sample_types"),
-        names("source", left & right).alias("shared_sources"),
-        names("source", left).alias("training_sources"),
-        names("source", right).alias("development_sources"),
+        F.count_if((what == "pair") & both).alias("shared_candidate_pairs"),
+        F.count_if((what == "value") & both).alias("shared_exact_values"),
+        F.count_if((what == "type") & both).alias("shared_sample_types"),
+        F.count_if((what == "source") & both).alias("shared_sources"),
     ).fillna(0, ["training_samples", "development_samples"])
 
 
+def separation_names(training: DataFrame, development: DataFrame) -> DataFrame:
+    """``(what, name, in_training, in_development)``: the sample types and sources of both sets."""
+    named = _seen(training, development).where(F.col("what").isin("type", "source"))
+    return named.select("what", F.col("first").alias("name"), "in_training", "in_development")
+
+
 def strictly_separate(report: DataFrame) -> DataFrame:
     """Add the verdict: no overlap of any of the four kinds."""
     return report.withColumn(
         "strictly_separate",
         (F.col("shared_candidate_pairs") == 0)
         & (F.col("shared_exact_values") == 0)
-        & (F.size("shared_sample_types") == 0)
-        & (F.size("shared_sources") == 0),
+        & (F.col("shared_sample_types") == 0)
+        & (F.col("shared_sources") == 0),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,9 @@ from quietkey.lab import fusion as U
 from quietkey.lab import models as M
 from quietkey.lab import profile as D
 from quietkey.lab.advisory import fit_advisory
-from quietkey.lab.frozen import dataset_identity, holdout_report, table_digest
+from quietkey.lab.frozen import bundle_checks, dataset_identity, holdout_report, observed, table_digest
 from quietkey.lab.metrics import calculate_metrics
-from quietkey.lab.separation import compare_separation, strictly_separate
+from quietkey.lab.separation import compare_separation, separation_names, strictly_separate
 from quietkey.lab.split import stratified_split
 from quietkey.lab.synth import SPARK, SPECS, Dialect, sample_sql, synth_candidates
 from quietkey.operators import ignore as I
@@ -43,6 +44,7 @@ from quietkey.operators import limits as L
 from quietkey.operators import paths as P
 from quietkey.operators.changes import change_set
 from quietkey.operators.findings import public_findings
+from quietkey.operators.ordering import name_checkpoints
 from quietkey.operators.propagation import secret_inventory
 from quietkey.plans.gatebench import (
     case_results,
@@ -51,6 +53,7 @@ from quietkey.plans.gatebench import (
     gate_metrics,
 )
 from quietkey.plans.scan import project_roles, scan_change_set, scan_projects, scan_text
+from quietkey.sources.projects import write_files
 from workload import corpora as C
 from workload import oracles as O
 
@@ -92,6 +95,15 @@ def scan_findings(spark, sf):
     return flat(scan_projects(C.files(spark, sf)).public())
 
 
+@query("scan_by_kind", O.findings(C.FILES))
+def scan_by_kind(spark, sf):
+    """The same findings from a stored table in which each part of a scan reads its own partitions."""
+    name_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    write_files(C.files(spark, sf), folder)
+    return flat(scan_projects(spark.read.parquet(folder)).public())
+
+
 @query("scan_report", O.report(C.FILES))
 def scan_report(spark, sf):
     report = scan_projects(C.files(spark, sf)).report()
@@ -696,15 +708,22 @@ def _all_of(source: str) -> str:
       (SELECT {_ALL} FROM ({C.CANDIDATES}) c WHERE source = 'orders_1') AS development_samples,
       (SELECT {_ALL} FROM {_shared("variable_name, value")} s) AS shared_candidate_pairs,
       (SELECT {_ALL} FROM {_shared("value")} s) AS shared_exact_values,
-      (SELECT string_agg(sample_type, '|' ORDER BY sample_type) FROM {_shared("sample_type")} s) AS shared_sample_types,
-      '' AS shared_sources, 'orders_0' AS training_sources, 'orders_1' AS development_sources, 0 AS strictly_separate""",
+      (SELECT {_ALL} FROM {_shared("sample_type")} s) AS shared_sample_types,
+      CAST(0 AS BIGINT) AS shared_sources, 0 AS strictly_separate""",
 )
 def dataset_separation(spark, sf):
     rows = C.corpus(spark, sf, C.CANDIDATES)
     report = strictly_separate(compare_separation(rows.where("source = 'orders_0'"), rows.where("source = 'orders_1'")))
-    lists = ("shared_sample_types", "shared_sources", "training_sources", "development_sources")
-    report = report.withColumn("strictly_separate", F.col("strictly_separate").cast("int"))
-    return report.withColumns({c: F.array_join(c, "|") for c in lists})
+    return report.withColumn("strictly_separate", F.col("strictly_separate").cast("int"))
+
+
+@query("separation_names", f"""SELECT what, name, CAST(count(*) FILTER (source = 'orders_0') AS BIGINT) AS in_training,
+    CAST(count(*) FILTER (source = 'orders_1') AS BIGINT) AS in_development FROM
+    (SELECT source, 'type' AS what, sample_type AS name FROM ({C.CANDIDATES}) c UNION ALL SELECT source, 'source', source FROM ({C.CANDIDATES}) d) u
+  GROUP BY what, name""")
+def shared_names(spark, sf):
+    rows = C.corpus(spark, sf, C.CANDIDATES)
+    return separation_names(rows.where("source = 'orders_0'"), rows.where("source = 'orders_1'"))
 
 
 @query("dataset_separation_disjoint", f"""SELECT {_all_of("orders_0")} AS training_samples, {_all_of("orders_1")} AS development_samples,
@@ -714,9 +733,30 @@ def dataset_separation_disjoint(spark, sf):
     own = {c: F.concat_ws("/", "source", c) for c in ("value", "sample_type")}
     rows = C.corpus(spark, sf, C.CANDIDATES).withColumns(own)
     report = strictly_separate(compare_separation(rows.where("source = 'orders_0'"), rows.where("source = 'orders_1'")))
-    return report.select("training_samples", "development_samples", "shared_candidate_pairs", "shared_exact_values",
-        *(F.size(c).cast("bigint").alias(c) for c in ("shared_sample_types", "shared_sources")),
-        F.col("strictly_separate").cast("int").alias("strictly_separate"))
+    return report.withColumn("strictly_separate", F.col("strictly_separate").cast("int"))
+
+
+# Three sets of a bundle; the third shares some values with the second, nothing with the first.
+_BUNDLE = {
+    "training": f"SELECT * FROM ({C.CANDIDATES}) c WHERE source = 'orders_0'",
+    "development": f"SELECT sample_id, variable_name, 'd' || value AS value, label, 'd' || sample_type AS sample_type, framework, source FROM ({C.CANDIDATES}) c WHERE source = 'orders_1'",
+    "holdout": f"SELECT sample_id, variable_name, CASE WHEN length(value) = 21 THEN 'd' ELSE 'h' END || value AS value, label, 'h' || sample_type AS sample_type, framework, 'held' AS source FROM ({C.CANDIDATES}) c",
+}
+
+
+@query("frozen_bundle", " UNION ALL ".join(
+    f"""SELECT '{n}' AS name, {_ALL} AS samples, min(source) AS first_source, max(source) AS last_source, {_SAFE} AS safe_samples, {_LABELS} AS secret_samples,
+    (SELECT {_ALL} FROM (SELECT value FROM ({q}) a INTERSECT SELECT value FROM ({_BUNDLE['holdout']}) h) i) AS shared_values FROM ({q}) b"""
+    for n, q in _BUNDLE.items()))
+def frozen_bundle(spark, sf):
+    held = {n: observed(n, C.corpus(spark, sf, q)) for n, q in _BUNDLE.items()}
+    shared = {r["what"]: r for r in bundle_checks(held).collect()}["value"]
+    values = C.corpus(spark, sf, _BUNDLE["holdout"]).select("value").distinct().count()
+    rows = []
+    for name, one in held.items():
+        seen = one.seen.get
+        rows.append((name, *(seen[c] for c in ("samples", "first_source", "last_source", "safe_samples", "secret_samples")), values if name == "holdout" else shared[name]))
+    return spark.createDataFrame(rows, "name string, samples long, first_source string, last_source string, safe_samples long, secret_samples long, shared_values long")
 
 
 @query("dataset_identity", f"""SELECT {_ALL} AS samples, string_agg(DISTINCT source, '|' ORDER BY source) AS sources,
