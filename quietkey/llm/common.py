@@ -35,16 +35,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """``frame`` as a new Parquet table in the shared folder, read again.
+def stored(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``frame`` as a new Parquet table in the shared folder, read again, and the table's place.
 
-    Its rows survive a lost executor and costly Python before it runs once. The folder is
-    scratch space; whoever owns it clears it.
+    Its rows survive a lost executor and costly Python before it runs once.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """``stored`` for tables that nobody removes; whoever owns the shared folder clears it."""
+    return stored(frame, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(frame: DataFrame) -> DataFrame:
