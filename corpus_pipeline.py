@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quietkey.llm.common import table, written
+from quietkey.llm.common import removed, stored, table
 from quietkey.llm.decontamination import without_leaks
 from quietkey.llm.mixing import mix
 from quietkey.llm.pii import session_key, without_pii
@@ -54,8 +54,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; every stage's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table; every stage's rows are written and read again.
+
+    A stage's input goes once its output is written; the last one's stays for the result.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, path = stored(stage(spark, docs, sf_dir), name)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
