@@ -3,8 +3,9 @@
 Distinct fingerprints meet in cells: the 64 bits are six blocks, two fingerprints within three
 bits agree on three of them, so 20 equi-keys find every pair. Cells that are large are dealt
 again by six blocks of the bits that are left. Inside a cell, Hamming distances to reference
-fingerprints (pivots) are tabled once; pairs whose rows differ by more than the limit in any
-column can't be near and are discarded, the others are verified. A cell gives a star per
+fingerprints (pivots) are tabled once. The cell is swept in the order of one of them, as far as
+it grows by the limit; of the pairs met, those whose rows differ by more than the limit in
+another column are discarded, column by column, and the few others are verified. A cell gives a star per
 group instead of all its pairs; groups that share fingerprints are joined by label spreading.
 """
 
@@ -117,19 +118,26 @@ def _star_rows(rows: pd.DataFrame) -> pd.DataFrame:
     prints = rows["fp"].to_numpy().view(np.uint64)
     ends = np.flatnonzero(np.r_[(keys[1:] != keys[:-1]).any(axis=1), True]) + 1
     starts = np.r_[0, ends[:-1]]
-    size = np.repeat(ends - starts, ends - starts)
-    last = np.repeat(ends, ends - starts)
-    distances = np.stack([np.bitwise_count(prints ^ p) for p in PIVOTS], axis=1).astype(np.int8) if len(prints) else None
-    label = np.arange(len(prints))
-    for step in range(1, int(size.max(initial=1))):
-        i = np.flatnonzero(np.arange(len(prints)) + step < last)
+    cell, last = (np.repeat(x, ends - starts) for x in (starts, ends))
+    # A cell lies in the order of the distance to the first pivot.
+    prints = prints[np.lexsort((np.bitwise_count(prints ^ PIVOTS[0]), cell))]
+    distances = [np.bitwise_count(prints ^ p).astype(np.int8) for p in PIVOTS]
+    label, i, step = np.arange(len(prints)), np.arange(len(prints)), 1
+    while True:
+        i = i[i + step < last[i]]
+        # The sweep of a fingerprint ends where the first distance has grown by more than the limit.
+        i = i[distances[0][i + step] - distances[0][i] <= LIMIT]
+        if not len(i):
+            break
         for at in range(0, len(i), PAIRS):
             x = i[at : at + PAIRS]
             x = x[label[x] != label[x + step]]  # pairs that are linked already need no check
-            x = x[np.abs(distances[x] - distances[x + step]).max(axis=1, initial=0) <= LIMIT]
+            for d in distances[1:]:
+                x = x[np.abs(d[x] - d[x + step]) <= LIMIT]
             x = x[np.bitwise_count(prints[x] ^ prints[x + step]) <= LIMIT]
             if len(x):
                 _merge(label, x, x + step)
+        step += 1
     out = np.flatnonzero(label != np.arange(len(label)))
     values = prints.view(np.int64)
     return pd.DataFrame({"a": values[out], "b": values[label[out]]})
