@@ -41,10 +41,23 @@ def _seen(training: DataFrame, development: DataFrame) -> DataFrame:
     )
 
 
-def compare_separation(training: DataFrame, development: DataFrame) -> DataFrame:
-    """One row: sizes, and how many pairs, values, sample types and sources both sets have."""
+def compare_separation(training: DataFrame, development: DataFrame, named: bool = False) -> DataFrame:
+    """One row: sizes, and how many pairs, values, sample types and sources both sets have.
+
+    ``named`` adds sorted lists: the names of the types and sources that both sets have, and of
+    each set's sources. :func:`separation_names` gives them as rows where they are very many.
+    """
     what = F.col("what")
-    both = (F.col("in_training") > 0) & (F.col("in_development") > 0)
+    left, right = F.col("in_training") > 0, F.col("in_development") > 0
+    both = left & right
+
+    def names(kind: str, present: Column) -> Column:
+        return F.sort_array(F.collect_set(F.when((what == kind) & present, F.col("first"))))
+
+    lists = {
+        "shared_type_names": names("type", both), "shared_source_names": names("source", both),
+        "training_sources": names("source", left), "development_sources": names("source", right),
+    }
     return _seen(training, development).agg(
         F.sum(F.when(what == "source", F.col("in_training"))).alias("training_samples"),
         F.sum(F.when(what == "source", F.col("in_development"))).alias("development_samples"),
@@ -52,6 +65,7 @@ def compare_separation(training: DataFrame, development: DataFrame) -> DataFrame
         F.count_if((what == "value") & both).alias("shared_exact_values"),
         F.count_if((what == "type") & both).alias("shared_sample_types"),
         F.count_if((what == "source") & both).alias("shared_sources"),
+        *(c.alias(n) for n, c in lists.items() if named),
     ).fillna(0, ["training_samples", "development_samples"])
 
 

@@ -2,9 +2,20 @@
 
 from pyspark.sql import functions as F
 
+from quietkey.lab import separation
 from workload import queries as Q
 
 
 def test_digest_of_more_rows_than_a_long_holds(spark):
     rows = spark.range(100_000).select(Q._total(F.lit((1 << 48) - 1)).alias("digest"))
     assert int(rows.first().digest) == 100_000 * ((1 << 48) - 1)
+
+
+def test_separation_names_what_both_sets_share(spark):
+    columns = "variable_name string, value string, sample_type string, source string"
+    left = spark.createDataFrame([("a", "1", "t", "x"), ("b", "2", "u", "x")], columns)
+    right = spark.createDataFrame([("a", "3", "u", "y"), ("c", "4", "t", "z")], columns)
+    row = separation.compare_separation(left, right, named=True).first()
+    assert (row.shared_type_names, row.shared_source_names) == (["t", "u"], [])
+    assert (row.training_sources, row.development_sources) == (["x"], ["y", "z"])
+    assert (row.shared_sample_types, row.shared_sources) == (2, 0)
