@@ -24,6 +24,7 @@ from quietkey.lab.fusion import (
 )
 from quietkey.lab.metrics import calculate_metrics
 from quietkey.lab.models import baseline_predictions
+from quietkey.operators.ordering import durable
 from quietkey.plans.gatebench import merkle_digest
 from quietkey.lab.profile import BASE_COLUMNS
 from quietkey.lab.separation import compare_separation, separation_keys, strictly_separate
@@ -296,9 +297,8 @@ def holdout_report(training: DataFrame, holdout: DataFrame) -> DataFrame:
     advisory = fit_advisory(training)
     scored = advisory.text.predict(advisory.context.predict(holdout, "context"), "text")
     decisions = fusion_decisions(scored, LOCKED_V2["text_weight"], LOCKED_V2["threshold"])
-    metrics = calculate_metrics(
-        decisions, "label", "fusion_prediction", "fusion_probability", "Locked Late Fusion v2"
-    )
+    columns = ("label", "fusion_prediction", "fusion_probability")
+    metrics = calculate_metrics(durable(decisions.select(*columns)), *columns, "Locked Late Fusion v2")
     locked = {
         "text_weight": LOCKED_V2["text_weight"],
         "context_weight": LOCKED_V2["other_weight"],

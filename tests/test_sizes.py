@@ -1,8 +1,11 @@
 """What holds on tables larger than the given ones."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from quietkey.lab import separation
+from quietkey.lab import models, separation, terms
+from quietkey.lab.synth import V3, generate
 from workload import queries as Q
 
 
@@ -19,3 +22,44 @@ def test_separation_names_what_both_sets_share(spark):
     assert (row.shared_type_names, row.shared_source_names) == (["t", "u"], [])
     assert (row.training_sources, row.development_sources) == (["x"], ["y", "z"])
     assert (row.shared_sample_types, row.shared_sources) == (2, 0)
+
+
+def test_terms_are_counted_and_found_by_code_points(spark, monkeypatch):
+    texts = ["abcabc", "xabc\x00\U0001f511\U0001f511k", "", "ab", "\U0001f511\U0001f511kabc"] * 3
+    monkeypatch.setattr(terms, "BLOCK", 9)
+    grams = [[t[i : i + n] for n in terms.NGRAM_SIZES for i in range(len(t) - n + 1)] for t in texts]
+    total, held = Counter(g for x in grams for g in x), Counter(g for x in grams for g in set(x))
+    merged = {}
+    for _, block in terms._blocks(texts):
+        for batch in terms._block_counts(block):
+            for r in batch.to_pylist():
+                d, o = merged.get(r["term"], (0, 0))
+                merged[r["term"]] = (d + r["documents"], o + r["occurrences"])
+    assert merged == {g: (held[g], total[g]) for g in total}
+    kept = tuple(sorted(g for g in total if total[g] > 3))
+    row, term, count = terms.held_terms(texts, terms.Terms(kept).trie)
+    found = {(r, kept[t]): c for r, t, c in zip(row.tolist(), term.tolist(), count.tolist(), strict=True)}
+    assert found == {(i, g): c for i, x in enumerate(grams) for g, c in Counter(x).items() if g in set(kept)}
+    assert not terms.held_terms(texts, terms.Terms(()).trie)[0].size
+
+
+def test_terms_are_weighed_once_below_a_filter(spark):
+    rows = generate(spark, V3, 30).repartition(4)
+    plan = models.text_weights(rows).where(F.size("weights") > 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("ArrowEvalPython") == 1
+
+
+def test_hybrid_features_name_no_place(spark, monkeypatch):
+    seen = []
+    fit = models._fit
+    monkeypatch.setattr(models, "_fit", lambda stages, frame, samples: seen.append(frame) or fit(stages, frame, samples))
+    for buckets in (None, 1 << 10):
+        model = models.fit_hybrid(generate(spark, V3, 40), buckets)
+        assert len(seen[-1].schema["_text"].metadata.get("ml_attr", {}).get("attrs", {})) == 0
+        assert len(model.numeric.coefficients) == len(models.NUMERIC_FEATURES)
+
+
+def test_named_terms_are_stored(spark, tmp_path):
+    held = terms.Terms(("abc", "\x00bc", "zz zz"))
+    held.save(str(tmp_path / "t"))
+    assert terms.Terms.load(str(tmp_path / "t")) == held
