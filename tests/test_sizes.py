@@ -2,10 +2,12 @@
 
 from collections import Counter
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from quietkey.lab import models, separation, terms
 from quietkey.lab.synth import V3, generate
+from workload import corpora
 from workload import queries as Q
 
 
@@ -59,6 +61,29 @@ def test_hybrid_features_name_no_place(spark, monkeypatch):
         assert len(model.numeric.coefficients) == len(models.NUMERIC_FEATURES)
 
 
+def test_a_fit_makes_its_vectors_once_and_adds_up_large_blocks(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def numbers(i):
+        made.add(1)
+        return [float(i % 7), float(i % 3)]
+
+    rows = spark.range(200).select(F.col("id"), (F.col("id") % 2).cast("double").alias("_label"))
+    vector = array_to_vector(numbers.asNondeterministic()("id"))
+    stage = models._regression("_features", 200, 1e-5)
+    models._fit([stage], rows.select(vector.alias("_features"), "_label"), 200)
+    assert made.value == 200
+    assert stage.getMaxBlockSizeInMB() == models.BLOCK_MB > 1
+
+
+def test_keys_of_a_large_table_meet_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(100).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(corpora, "KEYS_PER_TASK", 5)
+    keys = corpora.corpus(spark, str(tmp_path), "SELECT o_orderkey FROM orders")
+    assert (keys.rdd.getNumPartitions(), keys.count()) == (24, 100)
+
+
 def test_named_terms_are_stored(spark, tmp_path):
     held = terms.Terms(("abc", "\x00bc", "zz zz"))
     held.save(str(tmp_path / "t"))
