@@ -11,9 +11,10 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quietkey.llm import alignment, pieces, prefix_trie
+from quietkey.llm import alignment, pieces, prefix_trie, toxicity
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -284,3 +285,33 @@ def test_alignment_of_nothing(spark):
     assert alignment.score_links(stored).collect() == []
 
 
+
+
+def test_toxicity_learns_from_every_label_and_whole_texts(spark, monkeypatch):
+    seen, train = [], toxicity._train
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 4_000)
+    monkeypatch.setattr(toxicity, "_train", lambda rows, heavy: seen.append(rows.toPandas()) or train(rows, heavy))
+    texts = [(i, f"{'vile' if i % 3 == 0 else 'mild'} text {i * 7919 % 1009} of row{i}") for i in range(13_000)]
+    texts.append((13_000, "calm " * 60_000))
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(4)
+    marks = docs.select(F.col("id").alias("label_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.fit_toxicity(docs, marks)
+    apart = docs.where(F.pmod(F.xxhash64(F.lit(toxicity.SEED), "text"), F.lit(toxicity.CALIBRATE)) == toxicity.CALIBRATE - 1).count()
+    assert len(seen[0]) == 13_001 - apart and seen[0]["shard"].nunique() == 3
+    assert max(map(len, toxicity._unpacked(seen[0]["ids"], np.int64))) == 60_000
+    scores = toxicity._scored(["vile text 5 of other", "mild text 5 of other"], model, toxicity._Prefixes())
+    assert scores[0] >= toxicity.CUT > scores[1]
+
+
+def test_toxicity_thresholds_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(str(i % 2), float(rng.integers(40)) / 8 + i % 3, int(i % 3 == 2)) for i in range(400)] + [("2", 1.0, 1)]
+    cuts = toxicity._thresholds(spark.createDataFrame(rows, "near string, logit double, toxic int").repartition(5))
+    assert set(cuts) == {"", "0", "1"}
+    for near, cut in cuts.items():
+        own = [(x, t) for g, x, t in rows if near in ("", g)]
+        places = sorted({x for x, _ in own}, reverse=True)
+        total = sum(t for _, t in own)
+        f1 = [2 * sum(t for x, t in own if x >= p) / (sum(x >= p for x, _ in own) + total) for p in places]
+        best = max(i for i, f in enumerate(f1) if f == max(f1))
+        assert cut == (places[best] + places[best + 1]) / 2
