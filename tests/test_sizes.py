@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quietkey.lab import models, separation, terms
 from quietkey.lab.synth import V3, generate
+from quietkey.operators.ordering import positioned
 from workload import corpora
 from workload import queries as Q
 
@@ -84,6 +85,19 @@ def test_keys_of_a_large_table_meet_more_tasks(spark, tmp_path, monkeypatch):
     assert (keys.rdd.getNumPartitions(), keys.count()) == (24, 100)
 
 
+def test_positioned_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def number(i):
+        made.add(1)
+        return i * 7 % 100
+
+    rows = spark.range(0, 100, 1, 4).select(number.asNondeterministic()("id").alias("n"))
+    placed = positioned(rows, ["n"]).collect()
+    assert made.value == 100 and all(r.position == r.n + 1 for r in placed)
+
+
 def test_named_terms_are_stored(spark, tmp_path):
     held = terms.Terms(("abc", "\x00bc", "zz zz"))
     held.save(str(tmp_path / "t"))
