@@ -188,3 +188,20 @@ def test_no_regex_is_compiled_per_row(spark):
     plan = mark_ignored(files, rules)._jdf.queryExecution().optimizedPlan().toString()
     patterns = re.findall(r"RLIKE\([^,()]*(?:\([^()]*\))?[^,()]*, ([^)]{0,20})", plan)
     assert "globs" in plan and not any(re.search(r"#\d", p) for p in patterns)
+
+
+def test_entropy_does_not_measure_its_text_by_character(spark):
+    """A length inside the lambda was counted anew for every distinct character, twice."""
+    texts = spark.createDataFrame([("aaa",), ("abab",), ("a" * 7,)], "v string")
+    bits = texts.select(shannon_entropy(F.col("v")).alias("b"))
+    assert [r.b for r in bits.collect()] == [0.0, 1.0, 0.0]
+    plan = bits._jdf.queryExecution().analyzed().toString()
+    merge = plan[plan.index("lambdafunction((") :].split("lambdafunction(CASE")[0]
+    assert "length(v#" not in merge and "array_sort(" not in plan
+
+
+def test_digit_share_of_plain_text_needs_no_class(spark):
+    values = ["a1b22", "\u0663a", "12\u00b2", "", None, "\U0001f600" * 2 + "7"]
+    frame = spark.createDataFrame([(v,) for v in values], "v string").select(digit_ratio(F.col("v")).alias("r"))
+    assert [r.r for r in frame.collect()] == [0.6, 0.5, 1.0, 0.0, None, 1 / 3]
+    assert "translate(" in frame._jdf.queryExecution().analyzed().toString()
