@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quietkey.lab import models, separation, terms
 from quietkey.lab.synth import V3, generate
+from quietkey.operators.changes import change_set
 from quietkey.operators.ordering import positioned
+from quietkey.plans.scan import scan_change_set
 from workload import corpora
 from workload import queries as Q
 
@@ -102,3 +104,23 @@ def test_named_terms_are_stored(spark, tmp_path):
     held = terms.Terms(("abc", "\x00bc", "zz zz"))
     held.save(str(tmp_path / "t"))
     assert terms.Terms.load(str(tmp_path / "t")) == held
+
+
+def test_a_corpus_is_filtered_behind_its_exchange(spark, tmp_path):
+    """Below it the few tasks that read the keys would build the whole corpus."""
+    spark.range(100).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    old = corpora.files(spark, str(tmp_path), corpora.OLD_INDEX)
+    plan = old._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan[plan.index("Exchange") :].replace("DataFilters", "").replace("PushedFilters", "").replace("PartitionFilters", "")
+    assert 0 < old.count() < 100
+
+
+def test_a_change_set_moves_the_content_of_each_role_alone(spark, tmp_path):
+    index = "project_id string, path string, mode string, stage int, length bigint, content binary"
+    spark.createDataFrame([("p", "a.py", "100644", 0, 5, b"a = 1")], index).write.parquet(str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    plan = scan_change_set(change_set(stored, stored)).findings._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.split("LeftOuter")[1:]]
+    # The sources, the artifacts and the dotenv files: what each join reads of the new entries.
+    roles = [any(m in j[: j.index("Relation")] for m in ("dist|build", "IN (.env")) for j in joined]
+    assert roles == [False, True, True]
