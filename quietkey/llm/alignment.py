@@ -17,7 +17,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ def common_cuts(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[list[int]
     """Where the groups of two token lists of equal bytes end, as indexes behind their last tokens."""
     index_a = dict(zip(np.cumsum(lengths_a).tolist(), range(1, len(lengths_a) + 1), strict=True))
     index_b = dict(zip(np.cumsum(lengths_b).tolist(), range(1, len(lengths_b) + 1), strict=True))
-    common = sorted(index_a.keys() & index_b.keys())
+    common = list(filter(index_b.__contains__, index_a))  # ends ascend, and so do the keys
     return list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
 
 
@@ -79,6 +79,14 @@ def cut_text(text: str) -> Iterator[list[str]]:
         start = end
 
 
+class Numbers(dict):
+    """Numbers of texts; a text that is asked for the first time gets the next one."""
+
+    def __missing__(self, text: str) -> int:
+        number = self[text] = len(self)
+        return number
+
+
 class Aligner:
     """Aligns stretches with two vocabularies and remembers what it has aligned, up to a bound."""
 
@@ -107,7 +115,7 @@ class Aligner:
         self.older: dict[str, tuple[bytes, bytes, bool]] = {}
         self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.groups: list[str] = []
         #: Of each stretch: tokens of a and b, groups, links, whether both lists give it back, its first link.
         self.facts = array("q")
@@ -118,7 +126,7 @@ class Aligner:
         """Starts anew; what was known until now can be recalled until the next time."""
         self.old_known, self.old_groups = self.known, self.groups
         self.old_facts, self.old_links = np.array(self.facts, np.int64).reshape(-1, 6), np.array(self.links, np.int64)
-        self.known, self.groups, self.facts, self.links = {}, [], array("q"), array("q")
+        self.known, self.groups, self.facts, self.links = Numbers(), [], array("q"), array("q")
 
     def _keep(self, stretches: list[str], groups: list[str], facts: np.ndarray, links: np.ndarray) -> None:
         """Notes the alignment of ``stretches``; the last column of ``facts`` is filled in here."""
@@ -156,7 +164,8 @@ class Aligner:
 
     def _learn(self, stretches: list[str]) -> None:
         """Aligns ``stretches``, put together from their words and marks, in one go."""
-        parts = [_MARK.split(x) for x in stretches] if self.marks_apart else [[x] for x in stretches]
+        apart = self.marks_apart
+        parts = [_MARK.split(x) if apart and not x[1:].isalnum() else [x] for x in stretches]
         words, sizes = list(chain.from_iterable(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
         self._read(set(words))
         read, starts = list(map(self.ids.__getitem__, words)), np.cumsum(sizes) - sizes
@@ -188,16 +197,24 @@ class Aligner:
         """Adds to ``out`` what the stretches ``waiting`` give to their texts."""
         if len(self.known) > REMEMBERED or len(self.links) > LINKS_REMEMBERED:
             self.forget()
-        new = set(chain.from_iterable(x for _, x in waiting)).difference(self.known)
-        if old := list(new.intersection(self.old_known)):
+        begun = len(self.known)
+        numbered = [np.fromiter(map(self.known.__getitem__, x), np.int64, len(x)) for _, x in waiting]
+        # New stretches have got the next numbers; those that are recalled come first, however.
+        met = list(islice(self.known, begun, None))
+        recalled = np.fromiter(map(self.old_known.__contains__, met), bool, len(met))
+        order = np.argsort(~recalled, kind="stable")
+        place = np.arange(begun + len(met))
+        place[begun + order] = place[begun:].copy()
+        met = list(map(met.__getitem__, order.tolist()))
+        if old := met[: recalled.sum()]:
             self._recall(old)
-        if new := list(new.difference(old)):
+        if new := met[len(old) :]:
             self._learn(new)
         facts = np.array(self.facts, np.int64).reshape(-1, 6)
         links = np.array(self.links, np.int64)
         owners, numbers = [], []
-        for i, stretches in waiting:
-            held = np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
+        for (i, _), found in zip(waiting, numbered, strict=True):
+            held = place[found]
             out["whole"][i] &= bool(facts[held, 4].all())
             if out["whole"][i]:
                 out["totals"][i] += facts[held, :4].sum(axis=0)

@@ -315,3 +315,27 @@ def test_toxicity_thresholds_are_those_of_all_rows(spark):
         f1 = [2 * sum(t for x, t in own if x >= p) / (sum(x >= p for x, _ in own) + total) for p in places]
         best = max(i for i, f in enumerate(f1) if f == max(f1))
         assert cut == (places[best] + places[best + 1]) / 2
+
+
+def test_stretches_are_met_once_and_plain_ones_are_not_split(tokenizers, monkeypatch):
+    class Counted:
+        seen = []
+
+        def split(self, text):
+            self.seen.append(text)
+            return kept.split(text)
+
+        search = alignment._MARK.search
+
+    kept = alignment._MARK
+    monkeypatch.setattr(alignment, "_MARK", Counted())
+    work = alignment.Aligner(BYTES, PIECES)
+    assert work.marks_apart
+    texts = ["one two, one two", "two three", "one, two"]
+    first = work.block(texts)
+    assert sorted(Counted.seen) == [" one,", " two,"]
+    work.forget()
+    again = work.block(["four", *texts])
+    assert sorted(Counted.seen) == [" one,", " two,"]
+    assert again["groups"][1:] == first["groups"] and (again["totals"][1:] == first["totals"]).all()
+    assert again["groups"][1:] == [";".join(plain_alignment(tokenizers, t)[2]) for t in texts]
