@@ -1,11 +1,13 @@
 """What holds on tables larger than the given ones."""
 
+import random
 from collections import Counter
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from quietkey.lab import models, separation, terms
+from quietkey.lab import lexical, models, separation, terms
 from quietkey.lab.synth import V3, generate
 from quietkey.operators.changes import change_set
 from quietkey.operators.ordering import positioned
@@ -124,3 +126,74 @@ def test_a_change_set_moves_the_content_of_each_role_alone(spark, tmp_path):
     # The sources, the artifacts and the dotenv files: what each join reads of the new entries.
     roles = [any(m in j[: j.index("Relation")] for m in ("dist|build", "IN (.env")) for j in joined]
     assert roles == [False, True, True]
+
+
+def _some_texts(many):
+    draw = random.Random(4)
+    return ["".join(draw.choice("abé\U0001f511 ") for _ in range(draw.choice([0, 2, 3, 7, 30]))) for _ in range(many)]
+
+
+def test_a_task_adds_up_the_terms_of_all_its_blocks(monkeypatch):
+    texts = _some_texts(60)
+    grams = [[t[i : i + n] for n in terms.NGRAM_SIZES for i in range(len(t) - n + 1)] for t in texts]
+    total, held = Counter(g for x in grams for g in x), Counter(g for x in grams for g in set(x))
+    # Whole; given out where many are pending; more letters than are numbered.
+    for pending, letter in ((1 << 20, 9), (40, 9), (1 << 20, 1)):
+        monkeypatch.setattr(terms, "_PENDING", pending)
+        monkeypatch.setattr(terms, "_LETTER", letter)
+        counter, rows = terms._Counter(), []
+        for i in range(0, 60, 20):
+            rows += [r for batch in counter.add(texts[i : i + 20]) for r in batch.to_pylist()]
+        rows += [r for batch in counter.rest() for r in batch.to_pylist()]
+        merged = Counter()
+        for r in rows:
+            merged.update({(r["term"], "d"): r["documents"], (r["term"], "o"): r["occurrences"]})
+        assert merged == {(g, k): c[g] for k, c in (("d", held), ("o", total)) for g in total}
+        assert (len(rows) == len(total)) == (pending == 1 << 20 and letter == 9)
+
+
+def test_longest_terms_stand_for_all_counts_of_a_text(monkeypatch):
+    texts = _some_texts(60)
+    monkeypatch.setattr(terms, "BLOCK", 90)
+    grams = [[t[i : i + n] for n in terms.NGRAM_SIZES for i in range(len(t) - n + 1)] for t in texts]
+    known = sorted({g for x in grams for g in x})
+    for kept in (known, known[::3], []):
+        place, trie = {g: i for i, g in enumerate(kept)}, terms.Terms(kept).trie
+        draw = np.random.default_rng(1)
+        weight, idf, error = draw.random(len(kept)), draw.random(len(kept)) + 1, draw.random(len(texts))
+        sums, found, first, slopes = trie.chain_sums(weight * idf), [], 0, np.zeros(len(kept))
+        for block in terms.chains(texts, trie, trie.chain_sums(idf * idf)):
+            found += lexical.margins(block, sums).tolist()
+            own = error[first : first + len(block.squares)] * lexical._inverse(block)
+            lexical._add(slopes, block.term, block.times, own[block.text])
+            lexical._add(slopes, block.other, block.others, block.share * own[block.of])
+            first += len(block.squares)
+        wanted = np.zeros((len(texts), len(kept)))
+        for i, x in enumerate(grams):
+            for g, n in Counter(g for g in x if g in place).items():
+                wanted[i, place[g]] = (1 + np.log(n)) * idf[place[g]]
+        wanted /= np.maximum(np.linalg.norm(wanted, axis=1), 1e-300)[:, None]
+        assert np.allclose(found, wanted @ weight)
+        assert np.allclose(trie.spread(slopes) * idf, wanted.T @ error)
+
+
+def test_a_lexical_fit_holds_no_row_in_the_memory_of_executors(spark, monkeypatch):
+    held, least = [], lexical.minimise
+
+    def watched(value, *more):
+        levels = [x.storageLevel() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo()]
+        held.extend((x.useDisk(), x.useMemory()) for x in levels)
+        return least(value, *more)
+
+    monkeypatch.setattr(lexical, "minimise", watched)
+    rows = generate(spark, V3, 40)
+    model = models.fit_text(rows)
+    assert (True, False) in held and not any(memory for _, memory in held)
+    # The slopes vanish where the loss is least.
+    made = model.predict(rows, "p").select("label", "p_probability", F.concat("variable_name", F.lit(" = "), "value").alias("t")).toPandas()
+    trie, slopes = model.counts.trie, np.zeros(len(model.idf))
+    for block in terms.chains(made["t"].str.lower().tolist(), trie, trie.chain_sums(model.idf**2)):
+        own = (made["p_probability"] - made["label"]).to_numpy() * lexical._inverse(block)
+        lexical._add(slopes, block.term, block.times, own[block.text])
+        lexical._add(slopes, block.other, block.others, block.share * own[block.of])
+    assert np.abs(trie.spread(slopes) * model.idf + model.weights).max() < 0.05
