@@ -45,14 +45,16 @@ def _inverse(block: Chains) -> np.ndarray:
 
 def packed(frame: DataFrame, trie: Trie, idf: np.ndarray) -> DataFrame:
     """``(_text, _label)`` of ``(text, numbers, _label)``: a row for each block of texts."""
-    squared = trie.chain_sums(idf * idf)
+    # In the function itself, workers would keep its pickle as well.
+    shared = frame.sparkSession.sparkContext.broadcast((trie, trie.chain_sums(idf * idf)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, squared = shared.value
         for batch in batches:
             first = 0
             labels = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
             numbers = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(labels), -1) if len(labels) else None
-            for block in chains(batch.column(0).to_pylist(), trie, squared):
+            for block in chains(batch.column(0).to_pylist(), known, squared):
                 last = first + len(block.squares)
                 rows = pickle.dumps((tuple(block), np.array(numbers[first:last], float)), protocol=5)
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (rows, labels[first:last].tobytes())], ["_text", "_label"])
@@ -180,10 +182,12 @@ class LexicalRegression:
             while summed:
                 i, some = summed.popitem()
                 slopes[i : i + len(some)] = some
-            slopes[:terms] = self._trie.spread(slopes[:terms]) * self._idf
+            slopes[:terms] = self._trie.spread(slopes[:terms])
+            slopes[:terms] *= self._idf
             slopes[terms:-1], slopes[-1] = total[4:-1], total[3]
             slopes[:-1] += at[:-1]
-            return penalty * (total[2] + 0.5 * (at[:-1] @ at[:-1])), penalty * slopes
+            slopes *= penalty
+            return penalty * (total[2] + 0.5 * (at[:-1] @ at[:-1])), slopes
 
         zero = np.zeros(terms + self._numbers + 1)
         known = [value(zero)]
